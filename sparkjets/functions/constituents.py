@@ -26,20 +26,16 @@ def by_descending_pt(array: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k["c"])
 
 
+def _tagged(zipped: Column, number: int) -> Column:
+    return F.transform(
+        zipped,
+        lambda c: F.struct(*[c[k].cast("double").alias(k) for k in KINEMATICS], F.lit(number).alias("kind")),
+    )
+
+
 def merged(kinds: Sequence[str], max_constituents: int | None = 100, jet: str = "jets") -> Column:
     """All collections together, sorted by pt, cut to ``max_constituents``; ``kind`` says which one."""
-    collections = []
-    for number, kind in enumerate(kinds):
-        zipped = zip_columns(collection_columns(kind, jet))
-        fields = [*KINEMATICS]
-        collections.append(
-            F.transform(
-                zipped,
-                lambda c, number=number: F.struct(
-                    *[c[f].cast("double").alias(f) for f in fields], F.lit(number).alias("kind")
-                ),
-            )
-        )
+    collections = [_tagged(zip_columns(collection_columns(kind, jet)), number) for number, kind in enumerate(kinds)]
     everything = collections[0] if len(collections) == 1 else F.concat(*collections)
     ordered = by_descending_pt(everything)
     return ordered if max_constituents is None else F.slice(ordered, 1, max_constituents)

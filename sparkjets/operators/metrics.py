@@ -526,18 +526,20 @@ def one_against_background(
     signal = F.array(*[F.lit(c) for c in wanted])
     uses = F.when(F.col(label) == background, signal).otherwise(F.filter(signal, lambda c: c == F.col(label)))
     w = [weight] if weight else []
-    rows = df.select(scores, label, *w, F.explode(uses).alias("class"))
-    s_sig, s_bkg = F.get(F.col(scores), F.col("class")), F.get(F.col(scores), F.lit(background))
+    rows = df.select(
+        F.col(scores).alias("_scores"), F.col(label).alias("_label"), *w, F.explode(uses).alias("_class")
+    )
+    s_sig, s_bkg = F.get("_scores", F.col("_class")), F.get("_scores", F.lit(background))
     rows = rows.select(
-        "class", *w, ratio(s_sig, s_sig + s_bkg).alias("_s"), (F.col(label) != background).cast("int").alias("_y")
+        "_class", *w, ratio(s_sig, s_sig + s_bkg).alias("_s"), (F.col("_label") != background).cast("int").alias("_y")
     )
-    table = threshold_table(rows, "_s", "_y", weight, ["class"], num_thresholds)
+    table = threshold_table(rows, "_s", "_y", weight, ["_class"], num_thresholds)
     target = F.lit(None).cast("double")
     for c, t in wanted.items():
-        target = F.when(F.col("class") == c, F.lit(float(t))).otherwise(target)
-    best = table.groupBy("class").agg(_closest(F.col("tpr"), target).alias("b"))
+        target = F.when(F.col("_class") == c, F.lit(float(t))).otherwise(target)
+    best = table.groupBy("_class").agg(_closest(F.col("tpr"), target).alias("b"))
     return best.select(
-        "class",
+        F.col("_class").alias("class"),
         target.alias("working_point"),
         ratio(F.lit(1.0), F.lit(1.0) - F.col("b.tnr")).alias("rejection"),
         F.col("b.threshold").alias("threshold"),
@@ -547,9 +549,8 @@ def one_against_background(
 def multiclass_summary(df: DataFrame, scores: str, label: str, n_classes: int, num_thresholds: int = NUM_THRESHOLDS):
     """Categorical accuracy and the mean one-against-rest area over the classes."""
     accuracy = df.agg(F.avg((argmax(F.col(scores)) == F.col(label)).cast("double")).alias("accuracy"))
-    rows = df.select(F.posexplode(F.slice(F.col(scores), 1, n_classes)).alias("class", "_s"), label).select(
-        "class", "_s", (F.col(label) == F.col("class")).cast("int").alias("_y")
-    )
-    areas = all_metrics(rows, "_s", "_y", by=["class"], num_thresholds=num_thresholds)
+    rows = df.select(
+        F.posexplode(F.slice(F.col(scores), 1, n_classes)).alias("_class", "_s"), F.col(label).alias("_label")
+    ).select("_class", "_s", (F.col("_label") == F.col("_class")).cast("int").alias("_y"))
+    areas = all_metrics(rows, "_s", "_y", by=["_class"], num_thresholds=num_thresholds)
     return areas.agg(F.avg("auc").alias("auc")).select(accuracy.scalar().alias("accuracy"), "auc")
-

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkjets.functions.arrays import aligned_columns, first_argmin, one_hot, pad, pad_mask
+from sparkjets.functions.arrays import aligned_columns, first_argmin, pad, pad_mask
 from sparkjets.operators.select import _open_interval
 
 Limits = tuple[float | None, float | None]
@@ -149,17 +149,17 @@ def pad_records(
         return F.struct(*[F.lit(float(pad_value)).cast(f.dataType).alias(f.name) for f in kind.fields])
 
     changes: dict[str, Column] = {}
+    if mask is not None:  # on its own: inside one withColumns call a lambda would see the padded array
+        df = df.withColumn(mask, pad_mask(F.col(node or edge), size))
     if node is not None:
         kind = _field_type(df, node).elementType
         empty = blank(kind) if isinstance(kind, T.StructType) else F.lit(float(pad_value)).cast(kind)
-        changes["node" if "." in node else node] = pad(F.col(node), size, empty)
+        changes[node] = pad(F.col(node), size, empty)
     if edge is not None:
         kind = _field_type(df, edge).elementType.elementType
         empty = blank(kind) if isinstance(kind, T.StructType) else F.lit(float(pad_value)).cast(kind)
         rows = F.transform(F.col(edge), lambda row: pad(row, size, empty))
-        changes["edge" if "." in edge else edge] = pad(rows, size, F.array_repeat(empty, size))
-    if mask is not None:
-        changes[mask] = pad_mask(F.col(node or edge), size)
+        changes[edge] = pad(rows, size, F.array_repeat(empty, size))
     return df.withColumns(changes)
 
 
