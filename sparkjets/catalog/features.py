@@ -1,0 +1,855 @@
+"""Feature sets, pair matrices, augmentations, feature statistics, scoring."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkjets.catalog.aggregations import ETA, PT
+from sparkjets.catalog.arrays import two_collections
+from sparkjets.catalog.base import R, case_bins, query, r
+from sparkjets.functions import features, vectors
+from sparkjets.functions.arrays import total
+from sparkjets.functions.augment import augment
+from sparkjets.functions.constituents import merged
+from sparkjets.operators import metrics, nested, pairs, rank, scoring
+from sparkjets.operators.nested import nest
+from sparkjets.plans.training import training_table
+from sparkjets.sources import tables
+
+jets = tables.jets
+CLIP = "least(greatest({x}, 1e-10), 1e10)"
+
+
+def ln(x: str) -> str:
+    """SQL: logarithm after clamping."""
+    return f"ln(least(greatest({x}, 1e-10), 1e10))"
+
+
+def node_rows(df, set_name: str, names: list[str], digits: int = 6, field: str = "node", **options):
+    """Per-constituent features as rows; ``names`` become f0, f1, ..."""
+    out = features.add_features(df, set_name, **options)
+    rows = out.select("jet_id", F.posexplode(F.col("features")[field]).alias("idx", "n"))
+    return rows.select("jet_id", "idx", *[r(F.col("n")[c], digits).alias(f"f{i}") for i, c in enumerate(names)])
+
+
+# ------------------------------------------------------------- whole-jet sets
+
+
+def _derived(i: int):
+    return ((F.col("jet_id") * (i + 3)) % (i + 7)).cast("double")
+
+
+def _derived_sql(i: int) -> str:
+    return f"((jet_id * {i + 3}) % {i + 7})::DOUBLE"
+
+
+def with_derived(df, names, arrays=()):
+    """Stand-ins for detector columns that the test tables do not have."""
+    made = {c: _derived(i) for i, c in enumerate(names) if c not in df.columns}
+    made |= {c: F.array(_derived(50 + i), F.lit(-1.0)) for i, c in enumerate(arrays)}
+    return df.withColumns(made)
+
+
+FULL = [*features.FULL_HIGHLEVEL, "jets_Constituent_n"]
+OWN = {"jets_pt", "jets_eta", "jets_phi", "jets_m"}
+
+
+def _sum_sql(names, arrays=()):
+    parts = [f"{k + 1} * {c if c in OWN else _derived_sql(i)}" for k, (i, c) in enumerate(enumerate(names))]
+    parts += [f"{len(names) + k + 1} * {_derived_sql(50 + k)}" for k in range(len(arrays))]
+    return " + ".join(parts)
+
+
+def _sum_features(names):
+    result = F.lit(0.0)
+    for k, name in enumerate(names):
+        result = result + F.col("features")[name] * (k + 1)
+    return result
+
+
+@query("features_full_highlevel", f"SELECT jet_id, 33::INT AS width, {R(_sum_sql(FULL, features.FULL_HIGHLEVEL_FIRST), 3)} AS mix FROM jets")
+def features_full_highlevel(spark, d):
+    df = with_derived(jets(spark, d), FULL, features.FULL_HIGHLEVEL_FIRST)
+    out = features.add_features(df, "full_highlevel")
+    names = [f.name for f in out.schema["features"].dataType.fields]
+    return out.select("jet_id", F.lit(len(names)).alias("width"), r(_sum_features(names), 3).alias("mix"))
+
+
+@query("features_highlevel", f"SELECT jet_id, 8::INT AS width, {R(_sum_sql(features.HIGHLEVEL, features.HIGHLEVEL_FIRST), 3)} AS mix FROM jets")
+def features_highlevel(spark, d):
+    df = with_derived(jets(spark, d), features.HIGHLEVEL, features.HIGHLEVEL_FIRST)
+    out = features.add_features(df, "highlevel")
+    names = [f.name for f in out.schema["features"].dataType.fields]
+    return out.select("jet_id", F.lit(len(names)).alias("width"), r(_sum_features(names), 3).alias("mix"))
+
+
+NO_ETA = [c for c in features.HIGHLEVEL if c != "jets_eta"]
+
+
+@query("features_highlevel_no_eta", f"SELECT jet_id, 7::INT AS width, {R(_sum_sql(NO_ETA, features.HIGHLEVEL_FIRST), 3)} AS mix FROM jets")
+def features_highlevel_no_eta(spark, d):
+    df = with_derived(jets(spark, d), NO_ETA, features.HIGHLEVEL_FIRST)
+    out = features.add_features(df, "highlevel_no_eta")
+    names = [f.name for f in out.schema["features"].dataType.fields]
+    return out.select("jet_id", F.lit(len(names)).alias("width"), r(_sum_features(names), 3).alias("mix"))
+
+
+@query("features_jetclass_highlevel", f"SELECT jet_id, 10::INT AS width, {R(_sum_sql(features.JETCLASS_HIGHLEVEL), 3)} AS mix FROM jets")
+def features_jetclass_highlevel(spark, d):
+    out = features.add_features(with_derived(jets(spark, d), features.JETCLASS_HIGHLEVEL), "jet_class_highlevel")
+    names = [f.name for f in out.schema["features"].dataType.fields]
+    return out.select("jet_id", F.lit(len(names)).alias("width"), r(_sum_features(names), 3).alias("mix"))
+
+
+CRAFTED = """WITH w AS (SELECT jet_id, count(*)::DOUBLE AS n, sum(pt) AS s, sum(pt * sqrt((jets_eta - eta) * (jets_eta - eta)
+        + (jets_phi - phi) * (jets_phi - phi))) AS ptdr FROM lead JOIN jets USING (jet_id) GROUP BY jet_id),
+    c AS (SELECT a.jet_id, sum(CASE WHEN a.idx <> b.idx THEN a.pt * b.pt * pow(sqrt((a.eta - b.eta) * (a.eta - b.eta)
+        + (a.phi - b.phi) * (a.phi - b.phi)), 0.2e0) ELSE 0 END) AS c FROM lead a JOIN lead b USING (jet_id) GROUP BY a.jet_id)"""
+
+
+@query(
+    "features_crafted_highlevel",
+    f"""{CRAFTED} SELECT jet_id, {R('jets_pt')} AS pt, {R('jets_eta')} AS eta, n, {R('ptdr / s')} AS width, {R('c / (s * s)')} AS c1
+        FROM w JOIN c USING (jet_id) JOIN jets USING (jet_id)""",
+    ("lead", "jets"),
+)
+def features_crafted_highlevel(spark, d):
+    f = F.col("features")
+    out = features.add_features(tables.jets_nested(spark, d), "crafted_highlevel")
+    return out.select(
+        "jet_id", r(f["pt_jet"]).alias("pt"), r(f["eta_jet"]).alias("eta"), f["N_PFO"].alias("n"),
+        r(f["W_PFO_jet"]).alias("width"), r(f["C1_PFO_jet"]).alias("c1"),
+    )
+
+
+@query(
+    "features_crafted_no_eta",
+    f"""{CRAFTED} SELECT jet_id, 4::INT AS fields, n, {R('ptdr / s')} AS width, {R('c / (s * s)')} AS c1 FROM w JOIN c USING (jet_id)""",
+    ("lead", "jets"),
+)
+def features_crafted_no_eta(spark, d):
+    f = F.col("features")
+    out = features.add_features(tables.jets_nested(spark, d), "crafted_highlevel_no_eta")
+    fields = len(out.schema["features"].dataType.fields)
+    return out.select(
+        "jet_id", F.lit(fields).alias("fields"), f["N_PFO"].alias("n"), r(f["W_PFO_jet"]).alias("width"),
+        r(f["C1_PFO_jet"]).alias("c1"),
+    )
+
+
+# --------------------------------------------------------- constituent sets
+
+CONST = ["log_pT", "log_PT|PTjet", "log_E", "log_E|Ejet", "deltaEta", "deltaPhi", "deltaR", "m"]
+REL = ["log_PT|PTjet", "log_E|Ejet", "deltaEta", "deltaPhi", "deltaR", "m"]
+CONST_SQL = f"""{R(ln('pt'))} AS f0, {R(ln('pt / jets_pt'))} AS f1, {R(ln('sqrt(pt*pt + m*m)'))} AS f2,
+    {R(ln('sqrt(pt*pt + m*m) / sqrt(jets_pt*jets_pt + jets_m*jets_m)'))} AS f3, {R('eta - jets_eta')} AS f4, {R('phi - jets_phi')} AS f5,
+    {R('sqrt((eta - jets_eta)*(eta - jets_eta) + (phi - jets_phi)*(phi - jets_phi))')} AS f6, {R(ln('m'))} AS f7"""
+BASE = f"SELECT jet_id, idx::INT AS idx, {CONST_SQL} FROM lead JOIN jets USING (jet_id)"
+
+
+@query("features_const", BASE, ("lead", "jets"))
+def features_const(spark, d):
+    return node_rows(tables.jets_nested(spark, d), "const", CONST)
+
+
+@query("features_int_const_node", BASE, ("lead", "jets"))
+def features_int_const_node(spark, d):
+    return node_rows(tables.jets_nested(spark, d), "int_const", CONST)
+
+
+# momenta, the re-summed axis, and constituents relative to it
+AXIS = """p AS (SELECT *, pt*cos(phi) AS px, pt*sin(phi) AS py, pt*sinh(eta) AS pz,
+        sqrt(m*m + pt*cos(phi)*pt*cos(phi) + pt*sin(phi)*pt*sin(phi) + pt*sinh(eta)*pt*sinh(eta)) AS e FROM lead),
+    s AS (SELECT jet_id, sum(px) AS sx, sum(py) AS sy, sum(pz) AS sz, sum(e) AS se FROM p GROUP BY jet_id),
+    ax AS (SELECT jet_id, sqrt(sx*sx + sy*sy) AS apt, asinh(sz / sqrt(sx*sx + sy*sy)) AS aeta, atan2(sy, sx) AS aphi, se FROM s),
+    q AS (SELECT p.jet_id, idx, p.m, pt / apt AS pt, eta - aeta AS eta, phi - aphi AS phi, e / apt AS e, px / apt AS px, py / apt AS py,
+        pz / apt AS pz, e / se AS share, apt, aeta, aphi FROM p JOIN ax USING (jet_id))"""
+
+
+@query(
+    "features_rel_const",
+    f"""WITH {AXIS} SELECT jet_id, idx::INT AS idx, {R(ln('pt / apt'))} AS f0, {R(ln('e / sqrt(apt*apt + jets_m*jets_m)'))} AS f1,
+        {R('eta - aeta', 5)} AS f2, {R('phi - aphi', 5)} AS f3,
+        {R('sqrt((eta - aeta)*(eta - aeta) + (phi - aphi)*(phi - aphi))', 5)} AS f4, {R(ln('m'))} AS f5 FROM q JOIN jets USING (jet_id)""",
+    ("lead", "jets"),
+)
+def features_rel_const(spark, d):
+    out = node_rows(tables.jets_nested(spark, d), "rel_const", REL, 12)
+    return out.select("jet_id", "idx", *[r(f"f{i}", 5 if i in (2, 3, 4) else 6).alias(f"f{i}") for i in range(6)])
+
+
+@query(
+    "features_gnn_padded",
+    f"""WITH g AS (SELECT jet_id, i FROM (SELECT DISTINCT jet_id FROM lead), range(8) x(i)), b AS ({BASE})
+        SELECT g.jet_id, g.i::INT AS idx, coalesce(f0, 0e0) AS log_pt, coalesce(f4, 0e0) AS deta, coalesce(f5, 0e0) AS dphi,
+            (f0 IS NOT NULL)::INT::DOUBLE AS mask FROM g LEFT JOIN b ON g.jet_id = b.jet_id AND g.i = b.idx""",
+    ("lead", "jets"),
+)
+def features_gnn_padded(spark, d):
+    out = features.add_features(tables.jets_nested(spark, d), "gnn", max_constituents=8)
+    parts = out.select("jet_id", "features.points", "features.node", "features.mask")
+    rows = parts.select("jet_id", F.posexplode(F.arrays_zip("points", "node", "mask")).alias("idx", "x"))
+    return rows.select(
+        "jet_id", "idx", r("x.node.log_pT").alias("log_pt"), r("x.points.deltaEta").alias("deta"),
+        r("x.points.deltaPhi").alias("dphi"), F.col("x.mask").alias("mask"),
+    )
+
+
+@query(
+    "features_irc_safe",
+    f"""SELECT jet_id, idx::INT AS idx, {R('eta - jets_eta')} AS deta, {R('phi - jets_phi')} AS dphi, {R('pt / jets_pt')} AS pt_share
+        FROM lead JOIN jets USING (jet_id)""",
+    ("lead", "jets"),
+)
+def features_irc_safe(spark, d):
+    out = features.add_features(tables.jets_nested(spark, d), "irc_safe")
+    both = out.select("jet_id", F.col("features.angular").alias("a"), F.col("features.energy").alias("e"))
+    rows = both.select("jet_id", F.posexplode(F.arrays_zip("a", "e")).alias("idx", "x"))
+    return rows.select(
+        "jet_id", "idx", r("x.a.deltaEta").alias("deta"), r("x.a.deltaPhi").alias("dphi"),
+        r(F.col("x.e")["PT|PTjet"]).alias("pt_share"),
+    )
+
+
+INT_REL = """SELECT jet_id, idx::INT AS idx, {f0} AS f0, {f1} AS f1, {f2} AS f2, {f3} AS f3, {f4} AS f4, {f5} AS f5 FROM q"""
+
+
+def _int_rel_sql(energy: str, mass: str) -> str:
+    return f"WITH {AXIS} " + INT_REL.format(
+        f0=R(ln("pt"), 5), f1=R(ln(energy), 5), f2=R("eta", 5), f3=R("phi", 5), f4=R("sqrt(eta*eta + phi*phi)", 5), f5=R(mass, 5)
+    )
+
+
+@query("features_int_rel_const_node", _int_rel_sql("e", ln("m")), ("lead",))
+def features_int_rel_const_node(spark, d):
+    return node_rows(tables.jets_nested(spark, d), "int_rel_const", REL, 5)
+
+
+@query("features_int_rel_const2_node", _int_rel_sql("share", "m"), ("lead",))
+def features_int_rel_const2_node(spark, d):
+    return node_rows(tables.jets_nested(spark, d), "int_rel_const2", REL, 5)
+
+
+# ------------------------------------------------------------- pair matrices
+# The logarithm of a pair mass that is zero up to rounding is noise, so masses
+# count only above a floor in both engines.
+
+
+def _pair_sql(source: str, floor: float, angle: str = "eta", wrap: bool = False, log_z: bool = False) -> str:
+    dphi = "atan2(sin(a.phi - b.phi), cos(a.phi - b.phi))" if wrap else "(a.phi - b.phi)"
+    z = "least(a.pt, b.pt) / (a.pt + b.pt)"
+    return f"""pr AS (SELECT a.jet_id, {ln(f'sqrt((a.{angle} - b.{angle})*(a.{angle} - b.{angle}) + {dphi}*{dphi})')} AS delta,
+            {ln(f'least(a.pt, b.pt) * sqrt((a.{angle} - b.{angle})*(a.{angle} - b.{angle}) + {dphi}*{dphi})')} AS kt,
+            {ln(z) if log_z else z} AS z, {ln('(a.e+b.e)*(a.e+b.e) - (a.px+b.px)*(a.px+b.px) - (a.py+b.py)*(a.py+b.py) - (a.pz+b.pz)*(a.pz+b.pz)')} AS m2
+            FROM {source} a JOIN {source} b ON a.jet_id = b.jet_id AND a.idx <> b.idx)
+        SELECT n.jet_id, n.n AS cells, {R('coalesce(sum(CASE WHEN delta > -8e0 THEN delta END), 0e0)', 3)} AS delta,
+            {R('coalesce(sum(CASE WHEN delta > -8e0 THEN kt END), 0e0)', 3)} AS k_t,
+            {R('coalesce(sum(z), 0e0)', 4)} AS z, {R(f'coalesce(sum(CASE WHEN m2 > {floor!r}::DOUBLE THEN m2 END), 0e0)', 2)} AS m2
+        FROM (SELECT jet_id, count(*) * count(*) AS n FROM lead GROUP BY jet_id) n LEFT JOIN pr USING (jet_id) GROUP BY n.jet_id, n.n"""
+
+
+def pair_sums(df, floor: float):
+    """Per jet: matrix size and sums over the off-diagonal cells, without leaving the row."""
+    cells = F.flatten(
+        F.transform(
+            "features.edge",
+            lambda row, i: F.transform(row, lambda c, j: F.struct(c.alias("c"), (i != j).alias("off"))),
+        )
+    )
+    df = df.select("jet_id", cells.alias("cells"))
+
+    def add(name, keep):
+        return total(F.filter("cells", lambda x: x["off"] & keep(x["c"])), lambda x: x["c"][name])
+
+    far = lambda c: c["delta"] > -8.0
+    return df.select(
+        "jet_id",
+        F.size("cells").cast("long").alias("cells"),
+        r(add("delta", far), 3).alias("delta"),
+        r(add("k_t", far), 3).alias("k_t"),
+        r(add("z", lambda c: F.lit(True)), 4).alias("z"),
+        r(add("m2", lambda c: c["m2"] > floor), 2).alias("m2"),
+    )
+
+
+PLAIN = """p AS (SELECT *, pt*cos(phi) AS px, pt*sin(phi) AS py, pt*sinh(eta) AS pz,
+    sqrt(m*m + pt*cos(phi)*pt*cos(phi) + pt*sin(phi)*pt*sin(phi) + pt*sinh(eta)*pt*sinh(eta)) AS e FROM lead)"""
+
+
+@query("pair_matrix_int_const", f"WITH {PLAIN}, {_pair_sql('p', 14.0)}", ("lead",))
+def pair_matrix_int_const(spark, d):
+    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_const"), 14.0)
+
+
+@query("pair_matrix_int_rel_const", f"WITH {AXIS}, {_pair_sql('q', -6.0)}", ("lead",))
+def pair_matrix_int_rel_const(spark, d):
+    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_rel_const"), -6.0)
+
+
+@query("pair_matrix_int_rel_const2", f"WITH {AXIS}, {_pair_sql('q', -6.0)}", ("lead",))
+def pair_matrix_int_rel_const2(spark, d):
+    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_rel_const2"), -6.0)
+
+
+# --------------------------------------------------------------- JetClass sets
+
+
+def jetclass_input(spark, d):
+    """Constituents with Cartesian momenta, particle flags and displacements, in the JetClass layout."""
+    p = vectors.cartesian(*[F.col(k) for k in ("m", "pt", "eta", "phi")])
+    rows = tables.constituents(spark, d).withColumns(
+        {
+            "part_energy": p["E"], "part_px": p["px"], "part_py": p["py"], "part_pz": p["pz"],
+            "part_charge": (F.col("l_linenumber") % 3 - 1).cast("double"),
+            "part_isElectron": (F.col("l_linenumber") == 1).cast("double"),
+            "part_isMuon": (F.col("l_linenumber") == 2).cast("double"),
+            "part_isPhoton": (F.col("l_linenumber") == 3).cast("double"),
+            "part_isNeutralHadron": (F.col("l_linenumber") == 4).cast("double"),
+            "part_isChargedHadron": (F.col("l_linenumber") > 4).cast("double"),
+            "part_d0val": (F.col("l_partkey") % 7).cast("double") / 7.0,
+            "part_d0err": (F.col("l_partkey") % 5).cast("double"),
+            "part_dzval": (F.col("l_suppkey") % 11).cast("double") / 11.0,
+            "part_dzerr": (F.col("l_suppkey") % 3).cast("double"),
+        }
+    )
+    names = [c for c in rows.columns if c.startswith("part_")]
+    order = [F.col("pt").desc(), *[F.col(c) for c in tables.CONSTITUENT_ORDER[1:]]]
+    arrays = nest(rows, ["jet_id"], order, {n: n for n in names}, tables.MAX_CONSTITUENTS)
+    whole = jets(spark, d).select(
+        "jet_id",
+        F.col("jets_pt").alias("jet_pt"),
+        F.col("jets_eta").alias("jet_eta"),
+        F.col("jets_phi").alias("jet_phi"),
+        (F.col("jets_pt") * 1.5).alias("jet_energy"),
+    )
+    return whole.join(arrays, "jet_id")
+
+
+JETCLASS = f"""WITH {PLAIN} SELECT jet_id, idx::INT AS idx, {R(ln('pt'), 5)} AS f0, {R(ln('pt / jets_pt'), 5)} AS f1, {R(ln('e'), 5)} AS f2,
+    {R(ln('e / (jets_pt * 1.5e0)'), 5)} AS f3, {R('eta - jets_eta', 5)} AS f4, {R('abs(atan2(sin(phi - jets_phi), cos(phi - jets_phi)))', 5)} AS f5,
+    {R('(l_linenumber % 3 - 1)::DOUBLE', 5)} AS f6, (l_linenumber = 2)::INT::DOUBLE AS f7, {R('tanh((l_partkey % 7)::DOUBLE / 7e0)', 5)} AS f8,
+    (l_suppkey % 3)::DOUBLE AS f9 FROM p JOIN jets USING (jet_id)"""
+JETCLASS_NAMES = [
+    "log_pT", "log_PT|PTjet", "log_E", "log_E|Ejet", "deltaEta", "deltaPhi", "charge", "is_muon", "tanh_d0", "dz_err",
+]
+
+
+def _jetclass_rows(spark, d, name):
+    out = node_rows(jetclass_input(spark, d), name, JETCLASS_NAMES, 12)
+    return out.select("jet_id", "idx", *[r(F.abs("f5") if i == 5 else F.col(f"f{i}"), 5).alias(f"f{i}") for i in range(10)])
+
+
+@query("features_jetclass_node", JETCLASS, ("lead", "jets"))
+def features_jetclass_node(spark, d):
+    return _jetclass_rows(spark, d, "jet_class")
+
+
+@query("features_jetclass_non_int", JETCLASS, ("lead", "jets"))
+def features_jetclass_non_int(spark, d):
+    return _jetclass_rows(spark, d, "jet_class_non_int")
+
+
+@query(
+    "features_jetclass_pnet_points",
+    f"""WITH {PLAIN} SELECT jet_id, idx::INT AS idx, {R('eta - jets_eta', 5)} AS f0 FROM p JOIN jets USING (jet_id)""",
+    ("lead", "jets"),
+)
+def features_jetclass_pnet_points(spark, d):
+    return node_rows(jetclass_input(spark, d), "jet_class_pnet", ["deltaEta"], 5, field="points")
+
+
+@query(
+    "pair_matrix_jetclass",
+    f"WITH {PLAIN}, y AS (SELECT *, 0.5e0 * ln((e + pz) / (e - pz)) AS rapidity FROM p), {_pair_sql('y', 14.0, 'rapidity', True, True)}",
+    ("lead",),
+)
+def pair_matrix_jetclass(spark, d):
+    return pair_sums(features.add_features(jetclass_input(spark, d), "jet_class"), 14.0)
+
+
+# ----------------------------------------------- several constituent collections
+
+KINDS = """u AS (SELECT *, (CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) AS kind FROM cons)"""
+TWO = """u AS (SELECT *, (l_returnflag <> 'R')::INT AS kind FROM cons),
+    ok AS (SELECT jet_id FROM u GROUP BY jet_id HAVING count(DISTINCT kind) = 2),
+    x AS (SELECT u.* FROM u JOIN ok USING (jet_id))"""
+
+
+def topo_jets(spark, d):
+    return jets(spark, d).join(two_collections(spark, d), "jet_id")
+
+
+def _const_sums(names_sql: str, source: str) -> str:
+    return f"""SELECT jet_id, count(*) AS n, {names_sql} FROM {source} JOIN jets USING (jet_id) GROUP BY jet_id"""
+
+
+def node_sums(df, set_name, names, digits=4, field="node", **options):
+    """Per jet: constituents and the sum of some of their features."""
+    out = features.add_features(df, set_name, **options)
+    node = F.col("features")[field]
+    return out.select(
+        "jet_id",
+        F.size(node).cast("long").alias("n"),
+        *[r(total(node, lambda x, c=c: x[c]), digits).alias(f"f{i}") for i, c in enumerate(names)],
+    )
+
+
+CONST_SUM = f"{R(f'sum({ln(chr(112) + chr(116))})', 4)} AS f0, {R('sum(eta - jets_eta)', 4)} AS f1, {R('sum(kind)', 4)} AS f2"
+
+
+@query("features_const_topo", f"WITH {TWO} {_const_sums(CONST_SUM, 'x')}", ("cons", "jets"))
+def features_const_topo(spark, d):
+    return node_sums(topo_jets(spark, d), "const_topo", ["log_pT", "deltaEta", "is_TopoTower"])
+
+
+@query("features_int_const_topo", f"WITH {TWO} {_const_sums(CONST_SUM, 'x')}", ("cons", "jets"))
+def features_int_const_topo(spark, d):
+    return node_sums(topo_jets(spark, d), "int_const_topo", ["log_pT", "deltaEta", "is_TopoTower"])
+
+
+def topo_axis(source: str) -> str:
+    return f"""p AS (SELECT *, pt*cos(phi) AS px, pt*sin(phi) AS py, pt*sinh(eta) AS pz, sqrt(m*m + pt*pt*cosh(eta)*cosh(eta)) AS e FROM {source}),
+    s AS (SELECT jet_id, sum(px) AS sx, sum(py) AS sy, sum(pz) AS sz, sum(e) AS se FROM p GROUP BY jet_id),
+    q AS (SELECT p.*, sqrt(sx*sx + sy*sy) AS apt, asinh(sz / sqrt(sx*sx + sy*sy)) AS aeta, atan2(sy, sx) AS aphi, se FROM p JOIN s USING (jet_id))"""
+
+
+@query(
+    "features_rel_const_topo",
+    f"""WITH {TWO}, {topo_axis('x')} SELECT jet_id, count(*) AS n, {R(f"sum({ln('pt / apt / apt')})", 4)} AS f0,
+        {R('sum(eta - aeta - aeta)', 4)} AS f1, {R('sum(kind)', 4)} AS f2 FROM q GROUP BY jet_id""",
+    ("cons",),
+)
+def features_rel_const_topo(spark, d):
+    return node_sums(topo_jets(spark, d), "rel_const_topo", ["log_PT|PTjet", "deltaEta", "is_TopoTower"])
+
+
+@query(
+    "features_int_rel_const_topo",
+    f"""WITH {TWO}, {topo_axis('x')} SELECT jet_id, count(*) AS n, {R(f"sum({ln('pt / apt')})", 4)} AS f0,
+        {R(f"sum({ln('e / apt')})", 4)} AS f1, {R('sum(kind)', 4)} AS f2 FROM q GROUP BY jet_id""",
+    ("cons",),
+)
+def features_int_rel_const_topo(spark, d):
+    return node_sums(topo_jets(spark, d), "int_rel_const_topo", ["log_PT|PTjet", "log_E|Ejet", "is_TopoTower"])
+
+
+@query(
+    "features_int_rel_const_topo2",
+    f"""WITH {TWO}, {topo_axis('x')} SELECT jet_id, count(*) AS n, {R(f"sum({ln('pt / apt')})", 4)} AS f0,
+        {R(f"sum({ln('e / se')})", 4)} AS f1, {R('sum(m)', 4)} AS f2 FROM q GROUP BY jet_id""",
+    ("cons",),
+)
+def features_int_rel_const_topo2(spark, d):
+    return node_sums(topo_jets(spark, d), "int_rel_const_topo2", ["log_PT|PTjet", "log_E|Ejet", "m"])
+
+
+@query(
+    "features_irc_safe_topo",
+    f"WITH {TWO} SELECT jet_id, count(*) AS n, {R('sum(pt / jets_pt)', 4)} AS f0 FROM x JOIN jets USING (jet_id) GROUP BY jet_id",
+    ("cons", "jets"),
+)
+def features_irc_safe_topo(spark, d):
+    return node_sums(topo_jets(spark, d), "irc_safe_topo", ["PT|PTjet"], field="energy")
+
+
+@query(
+    "features_int_const_track",
+    f"WITH x AS (SELECT * FROM lead) {_const_sums(R(f'sum({ln(chr(112) + chr(116))})', 4) + ' AS f0', 'x')}",
+    ("lead", "jets"),
+)
+def features_int_const_track(spark, d):
+    df = jets(spark, d).join(tables.nested_constituents(spark, d, "Track"), "jet_id")
+    return node_sums(df, "int_const_track", ["log_pT"])
+
+
+THREE = f"""{KINDS}, ok AS (SELECT jet_id FROM u GROUP BY jet_id HAVING count(DISTINCT kind) = 3),
+    x AS (SELECT u.* FROM u JOIN ok USING (jet_id))"""
+THREE_SUM = f"{R('sum(eta - jets_eta)', 4)} AS f0, " + ", ".join(
+    f"{R(f'sum((kind = {k})::INT)', 4)} AS f{k + 1}" for k in range(3)
+)
+IS = ["is_Constituent", "is_TopoTower", "is_Track"]
+
+
+def three_collections(spark, d):
+    rows = tables.constituents(spark, d)
+    df = jets(spark, d)
+    for kind, flag in (("Constituent", "R"), ("TopoTower", "A"), ("Track", "N")):
+        df = df.join(tables.nested_constituents(spark, d, kind, rows.where(F.col("l_returnflag") == flag)), "jet_id")
+    return df
+
+
+@query("features_const_topo_track", f"WITH {THREE} {_const_sums(THREE_SUM, 'x')}", ("cons", "jets"))
+def features_const_topo_track(spark, d):
+    return node_sums(three_collections(spark, d), "const_topo_track", ["deltaEta", *IS])
+
+
+@query("features_int_const_topo_track", f"WITH {THREE} {_const_sums(THREE_SUM, 'x')}", ("cons", "jets"))
+def features_int_const_topo_track(spark, d):
+    return node_sums(three_collections(spark, d), "int_const_topo_track", ["deltaEta", *IS])
+
+
+@query(
+    "features_int_rel_const_topo_track",
+    f"""WITH {THREE}, {topo_axis('x')} SELECT jet_id, count(*) AS n, {R('sum(eta - aeta)', 4)} AS f0,
+        {R('sum((kind = 2)::INT)', 4)} AS f1 FROM q GROUP BY jet_id""",
+    ("cons",),
+)
+def features_int_rel_const_topo_track(spark, d):
+    return node_sums(three_collections(spark, d), "int_rel_const_topo_track", ["deltaEta", "is_Track"])
+
+
+@query(
+    "features_irc_safe_topo_track",
+    f"WITH {THREE} SELECT jet_id, count(*) AS n, {R('sum(eta - jets_eta)', 4)} AS f0 FROM x JOIN jets USING (jet_id) GROUP BY jet_id",
+    ("cons", "jets"),
+)
+def features_irc_safe_topo_track(spark, d):
+    return node_sums(three_collections(spark, d), "irc_safe_topo_track", ["deltaEta"], field="angular")
+
+
+@query(
+    "training_table",
+    f"""SELECT jet_id, (CASE WHEN parton BETWEEN 1 AND 6 THEN 0 ELSE 1 END)::INT AS label, {R('weight')} AS weight, n, {R('s', 4)} AS pt
+        FROM jets JOIN (SELECT jet_id, count(*)::INT AS n, sum({ln('pt')}) AS s FROM lead WHERE idx < 20 GROUP BY jet_id) USING (jet_id)
+        WHERE jets_pt > 50000e0 AND jets_eta < 2.1e0 AND parton <> -1""",
+    ("lead", "jets"),
+)
+def training_table_query(spark, d):
+    out = training_table(
+        tables.jets_nested(spark, d), "const", "parton", [(1, 2, 3, 4, 5, 6), 21], "jet_id", "weight",
+        cut="(jets_pt>50_000) && (jets_eta<2.1)", unknown_labels=[-1], max_constituents=20,
+    )
+    node = F.col("features.node")
+    return out.select(
+        "jet_id", "label", r("weight").alias("weight"), F.size(node).alias("n"), r(total(node, lambda x: x["log_pT"]), 4).alias("pt")
+    )
+
+
+# --------------------------------------------------------------- augmentations
+# Random changes are checked by what they must preserve, over all jets.
+
+SUMS = "sum(pt*cos(phi)) AS sx, sum(pt*sin(phi)) AS sy, sum(pt*sinh(eta)) AS sz, sum(sqrt(m*m + pt*pt*cosh(eta)*cosh(eta))) AS se"
+
+
+def momentum_sums(c):
+    p = F.transform(c, lambda x: vectors.as_struct(vectors.cartesian(x["m"], x["pt"], x["eta"], x["phi"])))
+    return {k: total(p, lambda x, k=k: x[k]) for k in ("E", "px", "py", "pz")}
+
+
+def augmented(spark, d, *steps):
+    """Jets after the steps, with the constituents before (``old``) and after (``new``)."""
+    df = tables.nested_constituents(spark, d).withColumn("old", merged(["Constituent"], None))
+    return augment(df, "jet_id", steps).withColumn("new", merged(["Constituent"], None))
+
+
+@query(
+    "augment_rotation",
+    f"""WITH s AS (SELECT jet_id, {SUMS}, sum(pt*cosh(eta)) AS p FROM lead GROUP BY jet_id) SELECT jet_id, {R('sx / se', 5)} AS px,
+        {R('sy / se', 5)} AS py, {R('sz / se', 5)} AS pz, {R('p / se', 5)} AS p FROM s""",
+    ("lead",),
+)
+def augment_rotation(spark, d):
+    """Rotation about the summed momentum keeps it, and keeps every \\|p\\|."""
+    df = augmented(spark, d, ("rotation", {"max_angle": 60.0}))
+    new, old = momentum_sums(F.col("new")), momentum_sums(F.col("old"))
+    p = total(F.col("new"), lambda x: x["pt"] * F.cosh(x["eta"]))
+    return df.select(
+        "jet_id", *[r(new[k] / old["E"], 5).alias(k) for k in ("px", "py", "pz")], r(p / old["E"], 5).alias("p")
+    )
+
+
+@query(
+    "augment_boost",
+    f"""WITH s AS (SELECT jet_id, {SUMS} FROM lead GROUP BY jet_id)
+        SELECT jet_id, {R('(se*se - sx*sx - sy*sy - sz*sz) / (se*se)', 5)} AS mass2 FROM s""",
+    ("lead",),
+)
+def augment_boost(spark, d):
+    """A boost keeps the invariant mass of the jet."""
+    df = augmented(spark, d, ("boost", {"max_beta": 0.3}))
+    new, old = momentum_sums(F.col("new")), momentum_sums(F.col("old"))
+    mass2 = new["E"] * new["E"] - new["px"] * new["px"] - new["py"] * new["py"] - new["pz"] * new["pz"]
+    return df.select("jet_id", r(mass2 / (old["E"] * old["E"]), 5).alias("mass2"))
+
+
+@query(
+    "augment_collinear_split",
+    f"SELECT jet_id, {R('sum(pt)', 2)} AS pt, {R('sum(pt * eta) / sum(pt)', 5)} AS eta, true AS more, true AS sorted FROM lead GROUP BY jet_id",
+    ("lead",),
+)
+def augment_collinear_split(spark, d):
+    """Splitting keeps the pt sum and the directions, adds constituents and sorts again."""
+    df = augmented(spark, d, ("collinear_split", {"amount": 0.3}))
+    pt = F.col("jets_Constituent_pt")
+    weighted = F.zip_with(pt, F.col("jets_Constituent_eta"), lambda p, e: p * e)
+    return df.select(
+        "jet_id",
+        r(total(pt), 2).alias("pt"),
+        r(total(weighted) / total(pt), 5).alias("eta"),
+        (F.size(pt) >= F.size("old")).alias("more"),
+        (F.reverse(F.array_sort(pt)) == pt).alias("sorted"),
+    )
+
+
+@query(
+    "augment_drop_soft",
+    "SELECT jet_id, true AS subset, true AS some_left, CASE WHEN count(*) < 3 THEN count(*)::INT END AS untouched FROM lead GROUP BY jet_id",
+    ("lead",),
+)
+def augment_drop_soft(spark, d):
+    """What is left was there before, something is always left, and small jets are not touched."""
+    df = augmented(spark, d, ("drop_soft", {"min_number": 3, "skew": 1.0, "center": 0.6}))
+    left = F.size("new")
+    return df.select(
+        "jet_id",
+        (F.size(F.array_except("new", "old")) == 0).alias("subset"),
+        (left > 0).alias("some_left"),
+        F.when(F.size("old") < 3, left).alias("untouched"),
+    )
+
+
+@query(
+    "augment_soft_smear",
+    f"SELECT jet_id, {R('sum(pt)', 2)} AS pt, true AS inside, true AS centred FROM lead GROUP BY jet_id",
+    ("lead",),
+)
+def augment_soft_smear(spark, d):
+    """Directions move by about energy_scale / pt and stay in range; pt is not touched."""
+    df = augmented(spark, d, ("soft_smear", {"energy_scale": 100.0}))
+    moved = F.zip_with("jets_Constituent_eta", "old", lambda e, o: F.abs(e - o["eta"]) * o["pt"] / 100.0)
+    return df.select(
+        "jet_id",
+        r(total(F.col("jets_Constituent_pt")), 2).alias("pt"),
+        (F.forall("jets_Constituent_eta", lambda e: F.abs(e) <= 5.0) & F.forall("jets_Constituent_phi", lambda p: F.abs(p) <= 3.1415927)).alias("inside"),
+        F.forall(moved, lambda m: m < 8.0).alias("centred"),
+    )
+
+
+@query(
+    "augment_pt_smear",
+    "SELECT count(*) AS n, true AS positive, true AS mean_ok, true AS spread_ok FROM lead",
+    ("lead",),
+)
+def augment_pt_smear(spark, d):
+    """The relative change of pt has mean zero and the asked width."""
+    df = augmented(spark, d, ("pt_smear", {"std_pt_frac": 0.1}))
+    rows = df.select(F.explode(F.arrays_zip("jets_Constituent_pt", "old")).alias("x")).select(
+        F.col("x.jets_Constituent_pt").alias("pt"), (F.col("x.jets_Constituent_pt") / F.col("x.old")["pt"] - 1).alias("change")
+    )
+    return rows.agg(
+        F.count("*").alias("n"),
+        F.every(F.col("pt") > 0).alias("positive"),
+        (F.abs(F.avg("change")) < 0.6 / F.sqrt(F.count("*"))).alias("mean_ok"),
+        (F.abs(F.stddev_pop("change") / 0.1 - 1) < 5 / F.sqrt(F.count("*"))).alias("spread_ok"),
+    )
+
+
+@query("augment_chain", "SELECT count(*) AS n, true AS about_half_changed FROM (SELECT DISTINCT jet_id FROM lead)", ("lead",))
+def augment_chain(spark, d):
+    """A chain with a certain, a possible and an impossible step."""
+    steps = [("pt_smear", {"prob": 0.5}), ("drop_soft", {"prob": 0.0, "center": 0.0})]
+    df = augmented(spark, d, *steps)
+    changed = F.avg((F.col("new") != F.col("old")).cast("double"))
+    n = F.count("*")
+    return df.agg(n.alias("n"), (F.abs(changed - 0.5) < 2.5 / F.sqrt(n)).alias("about_half_changed"))
+
+
+# ----------------------------------------- averaged matrices, feature statistics
+
+
+@query(
+    "mean_pair_matrix",
+    f"""WITH pr AS (SELECT label, a.idx AS i, b.idx AS j, weight, CASE WHEN a.idx = b.idx THEN 0e0 ELSE least(a.pt, b.pt) / (a.pt + b.pt) END AS z,
+            CASE WHEN a.idx = b.idx THEN 0e0 ELSE {ln('sqrt((a.eta - b.eta)*(a.eta - b.eta) + (a.phi - b.phi)*(a.phi - b.phi))')} END AS delta
+            FROM lead a JOIN lead b USING (jet_id) JOIN jets USING (jet_id) WHERE label IS NOT NULL AND a.idx < 10 AND b.idx < 10)
+        SELECT label, i::INT AS i, j::INT AS j, {R('sum(z * weight) / sum(weight)', 5)} AS z, {R('sum(delta * weight) / sum(weight)', 4)} AS delta
+        FROM pr GROUP BY label, i, j""",
+    ("lead", "jets"),
+)
+def mean_pair_matrix(spark, d):
+    df = tables.jets_nested(spark, d).where("label is not null")
+    df = features.add_features(df, "int_const", max_constituents=10).select("label", "weight", F.col("features.edge").alias("edge"))
+    out = pairs.mean_pair_matrix(df, "edge", ["z", "delta"], "weight", ["label"])
+    return out.select("label", "i", "j", r("z", 5).alias("z"), r("delta", 4).alias("delta"))
+
+
+@query(
+    "mean_pair_matrix_range",
+    f"""WITH pr AS (SELECT label, a.idx AS i, b.idx AS j, weight, CASE WHEN a.idx = b.idx THEN 0e0 ELSE least(a.pt, b.pt) / (a.pt + b.pt) END AS z
+            FROM lead a JOIN lead b USING (jet_id) JOIN jets USING (jet_id) WHERE label IS NOT NULL AND a.idx < 10 AND b.idx < 10),
+        m AS (SELECT sum(z * weight) / sum(weight) AS z FROM pr GROUP BY label, i, j)
+        SELECT 'z' AS variable, {R('min(CASE WHEN z <> 0 THEN z END)', 5)} AS lo, {R('max(CASE WHEN z <> 0 THEN z END)', 5)} AS hi FROM m""",
+    ("lead", "jets"),
+)
+def mean_pair_matrix_range(spark, d):
+    df = tables.jets_nested(spark, d).where("label is not null")
+    df = features.add_features(df, "int_const", max_constituents=10).select("label", "weight", F.col("features.edge").alias("edge"))
+    means = pairs.mean_pair_matrix(df, "edge", ["z"], "weight", ["label"])
+    return pairs.nonzero_range(means, ["z"]).select("variable", r("lo", 5).alias("lo"), r("hi", 5).alias("hi"))
+
+
+@query(
+    "mean_nonzero_matrix",
+    f"""WITH pr AS (SELECT a.idx AS i, b.idx AS j, CASE WHEN a.idx = b.idx THEN 0e0 ELSE least(a.pt, b.pt) / (a.pt + b.pt) END AS z
+            FROM lead a JOIN lead b USING (jet_id) WHERE a.idx < 6 AND b.idx < 6)
+        SELECT i::INT AS i, j::INT AS j, {R('sum(z) / nullif(count(CASE WHEN z <> 0 THEN 1 END), 0)', 5)} AS mean_z FROM pr GROUP BY i, j""",
+    ("lead",),
+)
+def mean_nonzero_matrix(spark, d):
+    df = features.add_features(tables.jets_nested(spark, d), "int_const", max_constituents=6)
+    padded = nested.pad_records(df.select(F.col("features.edge").alias("edge")), 6, 0.0, edge="edge", mask=None)
+    out = pairs.mean_nonzero_matrix(padded, "edge", "z")
+    return out.select("i", "j", r("mean_z", 5).alias("mean_z")).where("i < 13 and j < 13")
+
+
+NODE_LONG = f"""n AS ({BASE}), v AS (SELECT 'log_pT' AS feature, {ln('pt')} AS x FROM lead UNION ALL SELECT 'deltaEta', eta - jets_eta FROM lead JOIN jets USING (jet_id)
+    UNION ALL SELECT 'm', {ln('m')} FROM lead)"""
+
+
+@query(
+    "feature_moments",
+    f"WITH {NODE_LONG} SELECT feature, {R('avg(x)', 5)} AS mean, {R('var_pop(x)', 4)} AS variance FROM v GROUP BY feature",
+    ("lead", "jets"),
+)
+def feature_moments(spark, d):
+    df = features.add_features(tables.jets_nested(spark, d), "const").select(F.col("features.node").alias("node"))
+    out = rank.feature_moments(df, "node").where(F.col("feature").isin("log_pT", "deltaEta", "m"))
+    return out.select("feature", r("mean", 5).alias("mean"), r("variance", 4).alias("variance"))
+
+
+@query(
+    "feature_ranges",
+    f"WITH {NODE_LONG} SELECT feature, {R('min(x)', 5)} AS lo, {R('max(x)', 5)} AS hi FROM v GROUP BY feature",
+    ("lead", "jets"),
+)
+def feature_ranges(spark, d):
+    df = features.add_features(tables.jets_nested(spark, d), "const").select(F.col("features.node").alias("node"))
+    out = rank.feature_ranges(df, "node").where(F.col("feature").isin("log_pT", "deltaEta", "m"))
+    return out.select("feature", r("lo", 5).alias("lo"), r("hi", 5).alias("hi"))
+
+
+@query(
+    "min_max_scaled_features",
+    f"""WITH t AS (SELECT min(jets_pt) AS lo, max(jets_pt) AS hi, min(jets_eta) AS elo, max(jets_eta) AS ehi FROM jets)
+        SELECT jet_id, {R('(jets_pt - lo) / (hi - lo)')} AS pt, {R('(jets_eta - elo) / (ehi - elo)')} AS eta FROM jets, t""",
+)
+def min_max_scaled_features(spark, d):
+    df = jets(spark, d).select("jet_id", F.struct("jets_pt", "jets_eta").alias("f"))
+    out = rank.min_max_scale(df, "f", rank.feature_ranges(df, "f"), "s")
+    return out.select("jet_id", r("s.jets_pt").alias("pt"), r("s.jets_eta").alias("eta"))
+
+
+@query(
+    "standardised_features",
+    f"""WITH t AS (SELECT avg(jets_pt) AS m, stddev_pop(jets_pt) AS s FROM jets)
+        SELECT jet_id, {R('(jets_pt - m) / s')} AS pt FROM jets, t""",
+)
+def standardised_features(spark, d):
+    df = jets(spark, d).select("jet_id", F.struct("jets_pt").alias("f"))
+    out = rank.standard_scale(df, "f", rank.feature_moments(df, "f"), "s")
+    return out.select("jet_id", r("s.jets_pt").alias("pt"))
+
+
+CORR = ["jets_pt", "jets_eta", "score", "weight"]
+
+
+@query(
+    "correlation_matrix",
+    " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {R(f'corr({a}, {b})', 5)} AS corr FROM jets" for a in CORR for b in CORR),
+)
+def correlation_matrix(spark, d):
+    return rank.correlation_matrix(jets(spark, d), CORR).select("a", "b", r("corr", 5).alias("corr"))
+
+
+def _anova_sql(c: str) -> str:
+    return f"""SELECT '{c}' AS variable, ((SELECT sum(n * (m - g) * (m - g)) FROM (SELECT count(*) AS n, avg({c}) AS m,
+            (SELECT avg({c}) FROM k) AS g FROM k GROUP BY label)) / (count(DISTINCT label) - 1)) /
+            ((SELECT sum(v) FROM (SELECT var_pop({c}) * count(*) AS v FROM k GROUP BY label)) / (count(*) - count(DISTINCT label))) AS score FROM k"""
+
+
+@query(
+    "anova_feature_ranking",
+    "WITH k AS (SELECT * FROM jets WHERE label IS NOT NULL), s AS ("
+    + " UNION ALL ".join(_anova_sql(c) for c in ("score", "weight", "jets_pt"))
+    + f") SELECT variable, {R('score', 4)} AS score FROM s ORDER BY s.score DESC LIMIT 2",
+)
+def anova_feature_ranking(spark, d):
+    scores = rank.anova_f(jets(spark, d), ["score", "weight", "jets_pt"], "label")
+    return rank.best_features(scores, 2).select("variable", r("score", 4).alias("score"))
+
+
+def _mi_sql(b) -> str:
+    return f"""SELECT '{b.variable}' AS variable, {R('sum(n / a * ln(n * a / (nx * ny)))', 6)} AS score FROM (SELECT n::DOUBLE AS n,
+        sum(n) OVER () ::DOUBLE AS a, sum(n) OVER (PARTITION BY bin)::DOUBLE AS nx, sum(n) OVER (PARTITION BY label)::DOUBLE AS ny FROM
+        (SELECT {case_bins(b.variable, b.edges)} AS bin, label, count(*) AS n FROM jets WHERE label IS NOT NULL GROUP BY 1, 2))"""
+
+
+@query("mutual_information_ranking", " UNION ALL ".join(_mi_sql(b) for b in (PT, ETA)))
+def mutual_information_ranking(spark, d):
+    out = rank.mutual_information(jets(spark, d), [PT, ETA], "label")
+    return out.select("variable", r("score", 6).alias("score"))
+
+
+@query(
+    "noise_importance",
+    f"""WITH k AS (SELECT avg(((score > 0.5e0)::INT = label)::INT) AS a FROM jets WHERE label IS NOT NULL)
+        SELECT variable, {R('a')} AS accuracy, used FROM k, (VALUES ('score', true), ('jets_eta', false)) v(variable, used)""",
+)
+def noise_importance(spark, d):
+    """Noise hurts the feature the scorer uses and only that one."""
+    out = rank.noise_importance(jets(spark, d), ["score", "jets_eta"], lambda c: c["score"] + 0.0 * c["jets_eta"], "label", "jet_id")
+    return out.select("variable", r("accuracy").alias("accuracy"), (F.col("importance") > 0.01).alias("used"))
+
+
+# --------------------------------------------------------------------- scoring
+
+
+@query("score_in_batches", f"SELECT jet_id, {R('1e0 / (1e0 + exp(-(jets_pt / 250000e0 - 1e0)))')} AS score FROM jets")
+def score_in_batches(spark, d):
+    def scorer(batch):
+        import numpy as np
+
+        return 1.0 / (1.0 + np.exp(-(batch["jets_pt"] / 250000.0 - 1.0)))
+
+    df = jets(spark, d).select("jet_id", "jets_pt")
+    return scoring.score_in_batches(df, scorer).select("jet_id", r("score").alias("score"))
+
+
+@query("score_many_models", f"SELECT jet_id, {R('jets_pt / 500000e0', 9)} AS fc_score, {R('abs(jets_eta) / 5e0')} AS bdt_score FROM jets")
+def score_many_models(spark, d):
+    models = {"fc": lambda df: df.jets_pt / 500000.0, "bdt": lambda df: F.abs(df.jets_eta) / 5.0}
+    out = scoring.score_models(jets(spark, d), models)
+    return out.select("jet_id", r("fc_score", 9).alias("fc_score"), r("bdt_score").alias("bdt_score"))
+
+
+@query("cached_scores", f"SELECT jet_id, {R('score')} AS score FROM jets")
+def cached_scores(spark, d):
+    from sparkjets.sources import io
+
+    df = jets(spark, d).select("jet_id", "score")
+    folder = io.shared_folder(spark)
+    scoring.cached_scores(df, lambda x: x, folder, "model-a")
+    again = scoring.cached_scores(df, lambda x: x.where("false"), folder, "model-a")  # read back, not computed
+    return again.select("jet_id", r("score").alias("score"))
+
+
+def trainable(spark, d):
+    df = jets(spark, d).where("label is not null")
+    return df.select("jet_id", "jets_pt", "jets_eta", "score", "weight", F.col("label").cast("double").alias("label"))
+
+
+@query("boosted_trees_auc")
+def boosted_trees_auc(spark, d):
+    df = trainable(spark, d)
+    columns = ["jets_pt", "jets_eta", "score"]
+    model = scoring.train_boosted_trees(df, columns, "label", trees=5, depth=3)
+    scored = scoring.apply_model(model, df, columns, "bdt").withColumn("label", F.col("label").cast("int"))
+    return metrics.all_metrics(scored, "bdt", "label", "weight").select("auc", "binary_accuracy", "num_events")
+
+
+@query("dense_classifier_auc")
+def dense_classifier_auc(spark, d):
+    df = trainable(spark, d)
+    model = scoring.train_dense(df, ["jets_pt", "jets_eta", "score"], "label", hidden=(8,), epochs=20)
+    scored = scoring.apply_model(model, df, [], "fc").withColumn("label", F.col("label").cast("int"))
+    return metrics.all_metrics(scored, "fc", "label", "weight").select("auc", "binary_accuracy", "num_events")

@@ -1,0 +1,250 @@
+"""Order, splits, batches, resampling, unions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkjets.catalog.aggregations import CLASS_BIN, PT, PT_BIN, pt_bin
+from sparkjets.catalog.base import R, case_bins, query, r
+from sparkjets.functions.binning import Binning
+from sparkjets.operators import combine, resample, split
+from sparkjets.sources import io, tables
+
+jets = tables.jets
+
+
+@query(
+    "min_count_resampling",
+    f"""WITH b AS (SELECT jet_id, {PT_BIN} AS bin FROM jets), n AS (SELECT bin, row_number() OVER (PARTITION BY bin ORDER BY jet_id)
+            AS nth, jet_id FROM b), c AS (SELECT count(*) AS c FROM b GROUP BY bin)
+        SELECT jet_id, bin FROM n WHERE nth < (SELECT min(c) FROM c)""",
+)
+def min_count_resampling(spark, d):
+    binned = jets(spark, d).withColumn("bin", pt_bin())
+    return resample.keep_min_count(binned, "bin", PT.n_bins, "jet_id").select("jet_id", "bin")
+
+
+@query(
+    "min_count_resampling_by_class",
+    f"""WITH b AS (SELECT jet_id, {CLASS_BIN} AS bin FROM jets WHERE parton <> -1), n AS (SELECT bin, jet_id,
+            row_number() OVER (PARTITION BY bin ORDER BY jet_id) AS nth FROM b), c AS (SELECT count(*) AS c FROM b GROUP BY bin)
+        SELECT jet_id FROM n WHERE nth < (SELECT min(c) FROM c)""",
+)
+def min_count_resampling_by_class(spark, d):
+    known = jets(spark, d).where("parton <> -1")
+    return resample.resample_variable_by_class(known, PT, "parton", "jet_id", from_min_count=True).select("jet_id")
+
+
+@query("take_first_rows", "SELECT jet_id, jets_pt FROM jets ORDER BY jets_pt DESC, jet_id LIMIT 500")
+def take_first_rows(spark, d):
+    df = jets(spark, d).withColumn("minus", -F.col("jets_pt"))
+    return split.take_first(df, 500, ["minus", "jet_id"]).select("jet_id", "jets_pt")
+
+
+@query(
+    "contiguous_split",
+    """WITH n AS (SELECT jet_id, row_number() OVER (ORDER BY jet_id) AS nth, count(*) OVER () AS c FROM jets)
+        SELECT jet_id, CASE WHEN nth <= floor(c * 0.8e0) THEN 'train' WHEN nth <= floor(c * 0.8e0) + floor(c * 0.15e0) THEN 'dev'
+            ELSE 'test' END AS split FROM n""",
+)
+def contiguous_split(spark, d):
+    parts = {"train": 0.8, "dev": 0.15, "test": 0.05}
+    return split.split_contiguous(jets(spark, d), parts, "jet_id").select("jet_id", "split")
+
+
+@query(
+    "random_split",
+    "SELECT count(*) AS n, count(DISTINCT jet_id) AS distinct_n, 3::BIGINT AS parts, true AS shares_ok FROM jets",
+)
+def random_split(spark, d):
+    """Parts are disjoint and complete, and their shares are near the fractions (five standard deviations)."""
+    parts = {"train": 0.7, "dev": 0.2, "test": 0.1}
+    tagged = split.split_random(jets(spark, d), parts, "jet_id")
+    counts = tagged.groupBy("split").agg(F.count("*").alias("c"), F.countDistinct("jet_id").alias("u"))
+    want = F.when(F.col("split") == "train", 0.7).when(F.col("split") == "dev", 0.2).otherwise(0.1)
+    total = counts.agg(F.sum("c")).scalar()
+    off = F.abs(F.col("c") / total - want) < 5 * F.sqrt(want * (1 - want) / total)
+    return counts.agg(
+        F.sum("c").alias("n"), F.sum("u").alias("distinct_n"), F.count("*").alias("parts"), F.every(off).alias("shares_ok")
+    )
+
+
+@query("shuffled_rows", "SELECT jet_id, parton FROM jets")
+def shuffled_rows(spark, d):
+    return split.shuffle(jets(spark, d), "jet_id").select("jet_id", "parton")
+
+
+@query("reshuffled_files", f"SELECT count(*) AS n, {R('sum(jets_pt)', 1)} AS pt FROM jets")
+def reshuffled_files(spark, d):
+    path = io.shared_folder(spark)
+    io.save(split.shuffle(jets(spark, d), "jet_id"), path, num_shards=8, key="jet_id")
+    return io.load(spark, path).agg(F.count("*").alias("n"), r(F.sum("jets_pt"), 1).alias("pt"))
+
+
+@query(
+    "sorted_by_metric",
+    f"""WITH s AS (SELECT slice, avg(score) AS m FROM jets GROUP BY slice)
+        SELECT slice, {R('m')} AS metric FROM s ORDER BY m DESC""",
+)
+def sorted_by_metric(spark, d):
+    means = jets(spark, d).groupBy("slice").agg(F.avg("score").alias("m"))
+    return means.orderBy(F.col("m").desc()).select("slice", r("m").alias("metric"))
+
+
+@query(
+    "fixed_size_batches",
+    f"""WITH n AS (SELECT *, (row_number() OVER (ORDER BY jet_id) - 1) // 512 AS batch FROM jets)
+        SELECT batch, count(*)::INT AS size, {R('sum(jets_pt)', 2)} AS pt, min(jet_id) AS first_id FROM n GROUP BY batch""",
+)
+def fixed_size_batches(spark, d):
+    out = split.batches(jets(spark, d), 512, "jet_id", ["jet_id", "jets_pt"])
+    total = F.aggregate("jets_pt", F.lit(0.0), lambda a, x: a + x)
+    return out.select("batch", "size", r(total, 2).alias("pt"), F.get("jet_id", F.lit(0)).alias("first_id"))
+
+
+@query("shuffled_batches", "SELECT count(*) AS batches, sum(n)::BIGINT AS rows, sum(ids)::BIGINT AS ids FROM (SELECT count(*) AS n, "
+       "sum(jet_id) AS ids FROM (SELECT jet_id, (row_number() OVER (ORDER BY jet_id) - 1) // 256 AS b FROM jets) GROUP BY b)")
+def shuffled_batches(spark, d):
+    """Every row lands in exactly one batch, whatever the order."""
+    out = split.batches(jets(spark, d), 256, "jet_id", ["jet_id"], shuffle_seed=7)
+    ids = F.aggregate("jet_id", F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.agg(F.count("*").alias("batches"), F.sum("size").alias("rows"), F.sum(ids).alias("ids"))
+
+
+@query("rejection_resampling_flat", f"SELECT {PT_BIN} AS bin, true AS flat FROM jets GROUP BY 1")
+def rejection_resampling_flat(spark, d):
+    """After rejection every bin holds about as many rows as the smallest bin."""
+    binned = jets(spark, d).withColumn("bin", pt_bin())
+    kept = resample.rejection_resample(binned, "bin", PT.n_bins, "jet_id").groupBy("bin").agg(F.count("*").alias("n"))
+    smallest = binned.groupBy("bin").count().agg(F.min("count")).scalar()
+    return kept.select("bin", (F.abs(F.col("n") / smallest - 1) < 5 / F.sqrt(smallest)).alias("flat"))
+
+
+@query(
+    "rejection_resampling_target",
+    f"SELECT count(DISTINCT {PT_BIN}) AS bins, true AS close FROM jets",
+)
+def rejection_resampling_target(spark, d):
+    """The accepted rows follow the target distribution."""
+    target = [0.25, 0.2, 0.15, 0.1, 0.1, 0.1, 0.1]
+    binned = jets(spark, d).withColumn("bin", pt_bin())
+    kept = resample.rejection_resample(binned, "bin", PT.n_bins, "jet_id", target).groupBy("bin").agg(F.count("*").alias("n"))
+    total = kept.agg(F.sum("n")).scalar()
+    wanted = F.get(F.array(*[F.lit(t) for t in target]), F.col("bin"))
+    close = F.abs(F.col("n") / total - wanted) < 5 * F.sqrt(wanted / total)
+    return kept.agg(F.count("*").alias("bins"), F.every(close).alias("close"))
+
+
+HALVES = Binning("jets_pt", [1000.005, 250000.005, 500000.005])
+SIDES = Binning("jets_eta", [-4.505, -0.005, 4.505])
+CELL = f"({case_bins('jets_pt', HALVES.edges)} * 2 + {case_bins('jets_eta', SIDES.edges)})"
+
+
+def _weights_sql(index: str) -> str:
+    return f"""WITH b AS (SELECT jet_id, {index} AS bin FROM jets), c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin),
+        w AS (SELECT bin, (1e0 / n) / (SELECT sum(1e0 / n) FROM c) AS w FROM c)
+        SELECT jet_id, {R('w', 9)} AS flat FROM b JOIN w USING (bin)"""
+
+
+@query("flat_weights_one_variable", _weights_sql(PT_BIN))
+def flat_weights_one_variable(spark, d):
+    return resample.resample_variable(jets(spark, d), PT, "jet_id", weight="flat").select("jet_id", r("flat", 9).alias("flat"))
+
+
+@query("flat_weights_two_variables", _weights_sql(CELL))
+def flat_weights_two_variables(spark, d):
+    out = resample.resample_two_variables(jets(spark, d), HALVES, SIDES, "jet_id", weight="flat")
+    return out.select("jet_id", r("flat", 9).alias("flat"))
+
+
+@query(
+    "flat_weights_two_variables_by_class",
+    _weights_sql(f"(CASE WHEN parton BETWEEN 1 AND 6 THEN {CELL} WHEN parton = 21 THEN {CELL} + 4 ELSE 0 END)"),
+)
+def flat_weights_two_variables_by_class(spark, d):
+    out = resample.resample_two_variables_by_class(jets(spark, d), HALVES, SIDES, "parton", "jet_id", weight="flat")
+    return out.select("jet_id", r("flat", 9).alias("flat"))
+
+
+@query("flat_weights_labels", _weights_sql("(parton BETWEEN 1 AND 6)::INT"))
+def flat_weights_labels(spark, d):
+    out = resample.resample_labels(jets(spark, d), "parton", "jet_id", weight="flat")
+    return out.select("jet_id", r("flat", 9).alias("flat"))
+
+
+@query(
+    "balanced_classes",
+    """WITH c AS (SELECT label, count(*) AS n FROM jets WHERE label IS NOT NULL GROUP BY label)
+        SELECT label, (SELECT min(n) FROM c) AS n, (SELECT min(n) FROM c) AS distinct_n FROM c""",
+)
+def balanced_classes(spark, d):
+    out = resample.balanced_classes(jets(spark, d), "label", [0, 1], "jet_id")
+    return out.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("jet_id").alias("distinct_n"))
+
+
+# ---------------------------------------------------------------------- unions
+
+
+def accounts(spark, d):
+    """Customers and suppliers as two datasets with some common columns."""
+    customer = tables.table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("nation"), "c_mktsegment"
+    )
+    supplier = tables.table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"), F.col("s_nationkey").alias("nation"), "s_name"
+    )
+    return customer, supplier
+
+
+ACCOUNTS = """SELECT c_custkey AS id, c_acctbal AS balance, c_nationkey AS nation FROM customer
+    UNION ALL SELECT s_suppkey, s_acctbal, s_nationkey FROM supplier"""
+
+
+@query("union_common_columns", ACCOUNTS, ())
+def union_common_columns(spark, d):
+    return combine.concatenate(accounts(spark, d), only_common=True)
+
+
+@query(
+    "concatenate_datasets",
+    "SELECT jet_id, generator FROM jets WHERE generator = 'F' UNION ALL SELECT jet_id, generator FROM jets WHERE generator = 'O'",
+)
+def concatenate_datasets(spark, d):
+    df = jets(spark, d).select("jet_id", "generator")
+    return combine.concatenate([df.where("generator = 'F'"), df.where("generator = 'O'")])
+
+
+@query("interleave_datasets", "SELECT jet_id, slice FROM jets WHERE slice IN (1, 3)")
+def interleave_datasets(spark, d):
+    from sparkjets import JetDataset
+
+    df = jets(spark, d).select("jet_id", "slice")
+    parts = [JetDataset.from_dataframe(df.where(F.col("slice") == s)) for s in (1, 3)]
+    return JetDataset.combine(parts, mode="interleave").df
+
+
+@query(
+    "weighted_sample_mix",
+    """WITH c AS (SELECT generator, count(*) AS n FROM jets GROUP BY generator),
+        w AS (SELECT * FROM (VALUES ('F', 0.5e0), ('O', 0.3e0), ('P', 0.2e0)) v(generator, w)),
+        q AS (SELECT min(n / w) AS room FROM c JOIN w USING (generator))
+        SELECT generator, floor(w * room + 1e-9)::BIGINT AS n, floor(w * room + 1e-9)::BIGINT AS distinct_n FROM w, q""",
+)
+def weighted_sample_mix(spark, d):
+    df = jets(spark, d).select("jet_id", "generator")
+    parts = [df.where(F.col("generator") == g) for g in "FOP"]
+    mix = combine.sample_mix(parts, "jet_id", [0.5, 0.3, 0.2])
+    return mix.groupBy("generator").agg(F.count("*").alias("n"), F.countDistinct("jet_id").alias("distinct_n"))
+
+
+@query("schema_equality", "SELECT true AS same, false AS different, count(*) AS n FROM (" + ACCOUNTS + ")", ())
+def schema_equality(spark, d):
+    customer, supplier = accounts(spark, d)
+    shared = ["id", "balance", "nation"]
+    pair = [customer.select(*shared), supplier.select(*reversed(shared))]
+    union = combine.concatenate(pair)
+    return union.agg(
+        F.lit(combine.same_schema(pair)).alias("same"),
+        F.lit(combine.same_schema([customer, supplier])).alias("different"),
+        F.count("*").alias("n"),
+    )

@@ -1,0 +1,249 @@
+"""Readers, writers and the streaming ingest: what is written comes back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sparkjets import JetDataset
+from sparkjets.catalog.base import R, query, r
+from sparkjets.functions.arrays import one_hot
+from sparkjets.operators import combine, nested, select, split
+from sparkjets.operators.nested import nest
+from sparkjets.sources import io, tables
+from sparkjets.streaming import ingest as stream
+
+jets = tables.jets
+
+
+@query("save_and_load_dataset", f"SELECT jet_id, {R('jets_pt')} AS jets_pt, label, 15::DOUBLE AS lumi FROM jets")
+def save_and_load_dataset(spark, d):
+    path = io.shared_folder(spark)
+    JetDataset(jets(spark, d), {"lumi": 15.0}).save(path, num_shards=4, key="jet_id")
+    back = JetDataset.load(spark, path)
+    return back.df.select("jet_id", r("jets_pt").alias("jets_pt"), "label", F.lit(back.metadata["lumi"]).alias("lumi"))
+
+
+@query("shuffled_reading", "SELECT o_orderkey, o_orderstatus FROM orders", ())
+def shuffled_reading(spark, d):
+    df = io.load(spark, f"{d}/orders.parquet", shuffle_reading=True, key="o_orderkey")
+    return df.select("o_orderkey", "o_orderstatus")
+
+
+@query(
+    "load_multiple_with_labels",
+    """SELECT c_custkey AS id, c_acctbal AS balance, 'customer' AS file_label FROM customer WHERE c_acctbal > 0
+        UNION ALL SELECT s_suppkey, s_acctbal, 'supplier' FROM supplier WHERE s_acctbal > 0""",
+    (),
+)
+def load_multiple_with_labels(spark, d):
+    def common(df, label):
+        p = label[0]
+        key = {"customer": "c_custkey", "supplier": "s_suppkey"}[label]
+        return df.select(F.col(key).alias("id"), F.col(f"{p}_acctbal").alias("balance"))
+
+    names = ["customer", "supplier"]
+    return io.load_multiple(
+        spark, [f"{d}/{n}.parquet" for n in names], names, common, lambda df, _: df.where("balance > 0"), only_common=True
+    )
+
+
+@query(
+    "load_parallel_take_per_file",
+    """SELECT jet_id, generator AS file_label FROM (SELECT jet_id, generator, row_number() OVER (PARTITION BY generator
+        ORDER BY jet_id) AS nth FROM jets) WHERE nth <= 1000""",
+)
+def load_parallel_take_per_file(spark, d):
+    path = io.shared_folder(spark)
+    io.save_split(jets(spark, d).select("jet_id", "generator"), path, "generator")
+    folders = [f"{path}/generator={g}" for g in "FOP"]
+    return io.load_parallel(spark, folders, take=1000, order="jet_id", labels=list("FOP")).select("jet_id", "file_label")
+
+
+@query("wrap_dataframe", "SELECT label, count(*) AS n FROM jets WHERE jets_pt > 50000e0 GROUP BY label")
+def wrap_dataframe(spark, d):
+    return JetDataset.from_dataframe(jets(spark, d)).filter("jets_pt > 50_000").df.groupBy("label").agg(
+        F.count("*").alias("n")
+    )
+
+
+@query(
+    "ingest_nested_schema",
+    f"SELECT jet_id::INT AS jet_id, count(*)::INT AS n, 2::INT AS arrays, {R('max(pt)::FLOAT::DOUBLE', 2)} AS lead FROM lead GROUP BY jet_id",
+    ("lead",),
+)
+def ingest_nested_schema(spark, d):
+    """Arrays that are empty everywhere go; doubles and longs are narrowed."""
+    df = tables.nested_constituents(spark, d).select("jet_id", "jets_Constituent_pt", "jets_Constituent_m")
+    df = df.withColumn("jets_empty", F.array().cast("array<double>"))
+    clean = io.normalise_schema(df, downcast=True)
+    arrays = sum(kind.startswith("array<float>") for _, kind in clean.dtypes)
+    return clean.select(
+        "jet_id",
+        F.size("jets_Constituent_pt").alias("n"),
+        F.lit(arrays).alias("arrays"),
+        r(F.get("jets_Constituent_pt", F.lit(0)).cast("double"), 2).alias("lead"),
+    )
+
+
+@query(
+    "long_to_nested",
+    f"""SELECT jet_id, count(*)::INT AS n, {R('sum((idx + 1) * pt)', 2)} AS ordered_sum, {R('min(pt)')} AS last_pt
+        FROM lead GROUP BY jet_id""",
+    ("lead",),
+)
+def long_to_nested(spark, d):
+    df = tables.nested_constituents(spark, d)
+    pt = F.col("jets_Constituent_pt")
+    ordered = F.aggregate(F.transform(pt, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return df.select(
+        "jet_id", F.size(pt).alias("n"), r(ordered, 2).alias("ordered_sum"), r(F.try_element_at(pt, F.lit(-1))).alias("last_pt")
+    )
+
+
+@query(
+    "stream_ingest",
+    "SELECT event_id, user_id::INT AS user_id, value::FLOAT AS value, event_type FROM events",
+    (),
+)
+def stream_ingest(spark, d):
+    base = io.shared_folder(spark)
+    out = stream.ingest(
+        spark, d, f"{base}/out", f"{base}/checkpoint",
+        schema=tables.table(spark, d, "events").schema,
+        to_int=["user_id"], to_float=["value"], pattern="events.parquet",
+    )
+    return out.select("event_id", "user_id", "value", "event_type")
+
+
+@query("materialise_and_count", "SELECT count(*) AS n FROM jets")
+def materialise_and_count(spark, d):
+    df = io.materialise(jets(spark, d), io.shared_folder(spark))
+    expected = tables.table(spark, d, "orders").count()
+    return split.has_rows(df, expected)
+
+
+@query(
+    "valid_slots_zipped",
+    f"""SELECT jet_id, {R('jets_pt')} AS jets_pt, count(CASE WHEN l_returnflag = 'R' THEN 1 END)::INT AS n_valid,
+        {R("coalesce(sum(CASE WHEN l_returnflag = 'R' THEN pt END), 0e0)", 2)} AS pt_valid
+        FROM lead JOIN jets USING (jet_id) GROUP BY jet_id, jets_pt""",
+    ("lead", "jets"),
+)
+def valid_slots_zipped(spark, d):
+    """A table of masked slots, reduced to its valid entries and zipped with the scalar table on the row id."""
+    rows = tables.constituents(spark, d).withColumn("valid", F.col("l_returnflag") == "R")
+    order = [F.col("pt").desc(), *[F.col(c) for c in tables.CONSTITUENT_ORDER[1:]]]
+    slots = nest(rows, ["jet_id"], order, {"pt": "pt", "valid": "valid"}, tables.MAX_CONSTITUENTS)
+    kept = io.valid_slots(slots.select("jet_id", F.arrays_zip("pt", "valid").alias("slots")), "slots")
+    total = F.aggregate("slots", F.lit(0.0), lambda a, x: a + x["pt"])
+    both = combine.zip_rows(jets(spark, d).select("jet_id", "jets_pt"), kept, "jet_id")
+    return both.select("jet_id", r("jets_pt").alias("jets_pt"), F.size("slots").alias("n_valid"), r(total, 2).alias("pt_valid"))
+
+
+@query(
+    "csv_round_trip_with_fill",
+    f"SELECT jet_id, coalesce(label, -1)::INT AS label, {R('score')} AS score FROM jets",
+)
+def csv_round_trip_with_fill(spark, d):
+    path = io.shared_folder(spark)
+    io.save_csv(jets(spark, d).select("jet_id", "label", "score"), path, missing=-1)
+    return io.read_csv(spark, path, "jet_id long, label int, score double").select("jet_id", "label", r("score").alias("score"))
+
+
+@query(
+    "csv_tagged_by_path",
+    f"SELECT generator AS dir, slice::VARCHAR AS model, count(*) AS n, {R('sum(score)', 4)} AS score FROM jets GROUP BY 1, 2",
+)
+def csv_tagged_by_path(spark, d):
+    path = io.shared_folder(spark)
+    named = jets(spark, d).select("jet_id", "score", F.col("generator").alias("dir"), F.col("slice").alias("model"))
+    named.write.option("header", True).partitionBy("dir", "model").csv(path)
+    out = io.read_tagged_csv(
+        spark, f"{path}/*/*/*.csv", r"dir=(\w+)/model=(\w+)/", ["dir", "model"], "jet_id long, score double"
+    )
+    return out.groupBy("dir", "model").agg(F.count("*").alias("n"), r(F.sum("score"), 4).alias("score"))
+
+
+@query("save_in_shards", "SELECT count(*) AS n, 8::BIGINT AS shards FROM jets")
+def save_in_shards(spark, d):
+    path = io.shared_folder(spark)
+    io.save(jets(spark, d), path, num_shards=8, key="jet_id")
+    rows = spark.read.parquet(path).select(F.input_file_name().alias("file"))
+    return rows.agg(F.count("*").alias("n"), F.countDistinct("file").alias("shards"))
+
+
+@query(
+    "export_flat_table",
+    f'SELECT {R("jets_pt")} AS jets_pt, slice, (slice - 1)::INT AS label, 1e0 AS weight FROM jets',
+)
+def export_flat_table(spark, d):
+    """A feature struct and a one-hot label become flat columns, an index and the default weight."""
+    df = jets(spark, d).select(F.struct("jets_pt", "slice").alias("features"), one_hot(F.col("slice") - 1, 5).alias("label"))
+    return select.to_table(df).withColumn("jets_pt", r("jets_pt"))
+
+
+@query("binned_values_stored", "SELECT slice AS bin, count(*) AS n FROM jets GROUP BY slice")
+def binned_values_stored(spark, d):
+    path = io.shared_folder(spark)
+    io.save_binned(jets(spark, d).groupBy(F.col("slice").alias("bin")).agg(F.count("*").alias("n")), path)
+    return spark.read.parquet(path)
+
+
+@query("selected_files", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1", ())
+def selected_files(spark, d):
+    """Files by listing: none over a terabyte, all within the total budget, unreadable ones skipped."""
+    paths = io.select_files(spark, d, "orders.parquet", max_file_bytes=1 << 40, max_total_bytes=1 << 50)
+    return io.read_selected(spark, paths).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "split_folders",
+    """WITH n AS (SELECT jet_id, row_number() OVER (ORDER BY jet_id) AS nth, count(*) OVER () AS c FROM jets)
+        SELECT jet_id FROM n WHERE nth > floor(c * 0.8e0) AND nth <= floor(c * 0.8e0) + floor(c * 0.1e0)""",
+)
+def split_folders(spark, d):
+    path = io.shared_folder(spark)
+    parts = {"train": 0.8, "dev": 0.1, "test": 0.1}
+    io.save_split(split.split_contiguous(jets(spark, d), parts, "jet_id"), path)
+    return spark.read.parquet(path).where("split = 'dev'").select("jet_id")
+
+
+@query(
+    "union_of_files_by_pattern",
+    f"SELECT generator, count(*) AS n, {R('sum(jets_pt)', 1)} AS pt FROM jets GROUP BY generator",
+)
+def union_of_files_by_pattern(spark, d):
+    path = io.shared_folder(spark)
+    for g in "FOP":
+        io.save(jets(spark, d).where(F.col("generator") == g), f"{path}/jets_{g}")
+    return (
+        io.load(spark, f"{path}/jets_*").groupBy("generator").agg(F.count("*").alias("n"), r(F.sum("jets_pt"), 1).alias("pt"))
+    )
+
+
+@query("cached_rows", "SELECT jet_id, slice FROM jets")
+def cached_rows(spark, d):
+    return io.materialise(jets(spark, d).select("jet_id", "slice"), io.shared_folder(spark))
+
+
+@query(
+    "zip_by_row_id",
+    f"SELECT jet_id, {R('jets_pt')} AS jets_pt, n FROM jets JOIN (SELECT jet_id, count(*) AS n FROM cons GROUP BY 1) USING (jet_id)",
+    ("jets", "cons"),
+)
+def zip_by_row_id(spark, d):
+    counts = tables.constituents(spark, d).groupBy("jet_id").agg(F.count("*").alias("n"))
+    both = combine.zip_rows(jets(spark, d).select("jet_id", "jets_pt"), counts, "jet_id")
+    return both.select("jet_id", r("jets_pt").alias("jets_pt"), "n")
+
+
+@query(
+    "flatten_and_save_shards",
+    "SELECT event_id, count(*) AS n FROM ejets WHERE parton <> -1 GROUP BY event_id",
+    ("ejets",),
+)
+def flatten_and_save_shards(spark, d):
+    path = io.shared_folder(spark)
+    flat = nested.flatten_events(tables.events_nested(spark, d), "jets_parton", [1, 2, 3, 4, 5, 6, 21])
+    io.save(flat, path, num_shards=4, key="jets_id")
+    return io.load(spark, path).groupBy("event_id").agg(F.count("*").alias("n"))
