@@ -8,7 +8,7 @@ from sparkjets.catalog.aggregations import ETA, PT
 from sparkjets.catalog.arrays import two_collections
 from sparkjets.catalog.base import R, case_bins, query, r
 from sparkjets.functions import features, vectors
-from sparkjets.functions.arrays import total
+from sparkjets.functions.arrays import explode_items, total
 from sparkjets.functions.augment import augment
 from sparkjets.functions.constituents import merged
 from sparkjets.operators import metrics, nested, pairs, rank, scoring
@@ -28,7 +28,7 @@ def ln(x: str) -> str:
 def node_rows(df, set_name: str, names: list[str], digits: int = 6, field: str = "node", **options):
     """Per-constituent features as rows; ``names`` become f0, f1, ..."""
     out = features.add_features(df, set_name, **options)
-    rows = out.select("jet_id", F.posexplode(F.col("features")[field]).alias("idx", "n"))
+    rows = explode_items(out, ["jet_id"], F.col("features")[field], "n", "idx")
     return rows.select("jet_id", "idx", *[r(F.col("n")[c], digits).alias(f"f{i}") for i, c in enumerate(names)])
 
 

@@ -22,6 +22,26 @@ def zip_columns(names: Mapping[str, str]) -> Column:
     return F.transform(zipped, lambda s: F.struct(*[s[c].alias(f) for f, c in names.items()]))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``.
+
+    Inside lambdas Spark has no common-subexpression elimination: a Python
+    variable that holds a Column is copied into every place it is used.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
+def explode_items(df: DataFrame, keep: Sequence, array, item: str = "_item", index: str = "_index") -> DataFrame:
+    """One row per element, with its position.
+
+    The outer form plus a filter on the position: for the inner form Spark may
+    infer a ``size(array) > 0`` filter and push it below the projection that
+    makes the array, which computes the array twice.
+    """
+    rows = df.select(*keep, F.posexplode_outer(array).alias(index, item))
+    return rows.where(F.col(index).isNotNull())
+
+
 def total(array: Column, value: Callable[[Column], Column] = lambda x: x) -> Column:
     """Sum of ``value(element)`` over an array."""
     return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + value(x))

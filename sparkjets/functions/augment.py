@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkjets.functions import vectors
-from sparkjets.functions.arrays import total, zip_columns
+from sparkjets.functions.arrays import let, zip_columns
 from sparkjets.functions.constituents import by_descending_pt, collection_columns
 from sparkjets.functions.numeric import clip, ratio
 from sparkjets.functions.random import normal, uniform, uniform_between
@@ -66,33 +66,53 @@ def rotation(df, key, const_name="Constituent", max_angle=1.0, seed=42, when=Non
     theta = uniform_between(0.0, max_angle * math.pi / 180.0, key, seed=seed)
 
     def change(c: Column) -> Column:
-        momenta = F.transform(
-            c, lambda x: x.withField("p", vectors.as_struct(vectors.cartesian(x["m"], x["pt"], x["eta"], x["phi"])))
-        )
-        sums = [total(momenta, lambda x, k=k: x["p"][k]) for k in ("px", "py", "pz")]
-        length = F.sqrt(sums[0] * sums[0] + sums[1] * sums[1] + sums[2] * sums[2])
-        frame = F.struct(
-            *[ratio(s, length).alias(n) for s, n in zip(sums, "xyz")],
-            F.cos(theta).alias("cos"),
-            F.sin(theta).alias("sin"),
-            momenta.alias("items"),
-        )
+        momenta = F.transform(c, lambda x: F.struct(x.alias("x"), vectors.cartesian_struct(x).alias("p")))
+        zero = F.struct(*[F.lit(0.0).alias(k) for k in ("px", "py", "pz")])
+
+        def turn(items: Column) -> Column:
+            sums = F.aggregate(
+                items, zero, lambda acc, i: F.struct(*[(acc[k] + i["p"][k]).alias(k) for k in ("px", "py", "pz")])
+            )
+            with_length = let(
+                sums,
+                lambda s: F.struct(
+                    s.alias("s"), F.sqrt(s["px"] * s["px"] + s["py"] * s["py"] + s["pz"] * s["pz"]).alias("length")
+                ),
+            )
+            axis = let(
+                with_length,
+                lambda w: F.struct(
+                    *[ratio(w["s"][f"p{n}"], w["length"]).alias(n) for n in "xyz"],
+                    F.cos(theta).alias("cos"),
+                    F.sin(theta).alias("sin"),
+                ),
+            )
+            return let(axis, lambda f: F.transform(items, lambda i: rotated(f, i)))
+
+        def rotated(f: Column, i: Column) -> Column:
+            p = i["p"]
+            along = (f["x"] * p["px"] + f["y"] * p["py"] + f["z"] * p["pz"]) * (F.lit(1.0) - f["cos"])
+            turned = {
+                "E": p["E"],
+                "px": f["cos"] * p["px"] + f["sin"] * (f["y"] * p["pz"] - f["z"] * p["py"]) + f["x"] * along,
+                "py": f["cos"] * p["py"] + f["sin"] * (f["z"] * p["px"] - f["x"] * p["pz"]) + f["y"] * along,
+                "pz": f["cos"] * p["pz"] + f["sin"] * (f["x"] * p["py"] - f["y"] * p["px"]) + f["z"] * along,
+            }
+            return _moved(i["x"], vectors.as_struct(turned))
+
+        return let(momenta, turn)
 
-        def turn(f: Column) -> Column:
-            def one(x: Column) -> Column:
-                p = x["p"]
-                along = (f["x"] * p["px"] + f["y"] * p["py"] + f["z"] * p["pz"]) * (F.lit(1.0) - f["cos"])
-                px = f["cos"] * p["px"] + f["sin"] * (f["y"] * p["pz"] - f["z"] * p["py"]) + f["x"] * along
-                py = f["cos"] * p["py"] + f["sin"] * (f["z"] * p["px"] - f["x"] * p["pz"]) + f["y"] * along
-                pz = f["cos"] * p["pz"] + f["sin"] * (f["x"] * p["py"] - f["y"] * p["px"]) + f["z"] * along
-                v = vectors.cylindrical(p["E"], px, py, pz)
-                return _with_fields(x, {k: v[k] for k in ("pt", "eta", "phi")}).dropFields("p")
+    return _with_constituents(df, const_name, change, when)
 
-            return F.transform(f["items"], one)
 
-        return F.flatten(F.transform(F.array(frame), turn))
+def _moved(x: Column, momentum: Column) -> Column:
+    """The element with direction and pt of a new momentum; its mass stays."""
 
-    return _with_constituents(df, const_name, change, when)
+    def apply(q: Column) -> Column:
+        v = vectors.cylindrical(*[q[k] for k in ("E", "px", "py", "pz")])
+        return _with_fields(x, {k: v[k] for k in ("pt", "eta", "phi")})
+
+    return let(momentum, apply)
 
 
 def boost(df, key, const_name="Constituent", max_beta=0.1, seed=42, when=None):
@@ -108,22 +128,27 @@ def boost(df, key, const_name="Constituent", max_beta=0.1, seed=42, when=None):
             (F.lit(1.0) / F.sqrt(F.lit(1.0) - beta * beta)).alias("gamma"),
         )
 
-        def shift(f: Column) -> Column:
-            def one(x: Column) -> Column:
-                p = vectors.cartesian(x["m"], x["pt"], x["eta"], x["phi"])
+        def shifted(f: Column, x: Column) -> Column:
+            def apply(p: Column) -> Column:
                 along = f["x"] * p["px"] + f["y"] * p["py"] + f["z"] * p["pz"]
-                push = (f["gamma"] - 1.0) * ratio(along, f["beta"] * f["beta"]) - f["gamma"] * p["E"]
-                v = vectors.cylindrical(
-                    f["gamma"] * (p["E"] - along),
-                    p["px"] + f["x"] * push,
-                    p["py"] + f["y"] * push,
-                    p["pz"] + f["z"] * push,
+                return let(
+                    F.struct(
+                        p.alias("p"),
+                        along.alias("along"),
+                        ((f["gamma"] - 1.0) * ratio(along, f["beta"] * f["beta"]) - f["gamma"] * p["E"]).alias("push"),
+                    ),
+                    lambda b: _moved(
+                        x,
+                        F.struct(
+                            (f["gamma"] * (b["p"]["E"] - b["along"])).alias("E"),
+                            *[(b["p"][f"p{n}"] + f[n] * b["push"]).alias(f"p{n}") for n in "xyz"],
+                        ),
+                    ),
                 )
-                return _with_fields(x, {k: v[k] for k in ("pt", "eta", "phi")})
 
-            return F.transform(c, one)
+            return let(vectors.cartesian_struct(x), apply)
 
-        return F.flatten(F.transform(F.array(frame), shift))
+        return let(frame, lambda f: F.transform(c, lambda x: shifted(f, x)))
 
     return _with_constituents(df, const_name, change, when)
 

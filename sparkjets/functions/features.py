@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkjets.functions import vectors
-from sparkjets.functions.arrays import pad, pad_mask, total, zip_columns
+from sparkjets.functions.arrays import let, pad, pad_mask, total, zip_columns
 from sparkjets.functions.constituents import collection_columns, merged, type_fields
 from sparkjets.functions.numeric import hypot, log_clip, ratio
 
@@ -152,10 +152,12 @@ def _momenta(c: Column) -> Column:
     """Constituents with their Cartesian momenta added."""
 
     def one(x: Column) -> Column:
-        p = vectors.cartesian(x["m"], x["pt"], x["eta"], x["phi"])
-        return F.struct(
-            *[x[f].alias(f) for f in ("m", "pt", "eta", "phi", "kind")],
-            *[value.alias(name) for name, value in p.items()],
+        return let(
+            vectors.cartesian_struct(x),
+            lambda p: F.struct(
+                *[x[f].alias(f) for f in ("m", "pt", "eta", "phi", "kind")],
+                *[p[k].alias(k) for k in ("E", "px", "py", "pz")],
+            ),
         )
 
     return F.transform(c, one)
@@ -174,18 +176,22 @@ def _summed_axis(c: Column, clipped: bool) -> Column:
         ),
     )
 
+    def bounded(x: Column) -> Column:
+        return F.least(F.greatest(x, F.lit(1e-10)), F.lit(1e10))
+
     def finish(s: Column) -> Column:
         pt = hypot(s["px"], s["py"])
-        if clipped:
-            pt = F.least(F.greatest(pt, F.lit(1e-10)), F.lit(1e10))
-        return F.struct(
-            pt.alias("pt"),
-            F.asinh(ratio(s["pz"], pt)).alias("eta"),
-            F.atan2(s["py"], s["px"]).alias("phi"),
-            F.least(F.greatest(s["E"], F.lit(1e-10)), F.lit(1e10)).alias("E"),
+        return let(
+            F.struct((bounded(pt) if clipped else pt).alias("pt"), s.alias("s")),
+            lambda t: F.struct(
+                t["pt"].alias("pt"),
+                F.asinh(ratio(t["s"]["pz"], t["pt"])).alias("eta"),
+                F.atan2(t["s"]["py"], t["s"]["px"]).alias("phi"),
+                bounded(t["s"]["E"]).alias("E"),
+            ),
         )
 
-    return F.transform(F.array(sums), finish)[0]
+    return let(sums, finish)
 
 
 def _scaled(c: Column, axis: Column) -> Column:
@@ -210,8 +216,7 @@ def _scaled(c: Column, axis: Column) -> Column:
 def pair_matrix(c: Column, angle: str = "eta", wrap: bool = False, log_z: bool = False) -> Column:
     """``[N, N]`` matrix of delta, k_t, z and m2 over the constituents of one jet, zero on the diagonal."""
 
-    def raw(a: Column, b: Column) -> Column:
-        dphi = vectors.delta_phi(a["phi"], b["phi"]) if wrap else a["phi"] - b["phi"]
+    def cell(a: Column, b: Column, dphi: Column) -> Column:
         energy, px, py, pz = (a[k] + b[k] for k in ("E", "px", "py", "pz"))
         return F.struct(
             hypot(a[angle] - b[angle], dphi).alias("dr"),
@@ -220,6 +225,11 @@ def pair_matrix(c: Column, angle: str = "eta", wrap: bool = False, log_z: bool =
             (energy * energy - px * px - py * py - pz * pz).alias("m2"),
         )
 
+    def raw(a: Column, b: Column) -> Column:
+        if wrap:
+            return let(vectors.delta_phi(a["phi"], b["phi"]), lambda dphi: cell(a, b, dphi))
+        return cell(a, b, a["phi"] - b["phi"])
+
     def final(p: Column) -> Column:
         z = ratio(p["pt_min"], p["pt_sum"])
         return F.struct(
@@ -359,15 +369,12 @@ def _jetclass_staged(df: DataFrame) -> DataFrame:
     zipped = F.arrays_zip(*[F.col(c) for c in inputs.values()])
 
     def one(s: Column) -> Column:
-        p = [s[inputs[k]] for k in ("E", "px", "py", "pz")]
+        p = [s[inputs[k]].cast("double") for k in ("E", "px", "py", "pz")]
         v = vectors.cylindrical_rapidity(*p)
-        eta = vectors.cylindrical(*p)["eta"]
         return F.struct(
             *[s[c].cast("double").alias(f) for f, c in inputs.items()],
-            v["pt"].alias("pt"),
-            v["y"].alias("y"),
-            v["phi"].alias("phi"),
-            eta.alias("eta"),
+            *[v[k].alias(k) for k in ("pt", "y", "phi")],
+            vectors.cylindrical(*p)["eta"].alias("eta"),
         )
 
     return df.withColumn("_c", F.transform(zipped, one))

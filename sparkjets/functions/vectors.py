@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparkjets.functions.arrays import let
 from sparkjets.functions.numeric import ratio
 
 
@@ -42,5 +43,21 @@ def delta_phi(a: Column, b: Column) -> Column:
     return F.atan2(F.sin(a - b), F.cos(a - b))
 
 
+def cartesian_struct(x: Column) -> Column:
+    """E, px, py, pz of one array element with m, pt, eta, phi, each sine taken once."""
+    momentum = F.struct(
+        x["m"].alias("m"),
+        (x["pt"] * F.cos(x["phi"])).alias("px"),
+        (x["pt"] * F.sin(x["phi"])).alias("py"),
+        (x["pt"] * F.sinh(x["eta"])).alias("pz"),
+    )
+
+    def with_energy(p: Column) -> Column:
+        squares = p["m"] * p["m"] + p["px"] * p["px"] + p["py"] * p["py"] + p["pz"] * p["pz"]
+        return F.struct(F.sqrt(squares).alias("E"), *[p[k].alias(k) for k in ("px", "py", "pz")])
+
+    return let(momentum, with_energy)
+
+
 def as_struct(parts: dict[str, Column]) -> Column:
     return F.struct(*[value.alias(name) for name, value in parts.items()])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkjets.functions.arrays import aligned_columns, first_argmin, pad, pad_mask
+from sparkjets.functions.arrays import aligned_columns, explode_items, first_argmin, pad, pad_mask
 from sparkjets.operators.select import _open_interval
 
 Limits = tuple[float | None, float | None]
@@ -85,7 +85,7 @@ def explode_aligned(df, key_phrase="jets", columns=None, index="jets_index") ->
     """One row per array position; other columns are repeated. Records without elements vanish."""
     names = aligned_columns(df, key_phrase, columns)
     rest = [c for c in df.columns if c not in names]
-    flat = df.select(*rest, F.posexplode(_zipped(names)).alias(index, "_item"))
+    flat = explode_items(df, rest, _zipped(names), "_item", index)
     return flat.select(*rest, index, *[F.col("_item")[n].alias(n) for n in names])
 
 
@@ -112,7 +112,7 @@ def flatten_events(
         jets = F.slice(jets, 1, max_items)
     if cuts or wanted is not None:
         jets = F.filter(jets, _element_test({reference: wanted} if wanted is not None else None, cuts))
-    flat = df.select(*rest, F.posexplode(jets).alias(index, "_item"))
+    flat = explode_items(df, rest, jets, "_item", index)
     return flat.select(*rest, index, *[F.col("_item")[n].alias(n) for n in names])
 
 
@@ -123,7 +123,7 @@ def explode_to_scalars(df: DataFrame, columns: Sequence[str], max_levels: int =
         if not nested:
             return df
         rest = [c for c in df.columns if c not in nested]
-        flat = df.select(*rest, F.explode(_zipped(nested)).alias("_item"))
+        flat = explode_items(df, rest, _zipped(nested))
         df = flat.select(*rest, *[F.col("_item")[n].alias(n) for n in nested])
     return df
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkjets.functions.arrays import explode_items
 from sparkjets.functions.numeric import ratio
 
 
@@ -52,9 +53,9 @@ def edge_features(features: Column, neighbours: Column, names: Sequence[str]) ->
 
 
 def _cells(df: DataFrame, matrix: str, names: Sequence[str], keep: Sequence[Column]) -> DataFrame:
-    outer = df.select(*keep, F.posexplode(matrix).alias("i", "_row"))
-    inner = outer.select(*[c for c in outer.columns if c != "_row"], F.posexplode("_row").alias("j", "_cell"))
-    return inner.select(*[c for c in inner.columns if c != "_cell"], *[F.col("_cell")[n].alias(n) for n in names])
+    rows = explode_items(df, keep, matrix, "_row", "i")
+    cells = explode_items(rows, [c for c in rows.columns if c != "_row"], "_row", "_cell", "j")
+    return cells.select(*[c for c in cells.columns if c != "_cell"], *[F.col("_cell")[n].alias(n) for n in names])
 
 
 def mean_pair_matrix(

@@ -14,10 +14,10 @@ from sparkjets.functions.random import uniform
 
 
 def _as_rows(df: DataFrame, features: str) -> tuple[DataFrame, list[str]]:
-    """One row per element of an array of feature structs."""
+    """One row per element of an array of feature structs (a NULL row for an empty array counts in no statistic)."""
     kind = df.schema[features].dataType if features in df.columns else df.select(features).schema[0].dataType
     element = kind.elementType if isinstance(kind, T.ArrayType) else kind
-    column = F.explode(features) if isinstance(kind, T.ArrayType) else F.col(features)
+    column = F.explode_outer(features) if isinstance(kind, T.ArrayType) else F.col(features)
     return df.select(column.alias("f")), [f.name for f in element.fields]
 
 
