@@ -708,13 +708,13 @@ NODE_LONG = f"""n AS ({BASE}), v AS (SELECT 'log_pT' AS feature, {ln('pt')} AS x
 
 @query(
     "feature_moments",
-    f"WITH {NODE_LONG} SELECT feature, {R('avg(x)', 5)} AS mean, {R('var_pop(x)', 4)} AS variance FROM v GROUP BY feature",
+    f"WITH {NODE_LONG} SELECT feature, {R('avg(x)', 7)} AS mean, {R('var_pop(x)', 4)} AS variance FROM v GROUP BY feature",
     ("lead", "jets"),
 )
 def feature_moments(spark, d):
     df = features.add_features(tables.jets_nested(spark, d), "const").select(F.col("features.node").alias("node"))
     out = rank.feature_moments(df, "node").where(F.col("feature").isin("log_pT", "deltaEta", "m"))
-    return out.select("feature", r("mean", 5).alias("mean"), r("variance", 4).alias("variance"))
+    return out.select("feature", r("mean", 7).alias("mean"), r("variance", 4).alias("variance"))
 
 
 @query(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkjets.functions.numeric import ratio
 from sparkjets.functions.random import random_order
-from sparkjets.operators.ordered import number_rows
+from sparkjets.operators.ordered import HASH_BUCKETS, number_rows
 
 LUMINOSITY = 139_000.0  # fixed value: integrated luminosity in 1/pb
 
@@ -65,7 +65,9 @@ def sample_mix(
         .scalar()
     )
     shuffled = everything.withColumn("_order", random_order(key, F.col("_source"), seed=seed))
-    numbered = number_rows(shuffled, "_order", "_rank", ["_source"], [key])
+    numbered = number_rows(
+        shuffled, "_order", "_rank", ["_source"], [key], HASH_BUCKETS, few_partitions=True  # one per dataset
+    )
     return numbered.where(F.col("_rank") <= F.floor(share * room + 1e-9)).drop("_source", "_order", "_rank")
 
 

@@ -1,42 +1,112 @@
 """Running totals and row numbers in a global order, without a single-task sort.
 
-Rows are cut into buckets at quantiles of the order column. Bucket totals are a
-table of at most ``n_buckets`` rows (per partition key), whose prefix sums give
-each bucket its offset; inside a bucket an ordinary window finishes the job. A
-partition key that holds a third of all rows is spread over the buckets like
-any other.
+Rows are cut into buckets that follow the order column. Bucket totals form a
+small table whose prefix sums give each bucket its offset; inside a bucket an
+ordinary window finishes the job. A partition key that holds a third of all
+rows is spread over the buckets like any other.
+
+Buckets are two-level: coarse ones between quantiles (a ``CASE`` tree over
+literals), each cut evenly into fine ones, so their number can follow the size
+of the data (up to 65 536) while the lookup stays a few comparisons and one
+division. The edges are literals of the plan: every stage, and every retry of
+a task, sees the same buckets.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
+from sparkjets.functions.binning import _edges_passed
 
+COARSE = 64
+MAX_FINE = 1024
+ROWS_PER_BUCKET = 2_000_000
 
-def add_quantile_bucket(df: DataFrame, order: str, out: str, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Add a bucket number that grows with ``order``; equal values share a bucket.
 
-    The quantiles are a scalar subquery, so nothing runs before the query does.
-    """
-    levels = [i / n_buckets for i in range(1, n_buckets)]
-    edges = df.agg(F.percentile_approx(order, levels, 20 * n_buckets).alias("edges")).scalar()
-    steps = []
-    size = 1
-    while size < n_buckets:
-        steps.append(size)
-        size *= 2
-    # branch-free binary search: position = number of edges below the value
-    value = F.col(order)
-    bucket = F.aggregate(
-        F.array(*[F.lit(s) for s in reversed(steps)]),
-        F.lit(0),
-        lambda at, step: F.when(F.get(F.col("_edges"), at + step - 1) < value, at + step).otherwise(at),
-    )
-    return df.withColumn("_edges", edges).withColumn(out, bucket).drop("_edges")
+@dataclass(frozen=True)
+class Buckets:
+    """Inner edges of the coarse buckets, the outer limits, and the even cuts of each coarse bucket."""
+
+    edges: tuple[float, ...]
+    low: float
+    high: float
+    fine: int = 1
+
+    @classmethod
+    def uniform(cls, low: float, high: float, coarse: int = COARSE, fine: int = 128) -> "Buckets":
+        """For values whose range is known; values outside fall into the end buckets."""
+        step = (high - low) / coarse
+        return cls(tuple(low + i * step for i in range(1, coarse)), low, high, fine)
+
+    @classmethod
+    def from_quantiles(cls, df: DataFrame, order: str, coarse: int = COARSE, fine: int | None = None) -> "Buckets":
+        """Edges near the quantiles of a column. Runs one aggregate job that returns ``coarse`` numbers.
+
+        The digests are merged in groups of partitions first, so that no single
+        task receives one digest per input split; the edges only balance the
+        buckets and need not be exact.
+        """
+        levels = [i / coarse for i in range(1, coarse)]
+        x = F.col(order).cast("double")
+        parts = (
+            df.select(x.alias("x"), (F.spark_partition_id() % 512).alias("g"))
+            .groupBy("g")
+            .agg(
+                F.percentile_approx("x", levels, 1000).alias("q"),
+                F.min("x").alias("lo"),
+                F.max("x").alias("hi"),
+                F.count("x").alias("n"),
+            )
+        )
+        row = parts.select("lo", "hi", F.when(F.col("n") > 0, F.col("n")).alias("n"), "q").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.flatten(F.collect_list("q")).alias("q")
+        )
+        row = row.select("lo", "hi", "n", F.array_sort("q").alias("q")).collect()[0]  # at most 512 * coarse numbers
+        if not row.n:
+            return cls((), 0.0, 1.0, 1)
+        values = row.q
+        edges = sorted({values[len(values) * i // coarse] for i in range(1, coarse)})
+        if fine is None:
+            fine = min(MAX_FINE, max(1, math.ceil(row.n / ROWS_PER_BUCKET / coarse)))
+        return cls(tuple(edges), row.lo, row.hi, fine)
+
+    @property
+    def is_uniform(self) -> bool:
+        return self == Buckets.uniform(self.low, self.high, len(self.edges) + 1, self.fine)
+
+    def add(self, df: DataFrame, order: str, out: str) -> DataFrame:
+        """Add the bucket number: never decreasing in ``order``, never NULL."""
+        x = F.col(order).cast("double")
+        if self.is_uniform:
+            count = (len(self.edges) + 1) * self.fine
+            return df.withColumn(out, _cell(x, F.lit(self.low), F.lit(self.high - self.low), count))
+        # staged, so that the search and the cast appear once in the generated code
+        df = df.withColumn("_x", x).withColumn("_coarse", _edges_passed(F.col("_x"), self.edges, inclusive=True))
+        if self.fine == 1:
+            bucket = F.coalesce("_coarse", F.lit(0))
+        else:
+            borders = [self.low, *self.edges, self.high]
+            start = F.get(F.array(*[F.lit(float(b)) for b in borders[:-1]]), F.col("_coarse"))
+            width = F.get(F.array(*[F.lit(float(b - a)) for a, b in zip(borders, borders[1:])]), F.col("_coarse"))
+            bucket = F.col("_coarse") * self.fine + _cell(F.col("_x"), start, width, self.fine)
+        return df.withColumn(out, bucket).drop("_x", "_coarse")
+
+
+def _cell(x: Column, start: Column, width: Column, count: int) -> Column:
+    """Which of ``count`` even cells holds ``x``, the end cells taking what lies outside."""
+    share = F.coalesce(F.try_divide(x - start, width), F.lit(0.0))
+    inside = F.least(F.greatest(share * float(count), F.lit(0.0)), F.lit(float(count - 1)))
+    return inside.cast("int")
+
+
+# A 64-bit hash is spread evenly, so its buckets need no look at the data.
+HASH_BUCKETS = Buckets.uniform(-(2.0**63), 2.0**63, COARSE, 128)
+SCORE_BUCKETS = Buckets.uniform(0.0, 1.0, COARSE, 128)
 
 
 def running_totals(
@@ -45,18 +115,26 @@ def running_totals(
     totals: Mapping[str, Column],
     partition: Sequence[str] = (),
     tie_breakers: Sequence[str] = (),
-    n_buckets: int = DEFAULT_BUCKETS,
+    buckets: Buckets | None = None,
+    stop_at: Column | None = None,
+    few_partitions: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums in the order of ``order`` (numeric), then ``tie_breakers``.
 
     ``order`` may repeat, but rows that share one value share a task: aggregate
     by it first, or use a nearly unique column. Rows with a NULL partition key
-    are left out. The offsets join on the window's own keys, so the rows are
-    shuffled once.
+    are left out.
+
+    ``stop_at`` drops whole buckets that begin at or beyond this value of the
+    first total; the caller filters the rest. With ``few_partitions`` (their
+    number is bounded by a binning or a list) the offsets are broadcast and
+    those buckets are dropped before the shuffle. Otherwise the offsets join on
+    the window's own keys, so the rows are shuffled once either way.
     """
     partition = list(partition)
+    buckets = buckets or Buckets.from_quantiles(df, order)
     values = {f"_v_{name}": value for name, value in totals.items()}
-    rows = add_quantile_bucket(df, order, "_bucket", n_buckets).withColumns(values)
+    rows = buckets.add(df, order, "_bucket").withColumns(values)
     before = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         rows.groupBy(*partition, "_bucket")
@@ -67,18 +145,22 @@ def running_totals(
             *[F.coalesce(F.sum(f"_s{v}").over(before), F.lit(0)).alias(f"_o{v}") for v in values],
         )
     )
+    if stop_at is not None:
+        offsets = offsets.where(F.col(f"_o{next(iter(values))}") < stop_at)
     same_group = F.col("_bucket") == F.col("_b")
     for p in partition:
         same_group &= F.col(p) == F.col(f"_p_{p}")
+    # without partitions the offsets have at most COARSE * MAX_FINE rows
+    small = few_partitions or not partition
+    joined = rows.join(F.broadcast(offsets) if small else offsets, same_group)
     inside = (
         Window.partitionBy(*partition, "_bucket")
         .orderBy(order, *tie_breakers)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = rows.withColumns({f"_w{v}": F.sum(v).over(inside) for v in values}).join(offsets, same_group)
     return joined.select(
         *[F.col(c) for c in df.columns],
-        *[(F.col(f"_w_v_{name}") + F.col(f"_o_v_{name}")).alias(name) for name in totals],
+        *[(F.sum(f"_v_{name}").over(inside) + F.col(f"_o_v_{name}")).alias(name) for name in totals],
     )
 
 
@@ -88,7 +170,10 @@ def number_rows(
     out: str = "row_number",
     partition: Sequence[str] = (),
     tie_breakers: Sequence[str] = (),
-    n_buckets: int = DEFAULT_BUCKETS,
+    buckets: Buckets | None = None,
+    stop_at: Column | None = None,
+    few_partitions: bool = False,
 ) -> DataFrame:
     """One-based row number in a global (or per-partition) order."""
-    return running_totals(df, order, {out: F.lit(1).cast("long")}, partition, tie_breakers, n_buckets)
+    one = {out: F.lit(1).cast("long")}
+    return running_totals(df, order, one, partition, tie_breakers, buckets, stop_at, few_partitions)

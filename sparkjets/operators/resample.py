@@ -11,18 +11,20 @@ from sparkjets.functions.binning import Binning, bin_clamped, bin_joint, bin_wit
 from sparkjets.functions.labels import GLUON, QUARKS
 from sparkjets.functions.random import random_order, uniform
 from sparkjets.operators.hist import count_per_bin
-from sparkjets.operators.ordered import number_rows
+from sparkjets.operators.ordered import HASH_BUCKETS, Buckets, number_rows
 from sparkjets.operators.weights import add_flat_weight
 
 
 def keep_min_count(
-    df: DataFrame, bin_column: str, n_bins: int, order: str, inclusive: bool = False, min_count: int | None = None
+    df: DataFrame, bin_column: str, n_bins: int, order: str, inclusive: bool = False, min_count: int | None = None,
+    buckets: Buckets | None = None,
 ) -> DataFrame:
     """Equal bins: of each bin the first rows in ``order``, as many as the smallest bin allows.
 
     The classic scan counts a row before it compares, so it keeps one row less
     than the smallest bin holds; ``inclusive`` keeps them all. ``order`` is a
-    unique numeric arrival id.
+    unique numeric arrival id. Parts of a bin that lie beyond the limit are
+    dropped before anything is shuffled.
     """
     if min_count is None:
         counts = count_per_bin(df, bin_column, n_bins)
@@ -31,7 +33,10 @@ def keep_min_count(
         limit = smallest.scalar()
     else:
         limit = F.lit(min_count)
-    numbered = number_rows(df.where(F.col(bin_column).isNotNull()), order, "_nth", [bin_column])
+    rows = df.where(F.col(bin_column).isNotNull())
+    numbered = number_rows(
+        rows, order, "_nth", [bin_column], buckets=buckets, stop_at=limit, few_partitions=True  # n_bins partitions
+    )
     condition = F.col("_nth") <= limit if inclusive else F.col("_nth") < limit
     return numbered.where(condition).drop("_nth")
 
@@ -62,7 +67,7 @@ def balanced_classes(df: DataFrame, label: str, classes: Sequence, key: str, see
     for i, value in enumerate(classes):
         index = F.when(F.col(label) == value, i).otherwise(index)
     ready = df.withColumn("_class", index).withColumn("_order", random_order(key, seed=seed))
-    kept = keep_min_count(ready.where(F.col("_class").isNotNull()), "_class", len(classes), "_order", inclusive=True)
+    kept = keep_min_count(ready, "_class", len(classes), "_order", inclusive=True, buckets=HASH_BUCKETS)
     return kept.drop("_class", "_order")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkjets.functions.random import random_order, uniform
-from sparkjets.operators.ordered import number_rows
+from sparkjets.operators.ordered import HASH_BUCKETS, number_rows
 
 
 def take_first(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
@@ -69,13 +69,13 @@ def batches(
     A batch never holds more than ``batch_size`` rows. With ``shuffle_seed`` the
     rows are batched in a hashed order.
     """
-    lead = order
+    lead, buckets = order, None
     if shuffle_seed is not None:
         df = df.withColumn("_order", random_order(order, seed=shuffle_seed))
-        lead = "_order"
+        lead, buckets = "_order", HASH_BUCKETS
     if take is not None:
         df = take_first(df, take, [lead])
-    numbered = number_rows(df, lead, "_nth", tie_breakers=[order])
+    numbered = number_rows(df, lead, "_nth", tie_breakers=[order], buckets=buckets)
     batch = F.floor((F.col("_nth") - 1) / batch_size).cast("long")
     items = F.array_sort(F.collect_list(F.struct("_nth", *columns)))
     grouped = numbered.groupBy(batch.alias("batch")).agg(items.alias("_items"))
