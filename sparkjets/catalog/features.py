@@ -281,6 +281,11 @@ def pair_matrix_int_const(spark, d):
     return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_const"), 14.0)
 
 
+@query("pair_matrix_builtin_engine", f"WITH {PLAIN}, {_pair_sql('p', 14.0)}", ("lead",))
+def pair_matrix_builtin_engine(spark, d):
+    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_const", engine="builtin"), 14.0)
+
+
 @query("pair_matrix_int_rel_const", f"WITH {AXIS}, {_pair_sql('q', -6.0)}", ("lead",))
 def pair_matrix_int_rel_const(spark, d):
     return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_rel_const"), -6.0)

@@ -3,7 +3,8 @@
 A feature set adds one struct column. Per-constituent features are an
 ``array<struct>`` (``node``), per-pair features an ``array<array<struct>>``
 (``edge``), so every value is computed in one walk over the array and no row is
-multiplied: the pair matrices of a jet never leave its row.
+multiplied: the pair matrices of a jet never leave its row, and a feature set
+needs no shuffle.
 
 New sets are added with :func:`register`.
 """
@@ -15,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkjets.functions import vectors
+from sparkjets.functions import pair_kernel, vectors
 from sparkjets.functions.arrays import let, pad, pad_mask, total, zip_columns
 from sparkjets.functions.constituents import collection_columns, merged, type_fields
 from sparkjets.functions.numeric import hypot, log_clip, ratio
@@ -248,14 +249,29 @@ def pair_matrix(c: Column, angle: str = "eta", wrap: bool = False, log_z: bool =
     )
 
 
+def _pairs(c: Column, engine: str, **options) -> Column:
+    """Pair matrices from the batch kernel, or from built-in expressions with ``engine="builtin"``.
+
+    Both give the same numbers; the kernel is several times faster and its lead
+    grows with the number of constituents.
+    """
+    if engine == "builtin":
+        return pair_matrix(c, **options)
+    if engine == "arrow":
+        return pair_kernel.pair_matrix(c, **options)
+    raise ValueError(f"unknown engine {engine!r}")
+
+
 def _jet_columns(jet: str = "jets") -> dict[str, Column]:
     return {k: F.col(f"{jet}_{k}").cast("double") for k in ("m", "pt", "eta", "phi")}
 
 
-def _constituent_set(node, edge=None, kinds=("{const}",), momenta=False, axis=None) -> Builder:
+def _constituent_set(node, edge=False, kinds=("{const}",), momenta=False, axis=None) -> Builder:
     """Builder over pt-sorted constituents; the staged columns keep shared work from being repeated."""
 
-    def build(df, out, max_constituents: int | None = 100, const_name: str = "Constituent", **_) -> DataFrame:
+    def build(
+        df, out, max_constituents: int | None = 100, const_name: str = "Constituent", engine: str = "arrow", **_
+    ) -> DataFrame:
         names = [k.format(const=const_name) for k in kinds]
         work = df.withColumn("_c", merged(names, max_constituents))
         if momenta:
@@ -264,8 +280,8 @@ def _constituent_set(node, edge=None, kinds=("{const}",), momenta=False, axis=No
             work = work.withColumn("_axis", _summed_axis(F.col("_c"), clipped=axis == "clipped"))
             work = work.withColumn("_c", _scaled(F.col("_c"), F.col("_axis")))
         parts = node(F.col("_c"), names, max_constituents)
-        if edge is not None:
-            parts = [*parts, edge(F.col("_c")).alias("edge")]
+        if edge:
+            parts = [*parts, _pairs(F.col("_c"), engine).alias("edge")]
         return work.withColumn(out, F.struct(*parts)).drop("_c", "_axis")
 
     return build
@@ -412,11 +428,11 @@ def _jetclass_node(c: Column) -> Column:
 
 
 def _jetclass(edge: bool = False, points: bool = False) -> Builder:
-    def build(df: DataFrame, out: str, **_) -> DataFrame:
+    def build(df: DataFrame, out: str, engine: str = "arrow", **_) -> DataFrame:
         work = _jetclass_staged(df).withColumn("_node", _jetclass_node(F.col("_c")))
         parts = [F.col("_node").alias("node")]
         if edge:
-            parts.append(pair_matrix(F.col("_c"), angle="y", wrap=True, log_z=True).alias("edge"))
+            parts.append(_pairs(F.col("_c"), engine, angle="y", wrap=True, log_z=True).alias("edge"))
         if points:
             parts.append(
                 F.transform(
@@ -432,9 +448,9 @@ def _jetclass(edge: bool = False, points: bool = False) -> Builder:
 
 _TOPO = ("{const}", "TopoTower")
 _TOPO_TRACK = ("{const}", "TopoTower", "Track")
-_int_rel = {"node": _int_rel_node("E", True), "edge": pair_matrix, "momenta": True, "axis": "clipped"}
-_int_rel2 = {"node": _int_rel_node("E_share", False), "edge": pair_matrix, "momenta": True, "axis": "clipped"}
-_int_const = {"node": _const_node, "edge": pair_matrix, "momenta": True}
+_int_rel = {"node": _int_rel_node("E", True), "edge": True, "momenta": True, "axis": "clipped"}
+_int_rel2 = {"node": _int_rel_node("E_share", False), "edge": True, "momenta": True, "axis": "clipped"}
+_int_const = {"node": _const_node, "edge": True, "momenta": True}
 _rel = {"node": _rel_node, "momenta": True, "axis": "plain"}
 
 for _name, _builder in {

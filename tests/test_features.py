@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkjets.functions import features
+from sparkjets.functions import features, pair_kernel
 from sparkjets.functions.augment import AUGMENTATIONS, augment
 from sparkjets.operators import declustering, pairs
 
@@ -42,6 +42,8 @@ def test_registry_is_complete(jets):
         features.add_features(jets, "no_such_set")
     with pytest.raises(ValueError):
         features.add_features(jets, "gnn", max_constituents=None)
+    with pytest.raises(ValueError):
+        features.add_features(jets, "int_const", engine="other")
 
 
 def test_own_feature_set(jets):
@@ -50,8 +52,12 @@ def test_own_feature_set(jets):
     del features.REGISTRY["only_pt"]
 
 
-def test_pair_matrix_against_numpy(jets):
-    got = {r.jet_id: r.features.edge for r in features.add_features(jets, "int_const").collect()}
+@pytest.mark.parametrize("engine, step", [("builtin", None), ("arrow", 1_000_000), ("arrow", 10)])
+def test_pair_matrix_against_numpy(jets, engine, step, monkeypatch):
+    if step:
+        monkeypatch.setattr(pair_kernel, "PAIRS_PER_STEP", step)
+    df = features.add_features(jets.repartition(2), "int_const", engine=engine)
+    got = {r.jet_id: r.features.edge for r in df.collect()}
     for row in jet_rows():
         pt, eta, phi, m = (np.array(v) for v in row[7:])
         order = np.argsort(-pt, kind="stable")
