@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkjets.functions.numeric import ratio
 from sparkjets.functions.random import random_order
-from sparkjets.operators.ordered import HASH_BUCKETS, number_rows
+from sparkjets.operators.ordered import HASH_BUCKETS, keep_first
 
 LUMINOSITY = 139_000.0  # fixed value: integrated luminosity in 1/pb
 
@@ -65,10 +65,8 @@ def sample_mix(
         .scalar()
     )
     shuffled = everything.withColumn("_order", random_order(key, F.col("_source"), seed=seed))
-    numbered = number_rows(
-        shuffled, "_order", "_rank", ["_source"], [key], HASH_BUCKETS, few_partitions=True  # one per dataset
-    )
-    return numbered.where(F.col("_rank") <= F.floor(share * room + 1e-9)).drop("_source", "_order", "_rank")
+    mixed = keep_first(shuffled, "_order", F.floor(share * room + 1e-9), ["_source"], [key], HASH_BUCKETS)
+    return mixed.drop("_source", "_order")
 
 
 def combine_metadata(metadata: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
@@ -76,9 +74,21 @@ def combine_metadata(metadata: DataFrame, key: str = "key", value: str = "value"
     return metadata.groupBy(key).agg(F.sum(value).alias(value))
 
 
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a lookup table for broadcast after counting that it is small; a larger one is left to Spark.
+
+    The count stops at ``max_rows`` + 1. Beyond it the join is a shuffle join,
+    where adaptive execution splits hot keys.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def describe_samples(rows: DataFrame, description: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
-    """Join rows to the sample description; Spark broadcasts the description when its size allows."""
-    return rows.join(description, on, how)
+    """Join rows to the sample description, without a shuffle of the rows while the description is small."""
+    return rows.join(broadcast_checked(description), on, how)
 
 
 def missing_samples(rows: DataFrame, description: DataFrame, on: str) -> DataFrame:

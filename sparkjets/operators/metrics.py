@@ -342,8 +342,10 @@ def binned_metrics(
     binned = df.withColumn("bin", bin_right_closed(F.col(binning.variable), binning)).where(F.col("bin").isNotNull())
     limit: float | str = 0.5
     if isinstance(threshold, DataFrame):
-        per_bin = threshold.select("bin", F.col("value").alias("_threshold"))
-        binned, limit = binned.join(F.broadcast(per_bin), "bin", "left"), "_threshold"  # n_bins rows
+        # one row per bin of this binning, whatever the table holds: small by construction
+        per_bin = threshold.where(F.col("bin").between(0, binning.n_bins - 1)).groupBy("bin")
+        per_bin = per_bin.agg(F.first("value").alias("_threshold"))
+        binned, limit = binned.join(F.broadcast(per_bin), "bin", "left"), "_threshold"
     else:
         limit = threshold
     metrics = all_metrics(binned, score, label, weight, [*by, "bin"], limit)

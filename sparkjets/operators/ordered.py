@@ -3,7 +3,8 @@
 Rows are cut into buckets that follow the order column. Bucket totals form a
 small table whose prefix sums give each bucket its offset; inside a bucket an
 ordinary window finishes the job. A partition key that holds a third of all
-rows is spread over the buckets like any other.
+rows is spread over the buckets like any other. Where only a limit or a cut of the
+order is asked for, the rows of all but the buckets at the limit stay in place.
 
 Buckets are two-level: coarse ones between quantiles (a ``CASE`` tree over
 literals), each cut evenly into fine ones, so their number can follow the size
@@ -109,6 +110,36 @@ HASH_BUCKETS = Buckets.uniform(-(2.0**63), 2.0**63, COARSE, 128)
 SCORE_BUCKETS = Buckets.uniform(0.0, 1.0, COARSE, 128)
 
 
+def _offsets(rows: DataFrame, partition: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Per bucket: the sums of all earlier buckets (``_o``) and of its own rows (``_s``)."""
+    before = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return (
+        rows.groupBy(*partition, "_bucket")
+        .agg(*[F.sum(v).alias(f"_s{v}") for v in values])
+        .select(
+            *[F.col(p).alias(f"_p_{p}") for p in partition],
+            F.col("_bucket").alias("_b"),
+            *[F.col(f"_s{v}") for v in values],
+            *[F.coalesce(F.sum(f"_s{v}").over(before), F.lit(0)).alias(f"_o{v}") for v in values],
+        )
+    )
+
+
+def _same_group(partition: Sequence[str]) -> Column:
+    condition = F.col("_bucket") == F.col("_b")
+    for p in partition:
+        condition &= F.col(p) == F.col(f"_p_{p}")
+    return condition
+
+
+def _inside(partition: Sequence[str], order: str, tie_breakers: Sequence[str]):
+    return (
+        Window.partitionBy(*partition, "_bucket")
+        .orderBy(order, *tie_breakers)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+
+
 def running_totals(
     df: DataFrame,
     order: str,
@@ -116,7 +147,6 @@ def running_totals(
     partition: Sequence[str] = (),
     tie_breakers: Sequence[str] = (),
     buckets: Buckets | None = None,
-    stop_at: Column | None = None,
     few_partitions: bool = False,
 ) -> DataFrame:
     """Add inclusive running sums in the order of ``order`` (numeric), then ``tie_breakers``.
@@ -125,39 +155,19 @@ def running_totals(
     by it first, or use a nearly unique column. Rows with a NULL partition key
     are left out.
 
-    ``stop_at`` drops whole buckets that begin at or beyond this value of the
-    first total; the caller filters the rest. With ``few_partitions`` (their
-    number is bounded by a binning or a list) the offsets are broadcast and
-    those buckets are dropped before the shuffle. Otherwise the offsets join on
-    the window's own keys, so the rows are shuffled once either way.
+    With ``few_partitions`` (their number is bounded by a binning or a list) the
+    offsets are broadcast. Otherwise they join on the window's own keys, so the
+    rows are shuffled once either way.
     """
     partition = list(partition)
     buckets = buckets or Buckets.from_quantiles(df, order)
     values = {f"_v_{name}": value for name, value in totals.items()}
     rows = buckets.add(df, order, "_bucket").withColumns(values)
-    before = Window.partitionBy(*partition).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        rows.groupBy(*partition, "_bucket")
-        .agg(*[F.sum(v).alias(f"_s{v}") for v in values])
-        .select(
-            *[F.col(p).alias(f"_p_{p}") for p in partition],
-            F.col("_bucket").alias("_b"),
-            *[F.coalesce(F.sum(f"_s{v}").over(before), F.lit(0)).alias(f"_o{v}") for v in values],
-        )
-    )
-    if stop_at is not None:
-        offsets = offsets.where(F.col(f"_o{next(iter(values))}") < stop_at)
-    same_group = F.col("_bucket") == F.col("_b")
-    for p in partition:
-        same_group &= F.col(p) == F.col(f"_p_{p}")
+    offsets = _offsets(rows, partition, list(values))
     # without partitions the offsets have at most COARSE * MAX_FINE rows
     small = few_partitions or not partition
-    joined = rows.join(F.broadcast(offsets) if small else offsets, same_group)
-    inside = (
-        Window.partitionBy(*partition, "_bucket")
-        .orderBy(order, *tie_breakers)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    joined = rows.join(F.broadcast(offsets) if small else offsets, _same_group(partition))
+    inside = _inside(partition, order, tie_breakers)
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[(F.sum(f"_v_{name}").over(inside) + F.col(f"_o_v_{name}")).alias(name) for name in totals],
@@ -171,9 +181,60 @@ def number_rows(
     partition: Sequence[str] = (),
     tie_breakers: Sequence[str] = (),
     buckets: Buckets | None = None,
-    stop_at: Column | None = None,
     few_partitions: bool = False,
 ) -> DataFrame:
     """One-based row number in a global (or per-partition) order."""
     one = {out: F.lit(1).cast("long")}
-    return running_totals(df, order, one, partition, tie_breakers, buckets, stop_at, few_partitions)
+    return running_totals(df, order, one, partition, tie_breakers, buckets, few_partitions)
+
+
+def cut_order(
+    df: DataFrame,
+    order: str,
+    cuts: Sequence[Column],
+    out: str,
+    partition: Sequence[str] = (),
+    tie_breakers: Sequence[str] = (),
+    buckets: Buckets | None = None,
+) -> DataFrame:
+    """Add the segment (0, 1, ...) of every row when its order is cut after ``cuts`` rows.
+
+    ``cuts`` are rising row counts, the same or per partition. A bucket whose
+    rows all fall between two cuts needs no ranking: only the buckets that a cut
+    runs through are shuffled and sorted, which is one bucket per cut and
+    partition. The number of partitions must be bounded by a binning or a list.
+    """
+    partition = list(partition)
+    buckets = buckets or Buckets.from_quantiles(df, order)
+    rows = buckets.add(df, order, "_bucket").withColumn("_v", F.lit(1).cast("long"))
+    bounds = _offsets(rows, partition, ["_v"])
+    for p in partition:  # so that a cut may refer to its partition
+        bounds = bounds.withColumn(p, F.col(f"_p_{p}"))
+    first, last = F.col("_o_v"), F.col("_o_v") + F.col("_s_v")
+    split_here, segment = F.lit(False), F.lit(0)
+    for cut in cuts:
+        split_here = split_here | ((first < cut) & (last > cut))
+        segment = segment + (first >= cut).cast("int")
+    bounds = bounds.withColumns({"_split": split_here, "_segment": segment})
+    bounds = bounds.withColumns({f"_cut{i}": cut for i, cut in enumerate(cuts)}).drop(*partition, "_s_v")
+    joined = rows.join(F.broadcast(bounds), _same_group(partition))
+    whole = joined.where(~F.col("_split")).select(*df.columns, F.col("_segment").alias(out))
+    place = F.sum("_v").over(_inside(partition, order, tie_breakers)) + F.col("_o_v")
+    ranked = joined.where("_split").withColumn("_place", place)
+    exact = F.lit(0)
+    for i in range(len(cuts)):
+        exact = exact + (F.col("_place") > F.col(f"_cut{i}")).cast("int")
+    return whole.unionByName(ranked.select(*df.columns, exact.alias(out)))
+
+
+def keep_first(
+    df: DataFrame,
+    order: str,
+    limit: Column,
+    partition: Sequence[str] = (),
+    tie_breakers: Sequence[str] = (),
+    buckets: Buckets | None = None,
+) -> DataFrame:
+    """The first ``limit`` rows (of every partition). Only the bucket at the limit is shuffled."""
+    cut = cut_order(df, order, [limit], "_part", partition, tie_breakers, buckets)
+    return cut.where(F.col("_part") == 0).drop("_part")

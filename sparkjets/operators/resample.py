@@ -11,7 +11,7 @@ from sparkjets.functions.binning import Binning, bin_clamped, bin_joint, bin_wit
 from sparkjets.functions.labels import GLUON, QUARKS
 from sparkjets.functions.random import random_order, uniform
 from sparkjets.operators.hist import count_per_bin
-from sparkjets.operators.ordered import HASH_BUCKETS, Buckets, number_rows
+from sparkjets.operators.ordered import HASH_BUCKETS, Buckets, keep_first
 from sparkjets.operators.weights import add_flat_weight
 
 
@@ -23,8 +23,8 @@ def keep_min_count(
 
     The classic scan counts a row before it compares, so it keeps one row less
     than the smallest bin holds; ``inclusive`` keeps them all. ``order`` is a
-    unique numeric arrival id. Parts of a bin that lie beyond the limit are
-    dropped before anything is shuffled.
+    unique numeric arrival id. Only the rows near the limit of each bin are
+    shuffled.
     """
     if min_count is None:
         counts = count_per_bin(df, bin_column, n_bins)
@@ -34,11 +34,7 @@ def keep_min_count(
     else:
         limit = F.lit(min_count)
     rows = df.where(F.col(bin_column).isNotNull())
-    numbered = number_rows(
-        rows, order, "_nth", [bin_column], buckets=buckets, stop_at=limit, few_partitions=True  # n_bins partitions
-    )
-    condition = F.col("_nth") <= limit if inclusive else F.col("_nth") < limit
-    return numbered.where(condition).drop("_nth")
+    return keep_first(rows, order, limit if inclusive else limit - 1, [bin_column], buckets=buckets)
 
 
 def rejection_resample(

@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkjets.functions.random import random_order, uniform
-from sparkjets.operators.ordered import HASH_BUCKETS, number_rows
+from sparkjets.operators.ordered import HASH_BUCKETS, cut_order, keep_first, number_rows
+
+TOP_N = 100_000  # rows that one task may hold
 
 
 def take_first(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows in a given order: a top-n, never a full sort."""
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` rows in a given order.
+
+    A top-n for small ``n``. A large one goes through buckets of the (numeric)
+    leading column, so that no task holds all ``n`` rows.
+    """
+    if n <= TOP_N:
+        return df.orderBy(*order).limit(n)
+    return keep_first(df, order[0], F.lit(n), tie_breakers=order[1:])
 
 
 def _check_fractions(parts: Mapping[str, float]) -> None:
@@ -24,20 +32,18 @@ def _check_fractions(parts: Mapping[str, float]) -> None:
 def split_contiguous(df: DataFrame, parts: Mapping[str, float], order: str, out: str = "split") -> DataFrame:
     """Cut the ordered rows into consecutive parts; the last part takes the remainder.
 
-    ``order`` is a unique numeric row id.
+    ``order`` is a unique numeric row id. Rows stay where they are, but for
+    those in the buckets at the cuts.
     """
     _check_fractions(parts)
     size = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    numbered = number_rows(df, order, "_nth")
     names = list(parts)
-    tag, end = F.lit(names[-1]), F.lit(0)
-    bounds = []
+    cuts, end = [], F.lit(0)
     for name in names[:-1]:
         end = end + F.floor(size * F.lit(float(parts[name])))
-        bounds.append((end, name))
-    for bound, name in reversed(bounds):
-        tag = F.when(F.col("_nth") <= bound, name).otherwise(tag)
-    return numbered.withColumn(out, tag).drop("_nth")
+        cuts.append(end)
+    tagged = cut_order(df, order, cuts, "_segment")
+    return tagged.withColumn(out, F.get(F.array(*[F.lit(n) for n in names]), F.col("_segment"))).drop("_segment")
 
 
 def split_random(df: DataFrame, parts: Mapping[str, float], key: str, out: str = "split", seed: int = 42):

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from sparkjets.functions.binning import Binning
 from sparkjets.functions.random import random_order
 from sparkjets.operators.combine import concatenate, sample_mix, same_schema
+from sparkjets.operators.ordered import keep_first
 
 METADATA_SUFFIX = ".metadata"  # the metadata table lies beside the data folder
 
@@ -90,7 +91,7 @@ def load_parallel(
 ) -> DataFrame:
     """Load paths of one schema together, with the path of each row and at most ``take`` rows per path.
 
-    The per-path limit ranks by ``order``; Spark limits each path before the shuffle.
+    The limit takes the first rows by ``order`` (numeric); only rows near the limit are shuffled.
     """
     frames = [spark.read.parquet(p) for p in paths]
     if not same_schema(frames):
@@ -102,8 +103,7 @@ def load_parallel(
         return df
     if order is None:
         raise ValueError("taking rows needs an order column")
-    rank = F.row_number().over(Window.partitionBy("file_label").orderBy(order))
-    return df.withColumn("_nth", rank).where(F.col("_nth") <= take).drop("_nth")
+    return keep_first(df, order, F.lit(take), ["file_label"])
 
 
 def normalise_schema(

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkjets.operators import resample, split
-from sparkjets.operators.ordered import Buckets, number_rows, running_totals
+from sparkjets.operators.ordered import Buckets, keep_first, number_rows, running_totals
 
 
 def rows(n=5000, seed=3):
@@ -111,8 +111,28 @@ def test_empty_input(spark):
     assert number_rows(df, "x").count() == 0
 
 
-def test_far_buckets_are_dropped_before_the_shuffle(df):
+def test_only_buckets_at_the_limit_are_shuffled(df):
     kept = resample.keep_min_count(df, "bin", 6, "id")
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    shuffle = re.search(r"Exchange hashpartitioning\(bin#\d+, _bucket#\d+", plan).start()
-    assert "BroadcastHashJoin [_bucket" in plan[shuffle:]  # the join lies below the rows' only exchange
+    whole, at_limit = plan[plan.index("Union") :].split("Window [", 1)
+    assert "BroadcastHashJoin [_bucket" in whole
+    before_join = whole[: whole.index("BroadcastHashJoin [_bucket")]
+    assert "Exchange hashpartitioning(bin" not in before_join  # whole buckets pass without a shuffle
+
+
+@pytest.mark.parametrize("coarse, fine", [(4, 1), (16, 7), (64, 128)])
+def test_keep_first_against_brute_force(df, coarse, fine):
+    buckets = Buckets.from_quantiles(df, "x", coarse, fine)
+    for limit in (0, 1, 137, 10_000):
+        kept = keep_first(df, "x", F.lit(limit), ["bin"], ["id"], buckets)
+        seen, expected = {}, set()
+        for i, b, *_ in sorted(rows(), key=lambda r: (r[2], r[0])):
+            seen[b] = seen.get(b, 0) + 1
+            if seen[b] <= limit:
+                expected.add(i)
+        assert {r.id for r in kept.collect()} == expected
+
+
+def test_large_take(df, monkeypatch):
+    monkeypatch.setattr(split, "TOP_N", 10)
+    assert sorted(r.id for r in split.take_first(df, 1234, ["id"]).collect()) == list(range(1234))
