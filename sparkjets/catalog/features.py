@@ -375,9 +375,12 @@ def pair_matrix_jetclass(spark, d):
 # ----------------------------------------------- several constituent collections
 
 KINDS = """u AS (SELECT *, (CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) AS kind FROM cons)"""
-TWO = """u AS (SELECT *, (l_returnflag <> 'R')::INT AS kind FROM cons),
+# the leading 100 of all collections together, as the feature sets take them
+LEADING = """SELECT * FROM (SELECT u.*, row_number() OVER (PARTITION BY jet_id ORDER BY pt DESC, kind, l_linenumber, l_partkey,
+        l_suppkey, phi, eta, m) AS place FROM u JOIN ok USING (jet_id)) WHERE place <= 100"""
+TWO = f"""u AS (SELECT *, (l_returnflag <> 'R')::INT AS kind FROM cons),
     ok AS (SELECT jet_id FROM u GROUP BY jet_id HAVING count(DISTINCT kind) = 2),
-    x AS (SELECT u.* FROM u JOIN ok USING (jet_id))"""
+    x AS ({LEADING})"""
 
 
 def topo_jets(spark, d):
@@ -468,7 +471,7 @@ def features_int_const_track(spark, d):
 
 
 THREE = f"""{KINDS}, ok AS (SELECT jet_id FROM u GROUP BY jet_id HAVING count(DISTINCT kind) = 3),
-    x AS (SELECT u.* FROM u JOIN ok USING (jet_id))"""
+    x AS ({LEADING})"""
 THREE_SUM = f"{R('sum(eta - jets_eta)', 4)} AS f0, " + ", ".join(
     f"{R(f'sum((kind = {k})::INT)', 4)} AS f{k + 1}" for k in range(3)
 )

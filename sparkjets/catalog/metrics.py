@@ -314,10 +314,13 @@ TARGETS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
             FROM jets WHERE label IS NOT NULL),
         k AS (SELECT * FROM b WHERE bin_1 IS NOT NULL AND bin_2 IS NOT NULL), {scan_sql('bin_1, bin_2', source='k')},
         w AS (SELECT unnest([{', '.join(f'{t!r}::DOUBLE' for t in TARGETS)}]) AS wp),
-        p AS (SELECT *, row_number() OVER (PARTITION BY bin_1, bin_2, wp ORDER BY (tpr - wp) * (tpr - wp), idx) AS nth FROM scan, w),
-        n AS (SELECT bin_1, bin_2, sum(weight) * sum(weight) / sum(weight * weight) AS ng FROM k WHERE label = 0 GROUP BY 1, 2)
+        p AS (SELECT *, row_number() OVER (PARTITION BY bin_1, bin_2, wp ORDER BY (tpr - wp) * (tpr - wp), idx) AS nth FROM scan, w
+            WHERE tpr IS NOT NULL),
+        n AS (SELECT bin_1, bin_2, sum(weight) * sum(weight) / sum(weight * weight) AS ng FROM k WHERE label = 0 GROUP BY 1, 2),
+        c AS (SELECT * FROM (SELECT DISTINCT bin_1, bin_2 FROM k), w)
         SELECT bin_1, bin_2, wp AS quark_efficiency, {R('1e0 - tnr')} AS gluon_efficiency,
-            {R('sqrt((1e0 - tnr) * tnr / ng)')} AS stat_err FROM p JOIN n USING (bin_1, bin_2) WHERE nth = 1""",
+            {R('sqrt((1e0 - tnr) * tnr / ng)')} AS stat_err
+        FROM c LEFT JOIN (SELECT * FROM p WHERE nth = 1) USING (bin_1, bin_2, wp) LEFT JOIN n USING (bin_1, bin_2)""",
     ("jets", "thr"),
 )
 def efficiency_grid(spark, d):
