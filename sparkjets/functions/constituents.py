@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkjets.functions.arrays import zip_columns
-
 KINEMATICS = ("m", "pt", "eta", "phi")
 
 
@@ -23,22 +21,38 @@ def by_descending_pt(array: Column) -> Column:
     interpreted once per comparison.
     """
     keyed = F.transform(array, lambda c, i: F.struct((-c["pt"]).alias("neg_pt"), i.alias("i"), c.alias("c")))
-    return F.transform(F.array_sort(keyed), lambda k: k["c"])
+    return F.transform(F.sort_array(keyed), lambda k: k["c"])
 
 
-def _tagged(zipped: Column, number: int) -> Column:
-    return F.transform(
-        zipped,
-        lambda c: F.struct(*[c[k].cast("double").alias(k) for k in KINEMATICS], F.lit(number).alias("kind")),
-    )
+def _keyed(kind: str, number: int, jet: str) -> Column:
+    """One collection as structs that sort by descending pt, then collection, then position."""
+    columns = collection_columns(kind, jet)
+
+    def one(c: Column, i: Column) -> Column:
+        pt = c[columns["pt"]].cast("double")
+        return F.struct(
+            (-pt).alias("neg_pt"),
+            F.lit(number).alias("kind"),
+            i.alias("i"),
+            *[c[columns[k]].cast("double").alias(k) for k in KINEMATICS],
+        )
+
+    return F.transform(F.arrays_zip(*[F.col(c) for c in columns.values()]), one)
+
+
+def ordered(kinds: Sequence[str], max_constituents: int | None = 100, jet: str = "jets") -> Column:
+    """All collections together, sorted by pt, cut to ``max_constituents``; the sort keys stay in the structs."""
+    collections = [_keyed(kind, number, jet) for number, kind in enumerate(kinds)]
+    everything = F.sort_array(collections[0] if len(collections) == 1 else F.concat(*collections))
+    return everything if max_constituents is None else F.slice(everything, 1, max_constituents)
 
 
 def merged(kinds: Sequence[str], max_constituents: int | None = 100, jet: str = "jets") -> Column:
-    """All collections together, sorted by pt, cut to ``max_constituents``; ``kind`` says which one."""
-    collections = [_tagged(zip_columns(collection_columns(kind, jet)), number) for number, kind in enumerate(kinds)]
-    everything = collections[0] if len(collections) == 1 else F.concat(*collections)
-    ordered = by_descending_pt(everything)
-    return ordered if max_constituents is None else F.slice(ordered, 1, max_constituents)
+    """Like :func:`ordered`, as ``array<struct<m, pt, eta, phi, kind>>``; ``kind`` numbers the collection."""
+    fields = [*KINEMATICS, "kind"]
+    return F.transform(
+        ordered(kinds, max_constituents, jet), lambda c: F.struct(*[c[f].alias(f) for f in fields])
+    )
 
 
 def type_fields(c: Column, kinds: Sequence[str]) -> list[Column]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkjets.functions import pair_kernel, vectors
 from sparkjets.functions.arrays import let, pad, pad_mask, total, zip_columns
-from sparkjets.functions.constituents import collection_columns, merged, type_fields
+from sparkjets.functions.constituents import collection_columns, ordered, type_fields
 from sparkjets.functions.numeric import hypot, log_clip, ratio
 
 Builder = Callable[..., DataFrame]
@@ -273,7 +273,7 @@ def _constituent_set(node, edge=False, kinds=("{const}",), momenta=False, axis=N
         df, out, max_constituents: int | None = 100, const_name: str = "Constituent", engine: str = "arrow", **_
     ) -> DataFrame:
         names = [k.format(const=const_name) for k in kinds]
-        work = df.withColumn("_c", merged(names, max_constituents))
+        work = df.withColumn("_c", ordered(names, max_constituents))
         if momenta:
             work = work.withColumn("_c", _momenta(F.col("_c")))
         if axis is not None:

@@ -33,7 +33,7 @@ def nest(
     if max_items is not None:
         ranked = ranked.where(F.col("_at") <= max_items)
     item = F.struct(F.col("_at"), *[F.col(source).alias(name) for name, source in columns.items()])
-    grouped = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    grouped = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_items"))
     return grouped.select(*keys, *[F.col("_items")[name].alias(name) for name in columns])
 
 

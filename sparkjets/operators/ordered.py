@@ -67,7 +67,7 @@ class Buckets:
         row = parts.select("lo", "hi", F.when(F.col("n") > 0, F.col("n")).alias("n"), "q").agg(
             F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"), F.flatten(F.collect_list("q")).alias("q")
         )
-        row = row.select("lo", "hi", "n", F.array_sort("q").alias("q")).collect()[0]  # at most 512 * coarse numbers
+        row = row.select("lo", "hi", "n", F.sort_array("q").alias("q")).collect()[0]  # at most 512 * coarse numbers
         if not row.n:
             return cls((), 0.0, 1.0, 1)
         values = row.q

@@ -30,7 +30,7 @@ def nearest_neighbours(points: Column, k: int, coordinates: Sequence[str] = ("et
                 square = square + (a[c] - b[c]) * (a[c] - b[c])
             return F.struct(F.sqrt(square).alias("distance"), j.alias("j"))
 
-        return F.slice(F.array_sort(F.transform(points, one)), 2, k)
+        return F.slice(F.sort_array(F.transform(points, one)), 2, k)
 
     return F.transform(points, distances)
 

@@ -83,7 +83,7 @@ def batches(
         df = take_first(df, take, [lead])
     numbered = number_rows(df, lead, "_nth", tie_breakers=[order], buckets=buckets)
     batch = F.floor((F.col("_nth") - 1) / batch_size).cast("long")
-    items = F.array_sort(F.collect_list(F.struct("_nth", *columns)))
+    items = F.sort_array(F.collect_list(F.struct("_nth", *columns)))
     grouped = numbered.groupBy(batch.alias("batch")).agg(items.alias("_items"))
     return grouped.select("batch", F.size("_items").alias("size"), *[F.col("_items")[c].alias(c) for c in columns])
 
