@@ -59,6 +59,7 @@ def histogram_by(
     """Histogram per hue as count, probability or density.
 
     With ``common_norm`` all hues together are normalised to one, else each hue.
+    Counts also work on a streaming frame, in complete mode.
     The normalising window runs on the binned table, not on the rows.
     """
     if stat not in ("count", "probability", "density"):

@@ -203,6 +203,10 @@ def cut_order(
     rows all fall between two cuts needs no ranking: only the buckets that a cut
     runs through are shuffled and sorted, which is one bucket per cut and
     partition. The number of partitions must be bounded by a binning or a list.
+
+    ``df`` is read for the bucket totals and for both branches of the result, so
+    it must give the same rows every time, and one that is costly to compute is
+    better written out first (``sources.io.materialise``).
     """
     partition = list(partition)
     buckets = buckets or Buckets.from_quantiles(df, order)

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from sparkjets.functions.labels import quark_gluon
 from sparkjets.operators.nested import nest
 
-MAX_CONSTITUENTS = 100  # as in the feature sets: the leading constituents of a jet
-MAX_JETS = 50  # leading jets of an event
+# The records of this domain hold leading objects: feature sets use the leading
+# constituents of a jet, flattening the leading jets of an event. The SQL forms
+# of the queries apply the same two limits.
+MAX_CONSTITUENTS = 100
+MAX_JETS = 50
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
