@@ -17,7 +17,6 @@ from sparkjets.plans.training import training_table
 from sparkjets.sources import tables
 
 jets = tables.jets
-CLIP = "least(greatest({x}, 1e-10), 1e10)"
 
 
 def ln(x: str) -> str:
