@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkjets.llm import packed_ids, packing, token_counts
-from sparkjets.llm.common import table
+from sparkjets.llm import chunk_bpe, importance, license_join, packed_ids, packing, resharding, rule_ledger, token_counts
+from sparkjets.llm.common import keep, table, text_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +31,69 @@ def op2_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
     return packed_ids.read_documents(spark, path)
 
 
+@query("op3_chunk_reuse_bpe")
+def op3_chunk_reuse_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of encoded and decoded texts: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    return chunk_bpe.digests(table(spark, folder, "documents"))
+
+
+#: The old layout that op5 reshards: one shard per hash of the source, of which one holds a third of all rows.
+OLD_SHARDS, NEW_SHARDS = 24, 40
+
+
+@query("op5_flow_resharding")
+def op5_flow_resharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of the new shards, read back: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+    docs = table(spark, folder, "documents")
+    old = F.pmod(F.xxhash64("source"), F.lit(OLD_SHARDS))
+    rows, _ = resharding.reshard(docs, old, NEW_SHARDS)
+    read = rows.select(
+        "doc_id",
+        resharding.row_size().alias("size"),
+        F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
+        F.lit("bytes").alias("law"),
+        "shard",
+    )
+    return resharding.with_slots(read).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+WORD_SQL = r"[^\x20\x09-\x0D]+"
+
+
+@query(
+    "op6_rule_ledger",
+    rf"""
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    w AS (SELECT doc_id, text, regexp_extract_all(text, '{WORD_SQL}') AS ws FROM t),
+    lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t)
+        WHERE regexp_matches(line, '{WORD_SQL}') GROUP BY doc_id),
+    windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, ws[i], ws[i + 1], ws[i + 2]) AS n
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+    repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words
+        FROM windows, (VALUES (0), (1), (2)) AS s(k) WHERE n > 1 GROUP BY doc_id),
+    m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words,
+            length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+            (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+            (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_capitals,
+            coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+            coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+        FROM w LEFT JOIN lines USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+    f AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+            ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT
+            + 4 * (10 * n_symbols > n_words)::BIGINT + 8 * (word_chars < 2 * n_words)::BIGINT
+            + 16 * (word_chars > 15 * n_words)::BIGINT + 32 * (10 * n_dup_lines > 3 * n_lines)::BIGINT
+            + 64 * (10 * n_capitals > 3 * word_chars)::BIGINT)::BIGINT AS fail_bits FROM m)
+    SELECT *, fail_bits = 0 AS kept, 'standard-1' AS policy FROM f
+    """,
+)
+def op6_rule_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """Measurements, failure bits and the verdict of the standard policy for every document."""
+    entries = keep(rule_ledger.ledger(table(spark, folder, "documents")), "ledger")
+    judged = rule_ledger.apply_policy(entries, rule_ledger.STANDARD)
+    return judged.withColumn("base_failed", rule_ledger.fails(rule_ledger.BASE))
+
+
 @query("op7_separator_scan")
 def op7_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Token counts found in flat files without an index: file, ordinal, doc_id, start, n_tokens."""
@@ -42,3 +106,50 @@ def op7_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op8_configuration_packing(spark: SparkSession, folder: str) -> DataFrame:
     """Places of all pieces of all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     return packing.pack_documents(table(spark, folder, "documents"))
+
+
+def _license_sql() -> str:
+    def quoted(words):
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    phrases = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in license_join.PHRASES.items())
+    notices = ", ".join(f"('{label}', {quoted(words)}, {n})" for label, words, n in license_join.notices())
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+    WITH t AS (SELECT doc_id, {lower} AS text FROM documents),
+    w AS (SELECT doc_id, regexp_extract_all(text, '{word}') AS ws FROM t),
+    phrases(p, label) AS (VALUES {phrases}),
+    places AS (SELECT doc_id, i - 1 AS place, label
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) JOIN phrases ON ws[i : i + len(p) - 1] = p),
+    base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+        list(DISTINCT label) AS bl FROM places GROUP BY doc_id),
+    notices(label, of_template, needed) AS (VALUES {notices}),
+    lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(text, chr(10))), '{word}') AS ws FROM t),
+    found AS (SELECT doc_id, label, len(list_intersect(ws, of_template)) AS shared, len(of_template) AS size, needed
+        FROM lines, notices),
+    method AS (SELECT doc_id, list(DISTINCT label) AS ml, max(round(shared / size, 6)) AS best
+        FROM found WHERE shared >= needed GROUP BY doc_id)
+    SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
+        first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+        coalesce(array_to_string(list_sort(bl), ','), '') AS base_labels,
+        coalesce(array_to_string(list_sort(list_distinct(list_concat(bl, ml))), ','), '') AS labels,
+        CASE WHEN bl IS NOT NULL THEN 1e0 ELSE coalesce(best, 0e0) END AS score
+    FROM w LEFT JOIN base USING (doc_id) LEFT JOIN method USING (doc_id)
+    """
+
+
+@query("op9_license_join", _license_sql())
+def op9_license_join(spark: SparkSession, folder: str) -> DataFrame:
+    """License phrases and template matches of every document."""
+    return license_join.scan(table(spark, folder, "documents"))
+
+
+@query("op10_importance_resampling")
+def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Importance weight, Gumbel key and verdict of every document: doc_id, log_weight, key, kept."""
+    docs = table(spark, folder, "documents")
+    model = importance.fit(docs, table(spark, folder, "labels"))
+    weighted = docs.select("doc_id", text_key().alias("text_hash"), model.weight().alias("log_weight"))
+    resampled, _ = importance.resample(keep(weighted, "weights"), model.threshold)
+    return resampled.select("doc_id", "log_weight", "key", "kept")
