@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkjets.llm import chunk_bpe, importance, license_join, packed_ids, packing, resharding, rule_ledger, token_counts
+from sparkjets.llm import chunk_bpe, importance, license_join, near_dups, packed_ids, packing, resharding, rule_ledger, token_counts
 from sparkjets.llm.common import keep, table, text_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,29 @@ def op3_chunk_reuse_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return chunk_bpe.digests(table(spark, folder, "documents"))
 
 
+@query(
+    "op4_chosen_path",
+    r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN ws ELSE ws[i : i + 3] END AS x
+        FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS k FROM s l JOIN s r ON l.x = r.x AND l.doc_id <> r.doc_id
+        GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id
+        WHERE 100 * k >= 80 * (x.n + y.n - k)),
+    reach AS (WITH RECURSIVE r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents
+        UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a) SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, c AS component_id, d.doc_id = c AS kept
+    FROM documents d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id)
+    """,
+)
+def op4_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of near-duplicate documents: doc_id, n_shingles, component_id, kept."""
+    return near_dups.near_duplicates(table(spark, folder, "documents"), words=4)
+
+
 #: The old layout that op5 reshards: one shard per hash of the source, of which one holds a third of all rows.
 OLD_SHARDS, NEW_SHARDS = 24, 40
 
