@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkjets.llm import chunk_bpe, importance, license_join, near_dups, packed_ids, packing, resharding, rule_ledger, token_counts
+from sparkjets.llm import chunk_bpe, cover_search, importance, license_join, near_dups, packed_ids, packing, resharding, rule_ledger, token_counts
 from sparkjets.llm.common import keep, table, text_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,22 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query(
+    "op1_cover_tree_top_k",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
+        WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0)
+    SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *,
+        row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+    """,
+)
+def op1_cover_tree_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 highest integer inner products of every vector whose id is divisible by 100."""
+    return cover_search.top_k(table(spark, folder, "embeddings"), F.col("id") % 100 == 0, 10)
+
+
 @query("op2_packed_ids")
 def op2_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Documents of a packed token file: doc_id, start, n_tokens, ids_crc32."""
