@@ -32,8 +32,12 @@ TOKENS = re.compile(r"\w+|[^\w\s]+")
 SINGLES, PAIRS = 1 << 17, 1 << 16
 #: Labelled rows that the models and the threshold are fitted on, at most, chosen by a hash of the id.
 LABELLED = 40_000
-#: Counts that a bucket needs before its ratio is believed.
-PRIOR = 8.0
+#: Added to the counts of a bucket in both models.
+PRIOR = 1.0
+#: Standard errors by which the log ratio of a bucket is drawn towards 0: of single tokens, and of pairs.
+CAUTION = (1.0, 4.0)
+#: Scale of the Gumbel noise against the log weights; below 1, clear cases are hardly ever drawn the other way.
+TEMPERATURE = 0.2
 #: A rejected good document weighs as much as so many bad documents kept.
 COST = 5.0
 SEED = 20_24
@@ -122,13 +126,19 @@ def count_models(docs: DataFrame, sample: DataFrame) -> tuple[np.ndarray, np.nda
     return target, raw
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """Log ratio of the two models; a bucket with few expected target counts is drawn towards 0."""
+def log_ratio(target: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Log ratio of the two models; what chance alone can explain in a bucket is no evidence.
+
+    A group of copies has words of its own, which a sample of the group's size may
+    well miss: many small ratios that would add up against good documents.
+    """
     out = np.zeros(len(raw))
-    for part in (slice(0, SINGLES), slice(SINGLES, None)):
+    for part, caution in zip((slice(0, SINGLES), slice(SINGLES, None)), CAUTION):
         if target[part].sum():
-            expected = raw[part] * (target[part].sum() / raw[part].sum())
-            out[part] = np.log((target[part] + prior) / (expected + prior))
+            have = target[part] + PRIOR
+            expected = raw[part] * (target[part].sum() / raw[part].sum()) + PRIOR
+            ratio, error = np.log(have / expected), np.sqrt(1 / have + 1 / expected)
+            out[part] = np.sign(ratio) * np.maximum(np.abs(ratio) - caution * error, 0)
     return out
 
 
@@ -199,7 +209,7 @@ def resample(weighted: DataFrame, threshold: float) -> tuple[DataFrame, int]:
     are kept together.
     """
     k = weighted.where(F.col("log_weight") >= F.lit(threshold)).count()
-    keyed = weighted.withColumn("key", sortable(F.col("log_weight") + gumbel("doc_id", "text_hash")))
+    keyed = weighted.withColumn("key", sortable(F.col("log_weight") + F.lit(TEMPERATURE) * gumbel("doc_id", "text_hash")))
     if k == 0:
         return keyed.withColumn("kept", F.lit(False)), 0
     border, inside = kth_largest(keyed, "key", k)
