@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from sparkjets.llm.common import once
 from sparkjets.llm.tokens import WHITE, byte_stand_ins, encoder
 
 #: Bytes that the rolling hash looks at; chunk lengths in bytes.
@@ -127,13 +128,9 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_READY: dict[str | None, Codec] = {}
-
-
 def codec(vocabulary: str | None = None) -> Codec:
-    if vocabulary not in _READY:
-        _READY[vocabulary] = Codec(vocabulary)
-    return _READY[vocabulary]
+    """This worker's codec: chunks stay known from task to task."""
+    return once(("codec", vocabulary), lambda: Codec(vocabulary))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

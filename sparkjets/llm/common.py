@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def once(key: Hashable, make: Callable[[], Any]) -> Any:
+    """Made once per Python worker and kept between its tasks.
+
+    Functions travel with the job by value, so what their modules hold lives for one
+    task only; this store belongs to the worker's process and is never sent.
+    """
+    store = sys.modules.setdefault("_worker_state", types.ModuleType("_worker_state")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

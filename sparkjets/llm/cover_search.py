@@ -42,7 +42,7 @@ BLOCK, GROUP = 8192, 512
 #: Pivots at most: one per so many blocks' worth of vectors, sampled by a hash of the id.
 PIVOTS = 256
 #: A node with no more points is a leaf.
-LEAF = 48
+LEAF = 32
 
 
 class Tree:
@@ -98,7 +98,7 @@ class Tree:
                 own, own_away = left[near], left_away[near]
                 left = left[~near]
                 # a lone point needs no node of its own: such points stay together as leaves
-                if len(own) * 8 <= LEAF:
+                if len(own) <= 2:
                     loose.append(own)
                 else:
                     parts.append((own, new, own_away))

@@ -27,6 +27,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkjets.llm.common import once
+
 TOKENS = re.compile(r"\w+|[^\w\s]+")
 #: Hash buckets of single tokens and of pairs.
 SINGLES, PAIRS = 1 << 17, 1 << 16
@@ -54,15 +56,12 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
-
-
 def buckets(text: str | None) -> np.ndarray:
     """Bucket of every token and every pair of neighbours of a text; pairs come after the ``SINGLES``."""
     if not text:
         return np.empty(0, np.int64)
     tokens = TOKENS.findall(text.lower())
-    hashed = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    hashed = np.fromiter(map(once("token hashes", _Hashes).__getitem__, tokens), np.uint64, len(tokens))
     single = hashed >> np.uint64(64 - SINGLES.bit_length() + 1)
     pair = (hashed[:-1] * _MIX + hashed[1:]) * _MIX >> np.uint64(64 - PAIRS.bit_length() + 1)
     return np.concatenate([single, pair + np.uint64(SINGLES)]).astype(np.int64)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkjets.llm.common import forget, keep
+from sparkjets.llm.common import forget, keep, once
 
 POSITIONS = 96
 DEPTH = 3
@@ -59,9 +59,6 @@ class _Hashes(dict):
         return value
 
 
-_HASHES = _Hashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -75,7 +72,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     found = WORDS.findall(text.encode("utf-8", "surrogatepass").translate(_LOWER))
     if not found:
         return np.empty(0, np.uint64)
-    hashed = np.fromiter(map(_HASHES.__getitem__, found), np.uint64, len(found))
+    hashed = np.fromiter(map(once("word hashes", _Hashes).__getitem__, found), np.uint64, len(found))
     size = min(words, len(found))
     n = len(found) - size + 1
     total = np.full(n, size, np.uint64)

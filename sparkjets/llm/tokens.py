@@ -17,6 +17,8 @@ import re
 
 import numpy as np
 
+from sparkjets.llm.common import once
+
 #: File of the vocabulary, looked up in the installed ``public_tokenizers`` package.
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -104,12 +106,6 @@ class Encoder:
         return np.array(ids, "<u4")
 
 
-_READY: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str | None = None, plain: bool = False) -> Encoder:
     """This worker's encoder; workers serve many tasks, so the vocabulary is read once."""
-    key = (path, plain)
-    if key not in _READY:
-        _READY[key] = Encoder(path, plain)
-    return _READY[key]
+    return once(("encoder", path, plain), lambda: Encoder(path, plain))
