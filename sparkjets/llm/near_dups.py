@@ -311,7 +311,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     ).select(F.col("doc_id").alias("a"), F.col("d").alias("b"))
     if not twice.isEmpty():
         roots = settle(twice)
-    found = rows.join(roots, "d", "left").withColumn("component_id", F.coalesce("root", "d", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "d", "doc_id"))
+    found = rows.join(roots, "d", "left").withColumn("component_id", component)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
