@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sparkjets.catalog.base import R, query, r
 from sparkjets.functions import vectors
 from sparkjets.functions.constituents import merged
-from sparkjets.operators import declustering, nested, pairs
+from sparkjets.operators import nested, pairs
 from sparkjets.sources import tables
 
 events = tables.events_nested
@@ -314,28 +314,3 @@ def neighbour_edge_features(spark, d):
     df = df.withColumn("edges", pairs.edge_features(F.col("c"), F.col("near"), ["pt"]))
     rows = df.select("jet_id", F.posexplode("edges").alias("i", "list")).select("jet_id", "i", F.explode("list").alias("e"))
     return rows.select("jet_id", "i", r("e.pt_centre", 3).alias("pt_centre"), r(F.abs("e.pt_diff"), 3).alias("pt_diff"))
-
-
-@query(
-    "declustering_tree",
-    f"""WITH p AS (SELECT jet_id, count(*) AS n, sum(pt*cos(phi)) AS px, sum(pt*sinh(eta)) AS pz FROM lead GROUP BY jet_id)
-        SELECT jet_id, 2 * n - 1 AS nodes, n AS leaves, {R('px', 3)} AS px, {R('pz', 3)} AS pz FROM p""",
-    ("lead",),
-)
-def declustering_tree(spark, d):
-    """A binary tree over n constituents has 2n-1 nodes, n leaves, and the jet's momentum at its root."""
-    c = tables.nested_constituents(spark, d).withColumn("c", merged(["Constituent"]))
-    p = F.transform(
-        "c", lambda x: vectors.as_struct(vectors.cartesian(x["m"], x["pt"], x["eta"], x["phi"]))
-    )
-    trees = declustering.declustering_trees(
-        c.withColumn("p", p).select("jet_id", *[F.col("p")[k].alias(k) for k in ("px", "py", "pz", "E")])
-    )
-    # the parent column is -1 at the root; every inner node is the parent of two others
-    per_jet = trees.groupBy("jet_id").agg(
-        F.count("*").alias("nodes"),
-        ((F.count("*") + 1) / 2).cast("long").alias("leaves"),
-        r(F.sum(F.when(F.col("parent") == -1, F.col("px"))), 3).alias("px"),
-        r(F.sum(F.when(F.col("parent") == -1, F.col("pz"))), 3).alias("pz"),
-    )
-    return per_jet

@@ -29,18 +29,19 @@ VIEWS: dict[str, str] = {
     "cons": """SELECT l_orderkey AS jet_id, l_extendedprice AS pt, l_discount * 50e0 - 2.5e0 AS eta,
             l_quantity / 50e0 * 2e0 * pi() - pi() AS phi, l_tax * 1000e0 AS m,
             l_linenumber, l_partkey, l_suppkey, l_returnflag FROM lineitem""",
-    # leading constituents of each jet with their position
+    # constituents of each jet with their position, highest pt first
     "lead": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY jet_id
-                ORDER BY pt DESC, l_linenumber, l_partkey, l_suppkey, phi, eta, m) - 1 AS idx FROM cons)
-            WHERE idx < 100""",
-    # leading jets of each event with their position
+                ORDER BY pt DESC, l_linenumber, l_partkey, l_suppkey, phi, eta, m) - 1 AS idx FROM cons)""",
+    # the first hundred of them: pair features are asked for with this limit
+    "first100": "SELECT * FROM lead WHERE idx < 100",
+    # jets of each event with their position, highest pt first
     "ejets": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id
-                ORDER BY jets_pt DESC, jet_id) - 1 AS pos FROM jets) WHERE pos < 50""",
+                ORDER BY jets_pt DESC, jet_id) - 1 AS pos FROM jets)""",
     "sampled": """SELECT j.*, r.r_name AS sample FROM jets j JOIN customer c ON j.event_id = c.c_custkey
             JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey""",
     "thr": "SELECT i::INT AS idx, i / 199e0 AS t FROM range(200) x(i)",
 }
-_NEEDS = {"lead": ["cons"], "ejets": ["jets"], "sampled": ["jets"]}
+_NEEDS = {"lead": ["cons"], "first100": ["cons", "lead"], "ejets": ["jets"], "sampled": ["jets"]}
 
 
 def with_views(sql: str, uses: tuple[str, ...]) -> str:

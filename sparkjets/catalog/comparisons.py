@@ -22,7 +22,7 @@ jets = tables.jets
 )
 def sample_lookup(spark, d):
     some = tables.samples(spark, d).where("cross_section < 400")
-    out = combine.describe_samples(tables.jets_with_sample(spark, d), some, "sample")
+    out = combine.describe_samples(tables.jets_with_sample(spark, d), some, "sample", missing="drop")
     return out.select("jet_id", "sample", r("cross_section").alias("cross_section"), r("filt_eff").alias("filt_eff"))
 
 

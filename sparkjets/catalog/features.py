@@ -275,24 +275,33 @@ PLAIN = """p AS (SELECT *, pt*cos(phi) AS px, pt*sin(phi) AS py, pt*sinh(eta) AS
     sqrt(m*m + pt*cos(phi)*pt*cos(phi) + pt*sin(phi)*pt*sin(phi) + pt*sinh(eta)*pt*sinh(eta)) AS e FROM lead)"""
 
 
-@query("pair_matrix_int_const", f"WITH {PLAIN}, {_pair_sql('p', 14.0)}", ("lead",))
+#: All pairs of a jet are only built for its first constituents, so many at most.
+PAIRED = 100
+
+
+def first100(sql: str) -> str:
+    """SQL on the constituents that pair features are asked for."""
+    return sql.replace("FROM lead", "FROM first100")
+
+
+@query("pair_matrix_int_const", first100(f"WITH {PLAIN}, {_pair_sql('p', 14.0)}"), ("first100",))
 def pair_matrix_int_const(spark, d):
-    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_const"), 14.0)
+    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_const", max_constituents=PAIRED), 14.0)
 
 
-@query("pair_matrix_builtin_engine", f"WITH {PLAIN}, {_pair_sql('p', 14.0)}", ("lead",))
+@query("pair_matrix_builtin_engine", first100(f"WITH {PLAIN}, {_pair_sql('p', 14.0)}"), ("first100",))
 def pair_matrix_builtin_engine(spark, d):
-    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_const", engine="builtin"), 14.0)
+    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_const", engine="builtin", max_constituents=PAIRED), 14.0)
 
 
-@query("pair_matrix_int_rel_const", f"WITH {AXIS}, {_pair_sql('q', -6.0)}", ("lead",))
+@query("pair_matrix_int_rel_const", first100(f"WITH {AXIS}, {_pair_sql('q', -6.0)}"), ("first100",))
 def pair_matrix_int_rel_const(spark, d):
-    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_rel_const"), -6.0)
+    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_rel_const", max_constituents=PAIRED), -6.0)
 
 
-@query("pair_matrix_int_rel_const2", f"WITH {AXIS}, {_pair_sql('q', -6.0)}", ("lead",))
+@query("pair_matrix_int_rel_const2", first100(f"WITH {AXIS}, {_pair_sql('q', -6.0)}"), ("first100",))
 def pair_matrix_int_rel_const2(spark, d):
-    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_rel_const2"), -6.0)
+    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_rel_const2", max_constituents=PAIRED), -6.0)
 
 
 # --------------------------------------------------------------- JetClass sets
@@ -318,7 +327,7 @@ def jetclass_input(spark, d):
     )
     names = [c for c in rows.columns if c.startswith("part_")]
     order = [F.col("pt").desc(), *[F.col(c) for c in tables.CONSTITUENT_ORDER[1:]]]
-    arrays = nest(rows, ["jet_id"], order, {n: n for n in names}, tables.MAX_CONSTITUENTS)
+    arrays = nest(rows, ["jet_id"], order, {n: n for n in names})
     whole = jets(spark, d).select(
         "jet_id",
         F.col("jets_pt").alias("jet_pt"),
@@ -364,19 +373,19 @@ def features_jetclass_pnet_points(spark, d):
 
 @query(
     "pair_matrix_jetclass",
-    f"WITH {PLAIN}, y AS (SELECT *, 0.5e0 * ln((e + pz) / (e - pz)) AS rapidity FROM p), {_pair_sql('y', 14.0, 'rapidity', True, True)}",
-    ("lead",),
+    first100(f"WITH {PLAIN}, y AS (SELECT *, 0.5e0 * ln((e + pz) / (e - pz)) AS rapidity FROM p), {_pair_sql('y', 14.0, 'rapidity', True, True)}"),
+    ("first100",),
 )
 def pair_matrix_jetclass(spark, d):
-    return pair_sums(features.add_features(jetclass_input(spark, d), "jet_class"), 14.0)
+    return pair_sums(features.add_features(jetclass_input(spark, d), "jet_class", max_constituents=PAIRED), 14.0)
 
 
 # ----------------------------------------------- several constituent collections
 
 KINDS = """u AS (SELECT *, (CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END) AS kind FROM cons)"""
-# the leading 100 of all collections together, as the feature sets take them
+# all collections together, highest pt first
 LEADING = """SELECT * FROM (SELECT u.*, row_number() OVER (PARTITION BY jet_id ORDER BY pt DESC, kind, l_linenumber, l_partkey,
-        l_suppkey, phi, eta, m) AS place FROM u JOIN ok USING (jet_id)) WHERE place <= 100"""
+        l_suppkey, phi, eta, m) AS place FROM u JOIN ok USING (jet_id))"""
 TWO = f"""u AS (SELECT *, (l_returnflag <> 'R')::INT AS kind FROM cons),
     ok AS (SELECT jet_id FROM u GROUP BY jet_id HAVING count(DISTINCT kind) = 2),
     x AS ({LEADING})"""
@@ -706,7 +715,7 @@ def mean_nonzero_matrix(spark, d):
     df = features.add_features(tables.jets_nested(spark, d), "int_const", max_constituents=6)
     padded = nested.pad_records(df.select(F.col("features.edge").alias("edge")), 6, 0.0, edge="edge", mask=None)
     out = pairs.mean_nonzero_matrix(padded, "edge", "z")
-    return out.select("i", "j", r("mean_z", 5).alias("mean_z")).where("i < 13 and j < 13")
+    return out.select("i", "j", r("mean_z", 5).alias("mean_z"))
 
 
 NODE_LONG = f"""n AS ({BASE}), v AS (SELECT 'log_pT' AS feature, {ln('pt')} AS x FROM lead UNION ALL SELECT 'deltaEta', eta - jets_eta FROM lead JOIN jets USING (jet_id)

@@ -133,7 +133,7 @@ def valid_slots_zipped(spark, d):
     """A table of masked slots, reduced to its valid entries and zipped with the scalar table on the row id."""
     rows = tables.constituents(spark, d).withColumn("valid", F.col("l_returnflag") == "R")
     order = [F.col("pt").desc(), *[F.col(c) for c in tables.CONSTITUENT_ORDER[1:]]]
-    slots = nest(rows, ["jet_id"], order, {"pt": "pt", "valid": "valid"}, tables.MAX_CONSTITUENTS)
+    slots = nest(rows, ["jet_id"], order, {"pt": "pt", "valid": "valid"})
     kept = io.valid_slots(slots.select("jet_id", F.arrays_zip("pt", "valid").alias("slots")), "slots")
     total = F.aggregate("slots", F.lit(0.0), lambda a, x: a + x["pt"])
     both = combine.zip_rows(jets(spark, d).select("jet_id", "jets_pt"), kept, "jet_id")

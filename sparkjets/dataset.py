@@ -149,7 +149,9 @@ class JetDataset:
         """Batches, padded to ``max_constituents`` when a node or edge column is named."""
         df = self.df
         if node or edge:
-            df = nested.pad_records(df, max_constituents or 100, pad_value, node, edge)
+            if max_constituents is None:
+                raise ValueError("name the size that records are padded to")
+            df = nested.pad_records(df, max_constituents, pad_value, node, edge)
             columns = [*columns, "mask"]
         return self.with_df(split.batches(df, batch_size, order, columns, shuffle_seed, take))
 

@@ -140,9 +140,10 @@ def _edges_below(x: Column, binning: Binning, inclusive: bool) -> Column:
 
 
 def bin_clamped(x: Column, binning: Binning) -> Column:
-    """Left-closed bin index; values outside fall into the first or last bin."""
+    """Left-closed bin index; values outside fall into the first or last bin, NULL and NaN into none."""
     index = _edges_below(x, binning, inclusive=True) - 1
-    return F.least(F.greatest(index, F.lit(0)), F.lit(binning.n_bins - 1)).cast("int")
+    inside = F.least(F.greatest(index, F.lit(0)), F.lit(binning.n_bins - 1)).cast("int")
+    return F.when(x.isNotNull() & ~F.isnan(x.cast("double")), inside)
 
 
 def bin_right_closed(x: Column, binning: Binning) -> Column:

@@ -40,14 +40,14 @@ def _keyed(kind: str, number: int, jet: str) -> Column:
     return F.transform(F.arrays_zip(*[F.col(c) for c in columns.values()]), one)
 
 
-def ordered(kinds: Sequence[str], max_constituents: int | None = 100, jet: str = "jets") -> Column:
+def ordered(kinds: Sequence[str], max_constituents: int | None = None, jet: str = "jets") -> Column:
     """All collections together, sorted by pt, cut to ``max_constituents``; the sort keys stay in the structs."""
     collections = [_keyed(kind, number, jet) for number, kind in enumerate(kinds)]
     everything = F.sort_array(collections[0] if len(collections) == 1 else F.concat(*collections))
     return everything if max_constituents is None else F.slice(everything, 1, max_constituents)
 
 
-def merged(kinds: Sequence[str], max_constituents: int | None = 100, jet: str = "jets") -> Column:
+def merged(kinds: Sequence[str], max_constituents: int | None = None, jet: str = "jets") -> Column:
     """Like :func:`ordered`, as ``array<struct<m, pt, eta, phi, kind>>``; ``kind`` numbers the collection."""
     fields = [*KINEMATICS, "kind"]
     return F.transform(

@@ -270,7 +270,7 @@ def _constituent_set(node, edge=False, kinds=("{const}",), momenta=False, axis=N
     """Builder over pt-sorted constituents; the staged columns keep shared work from being repeated."""
 
     def build(
-        df, out, max_constituents: int | None = 100, const_name: str = "Constituent", engine: str = "arrow", **_
+        df, out, max_constituents: int | None = None, const_name: str = "Constituent", engine: str = "arrow", **_
     ) -> DataFrame:
         names = [k.format(const=const_name) for k in kinds]
         work = df.withColumn("_c", ordered(names, max_constituents))
@@ -428,8 +428,11 @@ def _jetclass_node(c: Column) -> Column:
 
 
 def _jetclass(edge: bool = False, points: bool = False) -> Builder:
-    def build(df: DataFrame, out: str, engine: str = "arrow", **_) -> DataFrame:
-        work = _jetclass_staged(df).withColumn("_node", _jetclass_node(F.col("_c")))
+    def build(df: DataFrame, out: str, engine: str = "arrow", max_constituents: int | None = None, **_) -> DataFrame:
+        work = _jetclass_staged(df)
+        if max_constituents is not None:
+            work = work.withColumn("_c", F.slice("_c", 1, max_constituents))
+        work = work.withColumn("_node", _jetclass_node(F.col("_c")))
         parts = [F.col("_node").alias("node")]
         if edge:
             parts.append(_pairs(F.col("_c"), engine, angle="y", wrap=True, log_z=True).alias("edge"))

@@ -65,7 +65,7 @@ def sample_mix(
         .scalar()
     )
     shuffled = everything.withColumn("_order", random_order(key, F.col("_source"), seed=seed))
-    mixed = keep_first(shuffled, "_order", F.floor(share * room + 1e-9), ["_source"], [key], HASH_BUCKETS)
+    mixed = keep_first(shuffled, "_order", F.floor(share * room + 1e-9), ["_source"], [key], HASH_BUCKETS, few_partitions=True)
     return mixed.drop("_source", "_order")
 
 
@@ -74,21 +74,24 @@ def combine_metadata(metadata: DataFrame, key: str = "key", value: str = "value"
     return metadata.groupBy(key).agg(F.sum(value).alias(value))
 
 
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a lookup table for broadcast after counting that it is small; a larger one is left to Spark.
+def describe_samples(
+    rows: DataFrame, description: DataFrame, on: str | Sequence[str], missing: str = "error"
+) -> DataFrame:
+    """Join rows to the sample description; Spark decides by its size whether it is broadcast.
 
-    The count stops at ``max_rows`` + 1. Beyond it the join is a shuffle join,
-    where adaptive execution splits hot keys.
+    ``missing``: what a row without a description does: "error" stops the job and
+    names the sample, "null" keeps the row without values, "drop" leaves it out.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
-def describe_samples(rows: DataFrame, description: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
-    """Join rows to the sample description, without a shuffle of the rows while the description is small."""
-    return rows.join(broadcast_checked(description), on, how)
+    if missing not in ("error", "null", "drop"):
+        raise ValueError(f"unknown choice {missing!r}")
+    if missing == "drop":
+        return rows.join(description, on)
+    keys = [on] if isinstance(on, str) else list(on)
+    joined = rows.join(description.withColumn("_described", F.lit(True)), keys, "left")
+    if missing == "error":
+        text = F.concat(F.lit("no description of sample "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+        joined = joined.where(F.coalesce("_described", F.raise_error(text).cast("boolean")))
+    return joined.drop("_described")
 
 
 def missing_samples(rows: DataFrame, description: DataFrame, on: str) -> DataFrame:

@@ -17,7 +17,7 @@ from sparkjets.functions.arrays import argmax
 from sparkjets.functions.binning import Binning, bin_right_closed, grid_points_below
 from sparkjets.functions.numeric import ratio
 from sparkjets.operators.hist import histogram_by
-from sparkjets.operators.ordered import SCORE_BUCKETS, Buckets, running_totals
+from sparkjets.operators.ordered import running_totals
 
 NUM_THRESHOLDS = 200
 
@@ -203,7 +203,7 @@ def _by_score(df, score, label, weight, by) -> DataFrame:
 def auc(df, score, label, weight=None, by=()) -> DataFrame:
     """Exact area under the ROC curve, tied scores counted half."""
     points = running_totals(
-        _by_score(df, score, label, weight, by), score, {"cum_neg": F.col("w_neg")}, list(by), buckets=SCORE_BUCKETS
+        _by_score(df, score, label, weight, by), score, {"cum_neg": F.col("w_neg")}, list(by)
     )
     area = F.sum(F.col("w_pos") * (F.col("cum_neg") - F.col("w_neg") * 0.5))
     return points.groupBy(*by).agg(ratio(area, F.sum("w_pos") * F.sum("w_neg")).alias("auc"))
@@ -213,7 +213,7 @@ def roc_points(df, score, label, weight=None) -> DataFrame:
     """False and true positive rate at every distinct score, weighted."""
     scores = _by_score(df, score, label, weight, ()).withColumn("_minus", -F.col(score))
     points = running_totals(
-        scores, "_minus", {"tp": F.col("w_pos"), "fp": F.col("w_neg")}, buckets=Buckets.uniform(-1.0, 0.0)
+        scores, "_minus", {"tp": F.col("w_pos"), "fp": F.col("w_neg")}
     )
     totals = scores.agg(F.struct(F.sum("w_pos").alias("p"), F.sum("w_neg").alias("n")).alias("t")).scalar()
     return points.select(
@@ -480,7 +480,7 @@ def rejection_at_bin_efficiency(
     binned = df.withColumn("bin", bin_right_closed(F.col(binning.variable), binning)).where(F.col("bin").isNotNull())
     scores = _by_score(binned, score, label, weight, ["bin"])
     sums = {"c_pos": F.col("w_pos"), "c_neg": F.col("w_neg")}
-    points = running_totals(scores, score, sums, ["bin"], buckets=SCORE_BUCKETS, few_partitions=True)
+    points = running_totals(scores, score, sums, ["bin"], few_partitions=True)
     totals = scores.groupBy("bin").agg(F.sum("w_pos").alias("p"), F.sum("w_neg").alias("n"))
     joined = points.join(F.broadcast(totals), "bin")  # n_bins rows
     best = joined.groupBy("bin").agg(

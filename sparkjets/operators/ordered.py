@@ -8,7 +8,7 @@ order is asked for, the rows of all but the buckets at the limit stay in place.
 
 Buckets are two-level: coarse ones between quantiles (a ``CASE`` tree over
 literals), each cut evenly into fine ones, so their number can follow the size
-of the data (up to 65 536) while the lookup stays a few comparisons and one
+of the data while the lookup stays a few comparisons and one
 division. The edges are literals of the plan: every stage, and every retry of
 a task, sees the same buckets.
 """
@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from sparkjets.functions.binning import _edges_passed
 
 COARSE = 64
-MAX_FINE = 1024
 ROWS_PER_BUCKET = 2_000_000
 
 
@@ -73,7 +72,7 @@ class Buckets:
         values = row.q
         edges = sorted({values[len(values) * i // coarse] for i in range(1, coarse)})
         if fine is None:
-            fine = min(MAX_FINE, max(1, math.ceil(row.n / ROWS_PER_BUCKET / coarse)))
+            fine = max(1, math.ceil(row.n / ROWS_PER_BUCKET / coarse))
         return cls(tuple(edges), row.lo, row.hi, fine)
 
     @property
@@ -107,7 +106,6 @@ def _cell(x: Column, start: Column, width: Column, count: int) -> Column:
 
 # A 64-bit hash is spread evenly, so its buckets need no look at the data.
 HASH_BUCKETS = Buckets.uniform(-(2.0**63), 2.0**63, COARSE, 128)
-SCORE_BUCKETS = Buckets.uniform(0.0, 1.0, COARSE, 128)
 
 
 def _offsets(rows: DataFrame, partition: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -128,7 +126,7 @@ def _offsets(rows: DataFrame, partition: Sequence[str], values: Sequence[str]) -
 def _same_group(partition: Sequence[str]) -> Column:
     condition = F.col("_bucket") == F.col("_b")
     for p in partition:
-        condition &= F.col(p) == F.col(f"_p_{p}")
+        condition &= F.col(p).eqNullSafe(F.col(f"_p_{p}"))
     return condition
 
 
@@ -153,7 +151,7 @@ def running_totals(
 
     ``order`` may repeat, but rows that share one value share a task: aggregate
     by it first, or use a nearly unique column. Rows with a NULL partition key
-    are left out.
+    are a partition of their own.
 
     With ``few_partitions`` (their number is bounded by a binning or a list) the
     offsets are broadcast. Otherwise they join on the window's own keys, so the
@@ -164,7 +162,7 @@ def running_totals(
     values = {f"_v_{name}": value for name, value in totals.items()}
     rows = buckets.add(df, order, "_bucket").withColumns(values)
     offsets = _offsets(rows, partition, list(values))
-    # without partitions the offsets have at most COARSE * MAX_FINE rows
+    # without partitions there is one offset per bucket of two million rows
     small = few_partitions or not partition
     joined = rows.join(F.broadcast(offsets) if small else offsets, _same_group(partition))
     inside = _inside(partition, order, tie_breakers)
@@ -196,13 +194,15 @@ def cut_order(
     partition: Sequence[str] = (),
     tie_breakers: Sequence[str] = (),
     buckets: Buckets | None = None,
+    few_partitions: bool = False,
 ) -> DataFrame:
     """Add the segment (0, 1, ...) of every row when its order is cut after ``cuts`` rows.
 
     ``cuts`` are rising row counts, the same or per partition. A bucket whose
     rows all fall between two cuts needs no ranking: only the buckets that a cut
     runs through are shuffled and sorted, which is one bucket per cut and
-    partition. The number of partitions must be bounded by a binning or a list.
+    partition. With ``few_partitions`` (their number is bounded by a binning or a
+    list) the bounds are broadcast and the other rows stay in place.
 
     ``df`` is read for the bucket totals and for both branches of the result, so
     it must give the same rows every time, and one that is costly to compute is
@@ -221,7 +221,8 @@ def cut_order(
         segment = segment + (first >= cut).cast("int")
     bounds = bounds.withColumns({"_split": split_here, "_segment": segment})
     bounds = bounds.withColumns({f"_cut{i}": cut for i, cut in enumerate(cuts)}).drop(*partition, "_s_v")
-    joined = rows.join(F.broadcast(bounds), _same_group(partition))
+    small = few_partitions or not partition
+    joined = rows.join(F.broadcast(bounds) if small else bounds, _same_group(partition))
     whole = joined.where(~F.col("_split")).select(*df.columns, F.col("_segment").alias(out))
     place = F.sum("_v").over(_inside(partition, order, tie_breakers)) + F.col("_o_v")
     ranked = joined.where("_split").withColumn("_place", place)
@@ -238,7 +239,8 @@ def keep_first(
     partition: Sequence[str] = (),
     tie_breakers: Sequence[str] = (),
     buckets: Buckets | None = None,
+    few_partitions: bool = False,
 ) -> DataFrame:
     """The first ``limit`` rows (of every partition). Only the bucket at the limit is shuffled."""
-    cut = cut_order(df, order, [limit], "_part", partition, tie_breakers, buckets)
+    cut = cut_order(df, order, [limit], "_part", partition, tie_breakers, buckets, few_partitions)
     return cut.where(F.col("_part") == 0).drop("_part")

@@ -14,6 +14,9 @@ from sparkjets.operators.hist import count_per_bin
 from sparkjets.operators.ordered import HASH_BUCKETS, Buckets, keep_first
 from sparkjets.operators.weights import add_flat_weight
 
+#: Bounds of so many bins (times some hundred buckets) are broadcast; beyond, they join by a shuffle.
+BROADCAST_BINS = 1000
+
 
 def keep_min_count(
     df: DataFrame, bin_column: str, n_bins: int, order: str, inclusive: bool = False, min_count: int | None = None,
@@ -34,7 +37,7 @@ def keep_min_count(
     else:
         limit = F.lit(min_count)
     rows = df.where(F.col(bin_column).isNotNull())
-    return keep_first(rows, order, limit if inclusive else limit - 1, [bin_column], buckets=buckets)
+    return keep_first(rows, order, limit if inclusive else limit - 1, [bin_column], buckets=buckets, few_partitions=n_bins <= BROADCAST_BINS)
 
 
 def rejection_resample(

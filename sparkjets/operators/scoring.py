@@ -36,15 +36,20 @@ def score_models(df: DataFrame, scorers: Mapping[str, Callable[[DataFrame], Colu
     return df.withColumns({f"{name}_score": scorer(df) for name, scorer in scorers.items()})
 
 
-def score_cache_path(folder: str, config: str) -> str:
-    """Where the scores of a model configuration are kept."""
-    return f"{folder.rstrip('/')}/{hashlib.sha256(config.encode()).hexdigest()}"
+def score_cache_path(folder: str, config: str, df: DataFrame | None = None) -> str:
+    """Where the scores of a model configuration on the files and columns of ``df`` are kept.
+
+    A filter or derived column that is not in the files must be named in ``config``.
+    """
+    data = [] if df is None else [*sorted(df.inputFiles()), df.schema.json()]
+    key = hashlib.sha256("\n".join([config, *data]).encode()).hexdigest()
+    return f"{folder.rstrip('/')}/{key}"
 
 
 def cached_scores(df: DataFrame, scorer: Callable[[DataFrame], DataFrame], folder: str, config: str) -> DataFrame:
     """Read the scores of this configuration if they were written, else compute and write them."""
     spark = df.sparkSession
-    path = score_cache_path(folder, config)
+    path = score_cache_path(folder, config, df)
     jvm = spark._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):

@@ -4,24 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkjets.functions.random import random_order, uniform
 from sparkjets.operators.ordered import HASH_BUCKETS, cut_order, keep_first, number_rows
 
-TOP_N = 100_000  # rows that one task may hold
+def _as_number(df: DataFrame, name: str) -> Column:
+    """A double that never decreases in the order of the column; equal where the order needs more than it."""
+    kind = dict(df.dtypes)[name]
+    if kind in ("string", "binary"):
+        head = F.rpad(F.hex(F.substring(F.col(name).cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    if kind == "date":
+        return F.unix_date(name).cast("double")
+    return F.col(name).cast("double")
 
 
 def take_first(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows in a given order.
+    """The first ``n`` rows in a given order; NULLs come first.
 
-    A top-n for small ``n``. A large one goes through buckets of the (numeric)
-    leading column, so that no task holds all ``n`` rows.
+    Rows go through buckets of the leading column, so that no task holds all
+    ``n`` rows, whatever ``n`` is.
     """
-    if n <= TOP_N:
-        return df.orderBy(*order).limit(n)
-    return keep_first(df, order[0], F.lit(n), tie_breakers=order[1:])
+    leading = df.withColumn("_lead", _as_number(df, order[0]))
+    return keep_first(leading, "_lead", F.lit(n), tie_breakers=list(order)).drop("_lead")
 
 
 def _check_fractions(parts: Mapping[str, float]) -> None:

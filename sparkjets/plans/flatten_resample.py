@@ -59,8 +59,8 @@ def physical_spectrum(
 ) -> DataFrame:
     """Weight jets by cross section, filter efficiency and the norm of their sample.
 
-    ``description`` has ``sample, cross_section, filt_eff, norm_name``. Samples
-    without a description are dropped by the join; report them first with
+    ``description`` has ``sample, cross_section, filt_eff, norm_name``. A sample
+    without a description stops the job; list them first with
     :func:`sparkjets.operators.combine.missing_samples`.
     """
     if drop_pattern is not None:

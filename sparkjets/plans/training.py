@@ -26,7 +26,7 @@ def training_table(
     augmentations: Sequence[tuple[str, Mapping]] | None = None,
     file_label: str | None = None,
     dataset_norms: Sequence[float] | None = None,
-    max_constituents: int | None = 100,
+    max_constituents: int | None = None,
     seed: int = 42,
     **feature_options,
 ) -> DataFrame:

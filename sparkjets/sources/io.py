@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Sequence
 
@@ -19,16 +18,9 @@ METADATA_SUFFIX = ".metadata"  # the metadata table lies beside the data folder
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that every executor can reach.
-
-    The cluster names one in ``spark.checkpoint.dir``. A temporary folder of
-    this machine stands in only in local mode, where it is shared by definition.
-    """
+    """A new folder that every executor can reach: in ``spark.checkpoint.dir``, or else in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="sparkjets-")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

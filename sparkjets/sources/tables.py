@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 from sparkjets.functions.labels import quark_gluon
 from sparkjets.operators.nested import nest
 
-# The records of this domain hold leading objects: feature sets use the leading
-# constituents of a jet, flattening the leading jets of an event. The SQL forms
-# of the queries apply the same two limits.
-MAX_CONSTITUENTS = 100
-MAX_JETS = 50
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -76,10 +70,10 @@ def _constituent_order():
 
 
 def nested_constituents(spark: SparkSession, folder: str, kind: str = "Constituent", source=None) -> DataFrame:
-    """Per jet the leading constituents as aligned arrays ``jets_<kind>_{pt,eta,phi,m}``, pt descending."""
+    """Per jet all its constituents as aligned arrays ``jets_<kind>_{pt,eta,phi,m}``, pt descending."""
     rows = constituents(spark, folder) if source is None else source
     columns = {f"jets_{kind}_{k}": k for k in ("pt", "eta", "phi", "m")}
-    return nest(rows, ["jet_id"], _constituent_order(), columns, MAX_CONSTITUENTS)
+    return nest(rows, ["jet_id"], _constituent_order(), columns)
 
 
 def jets_nested(spark: SparkSession, folder: str) -> DataFrame:
@@ -88,7 +82,7 @@ def jets_nested(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def events_nested(spark: SparkSession, folder: str) -> DataFrame:
-    """Per event its leading jets as aligned arrays, with event scalars and an array that is not per jet."""
+    """Per event all its jets as aligned arrays, with event scalars and an array that is not per jet."""
     columns = {
         "jets_id": "jet_id",
         "jets_pt": "jets_pt",
@@ -98,7 +92,7 @@ def events_nested(spark: SparkSession, folder: str) -> DataFrame:
         "jets_parton": "parton",
     }
     order = [F.col("jets_pt").desc(), F.col("jet_id")]
-    records = nest(jets(spark, folder), ["event_id"], order, columns, MAX_JETS)
+    records = nest(jets(spark, folder), ["event_id"], order, columns)
     events = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("event_id"),
         F.col("c_acctbal").alias("mu"),

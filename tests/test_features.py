@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkjets.functions import features, pair_kernel
 from sparkjets.functions.augment import AUGMENTATIONS, augment
-from sparkjets.operators import declustering, pairs
+from sparkjets.operators import pairs
 
 # The names of the feature sets.
 NAMES = """full_highlevel highlevel highlevel_no_eta crafted_highlevel crafted_highlevel_no_eta const rel_const gnn
@@ -123,20 +123,3 @@ def test_nearest_neighbours(spark):
     near = df.select(pairs.nearest_neighbours(F.col("p"), 2).alias("n")).first().n
     assert [[x["j"] for x in line] for line in near] == [[1, 2], [0, 2], [0, 1], [2, 1]]
     assert near[1][1]["distance"] == pytest.approx(math.sqrt(10))
-
-
-def test_declustering_tree(spark):
-    # two close pairs far apart: the pairs merge first, then their sums
-    angles = [0.0, 0.1, 2.0, 2.2]
-    pts = [10.0, 5.0, 4.0, 3.0]
-    px = [p * math.cos(a) for p, a in zip(pts, angles)]
-    py = [p * math.sin(a) for p, a in zip(pts, angles)]
-    df = spark.createDataFrame([(7, px, py, [0.0] * 4, pts)], "jet_id long, px array<double>, py array<double>, pz array<double>, E array<double>")
-    rows = declustering.declustering_trees(df).orderBy("node").collect()
-    assert [(r.parent, r.depth) for r in rows] == [(-1, 0), (0, 1), (1, 2), (1, 2), (0, 1), (4, 2), (4, 2)]
-    assert rows[0].E == pytest.approx(22.0) and rows[1].E == pytest.approx(15.0)
-    assert [r.E for r in rows if r.depth == 2] == pytest.approx([10.0, 5.0, 4.0, 3.0])
-    cut = declustering.declustering_trees(df, delta_min=0.5).collect()
-    assert len(cut) == 3
-    soft = declustering.declustering_trees(df, kt_min=1.0).orderBy("node").collect()
-    assert len(soft) == 3 and soft[1].E == pytest.approx(10.0)  # soft splittings are followed along the harder branch

@@ -134,5 +134,4 @@ def test_keep_first_against_brute_force(df, coarse, fine):
 
 
 def test_large_take(df, monkeypatch):
-    monkeypatch.setattr(split, "TOP_N", 10)
     assert sorted(r.id for r in split.take_first(df, 1234, ["id"]).collect()) == list(range(1234))

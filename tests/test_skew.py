@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 NAMES = """flat_spectrum_histogram min_count_resampling contiguous_split balanced_classes weighted_sample_mix exact_auc
 roc_points rejection_at_bin_efficiency all_metrics_per_slice efficiency_grid flatten_with_cuts features_const
-pair_matrix_int_const features_const_topo nearest_neighbours physical_weight fixed_size_batches declustering_tree
+pair_matrix_int_const features_const_topo nearest_neighbours physical_weight fixed_size_batches
 load_parallel_take_per_file working_point_per_bin""".split()
 
 
