@@ -239,8 +239,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = ordered(large)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b")
         parent = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(parent, "a")
         flat = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
@@ -261,15 +260,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     merged = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("d"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
     sets = keep(merged, "distinct-sets")
     nodes = keep(roots_down(sets), "nodes")
-    roots = None
-    links: list[DataFrame] = []
-
-    def settle(new: DataFrame) -> DataFrame:
-        links.append(new)
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.unionByName(more)
-        return components(edges)
+    roots = sets.sparkSession.createDataFrame([], "d long, root long")
+    pending: list[DataFrame] = []
+
+    def settle(roots: DataFrame) -> DataFrame:
+        """Components with the links found since the last time; what was known is one edge per document."""
+        news = [df for df in pending if not df.isEmpty()]
+        pending.clear()
+        edges = roots.select(F.col("d").alias("a"), F.col("root").alias("b"))
+        for new in news:
+            edges = edges.unionByName(new)
+        return components(edges) if news else roots
 
     for level in range(LEVELS + 1):
         groups = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("d", "n")).alias("first"))
@@ -277,11 +278,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
         forget(nodes)
         near = (100 * F.least("n", "n_a") >= threshold * F.greatest("n", "n_a")) & (F.col("d") != F.col("a"))
         stars = crowded.where(near).select("a", F.col("d").alias("b")).distinct()
-        if roots is not None:  # links that are known need no second look
+        if level:  # links that are known need no second look
             stars = stars.join(roots.select(F.col("d").alias("a"), F.col("root").alias("ra")), "a", "left").join(
                 roots.select(F.col("d").alias("b"), F.col("root").alias("rb")), "b", "left"
             ).where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        roots = settle(confirm(keep(_alike(stars, sets, least), "pairs"), docs, words, threshold))
+        candidates = keep(_alike(stars, sets, least), "pairs")
+        if not candidates.isEmpty():
+            pending.append(confirm(candidates, docs, words, threshold))
+        roots = settle(roots)
         placed = crowded.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
         split = placed.groupBy("node").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("node")
         open_ = keep(placed.join(split, "node"), "open")
@@ -295,7 +299,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
         ).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
         candidates = keep(_alike(pairs, sets, least), "pairs")
         if not candidates.isEmpty():
-            roots = settle(confirm(candidates, docs, words, threshold))
+            pending.append(confirm(candidates, docs, words, threshold))
         if level == LEVELS:
             break
         large = open_.where(F.col("size") > SMALL)
@@ -309,8 +313,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
     twice = rows.where("d IS NOT NULL").join(
         rows.where("d IS NOT NULL").groupBy("doc_id").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x < y"), "doc_id"
     ).select(F.col("doc_id").alias("a"), F.col("d").alias("b"))
-    if not twice.isEmpty():
-        roots = settle(twice)
+    pending.append(twice)
+    roots = settle(roots)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "d", "doc_id"))
     found = rows.join(roots, "d", "left").withColumn("component_id", component)
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
