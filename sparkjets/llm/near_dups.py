@@ -5,7 +5,7 @@ trees: a node selects a minwise position, and the document goes to the child tha
 its minwise token there names; similar sets choose the same child as often as they
 are similar. After ``DEPTH`` levels the nodes hold few documents. A node is settled
 when all its documents are in one component; so first each document is compared
-with the first of its node (a star), links are confirmed on full sets, and only
+with the leader of its node (a star), links are confirmed on full sets, and only
 nodes that still hold several components go on: small ones compare all pairs of
 different components, large ones branch again, with one or two children per
 document so that similar pairs survive. ``TREES`` independent trees bring the chance
@@ -34,14 +34,14 @@ from pyspark.sql import functions as F
 from sparkjets.llm.common import forget, keep, once
 
 POSITIONS = 96
-DEPTH = 3
+DEPTH = 4
 TREES = POSITIONS // DEPTH
 #: Nodes up to this size compare all their pairs.
 SMALL = 48
 #: Rounds of further branching, two levels each.
-LEVELS = 4
-#: Pairs whose share of equal minwise tokens is this far below the threshold (over five deviations) are no candidates.
-SLACK = 0.22
+LEVELS = 3
+#: Pairs whose share of equal minwise tokens is this far below the threshold (about five deviations) are no candidates.
+SLACK = 0.2
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -251,6 +251,24 @@ def components(edges: DataFrame) -> DataFrame:
         now, seen = after, mark_after
 
 
+def _with_leaders(nodes: DataFrame) -> DataFrame:
+    """Kept rows of nodes with two documents or more: ``node, d, n, size``, and the leader ``a, n_a`` of each node.
+
+    The leader is the document whose nodes hold the most documents over all trees:
+    the text that a group of near copies was made from shares more nodes with them
+    than they do with each other.
+    """
+    sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = keep(nodes.join(sizes, "node"), "shared-nodes")
+    weights = shared.groupBy("d").agg(F.sum("size").alias("w"))
+    weighted = shared.join(weights, "d")
+    best = weighted.groupBy("node").agg(F.max(F.struct("w", (-F.col("d")).alias("minus"), "n")).alias("best"))
+    led = best.select("node", (-F.col("best.minus")).alias("a"), F.col("best.n").alias("n_a"))
+    crowded = keep(shared.join(led, "node"), "crowded")
+    forget(shared)
+    return crowded
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links) and kept."""
     least = threshold / 100 - SLACK
@@ -273,8 +291,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
         return components(edges) if news else roots
 
     for level in range(LEVELS + 1):
-        groups = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("d", "n")).alias("first"))
-        crowded = keep(nodes.join(groups.where("size > 1"), "node").select("*", F.col("first.d").alias("a"), F.col("first.n").alias("n_a")).drop("first"), "crowded")
+        crowded = _with_leaders(nodes)
         forget(nodes)
         near = (100 * F.least("n", "n_a") >= threshold * F.greatest("n", "n_a")) & (F.col("d") != F.col("a"))
         stars = crowded.where(near).select("a", F.col("d").alias("b")).distinct()
@@ -294,7 +311,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
         one = small.select("node", F.col("d").alias("p"), F.col("n").alias("n_p"), F.col("root").alias("r_p"), F.col("a").alias("lead"))
         two = small.select("node", F.col("d").alias("q"), F.col("n").alias("n_q"), F.col("root").alias("r_q"))
         pairs = one.join(two, "node").where(
-            (F.col("p") < F.col("q")) & (F.col("p") != F.col("lead")) & (F.col("r_p") != F.col("r_q"))
+            (F.col("p") < F.col("q")) & (F.col("p") != F.col("lead")) & (F.col("q") != F.col("lead")) & (F.col("r_p") != F.col("r_q"))
             & (100 * F.least("n_p", "n_q") >= threshold * F.greatest("n_p", "n_q"))
         ).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
         candidates = keep(_alike(pairs, sets, least), "pairs")
