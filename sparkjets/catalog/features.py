@@ -140,9 +140,17 @@ def features_crafted_no_eta(spark, d):
 
 CONST = ["log_pT", "log_PT|PTjet", "log_E", "log_E|Ejet", "deltaEta", "deltaPhi", "deltaR", "m"]
 REL = ["log_PT|PTjet", "log_E|Ejet", "deltaEta", "deltaPhi", "deltaR", "m"]
-CONST_SQL = f"""{R(ln('pt'))} AS f0, {R(ln('pt / jets_pt'))} AS f1, {R(ln('sqrt(pt*pt + m*m)'))} AS f2,
-    {R(ln('sqrt(pt*pt + m*m) / sqrt(jets_pt*jets_pt + jets_m*jets_m)'))} AS f3, {R('eta - jets_eta')} AS f4, {R('phi - jets_phi')} AS f5,
-    {R('sqrt((eta - jets_eta)*(eta - jets_eta) + (phi - jets_phi)*(phi - jets_phi))')} AS f6, {R(ln('m'))} AS f7"""
+CONST_EXPRESSIONS = [
+    ln("pt"),
+    ln("pt / jets_pt"),
+    ln("sqrt(pt*pt + m*m)"),
+    ln("sqrt(pt*pt + m*m) / sqrt(jets_pt*jets_pt + jets_m*jets_m)"),
+    "eta - jets_eta",
+    "phi - jets_phi",
+    "sqrt((eta - jets_eta)*(eta - jets_eta) + (phi - jets_phi)*(phi - jets_phi))",
+    ln("m"),
+]
+CONST_SQL = ", ".join(f"{R(x)} AS f{i}" for i, x in enumerate(CONST_EXPRESSIONS))
 BASE = f"SELECT jet_id, idx::INT AS idx, {CONST_SQL} FROM lead JOIN jets USING (jet_id)"
 
 
@@ -718,8 +726,9 @@ def mean_nonzero_matrix(spark, d):
     return out.select("i", "j", r("mean_z", 5).alias("mean_z"))
 
 
-NODE_LONG = f"""n AS ({BASE}), v AS (SELECT 'log_pT' AS feature, {ln('pt')} AS x FROM lead UNION ALL SELECT 'deltaEta', eta - jets_eta FROM lead JOIN jets USING (jet_id)
-    UNION ALL SELECT 'm', {ln('m')} FROM lead)"""
+NODE_LONG = "v AS (" + " UNION ALL ".join(
+    f"SELECT '{name}' AS feature, {x} AS x FROM lead JOIN jets USING (jet_id)" for name, x in zip(CONST, CONST_EXPRESSIONS)
+) + ")"
 
 
 @query(
@@ -729,7 +738,7 @@ NODE_LONG = f"""n AS ({BASE}), v AS (SELECT 'log_pT' AS feature, {ln('pt')} AS x
 )
 def feature_moments(spark, d):
     df = features.add_features(tables.jets_nested(spark, d), "const").select(F.col("features.node").alias("node"))
-    out = rank.feature_moments(df, "node").where(F.col("feature").isin("log_pT", "deltaEta", "m"))
+    out = rank.feature_moments(df, "node")
     return out.select("feature", r("mean", 7).alias("mean"), r("variance", 4).alias("variance"))
 
 
@@ -740,7 +749,7 @@ def feature_moments(spark, d):
 )
 def feature_ranges(spark, d):
     df = features.add_features(tables.jets_nested(spark, d), "const").select(F.col("features.node").alias("node"))
-    out = rank.feature_ranges(df, "node").where(F.col("feature").isin("log_pT", "deltaEta", "m"))
+    out = rank.feature_ranges(df, "node")
     return out.select("feature", r("lo", 5).alias("lo"), r("hi", 5).alias("hi"))
 
 

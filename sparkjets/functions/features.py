@@ -40,22 +40,66 @@ def add_features(df: DataFrame, name: str, out: str = "features", **options) ->
 
 # The columns of the high-level sets. The second list of a set
 # holds array columns of which the first entry is used.
-FULL_HIGHLEVEL = (
-    "jets_ActiveArea4vec_eta jets_ActiveArea4vec_m jets_ActiveArea4vec_phi jets_ActiveArea4vec_pt "
-    "jets_DetectorEta jets_FracSamplingMax jets_FracSamplingMaxIndex jets_GhostMuonSegmentCount jets_JVFCorr "
-    "jets_JetConstitScaleMomentum_eta jets_JetConstitScaleMomentum_m jets_JetConstitScaleMomentum_phi "
-    "jets_JetConstitScaleMomentum_pt jets_JvtRpt jets_fJVT jets_passFJVT jets_passJVT jets_Timing jets_Jvt "
-    "jets_EMFrac jets_Width jets_chf jets_eta jets_m jets_phi jets_pt corrected_averageInteractionsPerCrossing"
-).split()
-FULL_HIGHLEVEL_FIRST = (
-    "jets_ChargedPFOWidthPt1000 jets_TrackWidthPt1000 jets_NumChargedPFOPt1000 "
-    "jets_SumPtChargedPFOPt500 jets_NumChargedPFOPt500"
-).split()
-HIGHLEVEL = "jets_EMFrac jets_chf jets_eta jets_m jets_phi jets_pt jets_Width".split()
-HIGHLEVEL_FIRST = ["jets_NumChargedPFOPt500"]
-JETCLASS_HIGHLEVEL = (
-    "jet_tau4 jet_eta jet_nparticles jet_tau3 jet_sdmass jet_pt jet_tau2 jet_phi jet_tau1 jet_energy"
-).split()
+FULL_HIGHLEVEL = [
+    "jets_ActiveArea4vec_eta",
+    "jets_ActiveArea4vec_m",
+    "jets_ActiveArea4vec_phi",
+    "jets_ActiveArea4vec_pt",
+    "jets_DetectorEta",
+    "jets_FracSamplingMax",
+    "jets_FracSamplingMaxIndex",
+    "jets_GhostMuonSegmentCount",
+    "jets_JVFCorr",
+    "jets_JetConstitScaleMomentum_eta",
+    "jets_JetConstitScaleMomentum_m",
+    "jets_JetConstitScaleMomentum_phi",
+    "jets_JetConstitScaleMomentum_pt",
+    "jets_JvtRpt",
+    "jets_fJVT",
+    "jets_passFJVT",
+    "jets_passJVT",
+    "jets_Timing",
+    "jets_Jvt",
+    "jets_EMFrac",
+    "jets_Width",
+    "jets_chf",
+    "jets_eta",
+    "jets_m",
+    "jets_phi",
+    "jets_pt",
+    "corrected_averageInteractionsPerCrossing",
+]
+FULL_HIGHLEVEL_FIRST = [
+    "jets_ChargedPFOWidthPt1000",
+    "jets_TrackWidthPt1000",
+    "jets_NumChargedPFOPt1000",
+    "jets_SumPtChargedPFOPt500",
+    "jets_NumChargedPFOPt500",
+]
+HIGHLEVEL = [
+    "jets_EMFrac",
+    "jets_chf",
+    "jets_eta",
+    "jets_m",
+    "jets_phi",
+    "jets_pt",
+    "jets_Width",
+]
+HIGHLEVEL_FIRST = [
+    "jets_NumChargedPFOPt500",
+]
+JETCLASS_HIGHLEVEL = [
+    "jet_tau4",
+    "jet_eta",
+    "jet_nparticles",
+    "jet_tau3",
+    "jet_sdmass",
+    "jet_pt",
+    "jet_tau2",
+    "jet_phi",
+    "jet_tau1",
+    "jet_energy",
+]
 
 
 def _whole_jet(columns: Sequence[str], first: Sequence[str] = (), counted: bool = False) -> Builder:
