@@ -55,6 +55,42 @@ def bin_clamped_edges(spark, d):
     return jets(spark, d).select("jet_id", pt_bin().alias("bin"))
 
 
+def missing_values(df):
+    """Jets whose pt is NULL or NaN for some ids."""
+    holed = F.when(F.col("jet_id") % 7 == 0, F.lit(None)).when(F.col("jet_id") % 11 == 0, F.lit(float("nan")))
+    return df.withColumn("jets_pt", F.when((F.col("jet_id") % 7 == 0) | (F.col("jet_id") % 11 == 0), holed).otherwise(F.col("jets_pt")))
+
+
+MISSING = "CASE WHEN jet_id % 7 = 0 OR jet_id % 11 = 0 THEN NULL"
+
+
+@query(
+    "bins_of_missing_values",
+    f"""SELECT jet_id, {MISSING} ELSE {PT_BIN} END::INT AS bin, {MISSING} ELSE {case_bins('jets_pt', PT_UNIFORM.edges)} END::INT
+            AS uniform_bin, {MISSING} ELSE {PT_BIN_RIGHT} END::INT AS right_closed FROM jets""",
+)
+def bins_of_missing_values(spark, d):
+    """NULL and NaN have no bin, whatever the kind of edges."""
+    df = missing_values(jets(spark, d))
+    return df.select(
+        "jet_id",
+        pt_bin().alias("bin"),
+        bin_clamped(F.col("jets_pt"), PT_UNIFORM).alias("uniform_bin"),
+        bin_right_closed(F.col("jets_pt"), PT).alias("right_closed"),
+    )
+
+
+@query(
+    "histogram_of_missing_values",
+    f"""SELECT f.bin::INT AS bin, {R('coalesce(sum(weight), 0e0)', 3)} AS value FROM {frame_sql(PT_UNIFORM)} f
+        LEFT JOIN (SELECT weight, {case_bins('jets_pt', PT_UNIFORM.edges)} AS bin FROM jets
+            WHERE jet_id % 7 <> 0 AND jet_id % 11 <> 0) j ON f.bin = j.bin GROUP BY f.bin""",
+)
+def histogram_of_missing_values(spark, d):
+    out = hist.histogram(missing_values(jets(spark, d)), PT_UNIFORM, "weight")
+    return out.select("bin", r("value", 3).alias("value"))
+
+
 @query(
     "bin_uniform_and_log",
     f"""SELECT jet_id, {case_bins('jets_pt', PT_UNIFORM.edges)} AS uniform_bin, {case_bins('jets_pt', PT_LOG.edges)} AS log_bin

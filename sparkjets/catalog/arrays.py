@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sparkjets.catalog.base import R, query, r
 from sparkjets.functions import vectors
 from sparkjets.functions.constituents import merged
+from sparkjets.dataset import JetDataset
 from sparkjets.operators import nested, pairs
 from sparkjets.sources import tables
 
@@ -134,6 +135,27 @@ def pad_node_arrays(spark, d):
     )
 
 
+@query(
+    "padded_batches",
+    f"""WITH j AS (SELECT jet_id, least(count(*), 6) AS n, sum(CASE WHEN idx < 6 THEN pt ELSE 0e0 END) AS pt FROM lead GROUP BY jet_id),
+        b AS (SELECT *, (row_number() OVER (ORDER BY jet_id) - 1) // 128 AS batch FROM j)
+        SELECT batch, count(*)::INT AS size, sum(n)::BIGINT AS real_slots, (6 * count(*))::BIGINT AS slots, {R('sum(pt)', 1)} AS pt
+        FROM b GROUP BY batch""",
+    ("lead",),
+)
+def padded_batches(spark, d):
+    """Batches of jets padded to six constituents, with their masks."""
+    df = tables.nested_constituents(spark, d).select("jet_id", merged(["Constituent"]).alias("node"))
+    ready = JetDataset(df).prepare(128, "jet_id", ["node"], max_constituents=6, node="node").df
+    slots = ready.select("batch", "size", F.flatten("node").alias("node"), F.flatten("mask").alias("mask"))
+    real = F.filter(F.arrays_zip("node", "mask"), lambda x: x["mask"])
+    pt = F.aggregate(real, F.lit(0.0), lambda s, x: s + x["node"]["pt"])
+    return slots.select(
+        "batch", "size", F.size(real).cast("long").alias("real_slots"), F.size("node").cast("long").alias("slots"),
+        r(pt, 1).alias("pt"),
+    )
+
+
 @query(
     "pad_edge_matrices",
     f"""WITH a AS (SELECT a.jet_id, sum(a.pt + b.pt) AS s, count(*) AS n FROM lead a JOIN lead b
