@@ -108,8 +108,8 @@ CRAFTED = """WITH w AS (SELECT jet_id, count(*)::DOUBLE AS n, sum(pt) AS s, sum(
 
 @query(
     "features_crafted_highlevel",
-    f"""{CRAFTED} SELECT jet_id, {R('jets_pt')} AS pt, {R('jets_eta')} AS eta, n, {R('ptdr / s')} AS width, {R('c / (s * s)')} AS c1
-        FROM w JOIN c USING (jet_id) JOIN jets USING (jet_id)""",
+    f"""{CRAFTED} SELECT jet_id, {R('jets_pt')} AS pt, {R('jets_eta')} AS eta, coalesce(n, 0e0) AS n, {R('ptdr / s')} AS width, {R('c / (s * s)')} AS c1
+        FROM jets LEFT JOIN w USING (jet_id) LEFT JOIN c USING (jet_id)""",
     ("lead", "jets"),
 )
 def features_crafted_highlevel(spark, d):
@@ -123,7 +123,8 @@ def features_crafted_highlevel(spark, d):
 
 @query(
     "features_crafted_no_eta",
-    f"""{CRAFTED} SELECT jet_id, 4::INT AS fields, n, {R('ptdr / s')} AS width, {R('c / (s * s)')} AS c1 FROM w JOIN c USING (jet_id)""",
+    f"""{CRAFTED} SELECT jet_id, 4::INT AS fields, coalesce(n, 0e0) AS n, {R('ptdr / s')} AS width, {R('c / (s * s)')} AS c1
+        FROM jets LEFT JOIN w USING (jet_id) LEFT JOIN c USING (jet_id)""",
     ("lead", "jets"),
 )
 def features_crafted_no_eta(spark, d):
@@ -187,7 +188,7 @@ def features_rel_const(spark, d):
 
 @query(
     "features_gnn_padded",
-    f"""WITH g AS (SELECT jet_id, i FROM (SELECT DISTINCT jet_id FROM lead), range(8) x(i)), b AS ({BASE})
+    f"""WITH g AS (SELECT jet_id, i FROM jets, range(8) x(i)), b AS ({BASE})
         SELECT g.jet_id, g.i::INT AS idx, coalesce(f0, 0e0) AS log_pt, coalesce(f4, 0e0) AS deta, coalesce(f5, 0e0) AS dphi,
             (f0 IS NOT NULL)::INT::DOUBLE AS mask FROM g LEFT JOIN b ON g.jet_id = b.jet_id AND g.i = b.idx""",
     ("lead", "jets"),
@@ -242,7 +243,9 @@ def features_int_rel_const2_node(spark, d):
 # count only above a floor in both engines.
 
 
-def _pair_sql(source: str, floor: float, angle: str = "eta", wrap: bool = False, log_z: bool = False) -> str:
+def _pair_sql(
+    source: str, floor: float, angle: str = "eta", wrap: bool = False, log_z: bool = False, jets: str = "jets"
+) -> str:
     dphi = "atan2(sin(a.phi - b.phi), cos(a.phi - b.phi))" if wrap else "(a.phi - b.phi)"
     z = "least(a.pt, b.pt) / (a.pt + b.pt)"
     return f"""pr AS (SELECT a.jet_id, {ln(f'sqrt((a.{angle} - b.{angle})*(a.{angle} - b.{angle}) + {dphi}*{dphi})')} AS delta,
@@ -252,7 +255,8 @@ def _pair_sql(source: str, floor: float, angle: str = "eta", wrap: bool = False,
         SELECT n.jet_id, n.n AS cells, {R('coalesce(sum(CASE WHEN delta > -8e0 THEN delta END), 0e0)', 3)} AS delta,
             {R('coalesce(sum(CASE WHEN delta > -8e0 THEN kt END), 0e0)', 3)} AS k_t,
             {R('coalesce(sum(z), 0e0)', 4)} AS z, {R(f'coalesce(sum(CASE WHEN m2 > {floor!r}::DOUBLE THEN m2 END), 0e0)', 2)} AS m2
-        FROM (SELECT jet_id, count(*) * count(*) AS n FROM lead GROUP BY jet_id) n LEFT JOIN pr USING (jet_id) GROUP BY n.jet_id, n.n"""
+        FROM (SELECT jet_id, count(idx) * count(idx) AS n FROM (SELECT DISTINCT jet_id FROM {jets}) LEFT JOIN (SELECT jet_id, idx
+            FROM lead) USING (jet_id) GROUP BY jet_id) n LEFT JOIN pr USING (jet_id) GROUP BY n.jet_id, n.n"""
 
 
 def pair_sums(df, floor: float):
@@ -292,22 +296,22 @@ def first100(sql: str) -> str:
     return sql.replace("FROM lead", "FROM first100")
 
 
-@query("pair_matrix_int_const", first100(f"WITH {PLAIN}, {_pair_sql('p', 14.0)}"), ("first100",))
+@query("pair_matrix_int_const", first100(f"WITH {PLAIN}, {_pair_sql('p', 14.0)}"), ("first100", "jets"))
 def pair_matrix_int_const(spark, d):
     return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_const", max_constituents=PAIRED), 14.0)
 
 
-@query("pair_matrix_builtin_engine", first100(f"WITH {PLAIN}, {_pair_sql('p', 14.0)}"), ("first100",))
+@query("pair_matrix_builtin_engine", first100(f"WITH {PLAIN}, {_pair_sql('p', 14.0)}"), ("first100", "jets"))
 def pair_matrix_builtin_engine(spark, d):
     return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_const", engine="builtin", max_constituents=PAIRED), 14.0)
 
 
-@query("pair_matrix_int_rel_const", first100(f"WITH {AXIS}, {_pair_sql('q', -6.0)}"), ("first100",))
+@query("pair_matrix_int_rel_const", first100(f"WITH {AXIS}, {_pair_sql('q', -6.0)}"), ("first100", "jets"))
 def pair_matrix_int_rel_const(spark, d):
     return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_rel_const", max_constituents=PAIRED), -6.0)
 
 
-@query("pair_matrix_int_rel_const2", first100(f"WITH {AXIS}, {_pair_sql('q', -6.0)}"), ("first100",))
+@query("pair_matrix_int_rel_const2", first100(f"WITH {AXIS}, {_pair_sql('q', -6.0)}"), ("first100", "jets"))
 def pair_matrix_int_rel_const2(spark, d):
     return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_rel_const2", max_constituents=PAIRED), -6.0)
 
@@ -381,7 +385,7 @@ def features_jetclass_pnet_points(spark, d):
 
 @query(
     "pair_matrix_jetclass",
-    first100(f"WITH {PLAIN}, y AS (SELECT *, 0.5e0 * ln((e + pz) / (e - pz)) AS rapidity FROM p), {_pair_sql('y', 14.0, 'rapidity', True, True)}"),
+    first100(f"WITH {PLAIN}, y AS (SELECT *, 0.5e0 * ln((e + pz) / (e - pz)) AS rapidity FROM p), {_pair_sql('y', 14.0, 'rapidity', True, True, 'lead')}"),
     ("first100",),
 )
 def pair_matrix_jetclass(spark, d):
@@ -533,8 +537,8 @@ def features_irc_safe_topo_track(spark, d):
 
 @query(
     "training_table",
-    f"""SELECT jet_id, (CASE WHEN parton BETWEEN 1 AND 6 THEN 0 ELSE 1 END)::INT AS label, {R('weight')} AS weight, n, {R('s', 4)} AS pt
-        FROM jets JOIN (SELECT jet_id, count(*)::INT AS n, sum({ln('pt')}) AS s FROM lead WHERE idx < 20 GROUP BY jet_id) USING (jet_id)
+    f"""SELECT jet_id, (CASE WHEN parton BETWEEN 1 AND 6 THEN 0 ELSE 1 END)::INT AS label, {R('weight')} AS weight, coalesce(n, 0)::INT AS n, {R('coalesce(s, 0e0)', 4)} AS pt
+        FROM jets LEFT JOIN (SELECT jet_id, count(*)::INT AS n, sum({ln('pt')}) AS s FROM lead WHERE idx < 20 GROUP BY jet_id) USING (jet_id)
         WHERE jets_pt > 50000e0 AND jets_eta < 2.1e0 AND parton <> -1""",
     ("lead", "jets"),
 )

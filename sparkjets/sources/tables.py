@@ -77,8 +77,11 @@ def nested_constituents(spark: SparkSession, folder: str, kind: str = "Constitue
 
 
 def jets_nested(spark: SparkSession, folder: str) -> DataFrame:
-    """Jets that have constituents, with their arrays."""
-    return jets(spark, folder).join(nested_constituents(spark, folder), "jet_id")
+    """All jets with the arrays of their constituents; a jet without any has empty arrays."""
+    arrays = nested_constituents(spark, folder)
+    joined = jets(spark, folder).join(arrays, "jet_id", "left")
+    empty = {f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in arrays.schema if f.name != "jet_id"}
+    return joined.withColumns(empty)
 
 
 def events_nested(spark: SparkSession, folder: str) -> DataFrame:
