@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sparkjets.catalog.base import R, query, r
@@ -174,22 +176,29 @@ def pad_edge_matrices(spark, d):
     )
 
 
+def together(collections):
+    """Collections of the same jets side by side; a jet that lacks one has empty arrays there."""
+    joined = reduce(lambda a, b: a.join(b, "jet_id", "full"), collections)
+    arrays = [f for f in joined.schema if f.name != "jet_id"]
+    return joined.withColumns({f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in arrays})
+
+
 def two_collections(spark, d):
     """Constituents split by return flag into two collections of one jet."""
     rows = tables.constituents(spark, d)
     returned = tables.nested_constituents(spark, d, "Constituent", rows.where("l_returnflag = 'R'"))
     others = tables.nested_constituents(spark, d, "TopoTower", rows.where("l_returnflag <> 'R'"))
-    return returned.join(others, "jet_id")
+    return together([returned, others])
 
 
 @query(
     "merge_collections_sorted",
     f"""WITH u AS (SELECT *, (l_returnflag <> 'R')::INT AS kind FROM cons),
-        both_kinds AS (SELECT jet_id FROM u GROUP BY jet_id HAVING count(DISTINCT kind) = 2),
+        all_jets AS (SELECT jet_id FROM u GROUP BY jet_id),
         one AS (SELECT u.*, row_number() OVER (PARTITION BY jet_id, kind
             ORDER BY pt DESC, l_linenumber, l_partkey, l_suppkey, phi, eta, m) AS nth FROM u),
         o AS (SELECT one.*, row_number() OVER (PARTITION BY jet_id ORDER BY pt DESC, kind, nth) AS place FROM one)
-        SELECT o.jet_id, (place - 1)::INT AS place, {R('pt')} AS pt, kind FROM o JOIN both_kinds b ON o.jet_id = b.jet_id
+        SELECT o.jet_id, (place - 1)::INT AS place, {R('pt')} AS pt, kind FROM o JOIN all_jets b ON o.jet_id = b.jet_id
         WHERE place <= 4""",
     ("cons",),
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkjets.catalog.aggregations import ETA, PT
-from sparkjets.catalog.arrays import two_collections
+from sparkjets.catalog.arrays import together, two_collections
 from sparkjets.catalog.base import R, case_bins, query, r
 from sparkjets.functions import features, vectors
 from sparkjets.functions.arrays import explode_items, total
@@ -399,7 +399,7 @@ KINDS = """u AS (SELECT *, (CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 EL
 LEADING = """SELECT * FROM (SELECT u.*, row_number() OVER (PARTITION BY jet_id ORDER BY pt DESC, kind, l_linenumber, l_partkey,
         l_suppkey, phi, eta, m) AS place FROM u JOIN ok USING (jet_id))"""
 TWO = f"""u AS (SELECT *, (l_returnflag <> 'R')::INT AS kind FROM cons),
-    ok AS (SELECT jet_id FROM u GROUP BY jet_id HAVING count(DISTINCT kind) = 2),
+    ok AS (SELECT jet_id FROM u GROUP BY jet_id),
     x AS ({LEADING})"""
 
 
@@ -490,7 +490,7 @@ def features_int_const_track(spark, d):
     return node_sums(df, "int_const_track", ["log_pT"])
 
 
-THREE = f"""{KINDS}, ok AS (SELECT jet_id FROM u GROUP BY jet_id HAVING count(DISTINCT kind) = 3),
+THREE = f"""{KINDS}, ok AS (SELECT jet_id FROM u GROUP BY jet_id),
     x AS ({LEADING})"""
 THREE_SUM = f"{R('sum(eta - jets_eta)', 4)} AS f0, " + ", ".join(
     f"{R(f'sum((kind = {k})::INT)', 4)} AS f{k + 1}" for k in range(3)
@@ -500,10 +500,9 @@ IS = ["is_Constituent", "is_TopoTower", "is_Track"]
 
 def three_collections(spark, d):
     rows = tables.constituents(spark, d)
-    df = jets(spark, d)
-    for kind, flag in (("Constituent", "R"), ("TopoTower", "A"), ("Track", "N")):
-        df = df.join(tables.nested_constituents(spark, d, kind, rows.where(F.col("l_returnflag") == flag)), "jet_id")
-    return df
+    kinds = (("Constituent", "R"), ("TopoTower", "A"), ("Track", "N"))
+    parts = [tables.nested_constituents(spark, d, kind, rows.where(F.col("l_returnflag") == flag)) for kind, flag in kinds]
+    return jets(spark, d).join(together(parts), "jet_id")
 
 
 @query("features_const_topo_track", f"WITH {THREE} {_const_sums(THREE_SUM, 'x')}", ("cons", "jets"))
