@@ -37,11 +37,11 @@ LABELLED = 40_000
 #: Added to the counts of a bucket in both models.
 PRIOR = 1.0
 #: Standard errors by which the log ratio of a bucket is drawn towards 0: of single tokens, and of pairs.
-CAUTION = (1.0, 4.0)
+CAUTION = (1.5, 6.0)
 #: Scale of the Gumbel noise against the log weights; below 1, clear cases are hardly ever drawn the other way.
 TEMPERATURE = 0.2
 #: A rejected good document weighs as much as so many bad documents kept.
-COST = 5.0
+COST = 3.0
 SEED = 20_24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
