@@ -50,7 +50,7 @@ class _Hashes(dict):
     """Token -> 64-bit hash, kept while there is room."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 60_000:
             self.clear()
         value = self[token] = xxhash.xxh3_64_intdigest(token)
         return value

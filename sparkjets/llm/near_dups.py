@@ -53,7 +53,7 @@ _B = _RNG.integers(0, 1 << 63, POSITIONS, dtype=np.uint64)[:, None]
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 60_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
