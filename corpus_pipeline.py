@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkjets.llm import importance, near_dups, packing, rule_ledger
-from sparkjets.llm.common import keep, table, text_key
+from sparkjets.llm.common import bound_batches, keep, table, text_key
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what the standard policy of the rule ledger rejects; empty and null texts go with it."""
+    bound_batches(spark)
     return rule_ledger.passing(docs)
 
 
@@ -32,11 +33,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays."""
+    bound_batches(spark)
     return near_dups.first_of_each(docs, words=5, threshold=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs all documents that are left into sequences of 2048 tokens."""
+    bound_batches(spark)
     return packing.pack_documents(docs)
 
 

@@ -24,7 +24,22 @@ def once(key: Hashable, make: Callable[[], Any]) -> Any:
     return store[key]
 
 
+#: Session setting for the bytes of a batch that goes to a Python worker, its default, and ours.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Whole texts go to workers in batches of ``BATCH_BYTES``, unless the session has a setting of its own.
+
+    A worker holds a batch several times over (as Arrow, as strings, as results).
+    """
+    now = (spark.conf.get(BATCH_SETTING, None) or "").lower().rstrip("b")
+    if now in ("", str(BATCH_DEFAULT), "64m"):
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
