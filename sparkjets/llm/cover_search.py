@@ -2,7 +2,8 @@
 
 Vectors are dealt into blocks: by the nearest of a bounded, sampled set of pivots
 (neighbours meet in a block) and, where a pivot attracts many, by a hash. Every
-block of candidates and every group of queries becomes a cover tree: a node is a
+block of candidates and every group of queries becomes a cover tree, built once and
+kept with the block: a node is a
 centre with a covering radius, its children are centres at least half that radius
 apart, each covering what lies within half of it. Two trees are walked together. A
 pair of nodes can give no product above
@@ -48,7 +49,7 @@ LEAF = 32
 class Tree:
     """Cover tree as arrays: nodes in depth-first order, points of a node are a slice of ``order``."""
 
-    def __init__(self, points: np.ndarray):
+    def __init__(self, points: np.ndarray, saved: bytes | None = None):
         self.points = points
         self.order = np.arange(len(points))
         self.first: list[int] = []
@@ -56,7 +57,9 @@ class Tree:
         self.centre: list[int] = []
         self.radius: list[float] = []
         self.children: list[list[int]] = []
-        if len(points):
+        if saved is not None:
+            self._restore(saved)
+        elif len(points):
             own = self.order.copy()
             self._grow(own, 0, self._nearest_to_mean(), None)
         self.centre_points = points[self.centre] if len(points) else points
@@ -64,6 +67,26 @@ class Tree:
         self.reach = np.array(self.radius)
         self.ordered = points[self.order]
 
+    def save(self) -> bytes:
+        """The shape of the tree without its points: per node its slice, centre, parent and radius."""
+        parent = np.full(len(self.first), -1, np.int64)
+        for node, children in enumerate(self.children):
+            parent[children] = node
+        shape = np.array([self.first, self.stop, self.centre, parent], "<i8").reshape(4, -1)
+        return self.order.astype("<i8").tobytes() + shape.tobytes() + np.array(self.radius, "<f8").tobytes()
+
+    def _restore(self, saved: bytes) -> None:
+        n = len(self.points)
+        self.order = np.frombuffer(saved, "<i8", n)
+        nodes = (len(saved) // 8 - n) // 5
+        shape = np.frombuffer(saved, "<i8", 4 * nodes, 8 * n).reshape(4, nodes)
+        self.first, self.stop, self.centre, parent = (row.tolist() for row in shape)
+        self.radius = np.frombuffer(saved, "<f8", nodes, 8 * (n + 4 * nodes)).tolist()
+        self.children = [[] for _ in range(nodes)]
+        for node, above in enumerate(parent):
+            if above >= 0:
+                self.children[above].append(node)
+
     def _nearest_to_mean(self) -> int:
         away = self.points - self.points.mean(axis=0)
         return int((away**2).sum(axis=1).argmin())
@@ -240,15 +263,15 @@ def _pack(rows: DataFrame, key: list[str]) -> DataFrame:
         points = _matrix(table["v"].combine_chunks())
         tree = Tree(points)
         values = [*(k.as_py() for k in keys), len(ids), ids.astype("<i8").tobytes(), points.astype("<i8").tobytes()]
-        values += [tree.centre_points[0].tolist(), float(tree.norm[0]), float(tree.reach[0])]
-        names = [*key, "n", "ids", "points", "centre", "norm", "radius"]
+        values += [tree.save(), tree.centre_points[0].tolist(), float(tree.norm[0]), float(tree.reach[0])]
+        names = [*key, "n", "ids", "points", "tree", "centre", "norm", "radius"]
         return pa.table({name: [value] for name, value in zip(names, values)}).cast(out)
 
     out = pa.schema(
-        [(k, pa.int32()) for k in key] + [("n", pa.int64()), ("ids", pa.binary()), ("points", pa.binary())]
+        [(k, pa.int32()) for k in key] + [("n", pa.int64()), ("ids", pa.binary()), ("points", pa.binary()), ("tree", pa.binary())]
         + [("centre", pa.list_(pa.float64())), ("norm", pa.float64()), ("radius", pa.float64())]
     )
-    schema = ", ".join(f"{k} int" for k in key) + ", n long, ids binary, points binary, centre array<double>, norm double, radius double"
+    schema = ", ".join(f"{k} int" for k in key) + ", n long, ids binary, points binary, tree binary, centre array<double>, norm double, radius double"
     return rows.groupBy(*key).applyInArrow(pack, schema)
 
 
@@ -260,8 +283,8 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
             for row in batch.to_pylist():
                 ids, query_ids = (np.frombuffer(row[n], "<i8") for n in ("ids", "q_ids"))
                 dim = row["dim"]
-                block = Tree(np.frombuffer(row["points"], "<i8").reshape(len(ids), dim).astype(float))
-                queries = Tree(np.frombuffer(row["q_points"], "<i8").reshape(len(query_ids), dim).astype(float))
+                block = Tree(np.frombuffer(row["points"], "<i8").reshape(len(ids), dim).astype(float), row["tree"])
+                queries = Tree(np.frombuffer(row["q_points"], "<i8").reshape(len(query_ids), dim).astype(float), row["q_tree"])
                 known = {f["id"]: f["score"] for f in row["floor"] or ()}
                 floor = np.array([known.get(q, -np.inf) for q in query_ids.tolist()], float)
                 best = Best(len(query_ids), k, floor)
@@ -276,7 +299,7 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
                     ["query_id", "vec_id", "score"],
                 )
 
-    needed = pairs.select("dim", "ids", "points", "q_ids", "q_points", "floor")
+    needed = pairs.select("dim", "ids", "points", "tree", "q_ids", "q_points", "q_tree", "floor")
     return needed.mapInArrow(walk, "query_id long, vec_id long, score long")
 
 
@@ -315,7 +338,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_: str = "vec_id"
     few = literal(lambda r: max(1, math.ceil((r.nq or 0) / GROUP)))
     blocks = keep(_pack(placed.withColumn("salt", blocks_of(many)), ["dim", "pivot", "salt"]), "blocks")
     groups = keep(_pack(placed.where(is_query).withColumn("salt", blocks_of(few)), ["dim", "pivot", "salt"]), "groups")
-    q = groups.select("dim", F.col("pivot").alias("q_pivot"), F.col("salt").alias("q_salt"), F.col("ids").alias("q_ids"), F.col("points").alias("q_points"), F.col("centre").alias("q_centre"), F.col("norm").alias("q_norm"), F.col("radius").alias("q_radius"))
+    q = groups.select("dim", F.col("pivot").alias("q_pivot"), F.col("salt").alias("q_salt"), F.col("ids").alias("q_ids"), F.col("points").alias("q_points"), F.col("tree").alias("q_tree"), F.col("centre").alias("q_centre"), F.col("norm").alias("q_norm"), F.col("radius").alias("q_radius"))
     none = F.lit(None).cast("array<struct<id:bigint,score:bigint>>")
     # round one: one block of the query group's own pivot
     at_home = q.join(
@@ -338,8 +361,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_: str = "vec_id"
     rest = (F.col("pivot") != F.col("q_pivot")) | (F.col("salt") != 0)
     open_ = heads.join(balls, "dim").where(rest & (product + slack + size * 1e-9 + 1e-6 >= F.col("worst")))
     chosen = open_.select("dim", "q_pivot", "q_salt", "pivot", "salt", "floor")
-    full = chosen.join(blocks.select("dim", "pivot", "salt", "ids", "points"), ["dim", "pivot", "salt"]).join(
-        q.select("dim", "q_pivot", "q_salt", "q_ids", "q_points"), ["dim", "q_pivot", "q_salt"]
+    full = chosen.join(blocks.select("dim", "pivot", "salt", "ids", "points", "tree"), ["dim", "pivot", "salt"]).join(
+        q.select("dim", "q_pivot", "q_salt", "q_ids", "q_points", "q_tree"), ["dim", "q_pivot", "q_salt"]
     )
     second = _search(full.repartition("q_pivot", "q_salt", "pivot", "salt"), k)
     result = _best(first.unionByName(second), k)
