@@ -147,7 +147,7 @@ def op8_configuration_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
-def _license_sql() -> str:
+def _license_sql(runs: bool = False) -> str:
     def quoted(words):
         return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -155,9 +155,26 @@ def _license_sql() -> str:
     notices = ", ".join(f"('{label}', {quoted(words)}, {n})" for label, words, n in license_join.notices())
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    more = "SELECT doc_id, label, shared, size FROM found WHERE shared >= needed"
+    run_tables = ""
+    if runs:
+        rows = ", ".join(
+            f"('{label}', {quoted(words)}, {n}, {reach}, {quoted(named)}::VARCHAR[], {quoted(alien)}::VARCHAR[])"
+            for label, words, n, reach, named, alien in license_join.run_notices()
+        )
+        run_tables = rf"""
+    run_notices(label, of_template, needed, reach, named, alien) AS (VALUES {rows}),
+    starts AS (SELECT doc_id, r.*, ws[i : i + reach - 1] AS run
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) JOIN run_notices r ON list_contains(of_template, ws[i])),
+    ends AS (SELECT *, coalesce(list_position(list_transform(run, lambda x: list_contains(alien, x)), true), 0) AS stop FROM starts),
+    cut AS (SELECT *, CASE WHEN stop > 0 THEN run[1 : stop - 1] ELSE run END AS own FROM ends),
+    in_runs AS (SELECT doc_id, label, len(list_intersect(own, of_template)) AS shared, len(of_template) AS size, needed
+        FROM cut WHERE len(list_intersect(own, named)) = len(named)),"""
+        more += " UNION ALL SELECT doc_id, label, shared, size FROM in_runs WHERE shared >= needed"
+    method = f"({more})" if runs else "found WHERE shared >= needed"
     return rf"""
     WITH t AS (SELECT doc_id, {lower} AS text FROM documents),
-    w AS (SELECT doc_id, regexp_extract_all(text, '{word}') AS ws FROM t),
+    w AS (SELECT doc_id, regexp_extract_all(text, '{word}') AS ws FROM t),{run_tables}
     phrases(p, label) AS (VALUES {phrases}),
     places AS (SELECT doc_id, i - 1 AS place, label
         FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w) JOIN phrases ON ws[i : i + len(p) - 1] = p),
@@ -168,7 +185,7 @@ def _license_sql() -> str:
     found AS (SELECT doc_id, label, len(list_intersect(ws, of_template)) AS shared, len(of_template) AS size, needed
         FROM lines, notices),
     method AS (SELECT doc_id, list(DISTINCT label) AS ml, max(round(shared / size, 6)) AS best
-        FROM found WHERE shared >= needed GROUP BY doc_id)
+        FROM {method} GROUP BY doc_id)
     SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base,
         first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
         coalesce(array_to_string(list_sort(bl), ','), '') AS base_labels,
@@ -184,6 +201,12 @@ def op9_license_join(spark: SparkSession, folder: str) -> DataFrame:
     return license_join.scan(table(spark, folder, "documents"))
 
 
+@query("op9_license_blocks", _license_sql(runs=True))
+def op9_license_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """As op9_license_join, with blocks that cross line ends and may lack a word."""
+    return license_join.scan_blocks(table(spark, folder, "documents"))
+
+
 @query("op10_importance_resampling")
 def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     """Importance weight, Gumbel key and verdict of every document: doc_id, log_weight, key, kept."""

@@ -154,3 +154,33 @@ def test_license_join(documents, odd, seed):
 
 def test_license_join_of_nothing(documents):
     assert license_join.scan(documents([])).count() == 0
+
+
+MIT_FILE = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files"
+BSD_FILE = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+ISC_FILE = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"
+MPL_FILE = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not"
+
+
+def test_license_blocks_cross_lines_and_lack_words(documents):
+    filler = "\n".join(f"line {i} of prose" for i in range(400))
+    texts = {
+        1: (MIT_FILE, "mit-text"), 2: (BSD_FILE, "bsd"), 3: (ISC_FILE, "isc"), 4: (f"{filler}\n# {MPL_FILE}\n{filler}", "mpl-2.0"),
+        5: ("Permission is granted, free of charge, to any person\nobtaining a copy of this software", "mit-text"),
+        6: ("Licensed under the GNU Affero General\nPublic License, version 3", "agpl"),
+        7: ("This program is licensed under the GNU Affero General Public License, version 3", "agpl"),
+        8: ("Licensed under the GNU\nLesser General Public License 3", "lgpl"),
+        9: ("This work is licensed under the GNU General Public License, version 2", "gpl"),
+        10: ("This program is licensed under the GNU General\nPublic License, version 3 or the GNU Lesser one", "gpl,gpl-3.0,lgpl"),
+        11: ("Licensed under CC\nBY-NC 4.0", "cc-by,cc-by-nc"), 12: ("licensed under the Artistic License, version 2.0", ""),
+        13: (MIT_FILE.replace("charge", "charge\n" + filler), ""), 14: (None, ""), 15: ("", ""),
+    }
+    rows = [(i, text) for i, (text, _) in texts.items()]
+    found = {r.doc_id: r.labels for r in license_join.scan_blocks(documents(rows)).collect()}
+    assert found == {i: labels for i, (_, labels) in texts.items()}
+
+
+def test_license_blocks_keep_what_lines_give(documents, odd):
+    rows = [*odd, (900, "released under x the y mit z w v u t s license"), (901, "cc by\nmit license")]
+    lines = sorted(map(str, license_join.scan(documents(rows)).collect()))
+    assert sorted(map(str, license_join.scan_blocks(documents(rows)).collect())) == lines
