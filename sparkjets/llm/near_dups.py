@@ -7,10 +7,10 @@ are similar. After ``DEPTH`` levels the nodes hold few documents. A node is sett
 when all its documents are in one component; so first each document is compared
 with the leader of its node (a star), links are confirmed on full sets, and only
 nodes that still hold several components go on: small ones compare all pairs of
-different components, large ones branch again, with one or two children per
-document so that similar pairs survive. ``TREES`` independent trees bring the chance
-to miss a pair of just the threshold below 1e-5. After ``LEVELS`` rounds whatever is
-left is compared in full, so no document is ever dropped.
+different components, large ones branch once more, with ``PATHS`` paths of
+``STEPS`` levels per document so that similar pairs survive. After that whatever is
+left is compared in full, so no document is ever dropped. ``missed`` computes the
+chance to miss a pair over all of this: below 1e-5 at just the threshold.
 
 Nothing here groups the members of a node into one row: nodes, stars, pairs and
 components are tables. Documents without words link with nothing; a document of
@@ -22,6 +22,7 @@ document, linked with what any of them is linked with.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,8 +39,10 @@ DEPTH = 4
 TREES = POSITIONS // DEPTH
 #: Nodes up to this size compare all their pairs.
 SMALL = 48
-#: Rounds of further branching, two levels each.
-LEVELS = 3
+#: Rounds of further branching, and the paths and their levels in each.
+LEVELS = 1
+PATHS = 5
+STEPS = 2
 #: Pairs whose share of equal minwise tokens is this far below the threshold (about five deviations) are no candidates.
 SLACK = 0.2
 
@@ -145,34 +148,47 @@ def roots_down(sets: DataFrame) -> DataFrame:
 
 
 def branch(rows: DataFrame) -> DataFrame:
-    """Two levels further down; a node gives its documents one or two children, as a hash of the node says.
+    """``PATHS`` independent paths of ``STEPS`` levels further down; the node and the path select the positions.
 
     ``rows``: node, d, n, sig.
     """
 
-    def down(node, at, sig):
-        key = _mixed(node)
-        one = _children(node, (key % np.uint64(POSITIONS)).astype(np.int64), sig[at])
-        twice = np.flatnonzero((key >> np.uint64(40)) & np.uint64(1))
-        other = _mixed(key + np.uint64(1))[twice]
-        two = _children(node[twice] + np.uint64(1), (other % np.uint64(POSITIONS)).astype(np.int64), sig[at[twice]])
-        return np.concatenate([one, two]), np.concatenate([at, at[twice]])
-
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = _signatures(batch["sig"])
-            node, at = batch["node"].to_numpy().view(np.uint64), np.arange(batch.num_rows)
-            for _ in range(2):
-                node, at = down(node, at, sig)
-            d, n = batch["d"].to_numpy()[at], batch["n"].to_numpy()[at]
-            arrays = [pa.array(node.view(np.int64)), pa.array(d), pa.array(n)]
-            yield pa.RecordBatch.from_arrays(arrays, ["node", "d", "n"])
+            sig, top = _signatures(batch["sig"]), batch["node"].to_numpy().view(np.uint64)
+            for path in range(PATHS):
+                node = _mixed(top + np.uint64(path + 1) * _FACTORS[41])
+                for _ in range(STEPS):
+                    # a hash of the child says the next position, so that it hangs on nothing but the path
+                    position = (_mixed(node ^ _FACTORS[42]) >> np.uint64(20)) % np.uint64(POSITIONS)
+                    node = _children(node, position.astype(np.int64), sig)
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch["d"], batch["n"]], ["node", "d", "n"])
 
     return rows.select("node", "d", "n", "sig").mapInArrow(walk, NODES)
 
 
+def missed(similarity: float, threshold: int = 80) -> float:
+    """The chance that a pair of large nodes meets in no compared node, or that its signatures agree too little.
+
+    Summed over the number k of equal minwise tokens; given k, a path from a shared
+    node keeps the pair with ``(k / POSITIONS) ** STEPS``. What stars find is not counted.
+    """
+    total = 0.0
+    for k in range(POSITIONS + 1):
+        ways = float(math.comb(POSITIONS, k))
+        if k >= (threshold / 100 - SLACK) * POSITIONS:
+            lost = 1 - (1 - (1 - (k / POSITIONS) ** STEPS) ** PATHS) ** LEVELS
+            tree = [float(math.comb(DEPTH, j)) for j in range(DEPTH)] + [lost]
+            all_trees = np.ones(1)
+            for _ in range(TREES):
+                all_trees = np.convolve(all_trees, tree)
+            ways = float(all_trees[k])
+        total += ways * similarity**k * (1 - similarity) ** (POSITIONS - k)
+    return total
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b) whose minwise tokens agree often enough to be worth a look at the full sets."""
 

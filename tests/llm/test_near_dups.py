@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from sparkjets.llm import near_dups
@@ -100,3 +101,22 @@ def test_one_document_of_each_group_stays(documents, odd):
     kept = near_dups.first_of_each(df, 5)
     assert kept.columns == df.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [None, 1, 2, 3, 4, 5, 7, 8, -9, 20]))
+
+
+def test_chance_to_miss_a_pair():
+    assert near_dups.missed(0.8) < 1e-5 and near_dups.missed(0.85) < 1e-7
+
+
+def test_pairs_of_large_nodes_survive_all_rounds(spark):
+    """Pairs of similarity exactly 0.8 that share one large node still share one after all branching."""
+    draw, n = np.random.default_rng(5), 4000
+    one = draw.integers(0, 1 << 32, (n, near_dups.POSITIONS), dtype=np.uint64).astype("<u4")
+    two = np.where(draw.random(one.shape) < 0.8, one, one + 1).astype("<u4")
+    rows = [(7, i + side * n, 100, bytearray(sig.tobytes())) for side, of in enumerate((one, two)) for i, sig in enumerate(of)]
+    sets = spark.createDataFrame(rows, "node long, d long, n long, sig binary").repartition(4).cache()
+    nodes = sets.select("node", "d", "n")
+    for _ in range(near_dups.LEVELS):
+        nodes = near_dups.branch(nodes.join(sets.select("d", "sig"), "d")).distinct()
+    left, right = nodes.where(f"d < {n}"), nodes.selectExpr("node", f"d - {n} AS d")
+    # five paths of two levels keep 1 - 0.36 ** 5 = 0.994; three rounds with one or two children kept under a half
+    assert left.join(right, ["node", "d"]).select("d").distinct().count() > 0.985 * n
