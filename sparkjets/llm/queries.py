@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkjets.llm import chunk_bpe, cover_search, importance, license_join, near_dups, packed_ids, packing, resharding, rule_ledger, token_counts
+from sparkjets.llm import (
+    chunk_bpe,
+    cover_search,
+    embedding_dups,
+    importance,
+    license_join,
+    multi_index,
+    near_dups,
+    packed_ids,
+    packing,
+    resharding,
+    rule_ledger,
+    token_counts,
+)
 from sparkjets.llm.common import keep, table, text_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +228,50 @@ def op10_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     weighted = docs.select("doc_id", text_key().alias("text_hash"), model.weight().alias("log_weight"))
     resampled, _ = importance.resample(keep(weighted, "weights"), model.threshold)
     return resampled.select("doc_id", "log_weight", "key", "kept")
+
+
+@query(
+    "op11_multi_index",
+    """
+    WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+            list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+        WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+        FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, positive_rank FROM (SELECT *,
+        row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS positive_rank FROM s WHERE same)
+        WHERE positive_rank <= 5)
+    SELECT anchor_id, positive_id, positive_rank::INT AS positive_rank, rank::INT AS rank, negative_id, positive_score,
+        negative_score
+    FROM (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+        row_number() OVER (PARTITION BY anchor_id, positive_rank ORDER BY s.score DESC, s.vec_id) AS rank
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score)
+    WHERE rank <= 10
+    """,
+)
+def op11_multi_index(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten hard negatives for each of the five positives of every anchor (vectors whose id is divisible by 100)."""
+    vectors = table(spark, folder, "embeddings")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return multi_index.hard_negatives(vectors.withColumn("label", noisy), F.col("id") % 100 == 0)
+
+
+@query(
+    "op13_embedding_dups",
+    """
+    WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+            AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+        WHERE list_cosine_similarity(a.q, b.q) >= 0.9),
+    n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a),
+    reach AS (WITH RECURSIVE r(vec_id, c) AS (SELECT vec_id, vec_id FROM embeddings
+        UNION SELECT r.vec_id, e.b FROM r JOIN e ON r.c = e.a) SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id)
+    SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
+    FROM embeddings LEFT JOIN n ON vec_id = a JOIN reach USING (vec_id)
+    """,
+)
+def op13_embedding_dups(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of near-duplicate embeddings: vec_id, n_links, component_id, kept."""
+    return embedding_dups.near_duplicates(table(spark, folder, "embeddings"))
