@@ -19,6 +19,7 @@ from sparkjets.llm import (
     packing,
     resharding,
     rule_ledger,
+    term_grid,
     token_counts,
 )
 from sparkjets.llm.common import keep, table, text_key
@@ -257,6 +258,30 @@ def op11_multi_index(spark: SparkSession, folder: str) -> DataFrame:
     return multi_index.hard_negatives(vectors.withColumn("label", noisy), F.col("id") % 100 == 0)
 
 
+TERM_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op12_term_grid",
+    rf"""
+    WITH d AS (SELECT doc_id, regexp_extract_all({LOWER_SQL}, '{TERM_SQL}') AS ts FROM documents WHERE doc_id IS NOT NULL),
+    i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER_SQL}, '{TERM_SQL}')) AS term FROM benchmark),
+    c AS (SELECT count(*)::BIGINT AS big_n, sum(len(ts))::BIGINT AS big_l FROM d WHERE len(ts) > 0),
+    p AS (SELECT doc_id, len(ts)::BIGINT AS n, term, count(*)::BIGINT AS tf
+        FROM (SELECT doc_id, ts, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+    w AS (SELECT term, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, c GROUP BY term, big_n),
+    s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+        FROM i JOIN p USING (term) JOIN w USING (term), c GROUP BY item_id, doc_id)
+    SELECT item_id, rank::INT AS rank, doc_id, score FROM (SELECT *,
+        row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50
+    """,
+)
+def op12_term_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 highest-scoring documents of every benchmark item."""
+    return term_grid.rank(table(spark, folder, "benchmark"), table(spark, folder, "documents"))
+
+
 @query(
     "op13_embedding_dups",
     """
