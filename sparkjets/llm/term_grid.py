@@ -42,7 +42,7 @@ from sparkjets.llm.common import forget, keep
 #: Distinct terms of a block of items on average; a block's vocabulary and impacts go to every worker.
 VOCABULARY = 200_000
 #: A shard ends with the document that fills either.
-SHARD_DOCS, SHARD_POSTINGS = 8192, 1 << 19
+SHARD_DOCS, SHARD_POSTINGS = 8192, 1 << 18
 #: Ranges that are halved at once.
 TOGETHER = 512
 #: One shard of so many is searched first.
