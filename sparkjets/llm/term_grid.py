@@ -28,7 +28,6 @@ scores go by ascending id.
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
