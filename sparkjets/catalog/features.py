@@ -11,7 +11,7 @@ from sparkjets.functions import features, vectors
 from sparkjets.functions.arrays import explode_items, total
 from sparkjets.functions.augment import augment
 from sparkjets.functions.constituents import merged
-from sparkjets.operators import metrics, nested, pairs, rank, scoring
+from sparkjets.operators import information, metrics, nested, pair_tiles, pairs, rank, scoring
 from sparkjets.operators.nested import nest
 from sparkjets.plans.training import training_table
 from sparkjets.sources import tables
@@ -287,33 +287,70 @@ PLAIN = """p AS (SELECT *, pt*cos(phi) AS px, pt*sin(phi) AS py, pt*sinh(eta) AS
     sqrt(m*m + pt*cos(phi)*pt*cos(phi) + pt*sin(phi)*pt*sin(phi) + pt*sinh(eta)*pt*sinh(eta)) AS e FROM lead)"""
 
 
-#: All pairs of a jet are only built for its first constituents, so many at most.
-PAIRED = 100
+#: Sums over the off-diagonal cells of a jet: feature, and the floor its guard must pass.
+def _sums(floor: float) -> dict:
+    return {"delta": ("delta", "delta", -8.0), "k_t": ("k_t", "delta", -8.0), "z": ("z", None, 0.0), "m2": ("m2", "m2", floor)}
 
 
-def first100(sql: str) -> str:
-    """SQL on the constituents that pair features are asked for."""
-    return sql.replace("FROM lead", "FROM first100")
+def tiled_sums(whole, rows, name: str, floor: float, engine: str = "arrow"):
+    """Per jet of ``whole`` the sums over all pairs of its constituents, whatever their number."""
+    options = dict(pair_tiles.PAIR_SETS[name])
+    made = pair_tiles.tiles(rows, ["jet_id"], CONSTITUENT_IDS, options.pop("axis", False), options.pop("angle", "eta"))
+    out = whole.select("jet_id").join(pair_tiles.pair_sums(made, ["jet_id"], _sums(floor), engine=engine, **options), "jet_id", "left")
+    digits = {"delta": 3, "k_t": 3, "z": 4, "m2": 2}
+    return out.select(
+        "jet_id",
+        F.coalesce("cells", F.lit(0)).cast("long").alias("cells"),
+        *[r(F.coalesce(n, F.lit(0.0)), k).alias(n) for n, k in digits.items()],
+    )
+
+
+#: Tell the constituents of a jet apart.
+CONSTITUENT_IDS = ["l_linenumber", "l_partkey", "l_suppkey", "pt", "m"]
+
+
+def constituent_rows(spark, d):
+    return pair_tiles.with_momenta(tables.constituents(spark, d))
 
 
-@query("pair_matrix_int_const", first100(f"WITH {PLAIN}, {_pair_sql('p', 14.0)}"), ("first100", "jets"))
+@query("pair_matrix_int_const", f"WITH {PLAIN}, {_pair_sql('p', 14.0)}", ("lead", "jets"))
 def pair_matrix_int_const(spark, d):
-    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_const", max_constituents=PAIRED), 14.0)
+    return tiled_sums(jets(spark, d), constituent_rows(spark, d), "int_const", 14.0)
 
 
-@query("pair_matrix_builtin_engine", first100(f"WITH {PLAIN}, {_pair_sql('p', 14.0)}"), ("first100", "jets"))
+@query("pair_matrix_builtin_engine", f"WITH {PLAIN}, {_pair_sql('p', 14.0)}", ("lead", "jets"))
 def pair_matrix_builtin_engine(spark, d):
-    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_const", engine="builtin", max_constituents=PAIRED), 14.0)
+    return tiled_sums(jets(spark, d), constituent_rows(spark, d), "int_const", 14.0, engine="builtin")
 
 
-@query("pair_matrix_int_rel_const", first100(f"WITH {AXIS}, {_pair_sql('q', -6.0)}"), ("first100", "jets"))
+@query("pair_matrix_int_rel_const", f"WITH {AXIS}, {_pair_sql('q', -6.0)}", ("lead", "jets"))
 def pair_matrix_int_rel_const(spark, d):
-    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_rel_const", max_constituents=PAIRED), -6.0)
+    return tiled_sums(jets(spark, d), constituent_rows(spark, d), "int_rel_const", -6.0)
 
 
-@query("pair_matrix_int_rel_const2", first100(f"WITH {AXIS}, {_pair_sql('q', -6.0)}"), ("first100", "jets"))
+@query("pair_matrix_int_rel_const2", f"WITH {AXIS}, {_pair_sql('q', -6.0)}", ("lead", "jets"))
 def pair_matrix_int_rel_const2(spark, d):
-    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_rel_const2", max_constituents=PAIRED), -6.0)
+    return tiled_sums(jets(spark, d), constituent_rows(spark, d), "int_rel_const2", -6.0)
+
+
+@query("pair_matrix_first_constituents", f"WITH {PLAIN}, {_pair_sql('p', 14.0)}".replace("FROM lead", "FROM first5"), ("first5", "jets"))
+def pair_matrix_first_constituents(spark, d):
+    """The matrix in the row of its jet, asked for with the first five constituents only."""
+    return pair_sums(features.add_features(tables.jets_nested(spark, d), "int_const", max_constituents=5), 14.0)
+
+
+@query(
+    "pair_cells",
+    f"""WITH {PLAIN} SELECT a.jet_id, a.l_linenumber::BIGINT AS i, b.l_linenumber::BIGINT AS j,
+        {R('CASE WHEN a.idx = b.idx THEN 0e0 ELSE least(a.pt, b.pt) / (a.pt + b.pt) END', 5)} AS z,
+        {R(f"CASE WHEN a.idx = b.idx THEN 0e0 ELSE {ln('sqrt((a.eta - b.eta)*(a.eta - b.eta) + (a.phi - b.phi)*(a.phi - b.phi))')} END", 4)} AS delta
+        FROM p a JOIN p b USING (jet_id)""",
+    ("lead",),
+)
+def pair_cells(spark, d):
+    """Every cell of every jet as a row."""
+    made = pair_tiles.tiles(constituent_rows(spark, d), ["jet_id"], CONSTITUENT_IDS, index="l_linenumber")
+    return pair_tiles.pair_cells(made, ["jet_id"]).select("jet_id", "i", "j", r("z", 5).alias("z"), r("delta", 4).alias("delta"))
 
 
 # --------------------------------------------------------------- JetClass sets
@@ -385,11 +422,13 @@ def features_jetclass_pnet_points(spark, d):
 
 @query(
     "pair_matrix_jetclass",
-    first100(f"WITH {PLAIN}, y AS (SELECT *, 0.5e0 * ln((e + pz) / (e - pz)) AS rapidity FROM p), {_pair_sql('y', 14.0, 'rapidity', True, True, 'lead')}"),
-    ("first100",),
+    f"WITH {PLAIN}, y AS (SELECT *, 0.5e0 * ln((e + pz) / (e - pz)) AS rapidity FROM p), {_pair_sql('y', 14.0, 'rapidity', True, True, 'lead')}",
+    ("lead",),
 )
 def pair_matrix_jetclass(spark, d):
-    return pair_sums(features.add_features(jetclass_input(spark, d), "jet_class", max_constituents=PAIRED), 14.0)
+    p = vectors.cylindrical_rapidity(*[F.col(k) for k in ("E", "px", "py", "pz")])
+    rows = constituent_rows(spark, d).withColumns({k: p[k] for k in ("pt", "y", "phi")})
+    return tiled_sums(rows.select("jet_id").distinct(), rows, "jet_class", 14.0)
 
 
 # ----------------------------------------------- several constituent collections
@@ -422,7 +461,8 @@ def node_sums(df, set_name, names, digits=4, field="node", **options):
     )
 
 
-CONST_SUM = f"{R(f'sum({ln(chr(112) + chr(116))})', 4)} AS f0, {R('sum(eta - jets_eta)', 4)} AS f1, {R('sum(kind)', 4)} AS f2"
+LN_PT = ln("pt")
+CONST_SUM = f"{R(f'sum({LN_PT})', 4)} AS f0, {R('sum(eta - jets_eta)', 4)} AS f1, {R('sum(kind)', 4)} AS f2"
 
 
 @query("features_const_topo", f"WITH {TWO} {_const_sums(CONST_SUM, 'x')}", ("cons", "jets"))
@@ -482,7 +522,7 @@ def features_irc_safe_topo(spark, d):
 
 @query(
     "features_int_const_track",
-    f"WITH x AS (SELECT * FROM lead) {_const_sums(R(f'sum({ln(chr(112) + chr(116))})', 4) + ' AS f0', 'x')}",
+    f"WITH x AS (SELECT * FROM lead) {_const_sums(R(f'sum({LN_PT})', 4) + ' AS f0', 'x')}",
     ("lead", "jets"),
 )
 def features_int_const_track(spark, d):
@@ -818,6 +858,42 @@ def mutual_information_ranking(spark, d):
     return out.select("variable", r("score", 6).alias("score"))
 
 
+#: Whole numbers, so that SQL can give a window the width of a radius; eta and the ids repeat a lot.
+NEIGHBOUR_SQL = {
+    "pt_cents": "round(jets_pt * 100e0)",
+    "eta_hundredths": "round(jets_eta * 100e0)",
+    "score_steps": "((jet_id * 7919) % 10007 + 2500 * label)::DOUBLE",
+}
+
+
+def _psi(x: str) -> str:
+    up = f"({x} + 6e0)"
+    steps = "".join(f" - 1e0 / ({x} + {i}e0)" for i in range(6))
+    return f"(ln({up}) - 0.5e0 / {up} - 1e0 / (12e0 * pow({up}, 2)) + 1e0 / (120e0 * pow({up}, 4)) - 1e0 / (252e0 * pow({up}, 6)){steps})"
+
+
+def _neighbour_sql(name: str) -> str:
+    places = ", ".join(f"abs(x - {f}(x, {i}) OVER c)" for f in ("lag", "lead") for i in (1, 2, 3))
+    return f"""SELECT '{name}' AS variable, {R(f"greatest(0e0, {_psi('count(*)')} + avg({_psi('3e0')} - {_psi('size')} - {_psi('m')}))", 6)} AS score
+        FROM (SELECT size, count(*) OVER (ORDER BY x RANGE BETWEEN w PRECEDING AND w FOLLOWING)::DOUBLE AS m
+            FROM (SELECT x, size::DOUBLE AS size, greatest(radius - 1e0, 0e0) AS w FROM (SELECT x, count(*) OVER (PARTITION BY label) AS size,
+                list_sort(list_filter([{places}], lambda z: z IS NOT NULL))[3] AS radius
+                FROM (SELECT label, {NEIGHBOUR_SQL[name]} AS x FROM jets WHERE label IS NOT NULL) WINDOW c AS (PARTITION BY label ORDER BY x))))"""
+
+
+@query("neighbour_information_ranking", " UNION ALL ".join(map(_neighbour_sql, NEIGHBOUR_SQL)))
+def neighbour_information_ranking(spark, d):
+    """Mutual information with the class from the three nearest neighbours."""
+    df = jets(spark, d).select(
+        "label",
+        F.round(F.col("jets_pt") * 100.0).alias("pt_cents"),
+        F.round(F.col("jets_eta") * 100.0).alias("eta_hundredths"),
+        ((F.col("jet_id") * 7919) % 10007 + F.col("label") * 2500).cast("double").alias("score_steps"),
+    )
+    out = information.neighbour_information(df, list(NEIGHBOUR_SQL), "label")
+    return out.select("variable", r("score", 6).alias("score"))
+
+
 @query(
     "noise_importance",
     f"""WITH k AS (SELECT avg(((score > 0.5e0)::INT = label)::INT) AS a FROM jets WHERE label IS NOT NULL)

@@ -258,10 +258,10 @@ def _scaled(c: Column, axis: Column) -> Column:
     )
 
 
-def pair_matrix(c: Column, angle: str = "eta", wrap: bool = False, log_z: bool = False) -> Column:
-    """``[N, N]`` matrix of delta, k_t, z and m2 over the constituents of one jet, zero on the diagonal."""
+def pair_cell(a: Column, b: Column, angle: str = "eta", wrap: bool = False, log_z: bool = False) -> Column:
+    """delta, k_t, z and m2 of two constituents that carry momenta."""
 
-    def cell(a: Column, b: Column, dphi: Column) -> Column:
+    def raw(dphi: Column) -> Column:
         energy, px, py, pz = (a[k] + b[k] for k in ("E", "px", "py", "pz"))
         return F.struct(
             hypot(a[angle] - b[angle], dphi).alias("dr"),
@@ -270,11 +270,6 @@ def pair_matrix(c: Column, angle: str = "eta", wrap: bool = False, log_z: bool =
             (energy * energy - px * px - py * py - pz * pz).alias("m2"),
         )
 
-    def raw(a: Column, b: Column) -> Column:
-        if wrap:
-            return let(vectors.delta_phi(a["phi"], b["phi"]), lambda dphi: cell(a, b, dphi))
-        return cell(a, b, a["phi"] - b["phi"])
-
     def final(p: Column) -> Column:
         z = ratio(p["pt_min"], p["pt_sum"])
         return F.struct(
@@ -284,12 +279,17 @@ def pair_matrix(c: Column, angle: str = "eta", wrap: bool = False, log_z: bool =
             log_clip(p["m2"]).alias("m2"),
         )
 
+    if wrap:
+        return let(let(vectors.delta_phi(a["phi"], b["phi"]), raw), final)
+    return let(raw(a["phi"] - b["phi"]), final)
+
+
+def pair_matrix(c: Column, angle: str = "eta", wrap: bool = False, log_z: bool = False) -> Column:
+    """``[N, N]`` matrix of delta, k_t, z and m2 over the constituents of one jet, zero on the diagonal."""
     zero = F.struct(*[F.lit(0.0).alias(n) for n in ("delta", "k_t", "z", "m2")])
     return F.transform(
         c,
-        lambda a, i: F.transform(
-            F.transform(c, lambda b: raw(a, b)), lambda p, j: F.when(i == j, zero).otherwise(final(p))
-        ),
+        lambda a, i: F.transform(c, lambda b, j: F.when(i == j, zero).otherwise(pair_cell(a, b, angle, wrap, log_z))),
     )
 
 

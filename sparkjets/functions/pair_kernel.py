@@ -27,17 +27,11 @@ def _log_clip(x: np.ndarray) -> np.ndarray:
     return np.log(np.clip(x, CLIP_MIN, CLIP_MAX))
 
 
-def _matrix(columns: list[pa.ListArray], wrap: bool, log_z: bool) -> pa.ListArray:
-    """Matrices of some jets; ``columns`` are pt, angle, phi, E, px, py, pz."""
-    offsets = columns[0].offsets.to_numpy()
-    pt, angle, phi, *p4 = (c.values.slice(c.offsets[0].as_py()).to_numpy(zero_copy_only=False) for c in columns)
-    starts = offsets[:-1] - offsets[0]
-    lengths = np.diff(offsets)
-    per_row = np.repeat(lengths, lengths)  # one matrix row per constituent, as long as its jet
-    row_ends = np.cumsum(per_row)
-    total = int(row_ends[-1]) if len(row_ends) else 0
-    i = np.repeat(np.arange(len(per_row)), per_row)
-    j = np.arange(total) - np.repeat(row_ends - per_row, per_row) + np.repeat(np.repeat(starts, lengths), per_row)
+def pair_features(
+    columns: list[np.ndarray], i: np.ndarray, j: np.ndarray, wrap: bool, log_z: bool
+) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Features of the pairs (i, j) and where z has no value; ``columns`` are pt, angle, phi, E, px, py, pz."""
+    pt, angle, phi, *p4 = columns
     dphi = phi[i] - phi[j]
     if wrap:
         dphi = np.arctan2(np.sin(dphi), np.cos(dphi))
@@ -52,10 +46,25 @@ def _matrix(columns: list[pa.ListArray], wrap: bool, log_z: bool) -> pa.ListArra
             "z": _log_clip(z) if log_z else z,
             "m2": _log_clip(energy * energy - px * px - py * py - pz * pz),
         }
+    return values, both == 0
+
+
+def _matrix(columns: list[pa.ListArray], wrap: bool, log_z: bool) -> pa.ListArray:
+    """Matrices of some jets; ``columns`` are pt, angle, phi, E, px, py, pz."""
+    offsets = columns[0].offsets.to_numpy()
+    flat = [c.values.slice(c.offsets[0].as_py()).to_numpy(zero_copy_only=False) for c in columns]
+    starts = offsets[:-1] - offsets[0]
+    lengths = np.diff(offsets)
+    per_row = np.repeat(lengths, lengths)  # one matrix row per constituent, as long as its jet
+    row_ends = np.cumsum(per_row)
+    total = int(row_ends[-1]) if len(row_ends) else 0
+    i = np.repeat(np.arange(len(per_row)), per_row)
+    j = np.arange(total) - np.repeat(row_ends - per_row, per_row) + np.repeat(np.repeat(starts, lengths), per_row)
+    values, undefined = pair_features(flat, i, j, wrap, log_z)
     diagonal = i == j
     for v in values.values():
         v[diagonal] = 0.0
-    undefined = (both == 0) & ~diagonal
+    undefined &= ~diagonal
     arrays = [pa.array(v, mask=undefined if name == "z" else None) for name, v in values.items()]
     cells = pa.StructArray.from_arrays(arrays, names=list(values))
     rows = pa.ListArray.from_arrays(np.concatenate([[0], row_ends]).astype(np.int32), cells)

@@ -79,6 +79,18 @@ class Buckets:
     def is_uniform(self) -> bool:
         return self == Buckets.uniform(self.low, self.high, len(self.edges) + 1, self.fine)
 
+    def column(self, x: Column) -> Column:
+        """The bucket number of ``x`` as one expression, for plans that choose among several bucketings."""
+        if self.is_uniform:
+            return _cell(x, F.lit(self.low), F.lit(self.high - self.low), (len(self.edges) + 1) * self.fine)
+        coarse = _edges_passed(x, self.edges, inclusive=True)
+        if self.fine == 1:
+            return F.coalesce(coarse, F.lit(0))
+        borders = [self.low, *self.edges, self.high]
+        start = F.get(F.array(*[F.lit(float(b)) for b in borders[:-1]]), coarse)
+        width = F.get(F.array(*[F.lit(float(b - a)) for a, b in zip(borders, borders[1:])]), coarse)
+        return coarse * self.fine + _cell(x, start, width, self.fine)
+
     def add(self, df: DataFrame, order: str, out: str) -> DataFrame:
         """Add the bucket number: never decreasing in ``order``, never NULL."""
         x = F.col(order).cast("double")
@@ -138,6 +150,18 @@ def _inside(partition: Sequence[str], order: str, tie_breakers: Sequence[str]):
     )
 
 
+def totals_in_buckets(
+    rows: DataFrame, order: str, values: Sequence[str], partition: Sequence[str], tie_breakers: Sequence[str]
+) -> DataFrame:
+    """``rows`` (with their ``_bucket``) and the inclusive running sum ``_t<value>`` of every value.
+
+    Offsets join on the window's own keys, whatever the number of buckets and partitions.
+    """
+    joined = rows.join(_offsets(rows, partition, values), _same_group(partition))
+    inside = _inside(partition, order, tie_breakers)
+    return joined.select(*rows.columns, *[(F.sum(v).over(inside) + F.col(f"_o{v}")).alias(f"_t{v}") for v in values])
+
+
 def running_totals(
     df: DataFrame,
     order: str,
