@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkjets.catalog.base import R, query, r
 from sparkjets.functions import vectors
 from sparkjets.functions.constituents import merged
 from sparkjets.dataset import JetDataset
-from sparkjets.operators import nested, pairs
+from sparkjets.operators import neighbours, nested
 from sparkjets.sources import tables
 
 events = tables.events_nested
@@ -316,6 +317,13 @@ def wrapped_delta_phi(spark, d):
 # --------------------------------------------------- pairs and neighbours
 
 
+def numbered_constituents(spark, d):
+    """Constituents as rows, numbered from zero in each jet by descending pt."""
+    order = [F.col("pt").desc(), *[F.col(c) for c in tables.CONSTITUENT_ORDER[1:]]]
+    at = F.row_number().over(Window.partitionBy("jet_id").orderBy(*order)) - 1
+    return tables.constituents(spark, d).withColumn("idx", at)
+
+
 @query(
     "nearest_neighbours",
     f"""WITH p AS (SELECT a.jet_id, a.idx AS i, b.idx AS j,
@@ -325,11 +333,8 @@ def wrapped_delta_phi(spark, d):
     ("lead",),
 )
 def nearest_neighbours(spark, d):
-    df = tables.nested_constituents(spark, d).withColumn("c", merged(["Constituent"]))
-    df = df.withColumn("near", pairs.nearest_neighbours(F.col("c"), 3))
-    rows = df.select("jet_id", F.posexplode("near").alias("i", "list"))
-    rows = rows.select("jet_id", "i", F.posexplode("list").alias("k", "n"))
-    return rows.select("jet_id", "i", (F.col("k") + 1).cast("int").alias("nth"), r("n.distance", 5).alias("distance"))
+    near = neighbours.nearest_rows(numbered_constituents(spark, d), ["jet_id"], "idx", 3)
+    return near.select("jet_id", F.col("i").cast("int").alias("i"), "nth", r("distance", 5).alias("distance"))
 
 
 @query(
@@ -340,8 +345,29 @@ def nearest_neighbours(spark, d):
     ("lead",),
 )
 def neighbour_edge_features(spark, d):
-    df = tables.nested_constituents(spark, d).withColumn("c", merged(["Constituent"]))
-    df = df.withColumn("near", pairs.nearest_neighbours(F.col("c"), 1, ["pt"]))
-    df = df.withColumn("edges", pairs.edge_features(F.col("c"), F.col("near"), ["pt"]))
-    rows = df.select("jet_id", F.posexplode("edges").alias("i", "list")).select("jet_id", "i", F.explode("list").alias("e"))
-    return rows.select("jet_id", "i", r("e.pt_centre", 3).alias("pt_centre"), r(F.abs("e.pt_diff"), 3).alias("pt_diff"))
+    rows = numbered_constituents(spark, d)
+    near = neighbours.nearest_rows(rows, ["jet_id"], "idx", 1, ["pt"])
+    edges = neighbours.edge_rows(near, rows, ["jet_id"], "idx", ["pt"])
+    return edges.select("jet_id", F.col("i").cast("int").alias("i"), r("pt_centre", 3).alias("pt_centre"), r(F.abs("pt_diff"), 3).alias("pt_diff"))
+
+
+HIT_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query(
+    "neighbours_of_all_hits",
+    f"""WITH h AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY {', '.join(HIT_ORDER)}) AS i,
+            l_quantity AS x, l_extendedprice / 1000e0 AS y FROM lineitem),
+        q AS (SELECT a.l_suppkey, a.i, b.i AS j, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS dist FROM h a JOIN h b USING (l_suppkey)),
+        k AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey, i ORDER BY dist, j) - 1 AS nth FROM q)
+        SELECT l_suppkey, i, nth::INT AS nth, {R('dist', 6)} AS distance FROM k WHERE nth BETWEEN 1 AND 2""",
+    (),
+)
+def neighbours_of_all_hits(spark, d):
+    """Two nearest neighbours of every item among those of its supplier: large groups, which take the grid of cells."""
+    order = Window.partitionBy("l_suppkey").orderBy(*HIT_ORDER)
+    rows = tables.table(spark, d, "lineitem").select(
+        "l_suppkey", F.row_number().over(order).alias("i"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000.0).alias("y")
+    )
+    near = neighbours.nearest_rows(rows, ["l_suppkey"], "i", 2, ["x", "y"])
+    return near.select("l_suppkey", F.col("i").cast("long").alias("i"), "nth", r("distance", 6).alias("distance"))
