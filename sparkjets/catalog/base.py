@@ -87,6 +87,22 @@ def R(sql: str, digits: int = 6) -> str:
     return f"(round({sql}, {digits}) + 0e0)"
 
 
+def draw(seed: int, *keys: str) -> str:
+    """SQL form of ``functions.random.uniform``; ``keys`` are SQL expressions."""
+    digest = f"md5(concat_ws('/', {seed}, {', '.join(keys)}))"
+    return f"((('0x' || substr({digest}, 1, 13))::BIGINT::DOUBLE + 0.5e0) * {2.0**-52!r}::DOUBLE)"
+
+
+def normal_draw(seed: int, *keys: str) -> str:
+    """SQL form of ``functions.random.normal``."""
+    return f"(sqrt(-2e0 * ln({draw(seed, *keys, repr('r'))})) * cos(2e0 * pi() * {draw(seed, *keys, repr('a'))}))"
+
+
+def order_draw(seed: int, *keys: str) -> str:
+    """SQL form of ``functions.random.random_order``: the same order, from zero up."""
+    return f"('0x' || substr(md5(concat_ws('/', {seed}, {', '.join(keys)})), 1, 15))::BIGINT"
+
+
 def case_bins(x: str, edges, right_closed: bool = False, clamped: bool = True) -> str:
     """SQL bin index on explicit edges."""
     literal = "[" + ", ".join(f"{e!r}::DOUBLE" for e in edges) + "]"

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from sparkjets.catalog.aggregations import ETA, PT
 from sparkjets.catalog.arrays import together, two_collections
-from sparkjets.catalog.base import R, case_bins, query, r
+from sparkjets.catalog.base import R, case_bins, draw, normal_draw, query, r
 from sparkjets.functions import features, vectors
 from sparkjets.functions.arrays import explode_items, total
 from sparkjets.functions.augment import augment
 from sparkjets.functions.constituents import merged
-from sparkjets.operators import information, metrics, nested, pair_tiles, pairs, rank, scoring
+from sparkjets.operators import information, metrics, nested, pair_tiles, pairs, rank, scoring, split
 from sparkjets.operators.nested import nest
 from sparkjets.plans.training import training_table
 from sparkjets.sources import tables
@@ -593,132 +593,107 @@ def training_table_query(spark, d):
 
 
 # --------------------------------------------------------------- augmentations
-# Random changes are checked by what they must preserve, over all jets.
+# Every draw is a digest of (seed, jet, step, element) that SQL states too, so the changed
+# constituents themselves are compared, by position.
 
-SUMS = "sum(pt*cos(phi)) AS sx, sum(pt*sin(phi)) AS sy, sum(pt*sinh(eta)) AS sz, sum(sqrt(m*m + pt*pt*cosh(eta)*cosh(eta))) AS se"
 
-
-def momentum_sums(c):
-    p = F.transform(c, lambda x: vectors.as_struct(vectors.cartesian(x["m"], x["pt"], x["eta"], x["phi"])))
-    return {k: total(p, lambda x, k=k: x[k]) for k in ("E", "px", "py", "pz")}
+def augmented(spark, d, *steps):
+    """Constituents of all jets after the steps: ``jet_id, idx, pt, eta, phi, m`` (idx: position in the array)."""
+    df = augment(tables.nested_constituents(spark, d), "jet_id", steps)
+    names = ("pt", "eta", "phi", "m")
+    zipped = F.arrays_zip(*[F.col(f"jets_Constituent_{k}").alias(k) for k in names])
+    rows = df.select("jet_id", F.posexplode(zipped).alias("idx", "x"))
+    return rows.select("jet_id", "idx", *[r(F.col("x")[k], 3 if k == "pt" else 5).alias(k) for k in names])
 
 
-def augmented(spark, d, *steps):
-    """Jets after the steps, with the constituents before (``old``) and after (``new``)."""
-    df = tables.nested_constituents(spark, d).withColumn("old", merged(["Constituent"], None))
-    return augment(df, "jet_id", steps).withColumn("new", merged(["Constituent"], None))
+CHANGED = f"{R('pt', 3)} AS pt, {R('eta', 5)} AS eta, {R('phi', 5)} AS phi, {R('m', 5)} AS m"
+#: New momentum px, py, pz -> pt, eta, phi; the mass of the constituent stays.
+MOVED = f"""SELECT jet_id, idx::INT AS idx, {R('sqrt(nx*nx + ny*ny)', 3)} AS pt, {R('atanh(nz / sqrt(nx*nx + ny*ny + nz*nz))', 5)} AS eta,
+    {R('atan2(ny, nx)', 5)} AS phi, {R('m', 5)} AS m FROM moved"""
 
 
 @query(
     "augment_rotation",
-    f"""WITH s AS (SELECT jet_id, {SUMS}, sum(pt*cosh(eta)) AS p FROM lead GROUP BY jet_id) SELECT jet_id, {R('sx / se', 5)} AS px,
-        {R('sy / se', 5)} AS py, {R('sz / se', 5)} AS pz, {R('p / se', 5)} AS p FROM s""",
+    f"""WITH {PLAIN}, s AS (SELECT jet_id, sum(px) AS sx, sum(py) AS sy, sum(pz) AS sz FROM p GROUP BY jet_id),
+        a AS (SELECT jet_id, sx / l AS x, sy / l AS y, sz / l AS z, cos(t) AS c, sin(t) AS s FROM (SELECT *, sqrt(sx*sx + sy*sy + sz*sz) AS l,
+            {draw(42, 'jet_id')} * (60e0 * pi() / 180e0) AS t FROM s)),
+        moved AS (SELECT p.*, c*px + s*(y*pz - z*py) + x*k AS nx, c*py + s*(z*px - x*pz) + y*k AS ny, c*pz + s*(x*py - y*px) + z*k AS nz
+            FROM (SELECT *, (x*px + y*py + z*pz) * (1e0 - c) AS k FROM p JOIN a USING (jet_id)) p) {MOVED}""",
     ("lead",),
 )
 def augment_rotation(spark, d):
-    """Rotation about the summed momentum keeps it, and keeps every \\|p\\|."""
-    df = augmented(spark, d, ("rotation", {"max_angle": 60.0}))
-    new, old = momentum_sums(F.col("new")), momentum_sums(F.col("old"))
-    p = total(F.col("new"), lambda x: x["pt"] * F.cosh(x["eta"]))
-    return df.select(
-        "jet_id", *[r(new[k] / old["E"], 5).alias(k) for k in ("px", "py", "pz")], r(p / old["E"], 5).alias("p")
-    )
+    """Rotation about the summed momentum by one drawn angle."""
+    return augmented(spark, d, ("rotation", {"max_angle": 60.0}))
 
 
 @query(
     "augment_boost",
-    f"""WITH s AS (SELECT jet_id, {SUMS} FROM lead GROUP BY jet_id)
-        SELECT jet_id, {R('(se*se - sx*sx - sy*sy - sz*sz) / (se*se)', 5)} AS mass2 FROM s""",
+    f"""WITH {PLAIN}, g AS (SELECT jet_id, b * x / l AS x, b * y / l AS y, b * z / l AS z, b, 1e0 / sqrt(1e0 - b*b) AS g FROM
+            (SELECT *, sqrt(x*x + y*y + z*z) AS l FROM (SELECT DISTINCT jet_id, {draw(42, 'jet_id', "'beta'")} * 0.3e0 AS b,
+            {normal_draw(42, 'jet_id', "'x'")} AS x, {normal_draw(42, 'jet_id', "'y'")} AS y, {normal_draw(42, 'jet_id', "'z'")} AS z FROM lead))),
+        moved AS (SELECT *, px + x*k AS nx, py + y*k AS ny, pz + z*k AS nz FROM
+            (SELECT *, (g - 1e0) * (x*px + y*py + z*pz) / (b*b) - g * e AS k FROM p JOIN g USING (jet_id))) {MOVED}""",
     ("lead",),
 )
 def augment_boost(spark, d):
-    """A boost keeps the invariant mass of the jet."""
-    df = augmented(spark, d, ("boost", {"max_beta": 0.3}))
-    new, old = momentum_sums(F.col("new")), momentum_sums(F.col("old"))
-    mass2 = new["E"] * new["E"] - new["px"] * new["px"] - new["py"] * new["py"] - new["pz"] * new["pz"]
-    return df.select("jet_id", r(mass2 / (old["E"] * old["E"]), 5).alias("mass2"))
+    """A boost along a drawn direction."""
+    return augmented(spark, d, ("boost", {"max_beta": 0.3}))
 
 
 @query(
     "augment_collinear_split",
-    f"SELECT jet_id, {R('sum(pt)', 2)} AS pt, {R('sum(pt * eta) / sum(pt)', 5)} AS eta, true AS more, true AS sorted FROM lead GROUP BY jet_id",
+    f"""WITH u AS (SELECT *, {draw(42, 'jet_id', 'idx', "'split'")} < 0.3e0 AS cut, 0.1e0 + {draw(42, 'jet_id', 'idx', "'share'")} * (0.9e0 - 0.1e0) AS f FROM lead),
+        n AS (SELECT jet_id, CASE WHEN cut THEN pt * f ELSE pt END AS pt, eta, phi, m FROM u UNION ALL
+            SELECT jet_id, pt * (1e0 - f), eta, phi, 0e0 FROM u WHERE cut)
+        SELECT jet_id, (row_number() OVER (PARTITION BY jet_id ORDER BY pt DESC) - 1)::INT AS idx, {CHANGED} FROM n""",
     ("lead",),
 )
 def augment_collinear_split(spark, d):
-    """Splitting keeps the pt sum and the directions, adds constituents and sorts again."""
-    df = augmented(spark, d, ("collinear_split", {"amount": 0.3}))
-    pt = F.col("jets_Constituent_pt")
-    weighted = F.zip_with(pt, F.col("jets_Constituent_eta"), lambda p, e: p * e)
-    return df.select(
-        "jet_id",
-        r(total(pt), 2).alias("pt"),
-        r(total(weighted) / total(pt), 5).alias("eta"),
-        (F.size(pt) >= F.size("old")).alias("more"),
-        (F.reverse(F.array_sort(pt)) == pt).alias("sorted"),
-    )
+    """Drawn constituents split in two along their direction, by a drawn share; sorted again."""
+    return augmented(spark, d, ("collinear_split", {"amount": 0.3}))
 
 
-@query(
-    "augment_drop_soft",
-    "SELECT jet_id, true AS subset, true AS some_left, CASE WHEN count(*) < 3 THEN count(*)::INT END AS untouched FROM lead GROUP BY jet_id",
-    ("lead",),
-)
+def _dropped_sql(seed: int) -> str:
+    return f"""u AS (SELECT *, {draw(seed, 'jet_id', 'idx')} > 1e0 - 1e0 / (1e0 + exp(idx - n * 0.6e0)) AS stays
+            FROM (SELECT *, count(*) OVER (PARTITION BY jet_id) AS n FROM lead)),
+        k AS (SELECT *, n < 3 OR NOT bool_or(stays) OVER (PARTITION BY jet_id) AS untouched FROM u)
+        SELECT jet_id, (row_number() OVER (PARTITION BY jet_id ORDER BY idx) - 1)::INT AS idx, {CHANGED} FROM k WHERE stays OR untouched"""
+
+
+@query("augment_drop_soft", f"WITH {_dropped_sql(42)}", ("lead",))
 def augment_drop_soft(spark, d):
-    """What is left was there before, something is always left, and small jets are not touched."""
-    df = augmented(spark, d, ("drop_soft", {"min_number": 3, "skew": 1.0, "center": 0.6}))
-    left = F.size("new")
-    return df.select(
-        "jet_id",
-        (F.size(F.array_except("new", "old")) == 0).alias("subset"),
-        (left > 0).alias("some_left"),
-        F.when(F.size("old") < 3, left).alias("untouched"),
-    )
+    """Soft constituents go with a rising chance; small jets, and those that would lose all, are not touched."""
+    return augmented(spark, d, ("drop_soft", {"min_number": 3, "skew": 1.0, "center": 0.6}))
 
 
 @query(
     "augment_soft_smear",
-    f"SELECT jet_id, {R('sum(pt)', 2)} AS pt, true AS inside, true AS centred FROM lead GROUP BY jet_id",
+    f"""WITH n AS (SELECT * EXCLUDE (eta, phi), least(greatest(eta + 100e0 / pt * {normal_draw(42, 'jet_id', 'idx', "'eta'")}, -5e0), 5e0) AS eta,
+            least(greatest(phi + 100e0 / pt * {normal_draw(42, 'jet_id', 'idx', "'phi'")}, -pi()), pi()) AS phi FROM lead)
+        SELECT jet_id, idx::INT AS idx, {CHANGED} FROM n""",
     ("lead",),
 )
 def augment_soft_smear(spark, d):
-    """Directions move by about energy_scale / pt and stay in range; pt is not touched."""
-    df = augmented(spark, d, ("soft_smear", {"energy_scale": 100.0}))
-    moved = F.zip_with("jets_Constituent_eta", "old", lambda e, o: F.abs(e - o["eta"]) * o["pt"] / 100.0)
-    return df.select(
-        "jet_id",
-        r(total(F.col("jets_Constituent_pt")), 2).alias("pt"),
-        (F.forall("jets_Constituent_eta", lambda e: F.abs(e) <= 5.0) & F.forall("jets_Constituent_phi", lambda p: F.abs(p) <= 3.1415927)).alias("inside"),
-        F.forall(moved, lambda m: m < 8.0).alias("centred"),
-    )
+    """Directions move by drawn amounts of a width of energy_scale / pt."""
+    return augmented(spark, d, ("soft_smear", {"energy_scale": 100.0}))
 
 
-@query(
-    "augment_pt_smear",
-    "SELECT count(*) AS n, true AS positive, true AS mean_ok, true AS spread_ok FROM lead",
-    ("lead",),
-)
+def _pt_smeared_sql(share: str = "") -> str:
+    smeared = f"least(greatest(pt * (1e0 + 0.1e0 * {normal_draw(42, 'jet_id', 'idx', repr('pt'))}), 1e-8), 1e8)"
+    changed = f"CASE WHEN {share} THEN {smeared} ELSE pt END" if share else smeared
+    return f"WITH n AS (SELECT * EXCLUDE (pt), {changed} AS pt FROM lead) SELECT jet_id, idx::INT AS idx, {CHANGED} FROM n"
+
+
+@query("augment_pt_smear", _pt_smeared_sql(), ("lead",))
 def augment_pt_smear(spark, d):
-    """The relative change of pt has mean zero and the asked width."""
-    df = augmented(spark, d, ("pt_smear", {"std_pt_frac": 0.1}))
-    rows = df.select(F.explode(F.arrays_zip("jets_Constituent_pt", "old")).alias("x")).select(
-        F.col("x.jets_Constituent_pt").alias("pt"), (F.col("x.jets_Constituent_pt") / F.col("x.old")["pt"] - 1).alias("change")
-    )
-    return rows.agg(
-        F.count("*").alias("n"),
-        F.every(F.col("pt") > 0).alias("positive"),
-        (F.abs(F.avg("change")) < 0.6 / F.sqrt(F.count("*"))).alias("mean_ok"),
-        (F.abs(F.stddev_pop("change") / 0.1 - 1) < 5 / F.sqrt(F.count("*"))).alias("spread_ok"),
-    )
+    """pt changes by drawn shares of it."""
+    return augmented(spark, d, ("pt_smear", {"std_pt_frac": 0.1}))
 
 
-@query("augment_chain", "SELECT count(*) AS n, true AS about_half_changed FROM (SELECT DISTINCT jet_id FROM lead)", ("lead",))
+@query("augment_chain", _pt_smeared_sql(f"{draw(42, 'jet_id', repr('apply'))} < 0.5e0"), ("lead",))
 def augment_chain(spark, d):
-    """A chain with a certain, a possible and an impossible step."""
-    steps = [("pt_smear", {"prob": 0.5}), ("drop_soft", {"prob": 0.0, "center": 0.0})]
-    df = augmented(spark, d, *steps)
-    changed = F.avg((F.col("new") != F.col("old")).cast("double"))
-    n = F.count("*")
-    return df.agg(n.alias("n"), (F.abs(changed - 0.5) < 2.5 / F.sqrt(n)).alias("about_half_changed"))
+    """A chain of a step that is drawn for half of the jets and one that is never drawn."""
+    return augmented(spark, d, ("pt_smear", {"prob": 0.5}), ("drop_soft", {"prob": 0.0, "center": 0.0}))
 
 
 # ----------------------------------------- averaged matrices, feature statistics
@@ -894,15 +869,21 @@ def neighbour_information_ranking(spark, d):
     return out.select("variable", r("score", 6).alias("score"))
 
 
-@query(
-    "noise_importance",
-    f"""WITH k AS (SELECT avg(((score > 0.5e0)::INT = label)::INT) AS a FROM jets WHERE label IS NOT NULL)
-        SELECT variable, {R('a')} AS accuracy, used FROM k, (VALUES ('score', true), ('jets_eta', false)) v(variable, used)""",
-)
+def _noise_sql(f: str) -> str:
+    noise = f"((SELECT avg({f}) FROM jets) - half_{f} + {draw(42, 'jet_id', repr(f))} * half_{f} * 2e0)"
+    used = {"score": "score", "jets_eta": "jets_eta"} | {f: noise}
+    return f"""SELECT '{f}' AS variable, {R('a')} AS accuracy, {R('w')} AS noisy_accuracy, {R('a - w')} AS importance FROM
+        (SELECT avg((score + 0.02e0 * jets_eta > 0.5e0)::INT = label)::DOUBLE AS a,
+            avg(({used['score']} + 0.02e0 * {used['jets_eta']} > 0.5e0)::INT = label)::DOUBLE AS w
+        FROM jets, (SELECT sqrt(3e0) * stddev_pop({f}) AS half_{f} FROM jets) WHERE label IS NOT NULL)""".replace(" = label)", " = label)::INT)").replace("avg((", "avg(((")
+
+
+@query("noise_importance", " UNION ALL ".join(_noise_sql(f) for f in ("score", "jets_eta")))
 def noise_importance(spark, d):
-    """Noise hurts the feature the scorer uses and only that one."""
-    out = rank.noise_importance(jets(spark, d), ["score", "jets_eta"], lambda c: c["score"] + 0.0 * c["jets_eta"], "label", "jet_id")
-    return out.select("variable", r("accuracy").alias("accuracy"), (F.col("importance") > 0.01).alias("used"))
+    """Accuracy lost when noise replaces a feature, for one that matters much and one that matters little."""
+    scorer = lambda c: c["score"] + 0.02 * c["jets_eta"]
+    out = rank.noise_importance(jets(spark, d), ["score", "jets_eta"], scorer, "label", "jet_id")
+    return out.select("variable", *[r(c).alias(c) for c in ("accuracy", "noisy_accuracy", "importance")])
 
 
 # --------------------------------------------------------------------- scoring
@@ -937,29 +918,38 @@ def cached_scores(spark, d):
     return again.select("jet_id", r("score").alias("score"))
 
 
-def trainable(spark, d):
-    df = jets(spark, d).where("label is not null")
-    return df.select("jet_id", "jets_pt", "jets_eta", "score", "weight", F.col("label").cast("double").alias("label"))
+#: A learner sees the event weight, which tells a part of the classes apart, and two numbers that tell nothing.
+LEARN_FROM = ["weight", "jets_pt", "jets_eta"]
+#: The best a learner can do on the rows held out: rank them by the share of the class among the training rows of their weight.
+LEARNED = f"""WITH k AS (SELECT weight, label, {draw(42, 'jet_id')} <= 0.7e0 AS train FROM jets WHERE label IS NOT NULL),
+    s AS (SELECT weight, avg(label) AS score FROM k WHERE train GROUP BY weight),
+    g AS (SELECT score, sum(label)::DOUBLE AS p, sum(1 - label)::DOUBLE AS n FROM k JOIN s USING (weight) WHERE NOT train GROUP BY score),
+    c AS (SELECT p, n, sum(n) OVER (ORDER BY score) AS below FROM g)
+    SELECT sum(p + n)::BIGINT AS held_out, floor(10 * sum(p * (below - n / 2)) / (sum(p) * sum(n)))::BIGINT AS auc_tenths FROM c"""
 
 
-LEARNED = "SELECT count(*) AS num_events, true AS learned FROM jets WHERE label IS NOT NULL"
+def trainable(spark, d):
+    """Rows to learn from and rows held out, by a draw."""
+    df = jets(spark, d).where("label is not null").select("jet_id", *LEARN_FROM, F.col("label").cast("double").alias("label"))
+    parts = split.split_random(df, {"train": 0.7, "test": 0.3}, "jet_id")
+    return [parts.where(F.col("split") == name).drop("split") for name in ("train", "test")]
 
 
-def _learned(scored, score):
-    """Every row is scored, and the model ranks the classes clearly better than chance."""
+def _judged(scored, score):
     exact = scored.withColumn("label", F.col("label").cast("int"))
-    return metrics.all_metrics(exact, score, "label").select("num_events", (F.col("auc") > 0.6).alias("learned"))
+    out = metrics.all_metrics(exact, score, "label")
+    return out.select(F.col("num_events").cast("long").alias("held_out"), F.floor(F.col("auc") * 10).cast("long").alias("auc_tenths"))
 
 
 @query("boosted_trees", LEARNED)
 def boosted_trees(spark, d):
-    df, columns = trainable(spark, d), ["jets_pt", "jets_eta", "score"]
-    model = scoring.train_boosted_trees(df, columns, "label", trees=5, depth=3)
-    return _learned(scoring.apply_model(model, df, columns, "bdt"), "bdt")
+    train, test = trainable(spark, d)
+    model = scoring.train_boosted_trees(train, LEARN_FROM, "label", trees=5, depth=3)
+    return _judged(scoring.apply_model(model, test, LEARN_FROM, "bdt"), "bdt")
 
 
 @query("dense_classifier", LEARNED)
 def dense_classifier(spark, d):
-    df = trainable(spark, d)
-    model = scoring.train_dense(df, ["jets_pt", "jets_eta", "score"], "label", hidden=(8,), epochs=20)
-    return _learned(scoring.apply_model(model, df, [], "fc"), "fc")
+    train, test = trainable(spark, d)
+    model = scoring.train_dense(train, LEARN_FROM, "label", hidden=(8,), epochs=60)
+    return _judged(scoring.apply_model(model, test, [], "fc"), "fc")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkjets.catalog.aggregations import CLASS_BIN, PT, PT_BIN, pt_bin
-from sparkjets.catalog.base import R, case_bins, query, r
+from sparkjets.catalog.base import R, case_bins, draw, order_draw, query, r
 from sparkjets.functions.binning import Binning
 from sparkjets.operators import combine, resample, split
+from sparkjets.operators.ordered import number_rows
 from sparkjets.sources import io, tables
 
 jets = tables.jets
@@ -54,31 +55,40 @@ def contiguous_split(spark, d):
 
 @query(
     "random_split",
-    "SELECT count(*) AS n, count(DISTINCT jet_id) AS distinct_n, 3::BIGINT AS parts, true AS shares_ok FROM jets",
+    f"""SELECT jet_id, CASE WHEN u <= 0.7e0 THEN 'train' WHEN u <= 0.7e0 + 0.2e0 THEN 'dev' ELSE 'test' END AS split
+        FROM (SELECT jet_id, {draw(42, 'jet_id')} AS u FROM jets)""",
 )
 def random_split(spark, d):
-    """Parts are disjoint and complete, and their shares are near the fractions (five standard deviations)."""
     parts = {"train": 0.7, "dev": 0.2, "test": 0.1}
-    tagged = split.split_random(jets(spark, d), parts, "jet_id")
-    counts = tagged.groupBy("split").agg(F.count("*").alias("c"), F.countDistinct("jet_id").alias("u"))
-    want = F.when(F.col("split") == "train", 0.7).when(F.col("split") == "dev", 0.2).otherwise(0.1)
-    total = counts.agg(F.sum("c")).scalar()
-    off = F.abs(F.col("c") / total - want) < 5 * F.sqrt(want * (1 - want) / total)
-    return counts.agg(
-        F.sum("c").alias("n"), F.sum("u").alias("distinct_n"), F.count("*").alias("parts"), F.every(off).alias("shares_ok")
-    )
+    return split.split_random(jets(spark, d), parts, "jet_id").select("jet_id", "split")
 
 
-@query("shuffled_rows", "SELECT jet_id, parton FROM jets")
+@query("shuffled_rows", f"SELECT jet_id, row_number() OVER (ORDER BY {order_draw(42, 'jet_id')}) AS place FROM jets")
 def shuffled_rows(spark, d):
-    return split.shuffle(jets(spark, d), "jet_id").select("jet_id", "parton")
+    """The place of every row in the order in which the shuffled rows come."""
+    ordered = split.shuffle(jets(spark, d).select("jet_id"), "jet_id").withColumn("_at", F.monotonically_increasing_id())
+    return number_rows(ordered, "_at", "place").select("jet_id", "place")
+
+
+RESHUFFLES = 5
 
 
-@query("reshuffled_files", f"SELECT count(*) AS n, {R('sum(jets_pt)', 1)} AS pt FROM jets")
+@query(
+    "reshuffled_files",
+    f"""SELECT floor({draw(42 + RESHUFFLES - 1, 'jet_id')} * 8)::BIGINT AS shard, count(*) AS n, sum(jet_id)::BIGINT AS ids,
+        {R('sum(jets_pt)', 1)} AS pt FROM jets GROUP BY 1""",
+)
 def reshuffled_files(spark, d):
-    path = io.shared_folder(spark)
-    io.save(jets(spark, d), path, num_shards=8, key="jet_id")
-    return io.load(spark, path).agg(F.count("*").alias("n"), r(F.sum("jets_pt"), 1).alias("pt"))
+    """What lies in each file after five passes, each from the files of the one before with a seed of its own."""
+    df = jets(spark, d).select("jet_id", "jets_pt")
+    for turn in range(RESHUFFLES):
+        path = io.shared_folder(spark)
+        io.save(df, path, num_shards=8, key="jet_id", seed=42 + turn)
+        df = io.load(spark, path)
+    shard = F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("long")
+    return df.groupBy(shard.alias("shard")).agg(
+        F.count("*").alias("n"), F.sum("jet_id").alias("ids"), r(F.sum("jets_pt"), 1).alias("pt")
+    )
 
 
 @query(
@@ -111,28 +121,27 @@ def shuffled_batches(spark, d):
     return out.agg(F.count("*").alias("batches"), F.sum("size").alias("rows"), F.sum(ids).alias("ids"))
 
 
-@query("rejection_resampling_flat", f"SELECT {PT_BIN} AS bin, true AS flat FROM jets GROUP BY 1")
+def _rejection_sql(shares) -> str:
+    literal = "[" + ", ".join(f"{x!r}::DOUBLE" for x in shares) + "]"
+    return f"""WITH b AS (SELECT jet_id, {PT_BIN} AS bin FROM jets), c AS (SELECT bin, {literal}[bin + 1] / count(*) AS r FROM b GROUP BY bin)
+        SELECT jet_id, bin FROM b JOIN c USING (bin) WHERE {draw(42, 'jet_id')} < r / (SELECT max(r) FROM c)"""
+
+
+@query("rejection_resampling_flat", _rejection_sql([1.0 / PT.n_bins] * PT.n_bins))
 def rejection_resampling_flat(spark, d):
-    """After rejection every bin holds about as many rows as the smallest bin."""
+    """Rows accepted so that every bin holds about as many as the smallest."""
     binned = jets(spark, d).withColumn("bin", pt_bin())
-    kept = resample.rejection_resample(binned, "bin", PT.n_bins, "jet_id").groupBy("bin").agg(F.count("*").alias("n"))
-    smallest = binned.groupBy("bin").count().agg(F.min("count")).scalar()
-    return kept.select("bin", (F.abs(F.col("n") / smallest - 1) < 5 / F.sqrt(smallest)).alias("flat"))
+    return resample.rejection_resample(binned, "bin", PT.n_bins, "jet_id").select("jet_id", "bin")
 
 
-@query(
-    "rejection_resampling_target",
-    f"SELECT count(DISTINCT {PT_BIN}) AS bins, true AS close FROM jets",
-)
+TARGET = [0.25, 0.2, 0.15, 0.1, 0.1, 0.1, 0.1]
+
+
+@query("rejection_resampling_target", _rejection_sql(TARGET))
 def rejection_resampling_target(spark, d):
-    """The accepted rows follow the target distribution."""
-    target = [0.25, 0.2, 0.15, 0.1, 0.1, 0.1, 0.1]
+    """Rows accepted so that the bins follow a target distribution."""
     binned = jets(spark, d).withColumn("bin", pt_bin())
-    kept = resample.rejection_resample(binned, "bin", PT.n_bins, "jet_id", target).groupBy("bin").agg(F.count("*").alias("n"))
-    total = kept.agg(F.sum("n")).scalar()
-    wanted = F.get(F.array(*[F.lit(t) for t in target]), F.col("bin"))
-    close = F.abs(F.col("n") / total - wanted) < 5 * F.sqrt(wanted / total)
-    return kept.agg(F.count("*").alias("bins"), F.every(close).alias("close"))
+    return resample.rejection_resample(binned, "bin", PT.n_bins, "jet_id", TARGET).select("jet_id", "bin")
 
 
 HALVES = Binning("jets_pt", [1000.005, 250000.005, 500000.005])

@@ -1,8 +1,10 @@
 """Random numbers that depend on row keys only.
 
-A draw is a pure function of (keys, seed), so a task that is retried after an
-executor loss, or a plan that runs with other partition counts, sees the same
-numbers. ``rand(seed)`` does not promise that.
+A draw is a pure function of (seed, keys): the first digits of a digest of their text. A
+task that is retried after an executor loss, a plan that runs with other partition
+counts, and any other engine that has the digest see the same numbers; SQL states
+them as ``md5(concat_ws('/', seed, key, ...))``. ``rand(seed)`` promises none of that.
+Keys may be of any type that casts to text; a NULL key is left out.
 """
 
 from __future__ import annotations
@@ -13,14 +15,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _columns(keys) -> list[Column]:
-    return [F.col(k) if isinstance(k, str) else k for k in keys]
+def _digits(count: int, keys, seed: int) -> Column:
+    """The first ``count`` hexadecimal digits (15 at most) of the digest, as a whole number."""
+    columns = [F.col(k) if isinstance(k, str) else k for k in keys]
+    text = F.concat_ws("/", F.lit(str(seed)), *[c.cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, count), 16, 10).cast("long")
 
 
 def uniform(*keys, seed: int = 42) -> Column:
-    """Uniform double in the open interval (0, 1)."""
-    bits = F.shiftrightunsigned(F.xxhash64(*_columns(keys), F.lit(seed)), 11)
-    return (bits.cast("double") + F.lit(0.5)) * F.lit(2.0**-53)
+    """Uniform double in the open interval (0, 1), of 52 bits."""
+    return (_digits(13, keys, seed).cast("double") + F.lit(0.5)) * F.lit(2.0**-52)
 
 
 def uniform_between(low: float, high: float, *keys, seed: int = 42) -> Column:
@@ -35,5 +39,5 @@ def normal(*keys, seed: int = 42) -> Column:
 
 
 def random_order(*keys, seed: int = 42) -> Column:
-    """A 64-bit shuffle key."""
-    return F.xxhash64(*_columns(keys), F.lit(seed))
+    """A shuffle key of 60 bits, spread over all 64-bit integers."""
+    return (_digits(15, keys, seed) - F.lit(1 << 59)) * F.lit(16)

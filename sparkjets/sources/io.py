@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkjets.functions.binning import Binning
-from sparkjets.functions.random import random_order
+from sparkjets.functions.random import random_order, uniform
 from sparkjets.operators.combine import concatenate, sample_mix, same_schema
 from sparkjets.operators.ordered import keep_first
 
@@ -189,15 +189,18 @@ def save(
     compression: str = "gzip",
     key: str | None = None,
     metadata: DataFrame | None = None,
+    seed: int = 42,
 ) -> None:
     """Write Parquet, optionally spread over ``num_shards`` random shards.
 
-    Shards come from a hash of ``key`` (of the whole row without one), so a
-    retried task rewrites the same rows.
+    With a ``key`` a draw decides the shard of a row, and the shard is the number in the
+    file's name, so a retried task rewrites the same rows. Without one Spark deals
+    the rows out in turn, and equal rows do not meet in one shard.
     """
-    if num_shards is not None:
-        spread = random_order(key) if key is not None else F.xxhash64(*[c for c in df.columns])
-        df = df.repartition(num_shards, spread)
+    if num_shards is not None and key is not None:
+        df = df.repartitionById(num_shards, F.floor(uniform(key, seed=seed) * num_shards).cast("int"))
+    elif num_shards is not None:
+        df = df.repartition(num_shards)
     df.write.mode("overwrite").option("compression", compression).parquet(path)
     if metadata is not None:
         metadata.write.mode("overwrite").parquet(path.rstrip("/") + METADATA_SUFFIX)
