@@ -442,12 +442,25 @@ TWO = f"""u AS (SELECT *, (l_returnflag <> 'R')::INT AS kind FROM cons),
     x AS ({LEADING})"""
 
 
+def all_jets(whole, arrays):
+    """Jets with their arrays; a jet without constituents has empty ones."""
+    joined = whole.join(arrays, "jet_id", "left")
+    return joined.withColumns({f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in arrays.schema if f.name != "jet_id"})
+
+
 def topo_jets(spark, d):
-    return jets(spark, d).join(two_collections(spark, d), "jet_id")
+    return all_jets(jets(spark, d), two_collections(spark, d))
+
+
+def _sums_sql(values, source: str) -> str:
+    """Per jet, also one without constituents: how many, and the sum of every value over them."""
+    sums = ", ".join(f"{R(f'coalesce(sum({x}) FILTER (WHERE s.pt IS NOT NULL), 0e0)', 4)} AS f{i}" for i, x in enumerate(values))
+    return f"""SELECT j.jet_id, n, {', '.join(f'f{i}' for i in range(len(values)))} FROM (SELECT jet_id, count(s.pt) AS n, {sums}
+        FROM (SELECT jet_id, jets_pt, jets_eta, jets_phi, jets_m FROM jets) j LEFT JOIN {source} s USING (jet_id) GROUP BY jet_id) j"""
 
 
-def _const_sums(names_sql: str, source: str) -> str:
-    return f"""SELECT jet_id, count(*) AS n, {names_sql} FROM {source} JOIN jets USING (jet_id) GROUP BY jet_id"""
+def _of_kind(*kinds: int) -> list[str]:
+    return [f"(s.kind = {k})::INT" for k in kinds]
 
 
 def node_sums(df, set_name, names, digits=4, field="node", **options):
@@ -461,18 +474,14 @@ def node_sums(df, set_name, names, digits=4, field="node", **options):
     )
 
 
-LN_PT = ln("pt")
-CONST_SUM = f"{R(f'sum({LN_PT})', 4)} AS f0, {R('sum(eta - jets_eta)', 4)} AS f1, {R('sum(kind)', 4)} AS f2"
-
-
-@query("features_const_topo", f"WITH {TWO} {_const_sums(CONST_SUM, 'x')}", ("cons", "jets"))
+@query("features_const_topo", f"WITH {TWO} {_sums_sql([*CONST_EXPRESSIONS, 'kind'], 'x')}", ("cons", "jets"))
 def features_const_topo(spark, d):
-    return node_sums(topo_jets(spark, d), "const_topo", ["log_pT", "deltaEta", "is_TopoTower"])
+    return node_sums(topo_jets(spark, d), "const_topo", [*CONST, "is_TopoTower"])
 
 
-@query("features_int_const_topo", f"WITH {TWO} {_const_sums(CONST_SUM, 'x')}", ("cons", "jets"))
+@query("features_int_const_topo", f"WITH {TWO} {_sums_sql([*CONST_EXPRESSIONS, 'kind'], 'x')}", ("cons", "jets"))
 def features_int_const_topo(spark, d):
-    return node_sums(topo_jets(spark, d), "int_const_topo", ["log_pT", "deltaEta", "is_TopoTower"])
+    return node_sums(topo_jets(spark, d), "int_const_topo", [*CONST, "is_TopoTower"])
 
 
 def topo_axis(source: str) -> str:
@@ -481,60 +490,44 @@ def topo_axis(source: str) -> str:
     q AS (SELECT p.*, sqrt(sx*sx + sy*sy) AS apt, asinh(sz / sqrt(sx*sx + sy*sy)) AS aeta, atan2(sy, sx) AS aphi, se FROM p JOIN s USING (jet_id))"""
 
 
-@query(
-    "features_rel_const_topo",
-    f"""WITH {TWO}, {topo_axis('x')} SELECT jet_id, count(*) AS n, {R(f"sum({ln('pt / apt / apt')})", 4)} AS f0,
-        {R('sum(eta - aeta - aeta)', 4)} AS f1, {R('sum(kind)', 4)} AS f2 FROM q GROUP BY jet_id""",
-    ("cons",),
-)
+def _rel_sql(energy: str, mass: str, kinds: list[str]) -> list[str]:
+    return [ln("pt / apt"), ln(energy), "eta - aeta", "phi - aphi", "sqrt((eta - aeta)*(eta - aeta) + (phi - aphi)*(phi - aphi))", mass, *kinds]
+
+
+#: This set takes its input relative to the axis and then once more.
+REL_TWICE = [
+    ln("pt / apt / apt"), ln("e / apt / sqrt(apt*apt + jets_m*jets_m)"), "eta - aeta - aeta", "phi - aphi - aphi",
+    "sqrt((eta - aeta - aeta)*(eta - aeta - aeta) + (phi - aphi - aphi)*(phi - aphi - aphi))", ln("m"), "kind",
+]
+
+
+@query("features_rel_const_topo", f"WITH {TWO}, {topo_axis('x')} {_sums_sql(REL_TWICE, 'q')}", ("cons", "jets"))
 def features_rel_const_topo(spark, d):
-    return node_sums(topo_jets(spark, d), "rel_const_topo", ["log_PT|PTjet", "deltaEta", "is_TopoTower"])
+    return node_sums(topo_jets(spark, d), "rel_const_topo", [*REL, "is_TopoTower"])
 
 
-@query(
-    "features_int_rel_const_topo",
-    f"""WITH {TWO}, {topo_axis('x')} SELECT jet_id, count(*) AS n, {R(f"sum({ln('pt / apt')})", 4)} AS f0,
-        {R(f"sum({ln('e / apt')})", 4)} AS f1, {R('sum(kind)', 4)} AS f2 FROM q GROUP BY jet_id""",
-    ("cons",),
-)
+@query("features_int_rel_const_topo", f"WITH {TWO}, {topo_axis('x')} {_sums_sql(_rel_sql('e / apt', ln('m'), ['kind']), 'q')}", ("cons", "jets"))
 def features_int_rel_const_topo(spark, d):
-    return node_sums(topo_jets(spark, d), "int_rel_const_topo", ["log_PT|PTjet", "log_E|Ejet", "is_TopoTower"])
+    return node_sums(topo_jets(spark, d), "int_rel_const_topo", [*REL, "is_TopoTower"])
 
 
-@query(
-    "features_int_rel_const_topo2",
-    f"""WITH {TWO}, {topo_axis('x')} SELECT jet_id, count(*) AS n, {R(f"sum({ln('pt / apt')})", 4)} AS f0,
-        {R(f"sum({ln('e / se')})", 4)} AS f1, {R('sum(m)', 4)} AS f2 FROM q GROUP BY jet_id""",
-    ("cons",),
-)
+@query("features_int_rel_const_topo2", f"WITH {TWO}, {topo_axis('x')} {_sums_sql(_rel_sql('e / se', 'm', ['kind']), 'q')}", ("cons", "jets"))
 def features_int_rel_const_topo2(spark, d):
-    return node_sums(topo_jets(spark, d), "int_rel_const_topo2", ["log_PT|PTjet", "log_E|Ejet", "m"])
+    return node_sums(topo_jets(spark, d), "int_rel_const_topo2", [*REL, "is_TopoTower"])
 
 
-@query(
-    "features_irc_safe_topo",
-    f"WITH {TWO} SELECT jet_id, count(*) AS n, {R('sum(pt / jets_pt)', 4)} AS f0 FROM x JOIN jets USING (jet_id) GROUP BY jet_id",
-    ("cons", "jets"),
-)
+@query("features_irc_safe_topo", f"WITH {TWO} {_sums_sql(['pt / jets_pt'], 'x')}", ("cons", "jets"))
 def features_irc_safe_topo(spark, d):
     return node_sums(topo_jets(spark, d), "irc_safe_topo", ["PT|PTjet"], field="energy")
 
 
-@query(
-    "features_int_const_track",
-    f"WITH x AS (SELECT * FROM lead) {_const_sums(R(f'sum({LN_PT})', 4) + ' AS f0', 'x')}",
-    ("lead", "jets"),
-)
+@query("features_int_const_track", _sums_sql(CONST_EXPRESSIONS, "lead"), ("lead", "jets"))
 def features_int_const_track(spark, d):
-    df = jets(spark, d).join(tables.nested_constituents(spark, d, "Track"), "jet_id")
-    return node_sums(df, "int_const_track", ["log_pT"])
+    return node_sums(all_jets(jets(spark, d), tables.nested_constituents(spark, d, "Track")), "int_const_track", CONST)
 
 
 THREE = f"""{KINDS}, ok AS (SELECT jet_id FROM u GROUP BY jet_id),
     x AS ({LEADING})"""
-THREE_SUM = f"{R('sum(eta - jets_eta)', 4)} AS f0, " + ", ".join(
-    f"{R(f'sum((kind = {k})::INT)', 4)} AS f{k + 1}" for k in range(3)
-)
 IS = ["is_Constituent", "is_TopoTower", "is_Track"]
 
 
@@ -542,36 +535,33 @@ def three_collections(spark, d):
     rows = tables.constituents(spark, d)
     kinds = (("Constituent", "R"), ("TopoTower", "A"), ("Track", "N"))
     parts = [tables.nested_constituents(spark, d, kind, rows.where(F.col("l_returnflag") == flag)) for kind, flag in kinds]
-    return jets(spark, d).join(together(parts), "jet_id")
+    return all_jets(jets(spark, d), together(parts))
+
 
+KINDS_SQL = _of_kind(0, 1, 2)
 
-@query("features_const_topo_track", f"WITH {THREE} {_const_sums(THREE_SUM, 'x')}", ("cons", "jets"))
+
+@query("features_const_topo_track", f"WITH {THREE} {_sums_sql([*CONST_EXPRESSIONS, *KINDS_SQL], 'x')}", ("cons", "jets"))
 def features_const_topo_track(spark, d):
-    return node_sums(three_collections(spark, d), "const_topo_track", ["deltaEta", *IS])
+    return node_sums(three_collections(spark, d), "const_topo_track", [*CONST, *IS])
 
 
-@query("features_int_const_topo_track", f"WITH {THREE} {_const_sums(THREE_SUM, 'x')}", ("cons", "jets"))
+@query("features_int_const_topo_track", f"WITH {THREE} {_sums_sql([*CONST_EXPRESSIONS, *KINDS_SQL], 'x')}", ("cons", "jets"))
 def features_int_const_topo_track(spark, d):
-    return node_sums(three_collections(spark, d), "int_const_topo_track", ["deltaEta", *IS])
+    return node_sums(three_collections(spark, d), "int_const_topo_track", [*CONST, *IS])
 
 
-@query(
-    "features_int_rel_const_topo_track",
-    f"""WITH {THREE}, {topo_axis('x')} SELECT jet_id, count(*) AS n, {R('sum(eta - aeta)', 4)} AS f0,
-        {R('sum((kind = 2)::INT)', 4)} AS f1 FROM q GROUP BY jet_id""",
-    ("cons",),
-)
+@query("features_int_rel_const_topo_track", f"WITH {THREE}, {topo_axis('x')} {_sums_sql(_rel_sql('e / apt', ln('m'), KINDS_SQL), 'q')}", ("cons", "jets"))
 def features_int_rel_const_topo_track(spark, d):
-    return node_sums(three_collections(spark, d), "int_rel_const_topo_track", ["deltaEta", "is_Track"])
+    return node_sums(three_collections(spark, d), "int_rel_const_topo_track", [*REL, *IS])
 
 
-@query(
-    "features_irc_safe_topo_track",
-    f"WITH {THREE} SELECT jet_id, count(*) AS n, {R('sum(eta - jets_eta)', 4)} AS f0 FROM x JOIN jets USING (jet_id) GROUP BY jet_id",
-    ("cons", "jets"),
-)
+ANGLES = ["eta - jets_eta", "phi - jets_phi", "sqrt((eta - jets_eta)*(eta - jets_eta) + (phi - jets_phi)*(phi - jets_phi))"]
+
+
+@query("features_irc_safe_topo_track", f"WITH {THREE} {_sums_sql(ANGLES, 'x')}", ("cons", "jets"))
 def features_irc_safe_topo_track(spark, d):
-    return node_sums(three_collections(spark, d), "irc_safe_topo_track", ["deltaEta"], field="angular")
+    return node_sums(three_collections(spark, d), "irc_safe_topo_track", ["deltaEta", "deltaPhi", "deltaR"], field="angular")
 
 
 @query(

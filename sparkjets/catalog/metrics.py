@@ -253,6 +253,19 @@ def binned_metrics(spark, d):
     return neat(metrics.binned_metrics(jets(spark, d), WIDE, "score", "label", "weight"), "bin")
 
 
+@query(
+    "binned_metrics_by_generator",
+    f"""WITH b AS (SELECT *, {case_bins('jets_pt', WIDE.edges, right_closed=True)} AS bin FROM jets),
+        {all_metrics_sql('generator, bin', '(SELECT * FROM b WHERE bin IS NOT NULL)')}
+        SELECT g.generator, f.i::INT AS bin, num_events, {METRIC_COLUMNS} FROM (SELECT DISTINCT generator FROM jets WHERE label IS NOT NULL) g,
+            range({WIDE.n_bins}) f(i) LEFT JOIN m ON f.i = m.bin AND g.generator = m.generator""",
+    ("jets", "thr"),
+)
+def binned_metrics_by_generator(spark, d):
+    """Every bin of every generator, the empty last one too."""
+    return neat(metrics.binned_metrics(jets(spark, d), WIDE, "score", "label", "weight", by=["generator"]), "generator", "bin")
+
+
 CUTS = {"all": "jets_pt > 0", "central": "-2.1 < jets_eta < 2.1", "hard": "jets_pt > 200_000 and slice < 4"}
 CUTS_SQL = {
     "all": "jets_pt > 0e0",
@@ -268,16 +281,18 @@ CUTS_SQL = {
     + "), v AS ("
     + " UNION ALL ".join(
         f"SELECT *, '{b.variable}' AS variable, {case_bins(b.variable, b.edges, right_closed=True)} AS bin FROM c"
-        for b in (PT, ETA)
+        for b in (WIDE, ETA)
     )
     + f"), {all_metrics_sql('cut, variable, bin', '(SELECT * FROM v WHERE bin IS NOT NULL)')}"
-    + f" SELECT cut, variable, bin, num_events, {METRIC_COLUMNS} FROM m",
+    + f" SELECT f.cut, f.variable, f.bin::INT AS bin, num_events, {METRIC_COLUMNS} FROM ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS cut, '{b.variable}' AS variable, i AS bin FROM range({b.n_bins}) x(i)" for name in CUTS_SQL for b in (WIDE, ETA))
+    + ") f LEFT JOIN m ON f.cut = m.cut AND f.variable = m.variable AND f.bin = m.bin",
     ("jets", "thr"),
 )
 def metrics_by_cut_and_binning(spark, d):
     df = jets(spark, d)
     cuts = {name: row_query(df, text) for name, text in CUTS.items()}
-    out = metrics.metrics_by_cut(df, [PT, ETA], cuts, "score", "label", "weight")
+    out = metrics.metrics_by_cut(df, [WIDE, ETA], cuts, "score", "label", "weight")
     return neat(out, "cut", "variable", "bin")
 
 

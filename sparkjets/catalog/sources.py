@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sparkjets import JetDataset
-from sparkjets.catalog.base import R, query, r
+from sparkjets.catalog.base import R, draw, order_draw, query, r
 from sparkjets.functions.arrays import one_hot
 from sparkjets.operators import combine, nested, select, split
 from sparkjets.operators.nested import nest
+from sparkjets.operators.ordered import number_rows
 from sparkjets.sources import io, tables
 from sparkjets.streaming import ingest as stream
 
@@ -23,10 +24,15 @@ def save_and_load_dataset(spark, d):
     return back.df.select("jet_id", r("jets_pt").alias("jets_pt"), "label", F.lit(back.metadata["lumi"]).alias("lumi"))
 
 
-@query("shuffled_reading", "SELECT o_orderkey, o_orderstatus FROM orders", ())
+@query(
+    "shuffled_reading",
+    f"SELECT o_orderkey, row_number() OVER (ORDER BY {order_draw(42, 'o_orderkey')}) AS place FROM orders",
+    (),
+)
 def shuffled_reading(spark, d):
-    df = io.load(spark, f"{d}/orders.parquet", shuffle_reading=True, key="o_orderkey")
-    return df.select("o_orderkey", "o_orderstatus")
+    """The place of every row in the order in which they are read."""
+    df = io.load(spark, f"{d}/orders.parquet", shuffle_reading=True, key="o_orderkey").select("o_orderkey")
+    return number_rows(df.withColumn("_at", F.monotonically_increasing_id()), "_at", "place").select("o_orderkey", "place")
 
 
 @query(
@@ -191,11 +197,27 @@ def binned_values_stored(spark, d):
 
 @query("selected_files", "SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1", ())
 def selected_files(spark, d):
-    """Files by listing: none over a terabyte, all within the total budget, unreadable ones skipped."""
+    """Files by their footers: none over a terabyte, all within the total budget."""
     paths = io.select_files(spark, d, "orders.parquet", max_file_bytes=1 << 40, max_total_bytes=1 << 50)
     return io.read_selected(spark, paths).groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
 
 
+@query(
+    "files_within_row_budget",
+    f"""WITH s AS (SELECT shard, count(*) AS n FROM (SELECT floor({draw(42, 'jet_id')} * 12)::BIGINT AS shard FROM jets) GROUP BY shard),
+        t AS (SELECT *, sum(n) OVER (ORDER BY shard)::BIGINT AS total FROM s)
+        SELECT shard, n AS rows, CASE WHEN total > (SELECT count(*) FROM jets) // 2 THEN 'over budget' ELSE 'read' END AS choice FROM t""",
+)
+def files_within_row_budget(spark, d):
+    """The twelve files of a dataset, of which those are read that hold half of the rows together at most."""
+    df, path = jets(spark, d).select("jet_id"), io.shared_folder(spark)
+    io.save(df, path, num_shards=12, key="jet_id")
+    half = spark.read.parquet(path).count() // 2
+    chosen = io.choose_files(io.file_facts(spark, path), max_total_rows=half)
+    shard = F.regexp_extract("path", r"part-(\d+)", 1).cast("long")
+    return chosen.select(shard.alias("shard"), "rows", "choice")
+
+
 @query(
     "split_folders",
     """WITH n AS (SELECT jet_id, row_number() OVER (ORDER BY jet_id) AS nth, count(*) OVER () AS c FROM jets)

@@ -65,7 +65,7 @@ def sample_mix(
         .scalar()
     )
     shuffled = everything.withColumn("_order", random_order(key, F.col("_source"), seed=seed))
-    mixed = keep_first(shuffled, "_order", F.floor(share * room + 1e-9), ["_source"], [key], HASH_BUCKETS, few_partitions=True)
+    mixed = keep_first(shuffled, "_order", F.floor(share * room + 1e-9), ["_source"], [key], HASH_BUCKETS, known_partitions=len(frames))
     return mixed.drop("_source", "_order")
 
 
@@ -99,12 +99,23 @@ def missing_samples(rows: DataFrame, description: DataFrame, on: str) -> DataFra
     return rows.select(on).distinct().join(description.select(on), on, "left_anti")
 
 
-def normalisation(samples: DataFrame, metadata: DataFrame, sample="sample", norm_name="norm_name") -> DataFrame:
-    """Add ``norm``: the metadata value that the sample's ``norm_name`` points to."""
+def normalisation(
+    samples: DataFrame, metadata: DataFrame, sample="sample", norm_name="norm_name", missing: str = "error"
+) -> DataFrame:
+    """Add ``norm``: the metadata value that the sample's ``norm_name`` points to.
+
+    ``missing``: a sample without it stops the job ("error") or keeps a NULL norm ("null").
+    """
+    if missing not in ("error", "null"):
+        raise ValueError(f"unknown choice {missing!r}")
     named = metadata.select(
         F.col("sample").alias(sample), F.col("key").alias(norm_name), F.col("value").alias("norm")
     )
-    return samples.join(named, [sample, norm_name], "left")
+    joined = samples.join(named, [sample, norm_name], "left")
+    if missing == "error":
+        text = F.concat(F.lit("no norm "), F.coalesce(norm_name, F.lit("NULL")), F.lit(" of sample "), F.coalesce(sample, F.lit("NULL")))
+        joined = joined.where(F.when(F.col("norm").isNotNull(), True).otherwise(F.raise_error(text).cast("boolean")))
+    return joined
 
 
 def physical_weight(

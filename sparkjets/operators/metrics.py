@@ -248,6 +248,7 @@ def tag_counts(df, truth, predicted) -> DataFrame:
 # ------------------------------------------------------------ all at once
 
 
+# Names of the metrics.
 METRICS = (
     "binary_accuracy",
     "auc",
@@ -339,7 +340,9 @@ def binned_metrics(
 
     ``threshold`` is a number, or a table ``(bin, value)`` made for the same binning.
     """
-    binned = df.withColumn("bin", bin_right_closed(F.col(binning.variable), binning)).where(F.col("bin").isNotNull())
+    binned = df.withColumn("bin", bin_right_closed(F.col(binning.variable), binning))
+    if not (by and keep_empty):  # rows of no bin stay where they tell that their group exists
+        binned = binned.where(F.col("bin").isNotNull())
     limit: float | str = 0.5
     if isinstance(threshold, DataFrame):
         # one row per bin of this binning, whatever the table holds: small by construction
@@ -350,9 +353,17 @@ def binned_metrics(
         limit = threshold
     metrics = all_metrics(binned, score, label, weight, [*by, "bin"], limit)
     bins = binning.table(df.sparkSession)
-    if by or not keep_empty:
-        return metrics.join(F.broadcast(bins), "bin")
-    return bins.join(metrics, "bin", "left")
+    if not keep_empty:
+        return metrics.join(F.broadcast(bins), "bin")  # n_bins rows
+    if not by:
+        return bins.join(metrics, "bin", "left")
+    # every bin of every group; a group's metrics are n_bins entries at most
+    values = [c for c in metrics.columns if c not in (*by, "bin")]
+    entry = F.when(F.col("bin").isNotNull(), F.struct("bin", F.struct(*values)))
+    groups = metrics.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_found"))
+    listed = groups.select(*by, "_found", F.explode(F.sequence(F.lit(0), F.lit(binning.n_bins - 1))).alias("bin"))
+    listed = listed.withColumn("_own", F.try_element_at("_found", F.col("bin")))
+    return listed.select(*by, "bin", *[F.col("_own")[v].alias(v) for v in values]).join(F.broadcast(bins), "bin")
 
 
 def metrics_by_cut(
@@ -366,7 +377,8 @@ def metrics_by_cut(
 ) -> DataFrame:
     """Binned metrics for every (cut, binning) pair in one scan: ``cut, variable, bin, ...``.
 
-    A row counts once for each cut it passes and each binning it falls into.
+    A row counts once for each cut it passes and each binning it falls into. Every bin of
+    every pair is listed, an empty one with NULL metrics.
     """
     names = F.array(*[F.when(condition, F.lit(name)) for name, condition in cuts.items()])
     slots = [
@@ -380,7 +392,10 @@ def metrics_by_cut(
         .withColumns({"variable": F.col("_slot")["variable"], "bin": F.col("_slot")["bin"]})
         .drop("_cuts", "_slots", "_slot")
     )
-    return all_metrics(spread, score, label, weight, ["cut", "variable", "bin"], threshold)
+    found = all_metrics(spread, score, label, weight, ["cut", "variable", "bin"], threshold)
+    every = [(name, b.variable, i) for name in cuts for b in binnings for i in range(b.n_bins)]
+    listed = df.sparkSession.createDataFrame(every, "cut string, variable string, bin int")
+    return listed.join(found, ["cut", "variable", "bin"], "left")
 
 
 def bin_thresholds(
@@ -480,7 +495,7 @@ def rejection_at_bin_efficiency(
     binned = df.withColumn("bin", bin_right_closed(F.col(binning.variable), binning)).where(F.col("bin").isNotNull())
     scores = _by_score(binned, score, label, weight, ["bin"])
     sums = {"c_pos": F.col("w_pos"), "c_neg": F.col("w_neg")}
-    points = running_totals(scores, score, sums, ["bin"], few_partitions=True)
+    points = running_totals(scores, score, sums, ["bin"], known_partitions=binning.n_bins)
     totals = scores.groupBy("bin").agg(F.sum("w_pos").alias("p"), F.sum("w_neg").alias("n"))
     joined = points.join(F.broadcast(totals), "bin")  # n_bins rows
     best = joined.groupBy("bin").agg(

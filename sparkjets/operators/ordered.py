@@ -26,6 +26,8 @@ from sparkjets.functions.binning import _edges_passed
 
 COARSE = 64
 ROWS_PER_BUCKET = 2_000_000
+#: Offsets of so many partitions x buckets are broadcast at most.
+BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -75,6 +77,10 @@ class Buckets:
             fine = max(1, math.ceil(row.n / ROWS_PER_BUCKET / coarse))
         return cls(tuple(edges), row.lo, row.hi, fine)
 
+    @property
+    def count(self) -> int:
+        return (len(self.edges) + 1) * self.fine
+
     @property
     def is_uniform(self) -> bool:
         return self == Buckets.uniform(self.low, self.high, len(self.edges) + 1, self.fine)
@@ -135,6 +141,12 @@ def _offsets(rows: DataFrame, partition: Sequence[str], values: Sequence[str]) -
     )
 
 
+def _few(partition: Sequence[str], known: int, buckets: Buckets) -> bool:
+    """Whether a table of partitions x buckets is small enough to send to every task; both are known here."""
+    partitions = known if partition else 1
+    return 0 < partitions * buckets.count <= BROADCAST_ROWS
+
+
 def _same_group(partition: Sequence[str]) -> Column:
     condition = F.col("_bucket") == F.col("_b")
     for p in partition:
@@ -169,7 +181,7 @@ def running_totals(
     partition: Sequence[str] = (),
     tie_breakers: Sequence[str] = (),
     buckets: Buckets | None = None,
-    few_partitions: bool = False,
+    known_partitions: int = 0,
 ) -> DataFrame:
     """Add inclusive running sums in the order of ``order`` (numeric), then ``tie_breakers``.
 
@@ -177,17 +189,16 @@ def running_totals(
     by it first, or use a nearly unique column. Rows with a NULL partition key
     are a partition of their own.
 
-    With ``few_partitions`` (their number is bounded by a binning or a list) the
-    offsets are broadcast. Otherwise they join on the window's own keys, so the
-    rows are shuffled once either way.
+    ``known_partitions``: how many there are, where a binning or a list says it. If these
+    times the buckets stay within ``BROADCAST_ROWS`` the offsets are broadcast. Otherwise
+    they join on the window's own keys, so the rows are shuffled once either way.
     """
     partition = list(partition)
     buckets = buckets or Buckets.from_quantiles(df, order)
     values = {f"_v_{name}": value for name, value in totals.items()}
     rows = buckets.add(df, order, "_bucket").withColumns(values)
     offsets = _offsets(rows, partition, list(values))
-    # without partitions there is one offset per bucket of two million rows
-    small = few_partitions or not partition
+    small = _few(partition, known_partitions, buckets)
     joined = rows.join(F.broadcast(offsets) if small else offsets, _same_group(partition))
     inside = _inside(partition, order, tie_breakers)
     return joined.select(
@@ -203,11 +214,11 @@ def number_rows(
     partition: Sequence[str] = (),
     tie_breakers: Sequence[str] = (),
     buckets: Buckets | None = None,
-    few_partitions: bool = False,
+    known_partitions: int = 0,
 ) -> DataFrame:
     """One-based row number in a global (or per-partition) order."""
     one = {out: F.lit(1).cast("long")}
-    return running_totals(df, order, one, partition, tie_breakers, buckets, few_partitions)
+    return running_totals(df, order, one, partition, tie_breakers, buckets, known_partitions)
 
 
 def cut_order(
@@ -218,15 +229,15 @@ def cut_order(
     partition: Sequence[str] = (),
     tie_breakers: Sequence[str] = (),
     buckets: Buckets | None = None,
-    few_partitions: bool = False,
+    known_partitions: int = 0,
 ) -> DataFrame:
     """Add the segment (0, 1, ...) of every row when its order is cut after ``cuts`` rows.
 
     ``cuts`` are rising row counts, the same or per partition. A bucket whose
     rows all fall between two cuts needs no ranking: only the buckets that a cut
     runs through are shuffled and sorted, which is one bucket per cut and
-    partition. With ``few_partitions`` (their number is bounded by a binning or a
-    list) the bounds are broadcast and the other rows stay in place.
+    partition. With few ``known_partitions`` (see :func:`running_totals`) the bounds
+    are broadcast and the other rows stay in place.
 
     ``df`` is read for the bucket totals and for both branches of the result, so
     it must give the same rows every time, and one that is costly to compute is
@@ -245,7 +256,7 @@ def cut_order(
         segment = segment + (first >= cut).cast("int")
     bounds = bounds.withColumns({"_split": split_here, "_segment": segment})
     bounds = bounds.withColumns({f"_cut{i}": cut for i, cut in enumerate(cuts)}).drop(*partition, "_s_v")
-    small = few_partitions or not partition
+    small = _few(partition, known_partitions, buckets)
     joined = rows.join(F.broadcast(bounds) if small else bounds, _same_group(partition))
     whole = joined.where(~F.col("_split")).select(*df.columns, F.col("_segment").alias(out))
     place = F.sum("_v").over(_inside(partition, order, tie_breakers)) + F.col("_o_v")
@@ -263,8 +274,8 @@ def keep_first(
     partition: Sequence[str] = (),
     tie_breakers: Sequence[str] = (),
     buckets: Buckets | None = None,
-    few_partitions: bool = False,
+    known_partitions: int = 0,
 ) -> DataFrame:
     """The first ``limit`` rows (of every partition). Only the bucket at the limit is shuffled."""
-    cut = cut_order(df, order, [limit], "_part", partition, tie_breakers, buckets, few_partitions)
+    cut = cut_order(df, order, [limit], "_part", partition, tie_breakers, buckets, known_partitions)
     return cut.where(F.col("_part") == 0).drop("_part")

@@ -11,12 +11,9 @@ from sparkjets.functions.binning import Binning, bin_clamped, bin_joint, bin_wit
 from sparkjets.functions.labels import GLUON, QUARKS
 from sparkjets.functions.random import random_order, uniform
 from sparkjets.operators.hist import count_per_bin
-from sparkjets.operators.ordered import HASH_BUCKETS, Buckets, keep_first
+from sparkjets.operators.ordered import BROADCAST_ROWS, HASH_BUCKETS, Buckets, keep_first
 from sparkjets.operators.weights import add_flat_weight
 
-#: Bounds of so many bins (times some hundred buckets) are broadcast; beyond, they join by a shuffle.
-BROADCAST_BINS = 1000
-
 
 def keep_min_count(
     df: DataFrame, bin_column: str, n_bins: int, order: str, inclusive: bool = False, min_count: int | None = None,
@@ -37,7 +34,7 @@ def keep_min_count(
     else:
         limit = F.lit(min_count)
     rows = df.where(F.col(bin_column).isNotNull())
-    return keep_first(rows, order, limit if inclusive else limit - 1, [bin_column], buckets=buckets, few_partitions=n_bins <= BROADCAST_BINS)
+    return keep_first(rows, order, limit if inclusive else limit - 1, [bin_column], buckets=buckets, known_partitions=n_bins)
 
 
 def rejection_resample(
@@ -56,7 +53,8 @@ def rejection_resample(
     )
     largest = F.max("r").over(Window.partitionBy())  # over the n_bins rows of the count table, not over df
     accept = ratios.select(F.col("bin").alias(bin_column), (F.col("r") / largest).alias("_accept"))
-    joined = df.join(F.broadcast(accept), bin_column)  # n_bins rows
+    small = n_bins <= BROADCAST_ROWS  # a row per bin
+    joined = df.join(F.broadcast(accept) if small else accept, bin_column)
     return joined.where(uniform(key, seed=seed) < F.col("_accept")).drop("_accept")
 
 

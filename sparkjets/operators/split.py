@@ -64,9 +64,19 @@ def split_random(df: DataFrame, parts: Mapping[str, float], key: str, out: str =
     return df.withColumn(out, F.lit(names[-1]) if tag is None else tag.otherwise(names[-1]))
 
 
-def shuffle(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
-    """Global random order. One pass is a full shuffle, so there is nothing to repeat."""
-    return df.orderBy(random_order(key, seed=seed))
+def shuffle(df: DataFrame, key: str | Sequence[str], seed: int = 42, parts: int | None = None) -> DataFrame:
+    """Global random order, by two levels: a draw deals the rows to ``parts`` tasks, each sorts its own by the draw.
+
+    Draws are spread evenly, so nothing is sampled and no range is cut; read part after
+    part the rows come in the order of their draws, whatever the number of parts.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = df.withColumn("_order", random_order(*keys, seed=seed))
+    # the highest 32 of the 60 bits, so that the product stays in whole numbers
+    part = (F.shiftright("_order", 32) + F.lit(1 << 31)) * parts
+    placed = drawn.repartitionById(parts, F.shiftright(part, 32).cast("int"))
+    return placed.sortWithinPartitions("_order", *keys).drop("_order")
 
 
 def batches(

@@ -5,14 +5,15 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkjets.functions.binning import Binning
-from sparkjets.functions.random import random_order, uniform
+from sparkjets.functions.random import uniform
 from sparkjets.operators.combine import concatenate, sample_mix, same_schema
-from sparkjets.operators.ordered import keep_first
+from sparkjets.operators.ordered import keep_first, running_totals
+from sparkjets.operators.split import shuffle
 
 METADATA_SUFFIX = ".metadata"  # the metadata table lies beside the data folder
 
@@ -27,13 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
 # ------------------------------------------------------------------- reading
 
 
-def load(spark: SparkSession, path: str, shuffle_reading: bool = False, key: str | None = None) -> DataFrame:
-    """A saved dataset. With ``shuffle_reading`` its rows come in a hashed order of ``key``."""
+def load(spark: SparkSession, path: str, shuffle_reading: bool = False, key: str | None = None, seed: int = 42) -> DataFrame:
+    """A saved dataset. With ``shuffle_reading`` its rows come in a drawn order of ``key`` (of the whole row without one)."""
     df = spark.read.parquet(path)
     if not shuffle_reading:
         return df
-    order = random_order(key) if key is not None else F.xxhash64(*df.columns)
-    return df.orderBy(order)
+    if key is not None:
+        return shuffle(df, key, seed)
+    return shuffle(df.withColumn("_row", F.xxhash64(*df.columns)), "_row", seed).drop("_row")
 
 
 def load_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -148,35 +150,75 @@ def read_tagged_csv(
     return df.withColumns({name: F.regexp_extract(path, tags, i + 1) for i, name in enumerate(names)})
 
 
+#: An empty Parquet file is no larger; a larger one without a row has lost its footer.
+EMPTY_FILE_BYTES = 1 << 20
+PARQUET_MARK = b"PAR1"
+
+
+def file_facts(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
+    """``path, bytes, rows, state`` of every Parquet file: "readable", "empty" or "unreadable" (its rows are NULL).
+
+    Rows are counted by the footers: the scan asks for no column. Files that the scan
+    passes over are looked at again, the few small ones among them by their marks.
+    """
+
+    def named(reader):
+        return reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+
+    listing = named(spark.read.format("binaryFile")).load(folder).select("path", F.col("length").alias("bytes"))
+    scan = named(spark.read.schema("`_none` int").option("ignoreCorruptFiles", True)).parquet(folder)
+    counted = scan.select(F.col("_metadata.file_path").alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("rows"))
+    found = listing.join(counted, "path", "left")
+    silent = found.where("rows IS NULL").select("path").where(F.col("bytes") <= EMPTY_FILE_BYTES)
+    small = named(spark.read.format("binaryFile")).load(folder).where(F.col("length") <= EMPTY_FILE_BYTES)
+    ends = (F.col("content").substr(1, 4) == F.lit(PARQUET_MARK)) & (F.col("content").substr(-4, 4) == F.lit(PARQUET_MARK))
+    whole = small.select("path", "content").join(silent, "path", "left_semi").where(ends & (F.length("content") > 12))
+    judged = found.join(whole.select("path", F.lit(True).alias("_empty")), "path", "left")
+    state = F.when(F.col("rows").isNotNull(), "readable").when(F.col("_empty"), "empty").otherwise("unreadable")
+    rows = F.when(F.col("_empty"), F.lit(0).cast("long")).otherwise(F.col("rows"))
+    return judged.select("path", "bytes", rows.alias("rows"), state.alias("state"))
+
+
+def choose_files(
+    facts: DataFrame, max_file_bytes: int | None = None, max_total_bytes: int | None = None, max_total_rows: int | None = None
+) -> DataFrame:
+    """``facts`` with ``choice``: "read", or why not ("unreadable", "too large", "over budget").
+
+    Files are taken in the order of their paths until a total would pass a budget; what is
+    unreadable or too large takes nothing from it. Totals run over ordered buckets of files.
+    """
+    large = F.lit(False) if max_file_bytes is None else F.col("bytes") > max_file_bytes
+    first = F.when(F.col("state") == "unreadable", "unreadable").when(large, "too large")
+    ordered = facts.withColumn("choice", first).orderBy("path").withColumn("_at", F.monotonically_increasing_id())
+    path = shared_folder(facts.sparkSession)
+    ordered = materialise(ordered, path)  # so that the numbers stay
+    if max_total_bytes is None and max_total_rows is None:
+        return ordered.withColumn("choice", F.coalesce("choice", F.lit("read"))).drop("_at")
+    counts = {name: F.when(F.col("choice").isNull(), F.col(column)).otherwise(F.lit(0)) for name, column in (("_b", "bytes"), ("_r", "rows"))}
+    totals = running_totals(ordered, "_at", counts)
+    over = F.lit(False)
+    for limit, total in ((max_total_bytes, "_b"), (max_total_rows, "_r")):
+        if limit is not None:
+            over = over | (F.col(total) > limit)
+    return totals.withColumn("choice", F.coalesce("choice", F.when(over, "over budget").otherwise("read"))).drop("_at", "_b", "_r")
+
+
 def select_files(
     spark: SparkSession,
     folder: str,
     pattern: str = "*.parquet",
     max_file_bytes: int | None = None,
     max_total_bytes: int | None = None,
+    max_total_rows: int | None = None,
 ) -> list[str]:
-    """Paths to read: files over the size limit are skipped, and the list stops at the total budget.
-
-    Only the listing is touched (path and length), never the contents.
-    """
-    listing = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select("path", "length")
-    )
-    if max_file_bytes is not None:
-        listing = listing.where(F.col("length") <= max_file_bytes)
-    if max_total_bytes is not None:
-        before = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        listing = listing.withColumn("_sum", F.sum("length").over(before)).where(F.col("_sum") <= max_total_bytes)
-    return [row.path for row in listing.orderBy("path").collect()]
+    """Paths to read within the limits, in order; see :func:`choose_files`. A reader takes a list, so this is one."""
+    chosen = choose_files(file_facts(spark, folder, pattern), max_file_bytes, max_total_bytes, max_total_rows)
+    return [row.path for row in chosen.where("choice = 'read'").select("path").orderBy("path").collect()]
 
 
 def read_selected(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Read chosen files, skipping those that turn out to be unreadable."""
-    return spark.read.option("ignoreCorruptFiles", True).parquet(*paths)
+    """Read chosen files. One that turns out to be damaged stops the job."""
+    return spark.read.option("ignoreCorruptFiles", False).parquet(*paths)
 
 
 # ------------------------------------------------------------------- writing

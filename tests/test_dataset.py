@@ -151,13 +151,42 @@ def test_select_files(spark, events):
     sizes = [os.path.getsize(p.replace("file:", "")) for p in every]
     assert len(io.select_files(spark, path, max_total_bytes=sizes[0] + sizes[1])) == 2
     assert io.select_files(spark, path, max_file_bytes=min(sizes) - 1) == []
-    broken = f"{path}/part-broken.parquet"
-    with open(broken, "wb") as f:
-        f.write(b"not parquet")
+    assert len(io.select_files(spark, path, max_total_rows=60)) == 2
+    for name, content in (("broken", b"not parquet"), ("cut", open(every[0].replace("file:", ""), "rb").read()[:-9]), ("nothing", b"")):
+        with open(f"{path}/part-{name}.parquet", "wb") as f:
+            f.write(content)
+    spark.createDataFrame([], events.df.schema).coalesce(1).write.mode("append").parquet(path)
+    facts = {r.path.rsplit("-", 1)[-1] if r.state == "unreadable" else r.path: (r.rows, r.state) for r in io.file_facts(spark, path).collect()}
+    assert [facts[p] for p in every] == [(25, "readable")] * 4
+    assert [facts[f"{name}.parquet"] for name in ("broken", "cut", "nothing")] == [(None, "unreadable")] * 3
+    assert sorted(state for _, state in facts.values()).count("empty") == 1
+    chosen = {r.path: r.choice for r in io.choose_files(io.file_facts(spark, path), max_total_rows=60).collect()}
+    assert sorted(chosen.values()) == ["over budget"] * 2 + ["read"] * 3 + ["unreadable"] * 3
     some = io.select_files(spark, path)
     assert len(some) == 5 and io.read_selected(spark, some).count() == 100
 
 
+def test_reading_in_a_random_order_samples_nothing(spark, events):
+    path = io.shared_folder(spark)
+    events.df.repartition(4).write.parquet(path)
+    read = io.load(spark, path, shuffle_reading=True, seed=3)
+    assert "rangepartitioning" not in read._jdf.queryExecution().toString().lower()
+    rows = [tuple(r) for r in read.collect()]
+    assert rows == [tuple(r) for r in io.load(spark, path, shuffle_reading=True, seed=3).collect()]
+    assert rows != [tuple(r) for r in io.load(spark, path, shuffle_reading=True, seed=4).collect()]
+    assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in events.df.collect())
+
+
+def test_a_missing_norm_stops_the_job(spark):
+    from sparkjets.operators import combine
+
+    samples = spark.createDataFrame([("a", "sum_w"), ("b", "other")], "sample string, norm_name string")
+    metadata = spark.createDataFrame([("a", "sum_w", 2.0), ("b", "sum_w", 3.0)], "sample string, key string, value double")
+    with pytest.raises(Exception, match="no norm other of sample b"):
+        combine.normalisation(samples, metadata).collect()
+    assert {r.sample: r.norm for r in combine.normalisation(samples, metadata, missing="null").collect()} == {"a": 2.0, "b": None}
+
+
 def test_ingest_resumes(spark, events):
     base = io.shared_folder(spark)
     source = f"{base}/in"
