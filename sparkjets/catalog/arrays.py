@@ -11,7 +11,7 @@ from sparkjets.catalog.base import R, query, r
 from sparkjets.functions import vectors
 from sparkjets.functions.constituents import merged
 from sparkjets.dataset import JetDataset
-from sparkjets.operators import neighbours, nested
+from sparkjets.operators import neighbours, nested, records
 from sparkjets.sources import tables
 
 events = tables.events_nested
@@ -109,6 +109,52 @@ def explode_until_scalar(spark, d):
     return flat.select("jet_id", r("pt").alias("pt"), r("eta").alias("eta"))
 
 
+def events_of_jets_of_constituents(spark, d):
+    """Events with an array of arrays: the constituents of each of their jets."""
+    rows = tables.jets_nested(spark, d)
+    columns = {"jets_id": "jet_id", "jets_pt": "jets_pt", "jets_constituents_pt": "jets_Constituent_pt", "jets_constituents_eta": "jets_Constituent_eta"}
+    return nested.nest(rows, ["event_id"], [F.col("jets_pt").desc(), F.col("jet_id")], columns)
+
+
+@query(
+    "flatten_deep_events",
+    f"""SELECT event_id, pos::INT AS jets_index, jet_id AS jets_id, coalesce(n, 0)::INT AS n, {R('coalesce(s, 0e0)', 2)} AS pt
+        FROM ejets LEFT JOIN (SELECT jet_id, count(*) AS n, sum(pt) AS s FROM lead GROUP BY jet_id) USING (jet_id)""",
+    ("ejets", "lead"),
+)
+def flatten_deep_events(spark, d):
+    """Events to jets, which keep the arrays of their constituents, also empty ones."""
+    flat = nested.explode_aligned(events_of_jets_of_constituents(spark, d))
+    total = F.aggregate("jets_constituents_pt", F.lit(0.0), lambda a, x: a + x)
+    return flat.select("event_id", "jets_index", "jets_id", F.size("jets_constituents_pt").alias("n"), r(total, 2).alias("pt"))
+
+
+@query(
+    "explode_deep_events",
+    f"SELECT event_id, {R('pt')} AS pt, {R('eta')} AS eta FROM lead JOIN (SELECT jet_id, event_id FROM jets) USING (jet_id)",
+    ("lead", "jets"),
+)
+def explode_deep_events(spark, d):
+    """Two levels of arrays down to single constituents."""
+    deep = events_of_jets_of_constituents(spark, d).select("event_id", "jets_constituents_pt", "jets_constituents_eta")
+    flat = nested.explode_to_scalars(deep, ["jets_constituents_pt", "jets_constituents_eta"])
+    return flat.select("event_id", r("jets_constituents_pt").alias("pt"), r("jets_constituents_eta").alias("eta"))
+
+
+@query(
+    "unpack_events_by_table_function",
+    f"""SELECT event_id, pos::INT AS place, idx::INT AS place_2, jet_id AS jets_id, {R('pt')} AS pt, {R('eta')} AS eta
+        FROM ejets JOIN lead USING (jet_id)""",
+    ("ejets", "lead"),
+)
+def unpack_events_by_table_function(spark, d):
+    """Both levels at once by a function that learns the columns from the table it is given."""
+    flat = records.unpack_records(events_of_jets_of_constituents(spark, d), "jets_", 2, "place", ["event_id"])
+    return flat.select(
+        "event_id", "place", "place_2", "jets_id", r("jets_constituents_pt").alias("pt"), r("jets_constituents_eta").alias("eta")
+    )
+
+
 @query(
     "central_jet_flags",
     """WITH a AS (SELECT event_id, min(CASE WHEN pos = 0 THEN abs(jets_eta) END) AS e0,

@@ -253,6 +253,22 @@ def binned_metrics(spark, d):
     return neat(metrics.binned_metrics(jets(spark, d), WIDE, "score", "label", "weight"), "bin")
 
 
+@query(
+    "metrics_from_ingested_chunks",
+    f"WITH {all_metrics_sql('slice', 'jets')} SELECT slice, num_events, {METRIC_COLUMNS} FROM m",
+    ("jets", "thr"),
+)
+def metrics_from_ingested_chunks(spark, d):
+    """States kept chunk by chunk, one of them twice as after a failure, give the metrics of all rows."""
+    df, path = jets(spark, d), io.shared_folder(spark)
+    generators = ["F", "O", "P"]
+    for chunk in (0, 1, 1, 2):
+        part = df.where(F.col("generator") == generators[chunk])
+        metrics.save_state(metrics.metric_state(part, "score", "label", "weight", ["slice"]), path, chunk)
+    merged = metrics.load_state(spark, path, ["slice"])
+    return neat(metrics.metrics_of_state(merged, ["slice"]), "slice")
+
+
 @query(
     "binned_metrics_by_generator",
     f"""WITH b AS (SELECT *, {case_bins('jets_pt', WIDE.edges, right_closed=True)} AS bin FROM jets),

@@ -106,6 +106,26 @@ def long_to_nested(spark, d):
     )
 
 
+@query(
+    "long_to_segments",
+    f"""WITH s AS (SELECT l_suppkey, pt, row_number() OVER (PARTITION BY l_suppkey ORDER BY pt DESC, jet_id, l_linenumber, l_partkey, phi, eta, m) - 1 AS idx
+            FROM cons)
+        SELECT l_suppkey, count(*) AS n, {R('sum((idx + 1) * pt) / 1e6', 4)} AS ordered_sum, max(idx // 50 + 1)::BIGINT AS segments,
+            {R('sum(CASE WHEN idx < 70 THEN pt END)', 2)} AS leading FROM s GROUP BY l_suppkey""",
+    ("cons",),
+)
+def long_to_segments(spark, d):
+    """Items of a supplier nested in segments of fifty: counts, an ordered sum and the first seventy."""
+    rows = tables.constituents(spark, d).withColumn("minus", -F.col("pt"))
+    ties = ["jet_id", "l_linenumber", "l_partkey", "phi", "eta", "m"]
+    segments = nested.nest_segments(rows, ["l_suppkey"], "minus", {"pt": "pt"}, ties, 50)
+    weighted = F.aggregate(F.transform("pt", lambda x, i: x * (F.col("start") + i + 1)), F.lit(0.0), lambda a, x: a + x)
+    sums = nested.segment_totals(segments, ["l_suppkey"], {"n": F.size("pt"), "ordered_sum": weighted, "segments": F.lit(1)})
+    first = nested.first_of_segments(segments, 70, ["pt"])
+    leading = nested.segment_totals(first, ["l_suppkey"], {"leading": F.aggregate("pt", F.lit(0.0), lambda a, x: a + x)})
+    return sums.join(leading, "l_suppkey").select("l_suppkey", "n", r(F.col("ordered_sum") / 1e6, 4).alias("ordered_sum"), "segments", r("leading", 2).alias("leading"))
+
+
 @query(
     "stream_ingest",
     "SELECT event_id, user_id::INT AS user_id, value::FLOAT AS value, event_type FROM events",

@@ -261,7 +261,11 @@ METRICS = (
 )
 
 
-def all_metrics(
+#: Sums of a metric state beside the weights of both classes.
+STATE_SUMS = ("w", "ww", "ww_pos", "ww_neg", "right", "pass_pos", "pass_neg", "n")
+
+
+def metric_state(
     df: DataFrame,
     score: str,
     label: str,
@@ -270,10 +274,10 @@ def all_metrics(
     threshold: float | str = 0.5,
     num_thresholds: int = NUM_THRESHOLDS,
 ) -> DataFrame:
-    """All tagging metrics and event counts per group, from one scan of the rows.
+    """What all metrics need of the rows: sums per group and score bucket, at most ``num_thresholds + 1`` rows a group.
 
-    ``threshold`` is a number or the name of a column (a per-bin threshold).
-    The area is the trapezoid over the thresholds of the scan.
+    States of disjoint sets of rows are merged by adding them up (:func:`merge_states`),
+    in any order, and give the metrics of all rows (:func:`metrics_of_state`).
     """
     w, s, y = _weight(weight), F.col(score), F.col(label)
     cut = F.col(threshold) if isinstance(threshold, str) else F.lit(float(threshold))
@@ -288,10 +292,47 @@ def all_metrics(
         "pass_neg": sum_if((y == 0) & (s <= cut), w),
         "n": F.count(F.lit(1)),
     }
-    buckets = score_buckets(
+    return score_buckets(
         known, score, label, weight, by, num_thresholds, [c.alias(f"s_{name}") for name, c in sums.items()]
     )
-    scan = _scan(buckets, by, num_thresholds, [F.sum(f"s_{name}").alias(f"s_{name}") for name in sums])
+
+
+def merge_states(state: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """States laid one under the other, added up."""
+    sums = ["w_pos", "w_neg", *(f"s_{name}" for name in STATE_SUMS)]
+    return state.groupBy(*by, "k").agg(*[F.sum(c).alias(c) for c in sums])
+
+
+def save_state(state: DataFrame, path: str, chunk: int) -> None:
+    """Keep the state of a chunk. A chunk that is done again replaces its state, so it counts once."""
+    state.write.mode("overwrite").parquet(f"{path.rstrip('/')}/chunk={int(chunk)}")
+
+
+def load_state(spark, path: str, by: Sequence[str] = ()) -> DataFrame:
+    """The merged state of all chunks kept so far."""
+    return merge_states(spark.read.parquet(path), by)
+
+
+def all_metrics(
+    df: DataFrame,
+    score: str,
+    label: str,
+    weight: str | None = None,
+    by: Sequence[str] = (),
+    threshold: float | str = 0.5,
+    num_thresholds: int = NUM_THRESHOLDS,
+) -> DataFrame:
+    """All tagging metrics and event counts per group, from one scan of the rows.
+
+    ``threshold`` is a number or the name of a column (a per-bin threshold).
+    The area is the trapezoid over the thresholds of the scan.
+    """
+    return metrics_of_state(metric_state(df, score, label, weight, by, threshold, num_thresholds), by, num_thresholds)
+
+
+def metrics_of_state(state: DataFrame, by: Sequence[str] = (), num_thresholds: int = NUM_THRESHOLDS) -> DataFrame:
+    """All tagging metrics and event counts per group of a (merged) state."""
+    scan = _scan(state, by, num_thresholds, [F.sum(f"s_{name}").alias(f"s_{name}") for name in STATE_SUMS])
     ordered = Window.partitionBy(*by).orderBy("idx")
     # at the ends of the curve everything passes, or nothing does
     first, last = F.col("idx") == 0, F.col("idx") == num_thresholds - 1
@@ -300,7 +341,7 @@ def all_metrics(
     scan = scan.withColumns({"_x": x, "_y": y_up})
     strip = (F.lag("_x").over(ordered) - F.col("_x")) * (F.lag("_y").over(ordered) + F.col("_y")) / 2
     scan = scan.withColumn("_strip", strip)
-    kept = [f"s_{name}" for name in sums] + ["total_pos", "total_neg"]
+    kept = [f"s_{name}" for name in STATE_SUMS] + ["total_pos", "total_neg"]
     final = scan.groupBy(*by).agg(
         F.sum("_strip").alias("area"),
         _closest(F.col("tpr"), F.lit(0.5)).alias("wp"),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkjets.functions.arrays import aligned_columns, explode_items, first_argmin, pad, pad_mask
+from sparkjets.operators.ordered import number_rows
 from sparkjets.operators.select import _open_interval
 
 Limits = tuple[float | None, float | None]
@@ -37,6 +38,55 @@ def nest(
     return grouped.select(*keys, *[F.col("_items")[name].alias(name) for name in columns])
 
 
+#: Items of a segment of a key.
+SEGMENT = 4096
+
+
+def nest_segments(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    columns: Mapping[str, str],
+    tie_breakers: Sequence[str] = (),
+    segment: int = SEGMENT,
+    buckets=None,
+) -> DataFrame:
+    """Long to nested where a key may hold any number of items: one row per key and segment of it.
+
+    ``order`` is numeric (ascending), ``tie_breakers`` finish it. Items are numbered by
+    ordered buckets, so a key with a third of all items is spread over the tasks, and no
+    row holds more than ``segment`` of them. Returns ``*keys, segment, start`` (items of the
+    key before it) and the aligned arrays; read them with :func:`segment_totals`,
+    :func:`first_of_segments` and :func:`explode_segments`, or any row function that needs no
+    other item of the key.
+    """
+    numbered = number_rows(df, order, "_nth", keys, tie_breakers, buckets)
+    at = F.floor((F.col("_nth") - 1) / F.lit(segment)).cast("long")
+    item = F.struct("_nth", *[F.col(source).alias(name) for name, source in columns.items()])
+    grouped = numbered.groupBy(*keys, at.alias("segment")).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    start = (F.col("segment") * F.lit(segment)).alias("start")
+    return grouped.select(*keys, "segment", start, *[F.col("_items")[name].alias(name) for name in columns])
+
+
+def segment_totals(segments: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) -> DataFrame:
+    """Per key the sums of numbers that each segment gives (``size``, a total over its arrays, ...)."""
+    parts = segments.select(*keys, *[value.alias(name) for name, value in values.items()])
+    return parts.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in values])
+
+
+def first_of_segments(segments: DataFrame, count: int, names: Sequence[str]) -> DataFrame:
+    """The first ``count`` items of every key, still in segments; segments beyond are never looked into."""
+    left = F.lit(count) - F.col("start")
+    inside = segments.where(F.col("start") < count)
+    return inside.withColumns({n: F.slice(n, F.lit(1), F.least(left, F.size(n).cast("long")).cast("int")) for n in names})
+
+
+def explode_segments(segments: DataFrame, keys: Sequence[str], names: Sequence[str], index: str = "index") -> DataFrame:
+    """One row per item with its place in the whole key."""
+    flat = segments.select(*keys, "start", F.posexplode(F.arrays_zip(*names)).alias("_at", "_item"))
+    return flat.select(*keys, (F.col("start") + F.col("_at")).alias(index), *[F.col("_item")[n].alias(n) for n in names])
+
+
 def _zipped(names: Sequence[str]) -> Column:
     return F.arrays_zip(*[F.col(n) for n in names])
 

@@ -159,7 +159,8 @@ def file_facts(spark: SparkSession, folder: str, pattern: str = "*.parquet") ->
     """``path, bytes, rows, state`` of every Parquet file: "readable", "empty" or "unreadable" (its rows are NULL).
 
     Rows are counted by the footers: the scan asks for no column. Files that the scan
-    passes over are looked at again, the few small ones among them by their marks.
+    passes over are looked at again, the few small ones among them by their marks. Spark
+    lists no file of zero bytes.
     """
 
     def named(reader):

@@ -9,7 +9,8 @@ import __spark_entry__ as entry
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 NAMES = """flat_spectrum_histogram min_count_resampling contiguous_split balanced_classes weighted_sample_mix exact_auc
 roc_points rejection_at_bin_efficiency all_metrics_per_slice efficiency_grid flatten_with_cuts features_const
-pair_matrix_int_const features_const_topo nearest_neighbours physical_weight fixed_size_batches
+pair_matrix_int_const pair_matrix_int_rel_const features_const_topo nearest_neighbours neighbours_of_all_hits long_to_segments
+neighbour_information_ranking binned_metrics_by_generator metrics_from_ingested_chunks shuffled_reading physical_weight fixed_size_batches
 load_parallel_take_per_file working_point_per_bin""".split()
 
 
