@@ -526,6 +526,19 @@ def features_int_const_track(spark, d):
     return node_sums(all_jets(jets(spark, d), tables.nested_constituents(spark, d, "Track")), "int_const_track", CONST)
 
 
+@query("registered_feature_set", f"SELECT jet_id, {R('jets_pt / (1e0 + abs(jets_eta))')} AS central_pt, {R('jets_m / jets_pt')} AS mass_share FROM jets")
+def registered_feature_set(spark, d):
+    """A feature set of one's own, asked for by its name like the others."""
+
+    def build(df, out, **_):
+        central = F.col("jets_pt") / (F.lit(1.0) + F.abs("jets_eta"))
+        return df.withColumn(out, F.struct(central.alias("central_pt"), (F.col("jets_m") / F.col("jets_pt")).alias("mass_share")))
+
+    features.register("central", build)
+    made = features.add_features(jets(spark, d), "central")
+    return made.select("jet_id", r("features.central_pt").alias("central_pt"), r("features.mass_share").alias("mass_share"))
+
+
 THREE = f"""{KINDS}, ok AS (SELECT jet_id FROM u GROUP BY jet_id),
     x AS ({LEADING})"""
 IS = ["is_Constituent", "is_TopoTower", "is_Track"]

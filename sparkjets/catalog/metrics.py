@@ -452,3 +452,23 @@ def evaluate_models(spark, d):
     df = jets(spark, d).withColumn("score_b", tables.model_score(6271, 0.3))
     overall, _ = evaluation.evaluate(df, {"A": "score", "B": "score_b"}, "label", "weight")
     return neat(overall, "model")
+
+
+@query(
+    "evaluate_models_by_cut",
+    "WITH a AS (SELECT *, 0.7e0 * ((jet_id * 6271) % 10007)::DOUBLE / 10007e0 + CASE WHEN label = 1 THEN 0.3e0 ELSE 0e0 END AS score_b FROM jets),"
+    " k2 AS (SELECT * EXCLUDE (score, score_b), 'A' AS model, score FROM a UNION ALL SELECT * EXCLUDE (score, score_b), 'B', score_b FROM a), c AS ("
+    + " UNION ALL ".join(f"SELECT *, '{name}' AS cut FROM k2 WHERE {text}" for name, text in CUTS_SQL.items())
+    + f"), v AS (SELECT *, 'jets_pt' AS variable, {case_bins('jets_pt', WIDE.edges, right_closed=True)} AS bin FROM c)"
+    + f", {all_metrics_sql('model, cut, variable, bin', '(SELECT * FROM v WHERE bin IS NOT NULL)')}"
+    + f" SELECT x.model, f.cut, f.bin::INT AS bin, num_events, {METRIC_COLUMNS} FROM (VALUES ('A'), ('B')) x(model), ("
+    + " UNION ALL ".join(f"SELECT '{name}' AS cut, i AS bin FROM range({WIDE.n_bins}) y(i)" for name in CUTS_SQL)
+    + ") f LEFT JOIN m ON x.model = m.model AND f.cut = m.cut AND f.bin = m.bin",
+    ("jets", "thr"),
+)
+def evaluate_models_by_cut(spark, d):
+    """Every model, cut and bin from one scan of the rows."""
+    df = jets(spark, d).withColumn("score_b", tables.model_score(6271, 0.3))
+    cuts = {name: row_query(df, text) for name, text in CUTS.items()}
+    _, binned = evaluation.evaluate(df, {"A": "score", "B": "score_b"}, "label", "weight", [WIDE], cuts)
+    return neat(binned, "model", "cut", "bin")

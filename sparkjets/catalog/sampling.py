@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from sparkjets.catalog.aggregations import CLASS_BIN, PT, PT_BIN, pt_bin
 from sparkjets.catalog.base import R, case_bins, draw, order_draw, query, r
 from sparkjets.functions.binning import Binning
+from sparkjets.functions.random import uniform
 from sparkjets.operators import combine, resample, split
 from sparkjets.operators.ordered import number_rows
 from sparkjets.sources import io, tables
+from sparkjets.streaming import resample as stream
 
 jets = tables.jets
 
@@ -144,6 +146,27 @@ def rejection_resampling_target(spark, d):
     return resample.rejection_resample(binned, "bin", PT.n_bins, "jet_id", TARGET).select("jet_id", "bin")
 
 
+STREAM_PARTS = 4
+
+
+@query(
+    "resampled_stream",
+    f"""WITH b AS (SELECT jet_id, {PT_BIN} AS bin, floor({draw(7, 'jet_id')} * {STREAM_PARTS})::INT AS part FROM jets),
+        c AS (SELECT p.part, b.bin, count(*) AS n FROM range({STREAM_PARTS}) p(part) JOIN b ON b.part <= p.part GROUP BY 1, 2),
+        a AS (SELECT part, bin, {TARGET!r}[bin + 1]::DOUBLE / n AS r, max({TARGET!r}[bin + 1]::DOUBLE / n) OVER (PARTITION BY part) AS top FROM c)
+        SELECT part, jet_id, bin FROM b JOIN a USING (part, bin) WHERE {draw(42, 'jet_id')} < r / top""",
+)
+def resampled_stream(spark, d):
+    """Four files come one after the other; each is resampled by the counts of all until then."""
+    base = io.shared_folder(spark)
+    binned = jets(spark, d).select("jet_id", pt_bin().alias("bin"), F.floor(uniform("jet_id", seed=7) * STREAM_PARTS).cast("int").alias("part"))
+    for part in range(STREAM_PARTS):
+        binned.where(F.col("part") == part).coalesce(1).write.parquet(f"{base}/in/part{part}")
+    rows = spark.readStream.schema(binned.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
+    kept = stream.resample_stream(rows, "bin", PT.n_bins, "jet_id", f"{base}/out", f"{base}/state", f"{base}/checkpoint", TARGET)
+    return kept.select("part", "jet_id", "bin")
+
+
 HALVES = Binning("jets_pt", [1000.005, 250000.005, 500000.005])
 SIDES = Binning("jets_eta", [-4.505, -0.005, 4.505])
 CELL = f"({case_bins('jets_pt', HALVES.edges)} * 2 + {case_bins('jets_eta', SIDES.edges)})"

@@ -131,12 +131,18 @@ class JetDataset:
         return self.with_df(io.materialise(self.df, path))
 
     def split_train_dev_test(self, train: float, dev: float, test: float, key: str, backend="cut", seed=42):
-        """Three datasets. ``cut`` slices the order of ``key``, ``coin`` draws once per row."""
+        """Three datasets. ``cut`` slices the order of ``key``, ``coin`` draws once per row.
+
+        The cut is made once and written to the shared folder by part; each dataset reads its own.
+        """
         parts = {"train": train, "dev": dev, "test": test}
         if backend not in ("cut", "coin"):
             raise ValueError(f"unknown backend {backend!r}")
         if backend == "cut":
-            tagged = split.split_contiguous(self.df, parts, key, "_split")
+            path = io.shared_folder(self.df.sparkSession)
+            io.save_split(split.split_contiguous(self.df, parts, key, "_split"), path, "_split", "snappy")
+            kinds = T.StructType([*self.df.schema.fields, T.StructField("_split", T.StringType())])
+            tagged = self.df.sparkSession.read.schema(kinds).parquet(path)
         else:
             tagged = split.split_random(self.df, parts, key, "_split", seed)
         return tuple(self.with_df(tagged.where(F.col("_split") == p).drop("_split")) for p in parts)

@@ -411,13 +411,15 @@ def metrics_by_cut(
     df: DataFrame,
     binnings: Sequence[Binning],
     cuts: Mapping[str, Column],
-    score: str,
+    score: str | Mapping[str, str],
     label: str,
     weight: str | None = None,
     threshold: float = 0.5,
 ) -> DataFrame:
     """Binned metrics for every (cut, binning) pair in one scan: ``cut, variable, bin, ...``.
 
+    With several models (name -> score column) they share the scan too, and ``model`` comes first.
+
     A row counts once for each cut it passes and each binning it falls into. Every bin of
     every pair is listed, an empty one with NULL metrics.
     """
@@ -426,17 +428,24 @@ def metrics_by_cut(
         F.struct(F.lit(b.variable).alias("variable"), bin_right_closed(F.col(b.variable), b).alias("bin"))
         for b in binnings
     ]
+    models = {} if isinstance(score, str) else dict(score)
+    entries = [F.struct(F.lit(m).alias("model"), F.col(c).alias("score")) for m, c in models.items()]
+    scored = F.col(score) if isinstance(score, str) else F.explode(F.array(*entries)).alias("_model")
     spread = (
-        df.select(score, label, *([weight] if weight else []), names.alias("_cuts"), F.array(*slots).alias("_slots"))
+        df.select(scored, label, *([weight] if weight else []), names.alias("_cuts"), F.array(*slots).alias("_slots"))
         .withColumn("cut", F.explode(F.array_compact("_cuts")))
         .withColumn("_slot", F.explode(F.filter("_slots", lambda s: s["bin"].isNotNull())))
         .withColumns({"variable": F.col("_slot")["variable"], "bin": F.col("_slot")["bin"]})
         .drop("_cuts", "_slots", "_slot")
     )
-    found = all_metrics(spread, score, label, weight, ["cut", "variable", "bin"], threshold)
+    by = ["cut", "variable", "bin"]
     every = [(name, b.variable, i) for name in cuts for b in binnings for i in range(b.n_bins)]
-    listed = df.sparkSession.createDataFrame(every, "cut string, variable string, bin int")
-    return listed.join(found, ["cut", "variable", "bin"], "left")
+    schema = "cut string, variable string, bin int"
+    if models:
+        spread = spread.select("*", "_model.*").drop("_model")
+        by, every, schema, score = ["model", *by], [(m, *e) for m in models for e in every], f"model string, {schema}", "score"
+    found = all_metrics(spread, score, label, weight, by, threshold)
+    return df.sparkSession.createDataFrame(every, schema).join(found, by, "left")
 
 
 def bin_thresholds(

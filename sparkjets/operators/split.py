@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from sparkjets.functions.random import random_order, uniform
 from sparkjets.operators.ordered import HASH_BUCKETS, cut_order, keep_first, number_rows
 
+#: Rows that one task may sort and hand on.
+DIRECT = 100_000
+
+
 def _as_number(df: DataFrame, name: str) -> Column:
     """A double that never decreases in the order of the column; equal where the order needs more than it."""
     kind = dict(df.dtypes)[name]
@@ -24,9 +28,11 @@ def _as_number(df: DataFrame, name: str) -> Column:
 def take_first(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
     """The first ``n`` rows in a given order; NULLs come first.
 
-    Rows go through buckets of the leading column, so that no task holds all
-    ``n`` rows, whatever ``n`` is.
+    Up to ``DIRECT`` rows Spark keeps the first of every task and merges them. Beyond, rows go
+    through buckets of the leading column, so that no task holds all ``n`` rows.
     """
+    if n <= DIRECT:
+        return df.orderBy(*order).limit(n)
     leading = df.withColumn("_lead", _as_number(df, order[0]))
     return keep_first(leading, "_lead", F.lit(n), tie_breakers=list(order)).drop("_lead")
 

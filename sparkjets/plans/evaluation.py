@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +33,4 @@ def evaluate(
     )
     if not binnings:
         return overall, None
-    cuts = cuts or {"all": F.lit(True)}
-    parts = [
-        metrics.metrics_by_cut(df, binnings, cuts, column, label, weight, threshold).withColumn("model", F.lit(model))
-        for model, column in scores.items()
-    ]
-    return overall, reduce(DataFrame.unionByName, parts)
+    return overall, metrics.metrics_by_cut(df, binnings, cuts or {"all": F.lit(True)}, scores, label, weight, threshold)
