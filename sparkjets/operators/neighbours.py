@@ -60,26 +60,38 @@ def _points(column: list, names: Sequence[str]) -> np.ndarray:
 
 
 def _small(points: DataFrame, key: list[str], names: list[str], k: int) -> DataFrame:
-    """All answers of jets of bounded size: ``*key, i, nth, j, distance``."""
+    """All answers of jets of bounded size: ``*key, i, nth, j, distance``. Jets of one size are worked on together."""
     grouped = points.groupBy(*key).agg(F.collect_list(F.struct("i", *names)).alias("points"))
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, i, nth, j, distance = [], [], [], [], []
-            for at, column in enumerate(batch["points"].to_pylist()):
-                numbers = np.array([p["i"] for p in column])
-                own = _points(column, names)
-                apart, near = closest(own, own, numbers, k + 1)
-                wide = near.shape[1] - 1  # the nearest is taken to be the point itself
-                rows += [at] * (len(own) * wide)
-                i.append(np.repeat(numbers, wide))
-                nth.append(np.tile(np.arange(1, wide + 1), len(own)))
-                j.append(near[:, 1:].reshape(-1))
-                distance.append(apart[:, 1:].reshape(-1))
-            if rows:
-                taken = [batch[c].take(pa.array(rows)) for c in key]
-                arrays = [pa.array(np.concatenate(i)), pa.array(np.concatenate(nth).astype(np.int32)), pa.array(np.concatenate(j)), pa.array(np.concatenate(distance))]
-                yield pa.RecordBatch.from_arrays([*taken, *arrays], [*key, "i", "nth", "j", "distance"])
+            flat = pa.compute.list_flatten(batch["points"])
+            fields = {n: pa.compute.struct_field(flat, n).to_numpy(zero_copy_only=False) for n in ("i", *names)}
+            lengths = pa.compute.list_value_length(batch["points"]).to_numpy()
+            starts = np.cumsum(lengths) - lengths
+            for size in np.unique(lengths[lengths > 1]).tolist():
+                alike = np.flatnonzero(lengths == size)
+                most = max(1, STEP // (size * size))
+                for jets in (alike[at : at + most] for at in range(0, len(alike), most)):
+                    at = starts[jets][:, None] + np.arange(size)
+                    at = np.take_along_axis(at, np.argsort(fields["i"][at], axis=1, kind="stable"), axis=1)
+                    square = np.zeros((len(jets), size, size))
+                    for n in names:
+                        x = fields[n][at]
+                        away = x[:, :, None] - x[:, None, :]
+                        square += away * away
+                    apart = np.sqrt(square)
+                    near = np.argsort(apart, axis=2, kind="stable")[:, :, 1 : k + 1]  # the nearest is taken to be the point itself
+                    wide = near.shape[2]
+                    numbers = fields["i"][at]
+                    arrays = [
+                        pa.array(np.repeat(numbers.reshape(-1), wide)),
+                        pa.array(np.tile(np.arange(1, wide + 1, dtype=np.int32), len(jets) * size)),
+                        pa.array(numbers[np.arange(len(jets))[:, None, None], near].reshape(-1)),
+                        pa.array(np.take_along_axis(apart, near, axis=2).reshape(-1)),
+                    ]
+                    rows = pa.array(np.repeat(jets, size * wide))
+                    yield pa.RecordBatch.from_arrays([*(batch[c].take(rows) for c in key), *arrays], [*key, "i", "nth", "j", "distance"])
 
     kinds = ", ".join(f"`{c}` {grouped.schema[c].dataType.simpleString()}" for c in key)
     return grouped.mapInArrow(answer, f"{kinds}, i long, nth int, j long, distance double")
@@ -137,11 +149,11 @@ def nearest_rows(
     points = points.withColumns({n: F.col(n) + F.lit(0.0) for n in names})
     extent = [x for n in names for x in (F.min(n).alias(f"low_{n}"), F.max(n).alias(f"high_{n}"))]
     sizes = points.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), *extent)
-    small = points.join(sizes.where(F.col("size") <= DIRECT).select(*key), key, "left_semi")
-    answers = _small(small, key, names, k)
     large = sizes.where(F.col("size") > DIRECT)
     if large.isEmpty():
-        return answers
+        return _small(points, key, names, k)
+    small = points.join(sizes.where(F.col("size") <= DIRECT).select(*key), key, "left_semi")
+    answers = _small(small, key, names, k)
     spark = rows.sparkSession
     # of equal points the k + 1 first; Spark limits each place before the shuffle
     place = Window.partitionBy(*key, *names).orderBy("i")
