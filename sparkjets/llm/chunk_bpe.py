@@ -12,7 +12,8 @@ exactly, so the result is that of encoding the whole text at once.
 
 Such a place is any white space after another character (see ``tokens``).
 
-Null and empty texts have no ids and decode to the empty text.
+Null and empty texts have no ids and decode to the empty text. Every row is answered by
+itself: rows that repeat an id or a text give a row each, a null id stays null.
 """
 
 from __future__ import annotations

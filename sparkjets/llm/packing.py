@@ -10,7 +10,8 @@ take their places by their rank among the pieces of their length, so no task eve
 holds more than its own rows.
 
 A document longer than ``capacity`` is cut into full pieces, of which the first may
-be shorter. Null and empty texts are documents that hold the end id only.
+be shorter. Null and empty texts are documents that hold the end id only. Every row is packed by itself:
+rows that repeat an id or a text take their own places, a null id stays null.
 """
 
 from __future__ import annotations

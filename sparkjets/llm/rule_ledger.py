@@ -7,7 +7,9 @@ text again. Ablations aggregate the bits: at most ``2 ** rules`` patterns, count
 per pattern and combined with bitwise operations.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Null and empty texts have no words; they fail the
-rules that demand some and pass those that bound a share.
+rules that demand some and pass those that bound a share. Every row is judged by itself:
+rows that repeat an id or a text give an entry each, a null id stays null. An empty table
+has an empty ledger and no ablation.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ cross blocks are stitched by a prefix scan over one small row per block: a runni
 sum gives each block its place in its file, a running maximum the last end before
 it. No block needs another block's ids, and no document must fit a task.
 
-Empty texts count their end id only. A file whose last document lacks its end id
+Null and empty texts count their end id only. Every row is a document of its own: rows that
+repeat an id or a text are listed one by one, a null id stays null. A file whose last document lacks its end id
 has an open rest, which is reported by ``open_tails`` and is no document.
 """
 

@@ -110,6 +110,20 @@ def test_policies_and_ablation(documents):
     assert passing.columns == df.columns and [r.doc_id for r in passing.collect()] == [1]
 
 
+def test_ledger_of_nothing_and_of_repeated_rows(documents):
+    empty = rule_ledger.ledger(documents([]))
+    assert empty.columns == ["doc_id", *rule_ledger.MEASURES, "fail_bits"] and empty.collect() == []
+    assert rule_ledger.apply_policy(empty, rule_ledger.STANDARD).collect() == []
+    assert rule_ledger.ablation(empty, rule_ledger.STANDARD).collect() == []
+    assert rule_ledger.passing(documents([])).collect() == []
+    good = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, good), (1, good), (1, "few"), (None, good), (None, None)]
+    entries = rule_ledger.apply_policy(rule_ledger.ledger(documents(rows)), rule_ledger.STANDARD).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.kept) for r in entries) == [
+        ("1", 1, False), ("1", 60, True), ("1", 60, True), ("None", 0, False), ("None", 60, True)
+    ]
+
+
 def brute_license(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     split = lambda x: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x)

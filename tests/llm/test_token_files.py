@@ -1,5 +1,6 @@
 """Packed files, flat files and packing against the tokenizers library and brute force."""
 
+import functools
 import zlib
 
 import numpy as np
@@ -14,8 +15,13 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+@functools.cache
+def tokenizer(plain):
+    return tokens.Encoder(plain=plain).tokenizer
+
+
 def library(text, plain=False):
-    return tokens.Encoder(plain=plain).tokenizer.encode(text or "", add_special_tokens=False).ids
+    return tokenizer(plain).encode(text or "", add_special_tokens=False).ids
 
 
 @settings(deadline=None, max_examples=60)
@@ -80,6 +86,18 @@ def test_flat_file_counts(spark, documents, odd, block, monkeypatch):
     assert token_counts.open_tails(spark, path, token_counts.END_OF_TEXT).count() == 0
 
 
+def test_separator_query_over_whole_table(spark, data):
+    """Every document of the table once, with the length that the library gives it and no gap in its file."""
+    rows = queries.QUERIES["op7_separator_scan"](spark, data).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(library(t, plain=True)) + 1 for i, t in texts.items()}
+    assert len(rows) == len(texts)
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r.file, r.ordinal)):
+        assert r.start == ends.get(r.file, 0)
+        ends[r.file] = r.start + r.n_tokens
+
+
 def test_open_tail_and_empty_blocks(spark):
     blocks = [(0, 0, [1, 9]), (0, 1, [3]), (0, 2, [9, 9]), (0, 3, [4, 4]), (1, 0, [5])]
     rows = [("ids", f, b, 4, bytearray(np.array(x, "<u4").tobytes()), None) for f, b, x in blocks]
