@@ -190,12 +190,17 @@ def csv_tagged_by_path(spark, d):
     return out.groupBy("dir", "model").agg(F.count("*").alias("n"), r(F.sum("score"), 4).alias("score"))
 
 
-@query("save_in_shards", "SELECT count(*) AS n, 8::BIGINT AS shards FROM jets")
+def shard_of_file():
+    """The number in a file's name, which is the shard."""
+    return F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("long")
+
+
+@query("save_in_shards", f"SELECT jet_id, floor({draw(42, 'jet_id')} * 8)::BIGINT AS shard, {R('jets_pt')} AS jets_pt, label FROM jets")
 def save_in_shards(spark, d):
+    """Every row, and the file it was written to."""
     path = io.shared_folder(spark)
     io.save(jets(spark, d), path, num_shards=8, key="jet_id")
-    rows = spark.read.parquet(path).select(F.input_file_name().alias("file"))
-    return rows.agg(F.count("*").alias("n"), F.countDistinct("file").alias("shards"))
+    return spark.read.parquet(path).select("jet_id", shard_of_file().alias("shard"), r("jets_pt").alias("jets_pt"), "label")
 
 
 @query(
@@ -281,11 +286,13 @@ def zip_by_row_id(spark, d):
 
 @query(
     "flatten_and_save_shards",
-    "SELECT event_id, count(*) AS n FROM ejets WHERE parton <> -1 GROUP BY event_id",
+    f"""SELECT jet_id AS jets_id, event_id, parton AS jets_parton, floor({draw(42, 'jet_id')} * 4)::BIGINT AS shard, {R('jets_pt')} AS jets_pt
+        FROM ejets WHERE parton <> -1""",
     ("ejets",),
 )
 def flatten_and_save_shards(spark, d):
+    """Every jet of a flattened dataset, and the file it was written to."""
     path = io.shared_folder(spark)
     flat = nested.flatten_events(tables.events_nested(spark, d), "jets_parton", [1, 2, 3, 4, 5, 6, 21])
     io.save(flat, path, num_shards=4, key="jets_id")
-    return io.load(spark, path).groupBy("event_id").agg(F.count("*").alias("n"))
+    return io.load(spark, path).select("jets_id", "event_id", "jets_parton", shard_of_file().alias("shard"), r("jets_pt").alias("jets_pt"))

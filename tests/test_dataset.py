@@ -221,3 +221,19 @@ def test_shared_folder_follows_the_session(spark):
 def test_metadata_sums(spark):
     long = spark.createDataFrame([("a", "k", 1.0), ("b", "k", 2.0), ("b", "m", 5.0)], "sample string, key string, value double")
     assert {r.key: r.value for r in combine.combine_metadata(long).collect()} == {"k": 3.0, "m": 5.0}
+
+
+def test_equal_rows_are_spread_over_shards(spark):
+    path = io.shared_folder(spark)
+    io.save(spark.range(1000).select(F.lit(1).alias("x")), path, num_shards=4)
+    sizes = [r.n for r in spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and sum(sizes) == 1000 and max(sizes) <= 400
+
+
+def test_take_first_beyond_one_task(spark, monkeypatch):
+    from sparkjets.operators import split
+
+    df = spark.range(5000).select(((F.col("id") * 37) % 1000).alias("x"), "id")
+    small = [tuple(r) for r in split.take_first(df, 700, ["x", "id"]).collect()]
+    monkeypatch.setattr(split, "DIRECT", 10)
+    assert sorted(tuple(r) for r in split.take_first(df, 700, ["x", "id"]).collect()) == small
