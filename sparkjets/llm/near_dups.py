@@ -12,6 +12,13 @@ different components, large ones branch once more, with ``PATHS`` paths of
 left is compared in full, so no document is ever dropped. ``missed`` computes the
 chance to miss a pair over all of this: below 1e-5 at just the threshold.
 
+What is compared first are parity sketches: bit i of a sketch says whether an odd
+number of shingles hash to i, so two sketches differ in at most as many bits as the
+sets differ in shingles. Up to ``SAMPLED`` shingles that bound is exact and no link
+is lost; larger sets sketch a sample chosen by hash, at six deviations. A join over a
+node counts these bits in its own condition, so pairs that cannot be links never
+become rows, however dense their group is.
+
 Nothing here groups the members of a node into one row: nodes, stars, pairs and
 components are tables. Documents without words link with nothing; a document of
 fewer words than a shingle has all its words as one. Rows with a null id take no
@@ -29,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkjets.llm.common import forget, keep, once
@@ -43,8 +50,10 @@ SMALL = 48
 LEVELS = 1
 PATHS = 5
 STEPS = 2
-#: Pairs whose share of equal minwise tokens is this far below the threshold (about five deviations) are no candidates.
-SLACK = 0.2
+#: Bits of a parity sketch, the most shingles that one is made of, and the deviations allowed where these are a sample.
+BITS = 1024
+SAMPLED = 512
+DEVIATIONS = 6
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -93,12 +102,46 @@ def signature(of: np.ndarray) -> np.ndarray:
     return out.astype("<u4")
 
 
+def sample_level(n: int) -> int:
+    """A set of ``n`` shingles is sketched from one shingle in ``2 ** level``."""
+    return max(0, (max(n, 1) - 1) // SAMPLED).bit_length()
+
+
+def sketch(of: np.ndarray, level: int) -> np.ndarray:
+    """Parities of the shingles of a set that a sample of one in ``2 ** level`` holds, as 64-bit words."""
+    chosen = of[(of & np.uint64((1 << level) - 1)) == 0]
+    places = ((chosen >> np.uint64(40)) & np.uint64(BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def similar_sizes(n_p: str, n_q: str, threshold: int) -> Column:
+    return 100 * F.least(n_p, n_q) >= threshold * F.greatest(n_p, n_q)
+
+
+def may_link(p: str, q: str, threshold: int) -> Column:
+    """False only for pairs that are no links (beyond ``SAMPLED`` shingles: that are none at ``DEVIATIONS`` deviations).
+
+    ``p`` and ``q`` end the names of the columns n, level, x and y of either side: size, level of the sample, the
+    sketch at that level and the one at the next. Sets of similar sizes are at most one level apart.
+    """
+    level = f"greatest(level_{p}, level_{q})"
+    own, other = (f"IF(level_{a} >= level_{b}, x_{a}, y_{a})" for a, b in ((p, q), (q, p)))
+    apart = " + ".join(f"bit_count({own}[{i}] ^ {other}[{i}])" for i in range(BITS // 64))
+    # 100 * |A & B| >= threshold * |A | B| is |A ^ B| <= (|A| + |B|) * (100 - threshold) / (100 + threshold)
+    most = f"((n_{p} + n_{q}) * {100 - threshold} / {100 + threshold} / pow(2, {level}))"
+    sampled = f"{BITS / 2}D * (1 - exp(-{most} / {BITS / 2}D)) + {DEVIATIONS} * sqrt({most}) + 1"
+    return F.expr(f"{apart} <= IF({level} = 0, {most}, {sampled})")
+
+
 def describe(docs: DataFrame, words: int) -> DataFrame:
-    """Kept ``doc_id, n_shingles, f1, f2`` (fingerprint of the set) and ``sig``."""
+    """Kept ``doc_id, n_shingles, f1, f2`` (fingerprint of the set), ``sig``, and the sketches ``level, x, y``.
+
+    ``y``, the sketch at the next level, is null where no set of a similar size has that level.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, first, second, signatures = [], [], [], []
+            sizes, first, second, signatures, levels, here, next_ = [], [], [], [], [], [], []
             for text in batch["text"]:
                 own = shingles(text.as_py(), words)
                 sizes.append(len(own))
@@ -106,10 +149,14 @@ def describe(docs: DataFrame, words: int) -> DataFrame:
                 first.append(int(marks[0]))
                 second.append(int(marks[1]))
                 signatures.append(signature(own).tobytes() if len(own) else None)
+                levels.append(level := sample_level(len(own)))
+                here.append(sketch(own, level) if len(own) else None)
+                next_.append(sketch(own, level + 1) if sample_level(2 * len(own)) > level else None)
             arrays = [pa.array(sizes, pa.int64()), pa.array(first), pa.array(second), pa.array(signatures, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], ["doc_id", "n_shingles", "f1", "f2", "sig"])
+            arrays += [pa.array(levels, pa.int32()), pa.array(here, pa.list_(pa.int64())), pa.array(next_, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *arrays], ["doc_id", "n_shingles", "f1", "f2", "sig", "level", "x", "y"])
 
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, sig binary"
+    schema = "doc_id long, n_shingles long, f1 long, f2 long, sig binary, level int, x array<long>, y array<long>"
     return keep(docs.select("doc_id", "text").mapInArrow(features, schema), "sets")
 
 
@@ -169,41 +216,47 @@ def branch(rows: DataFrame) -> DataFrame:
     return rows.select("node", "d", "n", "sig").mapInArrow(walk, NODES)
 
 
-def missed(similarity: float, threshold: int = 80) -> float:
-    """The chance that a pair of large nodes meets in no compared node, or that its signatures agree too little.
+def missed(similarity: float) -> float:
+    """The chance that a pair of large nodes meets in no compared node.
 
     Summed over the number k of equal minwise tokens; given k, a path from a shared
     node keeps the pair with ``(k / POSITIONS) ** STEPS``. What stars find is not counted.
     """
     total = 0.0
     for k in range(POSITIONS + 1):
-        ways = float(math.comb(POSITIONS, k))
-        if k >= (threshold / 100 - SLACK) * POSITIONS:
-            lost = 1 - (1 - (1 - (k / POSITIONS) ** STEPS) ** PATHS) ** LEVELS
-            tree = [float(math.comb(DEPTH, j)) for j in range(DEPTH)] + [lost]
-            all_trees = np.ones(1)
-            for _ in range(TREES):
-                all_trees = np.convolve(all_trees, tree)
-            ways = float(all_trees[k])
-        total += ways * similarity**k * (1 - similarity) ** (POSITIONS - k)
+        lost = 1 - (1 - (1 - (k / POSITIONS) ** STEPS) ** PATHS) ** LEVELS
+        tree = [float(math.comb(DEPTH, j)) for j in range(DEPTH)] + [lost]
+        all_trees = np.ones(1)
+        for _ in range(TREES):
+            all_trees = np.convolve(all_trees, tree)
+        total += float(all_trees[k]) * similarity**k * (1 - similarity) ** (POSITIONS - k)
     return total
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) whose minwise tokens agree often enough to be worth a look at the full sets."""
+SKETCHED = ["d", "n", "level", "x", "y"]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                share = (_signatures(batch["sig_a"]) == _signatures(batch["sig_b"])).mean(axis=1)
-                close = pa.array(share >= least)
-                yield batch.select(["a", "b"]).filter(close)
-
-    own = sets.select("d", "sig")
-    both = pairs.join(own.select(F.col("d").alias("a"), F.col("sig").alias("sig_a")), "a").join(
-        own.select(F.col("d").alias("b"), F.col("sig").alias("sig_b")), "b"
+
+def _side(rows: DataFrame, end: str, *others: str) -> DataFrame:
+    """Columns of one side of a comparison, with names that end in ``end``."""
+    return rows.select(*others, *(F.col(c).alias(f"{c}_{end}") for c in SKETCHED))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) whose sketches are close enough for a look at the full sets."""
+    both = pairs.join(_side(sets, "p"), F.col("a") == F.col("d_p")).join(
+        _side(sets, "q"), (F.col("b") == F.col("d_q")) & similar_sizes("n_p", "n_q", threshold) & may_link("p", "q", threshold)
     )
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(compare, "a long, b long").distinct()
+    return both.select("a", "b")
+
+
+def _pairs_of(rows: DataFrame, threshold: int) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a node; ``rows``: node, a (its leader), root, SKETCHED."""
+    one = _side(rows, "p", "node", F.col("a").alias("lead"), F.col("root").alias("r_p"))
+    two = _side(rows, "q", F.col("node").alias("node_q"), F.col("root").alias("r_q"))
+    other = (F.col("d_p") < F.col("d_q")) & (F.col("r_p") != F.col("r_q")) & (F.col("d_p") != F.col("lead")) & (F.col("d_q") != F.col("lead"))
+    near = similar_sizes("n_p", "n_q", threshold) & may_link("p", "q", threshold)
+    pairs = one.join(two, (F.col("node") == F.col("node_q")) & other & near)
+    return pairs.select(F.col("d_p").alias("a"), F.col("d_q").alias("b")).distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
@@ -263,7 +316,9 @@ def components(edges: DataFrame) -> DataFrame:
         mark_after = mark(after)
         forget(now)
         if mark_after == seen:
-            return after.select(F.col("a").alias("d"), F.col("b").alias("root"))
+            found = after.select(F.col("a").alias("d"), F.col("b").alias("root"))
+            found._kept_at = after._kept_at
+            return found
         now, seen = after, mark_after
 
 
@@ -287,61 +342,64 @@ def _with_leaders(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links) and kept."""
-    least = threshold / 100 - SLACK
     described = describe(docs, words)
     known = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     # equal sets become one, the smallest id stands for them
-    merged = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("d"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    sets = keep(merged, "distinct-sets")
+    marks = F.first(F.struct(F.col("n_shingles").alias("n"), "sig", "level", "x", "y")).alias("of")
+    merged = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("d"), marks)
+    sets = keep(merged.select("f1", "f2", "d", "of.*"), "distinct-sets")
     nodes = keep(roots_down(sets), "nodes")
     roots = sets.sparkSession.createDataFrame([], "d long, root long")
     pending: list[DataFrame] = []
 
+    def look_at(pairs: DataFrame) -> None:
+        candidates = keep(pairs, "pairs")
+        if not candidates.isEmpty():
+            pending.append(confirm(candidates, docs, words, threshold))
+        forget(candidates)
+
     def settle(roots: DataFrame) -> DataFrame:
         """Components with the links found since the last time; what was known is one edge per document."""
         news = [df for df in pending if not df.isEmpty()]
-        pending.clear()
         edges = roots.select(F.col("d").alias("a"), F.col("root").alias("b"))
         for new in news:
             edges = edges.unionByName(new)
-        return components(edges) if news else roots
+        settled = components(edges) if news else roots
+        forget(*pending)
+        if news:
+            forget(roots)
+        pending.clear()
+        return settled
 
     for level in range(LEVELS + 1):
         crowded = _with_leaders(nodes)
         forget(nodes)
-        near = (100 * F.least("n", "n_a") >= threshold * F.greatest("n", "n_a")) & (F.col("d") != F.col("a"))
+        near = similar_sizes("n", "n_a", threshold) & (F.col("d") != F.col("a"))
         stars = crowded.where(near).select("a", F.col("d").alias("b")).distinct()
         if level:  # links that are known need no second look
             stars = stars.join(roots.select(F.col("d").alias("a"), F.col("root").alias("ra")), "a", "left").join(
                 roots.select(F.col("d").alias("b"), F.col("root").alias("rb")), "b", "left"
             ).where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-        candidates = keep(_alike(stars, sets, least), "pairs")
-        if not candidates.isEmpty():
-            pending.append(confirm(candidates, docs, words, threshold))
+        look_at(_alike(stars, sets, threshold))
         roots = settle(roots)
         placed = crowded.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
         split = placed.groupBy("node").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("node")
         open_ = keep(placed.join(split, "node"), "open")
         forget(crowded)
         small = open_ if level == LEVELS else open_.where(F.col("size") <= SMALL)
-        one = small.select("node", F.col("d").alias("p"), F.col("n").alias("n_p"), F.col("root").alias("r_p"), F.col("a").alias("lead"))
-        two = small.select("node", F.col("d").alias("q"), F.col("n").alias("n_q"), F.col("root").alias("r_q"))
-        pairs = one.join(two, "node").where(
-            (F.col("p") < F.col("q")) & (F.col("p") != F.col("lead")) & (F.col("q") != F.col("lead")) & (F.col("r_p") != F.col("r_q"))
-            & (100 * F.least("n_p", "n_q") >= threshold * F.greatest("n_p", "n_q"))
-        ).select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()
-        candidates = keep(_alike(pairs, sets, least), "pairs")
-        if not candidates.isEmpty():
-            pending.append(confirm(candidates, docs, words, threshold))
+        look_at(_pairs_of(small.select("node", "a", "root", "d").join(sets.select(*SKETCHED), "d"), threshold))
         if level == LEVELS:
+            forget(open_)
             break
         large = open_.where(F.col("size") > SMALL)
         if large.isEmpty():
+            forget(open_)
             break
         # a document of a large node needs its signature again
         nodes = keep(branch(large.select("node", "d", "n").join(sets.select("d", "sig"), "d")).distinct(), "nodes")
+        forget(open_)
 
-    rows = described.drop("sig").join(sets.drop("sig", "n"), ["f1", "f2"], "left")
+    rows = described.select("doc_id", "n_shingles", "f1", "f2").join(sets.select("f1", "f2", "d"), ["f1", "f2"], "left")
     # rows of one id with different sets: whatever these are linked with is linked
     twice = rows.where("d IS NOT NULL").join(
         rows.where("d IS NOT NULL").groupBy("doc_id").agg(F.min("d").alias("x"), F.max("d").alias("y")).where("x < y"), "doc_id"
