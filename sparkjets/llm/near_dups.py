@@ -46,6 +46,8 @@ DEPTH = 4
 TREES = POSITIONS // DEPTH
 #: Nodes up to this size compare all their pairs.
 SMALL = 48
+#: Documents of a node that one task compares with those outside the main component.
+BLOCK = 8192
 #: Rounds of further branching, and the paths and their levels in each.
 LEVELS = 1
 PATHS = 5
@@ -250,13 +252,21 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def _pairs_of(rows: DataFrame, threshold: int) -> DataFrame:
-    """Distinct pairs (a, b) of different components that share a node; ``rows``: node, a (its leader), root, SKETCHED."""
-    one = _side(rows, "p", "node", F.col("a").alias("lead"), F.col("root").alias("r_p"))
-    two = _side(rows, "q", F.col("node").alias("node_q"), F.col("root").alias("r_q"))
-    other = (F.col("d_p") < F.col("d_q")) & (F.col("r_p") != F.col("r_q")) & (F.col("d_p") != F.col("lead")) & (F.col("d_q") != F.col("lead"))
+    """Distinct pairs (a, b) of different components that share a node.
+
+    ``rows``: node, size, a (its leader), main (the component of the leader), root, SKETCHED. Documents outside the
+    main component meet all others, those inside never each other; a node is dealt in blocks of ``BLOCK`` documents.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK)
+    strays = rows.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    one = _side(strays, "p", "node", "block", F.col("root").alias("r_p"))
+    dealt = rows.where(F.col("d") != F.col("a")).withColumn("block", F.pmod(F.xxhash64("d"), blocks))
+    two = _side(dealt, "q", F.col("node").alias("node_q"), F.col("block").alias("block_q"), F.col("root").alias("r_q"), F.col("main").alias("main_q"))
+    same = (F.col("node") == F.col("node_q")) & (F.col("block") == F.col("block_q"))
+    other = (F.col("r_p") != F.col("r_q")) & ((F.col("r_q") == F.col("main_q")) | (F.col("d_p") < F.col("d_q")))
     near = similar_sizes("n_p", "n_q", threshold) & may_link("p", "q", threshold)
-    pairs = one.join(two, (F.col("node") == F.col("node_q")) & other & near)
-    return pairs.select(F.col("d_p").alias("a"), F.col("d_q").alias("b")).distinct()
+    pairs = one.join(two, same & other & near)
+    return pairs.select(F.least("d_p", "d_q").alias("a"), F.greatest("d_p", "d_q").alias("b")).distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
@@ -383,11 +393,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
         look_at(_alike(stars, sets, threshold))
         roots = settle(roots)
         placed = crowded.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
-        split = placed.groupBy("node").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1").select("node")
+        of_leader = F.max(F.when(F.col("d") == F.col("a"), F.col("root"))).alias("main")
+        split = placed.groupBy("node").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), of_leader).where("r0 < r1").select("node", "main")
         open_ = keep(placed.join(split, "node"), "open")
         forget(crowded)
         small = open_ if level == LEVELS else open_.where(F.col("size") <= SMALL)
-        look_at(_pairs_of(small.select("node", "a", "root", "d").join(sets.select(*SKETCHED), "d"), threshold))
+        look_at(_pairs_of(small.select("node", "size", "a", "main", "root", "d").join(sets.select(*SKETCHED), "d"), threshold))
         if level == LEVELS:
             forget(open_)
             break

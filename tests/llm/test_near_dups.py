@@ -73,9 +73,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("small", [4, near_dups.SMALL])
-def test_against_all_pairs(documents, corpus, small, monkeypatch):
+@pytest.mark.parametrize(("small", "block"), [(4, 3), (near_dups.SMALL, near_dups.BLOCK)])
+def test_against_all_pairs(documents, corpus, small, block, monkeypatch):
     monkeypatch.setattr(near_dups, "SMALL", small)
+    monkeypatch.setattr(near_dups, "BLOCK", block)
     assert by_text(found(documents(corpus, 4), 4)) == by_text(brute(corpus, 4))
 
 
@@ -120,3 +121,29 @@ def test_pairs_of_large_nodes_survive_all_rounds(spark):
     left, right = nodes.where(f"d < {n}"), nodes.selectExpr("node", f"d - {n} AS d")
     # five paths of two levels keep 1 - 0.36 ** 5 = 0.994; three rounds with one or two children kept under a half
     assert left.join(right, ["node", "d"]).select("d").distinct().count() > 0.985 * n
+
+
+def test_sketches_lose_no_link(spark):
+    """Pairs at just the threshold pass at every size and across sample levels; far pairs of small sets do not."""
+    draw = np.random.default_rng(3)
+    rows, expected = [], []
+    for n in (1, 5, 9, 90, 450, 500, 512, 540, 1030, 3000, 9000):
+        for _ in range(40):
+            for similarity in (0.8, 0.6):
+                # two sets that share ``both`` of their shingles, the second one larger
+                larger = n + int(draw.integers(0, n // 9 + 1))
+                both = min(n, int(np.ceil(similarity * (n + larger) / (1 + similarity))))
+                of = np.unique(draw.integers(0, 1 << 63, 3 * larger + 9, dtype=np.uint64))
+                draw.shuffle(of)
+                sides = of[:n], np.concatenate([of[:both], of[n : n + larger - both]])
+                row = []
+                for side in sides:
+                    level = near_dups.sample_level(len(side))
+                    row += [len(side), level, *(near_dups.sketch(side, at).tolist() for at in (level, level + 1))]
+                rows.append((len(rows), *row))
+                expected.append((similarity, n))
+    columns = ", ".join(f"n_{e} long, level_{e} int, x_{e} array<long>, y_{e} array<long>" for e in "pq")
+    df = spark.createDataFrame(rows, f"id int, {columns}").repartition(3)
+    passed = {r.id for r in df.where(near_dups.may_link("p", "q", 80)).collect()}
+    assert all(i in passed for i, (similarity, _) in enumerate(expected) if similarity == 0.8)
+    assert not any(i in passed for i, (similarity, n) in enumerate(expected) if similarity == 0.6 and n in (90, 450))  # both sides below SAMPLED
