@@ -351,7 +351,12 @@ def _with_leaders(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links) and kept."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links) and kept.
+
+    ``threshold`` is at least 50, so that sizes of linked sets are at most one sample level apart.
+    """
+    if threshold < 50:
+        raise ValueError("sketches compare sets of similarity 0.5 or more")
     described = describe(docs, words)
     known = described.where("doc_id IS NOT NULL AND n_shingles > 0")
     # equal sets become one, the smallest id stands for them
