@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkjets.llm.common import forget, keep, once
+from sparkjets.llm.common import forget, keep, once, text_key
 
 POSITIONS = 96
 DEPTH = 4
@@ -428,7 +428,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
 
 
 def first_of_each(docs: DataFrame, words: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay: the smallest id of each group, once; rows with a null id all stay."""
-    kept = near_duplicates(docs, words, threshold).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    chosen = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return chosen.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """The rows of ``docs`` that stay: of each group of near duplicates the one of the smallest id.
+
+    Where rows repeat an id, each row is judged by its own text: rows of one id that hold
+    different texts are no duplicates of each other, equal rows are (ties go by a hash of the text).
+    Rows without words link with nothing and stay, as do all rows with a null id.
+    """
+    named = docs.where("doc_id IS NOT NULL")
+    nameless = docs.where("doc_id IS NULL")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = near_duplicates(named, words, threshold).where("kept").select("doc_id")
+        return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(nameless)
+    # numbers of rows, written once, so that a retried task sees the same ones
+    rows = keep(named.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")), "numbered")
+    numbers = rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))
+    placed = near_duplicates(numbers, words, threshold).select(F.col("doc_id").alias("number"), "component_id")
+    order = F.struct(F.col("row.doc_id").alias("id"), text_key("row.text").alias("text_hash"), "number")
+    least = rows.select("number", order.alias("order")).join(placed, "number").groupBy("component_id").agg(F.min("order").alias("order"))
+    chosen = rows.join(least.select(F.col("order.number").alias("number")), "number", "left_semi").select("row.*")
+    return chosen.unionByName(nameless)

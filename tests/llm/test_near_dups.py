@@ -104,6 +104,17 @@ def test_one_document_of_each_group_stays(documents, odd):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [None, 1, 2, 3, 4, 5, 7, 8, -9, 20]))
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_own_texts(documents):
+    one, two, three = (" ".join(f"{name}{i}" for i in range(60)) for name in "abc")
+    near = one.replace("a59", "other")
+    rows = [(1, one), (1, two), (2, near), (3, three), (3, three), (1, two), (4, two), (1, ""), (1, None), (None, one)]
+    df = documents(rows)
+    kept = near_dups.first_of_each(df, 5)
+    assert kept.columns == df.columns
+    found = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    assert found == sorted([("1", one), ("1", two), ("3", three), ("1", ""), ("1", "None"), ("None", one)])
+
+
 def test_chance_to_miss_a_pair():
     assert near_dups.missed(0.8) < 1e-5 and near_dups.missed(0.85) < 1e-7
 
