@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkjets.llm import importance, near_dups, packing, rule_ledger
-from sparkjets.llm.common import bound_batches, keep, table, text_key
+from sparkjets.llm.common import bound_batches, forget, keep, table, text_key
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        forget(before)  # its successor is written, nothing reads it again
     return docs
