@@ -30,6 +30,8 @@ BITS = 12
 KEY_BITS = 60
 #: Rounds that move small rows after the bulk.
 POLISH = 3
+#: Fewest tasks that write a shard, and the bytes of texts one of them takes.
+WRITERS, WRITE_BYTES = 8, 256 << 20
 #: Buckets per shard in which places are numbered.
 SLOT_BUCKETS = 256
 
@@ -249,18 +251,21 @@ def plan(docs: DataFrame, old: Column, shards: int) -> Plan:
 def reshard(docs: DataFrame, old: Column, shards: int, path: str | None = None) -> tuple[DataFrame, Plan]:
     """Rewrite the shards that change; returns all rows with ``shard`` in their new layout, and the plan.
 
-    Shards that no transfer touches keep their rows where they are.
+    Shards that no transfer touches keep their rows where they are. The others are written by
+    tasks of about ``WRITE_BYTES``, rows of one id with different texts by different ones. A column
+    named ``shard`` is read by ``old`` if that says so, and replaced in the result.
     """
     made = plan(docs, old, shards)
     path = path or new_path(docs.sparkSession, "shards")
     columns = [F.col(c) for c in docs.columns if c != "shard"]
-    placed = docs.select(*columns, old.cast("int").alias("_old"), made.shard(old.cast("int")).cast("int").alias("shard"))
+    placed = docs.select(*columns, made.shard(old.cast("int")).cast("int").alias("shard"))
     changed = sorted({s for cuts in made.rounds for s in cuts.of} | {to for cuts in made.rounds for r in cuts.of.values() for _, to in r})
-    untouched = placed.where(~F.col("shard").isin(changed)).drop("_old") if changed else placed.drop("_old")
     if not changed:
-        return untouched, made
-    rows = placed.where(F.col("shard").isin(changed)).drop("_old")
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(8))
+        return placed, made
+    untouched = placed.where(~F.col("shard").isin(changed))
+    rows = placed.where(F.col("shard").isin(changed))
+    tasks = max(WRITERS, -(-max(made.sizes.values()) // WRITE_BYTES))
+    spread = F.pmod(F.xxhash64(F.col("doc_id"), text_key()), F.lit(tasks))
     rows.repartition("shard", spread).write.partitionBy("shard").parquet(path)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     written = docs.sparkSession.read.schema(schema).parquet(path)

@@ -71,6 +71,19 @@ def test_resharding_of_odd_documents(documents, odd):
         assert sorted(str(r.doc_id) for r in new.collect()) == sorted(str(i) for i, _ in rows)
 
 
+def test_resharding_by_a_column_of_its_own_name(documents, monkeypatch):
+    """The old shard may stand in a column named shard; other columns come through, also with one writer per few rows."""
+    monkeypatch.setattr(resharding, "WRITE_BYTES", 200)
+    rows = [(i % 5, f"{i:084d}") for i in range(60)]
+    df = documents(rows).withColumn("shard", F.lit(1)).withColumn("_old", F.col("text"))
+    new, _ = resharding.reshard(df, F.col("shard"), 4)
+    assert sorted(new.columns) == sorted(df.columns)
+    found = new.collect()
+    assert sorted((r.doc_id, r.text) for r in found) == sorted(rows) and all(r._old == r.text for r in found)
+    counts = [sum(r.shard == shard for r in found) for shard in range(4)]
+    assert max(counts) - min(counts) <= 1
+
+
 def repeated(words):
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     inside = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
