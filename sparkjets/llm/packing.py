@@ -34,6 +34,8 @@ CAPACITY = 2048
 ROUNDS = 4 * CAPACITY
 #: Each round covers at most this share of the pieces of the scarcest length it uses.
 STEP = 1.0
+#: Lengths that one knapsack program looks at; where more are left, they take turns.
+PRICED = 256
 #: How fast the price of a length falls with its coverage.
 RATE = 6.0
 #: Power of a length in its price; above 1 long pieces go first, and the short ones that fit anywhere are left to the end.
@@ -70,6 +72,12 @@ def best_filling(price: np.ndarray, lengths: np.ndarray, limit: np.ndarray, capa
     return found
 
 
+def in_turn(of: np.ndarray, turn: int) -> np.ndarray:
+    """Every m-th of ``of``, at most ``PRICED`` and from long to short alike; another m-th at every turn."""
+    m = -(-len(of) // PRICED)
+    return of[turn % m :: m] if m > 1 else of
+
+
 def solve_configurations(counts: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[tuple[dict[int, int], float]]:
     """Fractional solution of the configuration program: (length -> pieces, how many sequences), by multiplicative weights."""
     lengths = np.array(sorted(counts), np.int64)
@@ -77,11 +85,13 @@ def solve_configurations(counts: dict[int, int], capacity: int, rounds: int = RO
     covered = np.zeros(len(lengths))
     worth = lengths.astype(float) ** LEAN
     used: dict[tuple, float] = {}
-    for _ in range(rounds):
+    for turn in range(rounds):
         if covered.min(initial=1.0) >= 1.0:
             break
         # covered lengths are worth nothing, others what they fill, dearer the less they are covered
-        price = np.where(covered < 1.0, worth * np.exp(RATE * (covered.mean() - covered)), 0.0)
+        price = np.zeros(len(lengths))
+        at = in_turn(np.flatnonzero(covered < 1.0), turn)
+        price[at] = worth[at] * np.exp(RATE * (covered.mean() - covered[at]))
         filling = best_filling(price, lengths, have, capacity)
         amount = min(have[k] * STEP / n for k, n in filling.items())
         amount = max(amount, 1.0)
@@ -99,7 +109,7 @@ def round_up(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
     """
     plan, rest = [], {length: n for length, n in counts.items() if n}
     while rest:
-        lengths = np.array(sorted(rest), np.int64)
+        lengths = in_turn(np.array(sorted(rest), np.int64), len(plan))
         have = np.array([rest[int(n)] for n in lengths], np.int64)
         content = {int(lengths[k]): c for k, c in best_filling(lengths.astype(float) ** LEAN, lengths, have, capacity).items()}
         n = min(rest[length] // c for length, c in content.items())
