@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkjets.llm.common import forget, keep, once, text_key
@@ -251,22 +251,30 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.select("a", "b")
 
 
+def _with_earlier(rows: DataFrame) -> DataFrame:
+    """``rows`` (node, d, a) with ``earlier``: the nodes before this one in which the document is not the leader."""
+    nodes = Window.partitionBy("d").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("earlier", F.collect_list(F.when(F.col("d") != F.col("a"), F.col("node"))).over(nodes))
+
+
 def _pairs_of(rows: DataFrame, threshold: int) -> DataFrame:
-    """Distinct pairs (a, b) of different components that share a node.
+    """Pairs (a, b) of different components that share a node; each comes out of its first common node only.
 
-    ``rows``: node, size, a (its leader), main (the component of the leader), root, SKETCHED. Documents outside the
-    main component meet all others, those inside never each other; a node is dealt in blocks of ``BLOCK`` documents.
+    ``rows``: node, size, a (its leader), main (the component of the leader), root, earlier, SKETCHED. Documents outside
+    the main component meet all others, those inside never each other; a node is dealt in blocks of ``BLOCK`` documents.
+    Pairs with a leader were looked at before. Only where rows repeat an id can a pair come twice.
     """
     blocks = F.ceil(F.col("size") / BLOCK)
     strays = rows.where("root <> main").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    one = _side(strays, "p", "node", "block", F.col("root").alias("r_p"))
+    one = _side(strays, "p", "node", "block", F.col("root").alias("r_p"), F.col("earlier").alias("e_p"))
     dealt = rows.where(F.col("d") != F.col("a")).withColumn("block", F.pmod(F.xxhash64("d"), blocks))
-    two = _side(dealt, "q", F.col("node").alias("node_q"), F.col("block").alias("block_q"), F.col("root").alias("r_q"), F.col("main").alias("main_q"))
+    own = [F.col(c).alias(f"{c}_q") for c in ("node", "block", "main")]
+    two = _side(dealt, "q", *own, F.col("root").alias("r_q"), F.col("earlier").alias("e_q"))
     same = (F.col("node") == F.col("node_q")) & (F.col("block") == F.col("block_q"))
     other = (F.col("r_p") != F.col("r_q")) & ((F.col("r_q") == F.col("main_q")) | (F.col("d_p") < F.col("d_q")))
     near = similar_sizes("n_p", "n_q", threshold) & may_link("p", "q", threshold)
-    pairs = one.join(two, same & other & near)
-    return pairs.select(F.least("d_p", "d_q").alias("a"), F.greatest("d_p", "d_q").alias("b")).distinct()
+    pairs = one.join(two, same & other & near & ~F.arrays_overlap("e_p", "e_q"))
+    return pairs.select(F.least("d_p", "d_q").alias("a"), F.greatest("d_p", "d_q").alias("b"))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
@@ -403,7 +411,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
         open_ = keep(placed.join(split, "node"), "open")
         forget(crowded)
         small = open_ if level == LEVELS else open_.where(F.col("size") <= SMALL)
-        look_at(_pairs_of(small.select("node", "size", "a", "main", "root", "d").join(sets.select(*SKETCHED), "d"), threshold))
+        placed_in = _with_earlier(small.select("node", "size", "a", "main", "root", "d"))
+        look_at(_pairs_of(placed_in.join(sets.select(*SKETCHED), "d"), threshold).distinct())
         if level == LEVELS:
             forget(open_)
             break

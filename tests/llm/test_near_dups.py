@@ -80,6 +80,21 @@ def test_against_all_pairs(documents, corpus, small, block, monkeypatch):
     assert by_text(found(documents(corpus, 4), 4)) == by_text(brute(corpus, 4))
 
 
+def test_a_pair_comes_out_of_its_first_common_node_only(spark):
+    """Documents that share many nodes were one row for each of these; all pairs still come, but those with the leader."""
+    draw = np.random.default_rng(2)
+    of = np.unique(draw.integers(0, 1 << 63, 90, dtype=np.uint64))
+    x = near_dups.sketch(of, 0).tolist()
+    where = {d: [node for node in range(24) if draw.random() < 0.5] for d in range(20)}
+    leaders = {node: min(d for d in where if node in where[d]) for node in range(24)}
+    rows = [(node, 20, leaders[node], leaders[node], d, d, len(of), 0, x, x) for d in where for node in where[d]]
+    columns = "node long, size long, a long, main long, root long, d long, n int, level int, x array<long>, y array<long>"
+    df = near_dups._with_earlier(spark.createDataFrame(rows, columns).repartition(3))
+    found = sorted(map(tuple, near_dups._pairs_of(df, 80).collect()))
+    meet = {(a, b) for a in where for b in where for node in where[a] if a < b and node in where[b] and leaders[node] not in (a, b)}
+    assert found == sorted(meet)
+
+
 def test_rows_that_repeat_an_id(documents):
     rows = [(1, "one two three four five"), (1, "six seven eight nine ten"), (2, "six seven eight nine ten"), (3, "other words of all kinds")]
     assert {(i, c) for i, _, c, _ in found(documents(rows), 4)} == {(1, 1), (2, 1), (3, 3)}
