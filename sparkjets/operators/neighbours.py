@@ -25,12 +25,17 @@ from pyspark.sql import functions as F
 
 from sparkjets.sources.io import materialise, shared_folder
 
-#: Points of a jet that is answered in one piece.
-DIRECT = 512
+#: Points of a jet that is answered in one piece: all its distances cost less than a pyramid, of which each point is in
+#: every level and asked in 3 cells along each coordinate.
+DIRECT = 4096
 #: Points of a block of a cell, and questions of a batch, on average.
 BLOCK, BATCH = 2048, 256
 #: Distances worked on at once.
 STEP = 1 << 20
+#: The same for jets in one piece, alone or with others of their size: what a processor's cache holds.
+PIECE = 1 << 16
+#: So many neighbours are looked for one after the other, more by a sort.
+FEW = 16
 
 
 def closest(asked: np.ndarray, points: np.ndarray, numbers: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +64,25 @@ def _points(column: list, names: Sequence[str]) -> np.ndarray:
     return np.array([[p[c] for c in names] for p in column], float).reshape(len(column), len(names))
 
 
+def _first(where: list[np.ndarray], asked: slice, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest points, equal ones by place; ``where``: per coordinate jets x points."""
+    square = np.zeros((where[0].shape[0], len(range(*asked.indices(where[0].shape[1]))), where[0].shape[1]))
+    for x in where:
+        away = x[:, asked, None] - x[:, None, :]
+        square += away * away
+    apart = np.sqrt(square)
+    k = min(k, apart.shape[2])
+    if k > FEW or not np.isfinite(apart.max()):
+        near = np.argsort(apart, axis=2, kind="stable")[:, :, :k]
+        return near, np.take_along_axis(apart, near, axis=2)
+    near, found = np.empty((*apart.shape[:2], k), np.int64), np.empty((*apart.shape[:2], k))
+    for nth in range(k):  # the least that is left, k times: no sort of whole rows
+        at = np.argmin(apart, axis=2)[:, :, None]
+        near[:, :, nth : nth + 1], found[:, :, nth : nth + 1] = at, np.take_along_axis(apart, at, axis=2)
+        np.put_along_axis(apart, at, np.inf, axis=2)
+    return near, found
+
+
 def _small(points: DataFrame, key: list[str], names: list[str], k: int) -> DataFrame:
     """All answers of jets of bounded size: ``*key, i, nth, j, distance``. Jets of one size are worked on together."""
     grouped = points.groupBy(*key).agg(F.collect_list(F.struct("i", *names)).alias("points"))
@@ -71,24 +95,22 @@ def _small(points: DataFrame, key: list[str], names: list[str], k: int) -> DataF
             starts = np.cumsum(lengths) - lengths
             for size in np.unique(lengths[lengths > 1]).tolist():
                 alike = np.flatnonzero(lengths == size)
-                most = max(1, STEP // (size * size))
+                most = max(1, PIECE // (size * size))
                 for jets in (alike[at : at + most] for at in range(0, len(alike), most)):
                     at = starts[jets][:, None] + np.arange(size)
                     at = np.take_along_axis(at, np.argsort(fields["i"][at], axis=1, kind="stable"), axis=1)
-                    square = np.zeros((len(jets), size, size))
-                    for n in names:
-                        x = fields[n][at]
-                        away = x[:, :, None] - x[:, None, :]
-                        square += away * away
-                    apart = np.sqrt(square)
-                    near = np.argsort(apart, axis=2, kind="stable")[:, :, 1 : k + 1]  # the nearest is taken to be the point itself
-                    wide = near.shape[2]
                     numbers = fields["i"][at]
+                    where = [fields[n][at] for n in names]
+                    rows = max(1, PIECE // (len(jets) * size))
+                    parts = [_first(where, slice(row, row + rows), k + 1) for row in range(0, size, rows)]
+                    # the nearest is taken to be the point itself
+                    near, apart = (np.concatenate(of, axis=1)[:, :, 1:] for of in zip(*parts))
+                    wide = near.shape[2]
                     arrays = [
                         pa.array(np.repeat(numbers.reshape(-1), wide)),
                         pa.array(np.tile(np.arange(1, wide + 1, dtype=np.int32), len(jets) * size)),
                         pa.array(numbers[np.arange(len(jets))[:, None, None], near].reshape(-1)),
-                        pa.array(np.take_along_axis(apart, near, axis=2).reshape(-1)),
+                        pa.array(apart.reshape(-1)),
                     ]
                     rows = pa.array(np.repeat(jets, size * wide))
                     yield pa.RecordBatch.from_arrays([*(batch[c].take(rows) for c in key), *arrays], [*key, "i", "nth", "j", "distance"])

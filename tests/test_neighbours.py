@@ -44,5 +44,15 @@ def test_against_all_distances(spark, dims, monkeypatch):
     assert run(spark, jets, 3, dims) == brute(jets, 3)
 
 
+def test_jets_of_many_points_need_no_pyramid(spark, monkeypatch):
+    """Jets of 600 points went through every level of a pyramid, 36 million points with more disk than there is."""
+    monkeypatch.setattr(neighbours, "materialise", lambda *a: pytest.fail("a pyramid was built"))
+    draw = np.random.default_rng(6)
+    shapes = [draw.normal(size=(600, 2)), draw.integers(0, 9, (530, 2)).astype(float), 1e200 * draw.normal(size=(5, 2))]
+    jets = {j: [(int(i), *map(float, p)) for i, p in zip(draw.permutation(len(s)), s)] for j, s in enumerate(shapes)}
+    for k in (2, 20):
+        assert run(spark, jets, k, 2) == brute(jets, k)
+
+
 def test_no_points(spark):
     assert run(spark, {}, 3, 2) == []
