@@ -6,10 +6,11 @@ its minwise token there names; similar sets choose the same child as often as th
 are similar. After ``DEPTH`` levels the nodes hold few documents. A node is settled
 when all its documents are in one component; so first each document is compared
 with the leader of its node (a star), links are confirmed on full sets, and only
-nodes that still hold several components go on: small ones compare all pairs of
-different components, large ones branch once more, with ``PATHS`` paths of
-``STEPS`` levels per document so that similar pairs survive. After that whatever is
-left is compared in full, so no document is ever dropped. ``missed`` computes the
+nodes that still hold several components go on: small ones, and those in which few
+documents are outside the main component, compare all pairs of different components;
+the others branch once more, with ``PATHS`` paths of ``STEPS`` levels per document so
+that similar pairs survive. After that whatever is left is compared in full, so no
+document is ever dropped. ``missed`` computes the
 chance to miss a pair over all of this: below 1e-5 at just the threshold.
 
 What is compared first are parity sketches: bit i of a sketch says whether an odd
@@ -44,8 +45,9 @@ from sparkjets.llm.common import forget, keep, once, text_key
 POSITIONS = 96
 DEPTH = 4
 TREES = POSITIONS // DEPTH
-#: Nodes up to this size compare all their pairs.
+#: Nodes up to this size compare all their pairs, and so do larger ones of so few documents outside the main component.
 SMALL = 48
+STRAYS = 1024
 #: Documents of a node that one task compares with those outside the main component.
 BLOCK = 8192
 #: Rounds of further branching, and the paths and their levels in each.
@@ -251,6 +253,13 @@ def _alike(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.select("a", "b")
 
 
+def _split(placed: DataFrame) -> DataFrame:
+    """Nodes of several components: ``node, main`` (the component of the leader) and ``strays``, the documents outside it."""
+    parts = placed.groupBy("node", "root").agg(F.count(F.lit(1)).alias("rows"), F.max(F.col("d") == F.col("a")).alias("led"))
+    main, strays = F.max(F.when(F.col("led"), F.col("root"))), F.sum(F.when(~F.col("led"), F.col("rows")))
+    return parts.groupBy("node").agg(main.alias("main"), strays.alias("strays")).where("strays > 0")
+
+
 def _with_earlier(rows: DataFrame) -> DataFrame:
     """``rows`` (node, d, a) with ``earlier``: the nodes before this one in which the document is not the leader."""
     nodes = Window.partitionBy("d").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
@@ -349,8 +358,7 @@ def _with_leaders(nodes: DataFrame) -> DataFrame:
     """
     sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = keep(nodes.join(sizes, "node"), "shared-nodes")
-    weights = shared.groupBy("d").agg(F.sum("size").alias("w"))
-    weighted = shared.join(weights, "d")
+    weighted = shared.withColumn("w", F.sum("size").over(Window.partitionBy("d")))
     best = weighted.groupBy("node").agg(F.max(F.struct("w", (-F.col("d")).alias("minus"), "n")).alias("best"))
     led = best.select("node", (-F.col("best.minus")).alias("a"), F.col("best.n").alias("n_a"))
     crowded = keep(shared.join(led, "node"), "crowded")
@@ -406,17 +414,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80) -> Dat
         look_at(_alike(stars, sets, threshold))
         roots = settle(roots)
         placed = crowded.join(roots, "d", "left").withColumn("root", F.coalesce("root", "d"))
-        of_leader = F.max(F.when(F.col("d") == F.col("a"), F.col("root"))).alias("main")
-        split = placed.groupBy("node").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), of_leader).where("r0 < r1").select("node", "main")
-        open_ = keep(placed.join(split, "node"), "open")
+        open_ = keep(placed.join(_split(placed), "node"), "open")
         forget(crowded)
-        small = open_ if level == LEVELS else open_.where(F.col("size") <= SMALL)
+        in_full = (F.col("size") <= SMALL) | (F.col("strays") <= STRAYS)
+        small = open_ if level == LEVELS else open_.where(in_full)
         placed_in = _with_earlier(small.select("node", "size", "a", "main", "root", "d"))
         look_at(_pairs_of(placed_in.join(sets.select(*SKETCHED), "d"), threshold).distinct())
         if level == LEVELS:
             forget(open_)
             break
-        large = open_.where(F.col("size") > SMALL)
+        large = open_.where(~in_full)
         if large.isEmpty():
             forget(open_)
             break

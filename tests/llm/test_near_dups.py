@@ -80,6 +80,24 @@ def test_against_all_pairs(documents, corpus, small, block, monkeypatch):
     assert by_text(found(documents(corpus, 4), 4)) == by_text(brute(corpus, 4))
 
 
+def test_branches_against_all_pairs(documents, corpus, monkeypatch):
+    for name, value in (("SMALL", 4), ("STRAYS", 1), ("BLOCK", 3)):
+        monkeypatch.setattr(near_dups, name, value)
+    assert by_text(found(documents(corpus, 4), 4)) == by_text(brute(corpus, 4))
+
+
+def test_large_nodes_of_few_strays_do_not_branch(documents, monkeypatch):
+    """A node of one large component and a few documents beside it was branched into five times its rows."""
+    draw = random.Random(4)
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, changed(draw, base, 0.02)) for i in range(2 * near_dups.SMALL)] + [(1000 + i, changed(draw, base, 0.07)) for i in range(9)]
+    expected = by_text(brute(rows, 4))
+    assert len({c for _, _, c, _ in brute(rows, 4)}) > 1
+    branched = []
+    monkeypatch.setattr(near_dups, "branch", lambda df, to=near_dups.branch: branched.append(df) or to(df))
+    assert by_text(found(documents(rows), 4)) == expected and not branched
+
+
 def test_a_pair_comes_out_of_its_first_common_node_only(spark):
     """Documents that share many nodes were one row for each of these; all pairs still come, but those with the leader."""
     draw = np.random.default_rng(2)
