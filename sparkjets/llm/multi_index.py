@@ -8,11 +8,15 @@ multi-sequence heap walks the cells in descending order of that sum. A window of
 is certified, and its anchor done, as soon as the bound of the next cell is below the
 last score wanted, or below the window.
 
-On Spark an anchor visits cells in rounds, each of ``GROWTH`` times as many vectors as
-the one before. Cells lie in blocks of bounded size (large cells have several); the
-anchors that visit a block meet it in batches of bounded size, and each returns at most
-as many rows as are wanted. First come the positives of all anchors, then their
-negatives, whose windows the positives define. Everything between rounds is a table.
+On Spark an anchor visits cells in two rounds: the heap's first cells until ``FIRST``
+vectors are seen, whose best rows say how low the rest of a window can end, and then, where
+that is not certified, every cell whose bound reaches down to there. No list of cells is
+kept: an anchor carries the bound down to which it goes, and the cells of a block follow
+from its codebooks. Cells lie in blocks of bounded size (large cells have several).
+Anchors from near each other share a batch of bounded size, a batch meets the blocks that
+any of its anchors visits, and a task keeps the best rows of each window over all blocks
+it sees. First come the positives of all anchors, then their negatives, whose windows
+the positives define. Everything between rounds is a table.
 
 A score is the product of floor(256 * x) of all components, exact for any finite
 component; beyond 64 bits it is held at their ends. Higher scores come first, ties go to
@@ -32,16 +36,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkjets.llm.common import keep
+from sparkjets.llm.common import forget, keep
 
 SCALE = 256
 #: Codes of a half at most, and vectors of a cell on average until then.
 CODES, CELL = 256, 32
 #: Vectors that the codebooks are fitted on: so many per code, and at most; passes of the fit.
 PER_CODE, SAMPLE, PASSES = 32, 8192, 10
-#: Vectors of a block on average, anchors that meet it at once, vectors of an anchor's first round, growth of the rounds.
-BLOCK, BATCH, FIRST, GROWTH = 4096, 256, 16384, 4
-EXACT = 1 << 53
+#: Vectors of a block on average, anchors that meet it at once, vectors of an anchor's first round.
+BLOCK, BATCH, FIRST = 4096, 256, 16384
+#: Numbers that a task keeps for the windows it has met (rows wanted, components), and rows that it hands over at once.
+HELD, HANDED = 1 << 22, 1 << 16
+EXACT, EXACT_FLOAT = 1 << 53, 1 << 24
 LONGEST = (1 << 63) - 1
 
 
@@ -62,8 +68,10 @@ def nearest(points: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products of rows of whole numbers as 64-bit integers: in doubles where these are exact."""
+    """Inner products of rows of whole numbers as 64-bit integers: in floats or doubles where these are exact."""
     most = a.shape[1] * np.abs(a).max(initial=0) * np.abs(b).max(initial=0)
+    if most < EXACT_FLOAT:
+        return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     if most < EXACT:
         return (a @ b.T).astype(np.int64)
     whole = np.frompyfunc(int, 1, 1)
@@ -81,14 +89,15 @@ class Index:
         self.size = np.zeros((len(words[0]), len(words[1])), np.int64)
         self.bundle = np.full(self.size.shape, -1, np.int64)
 
-    def bounds(self, query: np.ndarray) -> list[np.ndarray]:
-        """Per half, what no member of a code can exceed; widened against rounding."""
+    def bounds(self, query: np.ndarray, codes: tuple = (slice(None), slice(None))) -> list[np.ndarray]:
+        """Per half, what no member of a code can exceed, for a query or rows of queries; widened against rounding."""
         half = len(self.words[0][0])
         out = []
-        for part, words, radii in zip((query[:half], query[half:]), self.words, self.radii):
-            length = math.sqrt(float(part @ part))
-            top = words @ part + length * radii
-            slack = np.abs(words) @ np.abs(part) + length * radii
+        for part, words, radii, own in zip((query[..., :half], query[..., half:]), self.words, self.radii, codes):
+            words, radii = words[own], radii[own]
+            length = np.sqrt((part * part).sum(axis=-1, keepdims=True))
+            top = part @ words.T + length * radii
+            slack = np.abs(part) @ np.abs(words).T + length * radii
             out.append(top + 1e-9 * slack + 1e-6)
         return out
 
@@ -141,6 +150,24 @@ def _matrix(column: pa.Array, length: int) -> np.ndarray:
     return pa.compute.list_flatten(column).to_numpy(zero_copy_only=False).astype(float).reshape(len(column), length)
 
 
+def _packed(points: np.ndarray) -> bytes:
+    """Rows of whole numbers: in 16 bits each where these hold all of them, else as doubles."""
+    return points.astype("<i2" if np.abs(points).max(initial=0) < 1 << 15 else "<f8").tobytes()
+
+
+def _unpacked(data: bytes, count: int, length: int) -> np.ndarray:
+    kind = "<i2" if len(data) == 2 * count * length else "<f8"
+    return np.frombuffer(data, kind).astype(float).reshape(count, length)
+
+
+def _rows(column: pa.ChunkedArray, length: int) -> np.ndarray:
+    """Vectors that were packed one by one or in groups."""
+    rows = column.to_pylist()
+    if len({len(v) for v in rows}) < 2:
+        return _unpacked(b"".join(rows), len(rows), length)
+    return np.concatenate([_unpacked(v, 1, length) for v in rows])
+
+
 def _coded(rows: DataFrame, indexes: dict[int, Index]) -> DataFrame:
     """``rows`` with their cells and the distances of both halves to their codewords."""
 
@@ -156,7 +183,8 @@ def _coded(rows: DataFrame, indexes: dict[int, Index]) -> DataFrame:
                     code = nearest(part, words)
                     codes.append(pa.array(code.astype(np.int32)))
                     away.append(pa.array(np.sqrt(((part - words[code]) ** 2).sum(axis=1))))
-                packed, step = points.astype("<f8").tobytes(), 8 * length
+                packed = _packed(points)
+                step = len(packed) // len(points)
                 vectors = pa.array([packed[r * step : (r + 1) * step] for r in range(len(points))], pa.binary())
                 dims = pa.array(np.full(len(points), length, np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -202,7 +230,7 @@ def build(rows: DataFrame) -> tuple[dict[int, Index], DataFrame, DataFrame]:
         codes = table["i"].to_numpy().astype(np.int64) * widths[dim] + table["j"].to_numpy()
         values = [keys[0].as_py(), keys[1].as_py(), dim, codes.astype("<i8").tobytes()]
         values += [table[n].to_numpy().astype("<i8").tobytes() for n in ("id", "label")]
-        values.append(b"".join(table["v"].to_pylist()))
+        values.append(_packed(_rows(table["v"], dim)))
         return pa.table({n: [v] for n, v in zip(out.names, values)}).cast(out)
 
     out = pa.schema(
@@ -216,65 +244,136 @@ def build(rows: DataFrame) -> tuple[dict[int, Index], DataFrame, DataFrame]:
 
 #: What an anchor asks for: rows of its own label or of others, of scores from low to high, the best k of them.
 SLOTS = "array<struct<slot:int,low:long,high:long>>"
-#: An anchor between rounds.
-STATE = f"rid long, id long, label long, dim int, v binary, done int, slots {SLOTS}"
+#: An anchor of a batch: ``reach``, the bound above which it visits cells, and so the bound of those it does not visit.
+ASK = f"struct<rid:long,id:long,label:long,reach:double,slots:{SLOTS}>"
 
 
-def _walk(anchors: DataFrame, indexes: dict[int, Index], budget: int) -> DataFrame:
-    """Per open anchor and bundle: the cells it visits in this round, the cells walked by then and the bound of the rest."""
-    shared = anchors.sparkSession.sparkContext.broadcast(indexes)
+def _walk(anchors: DataFrame, indexes: dict[int, Index], budget: int | None) -> DataFrame:
+    """Kept batches of anchors and the bundles they visit: those of ``budget`` vectors or, without, all that reach a window."""
+    spark = anchors.sparkSession
+    shared = spark.sparkContext.broadcast(indexes)
+    size = BATCH
+
+    def reached(index: Index, query: np.ndarray, slots: list[dict]) -> tuple[np.ndarray, float]:
+        if budget is not None:
+            taken, _, left = visits(index, query, 0, budget)
+            return np.array(list(taken), np.int64), left
+        first, second = index.bounds(query)
+        below = first[:, None] + second < min(s["low"] for s in slots)
+        return np.unique(index.bundle[(index.size > 0) & ~below]), -math.inf
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, bundles, cells, walked, left = [], [], [], [], []
-            for r, (dim, v, done) in enumerate(zip(*(batch[n].to_pylist() for n in ("dim", "v", "done")))):
-                taken, now, bound = visits(shared.value[dim], np.frombuffer(v, "<f8"), done, budget)
-                for bundle, own in taken.items():
-                    at.append(r)
-                    bundles.append(bundle)
-                    cells.append(own)
-                    walked.append(now)
-                    left.append(bound)
-            columns = [batch[n].take(pa.array(at, pa.int64())) for n in ("rid", "id", "label", "dim", "v", "slots")]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(bundles, pa.int64()), pa.array(cells, pa.list_(pa.int64())), pa.array(walked, pa.int32()), pa.array(left)],
-                ["rid", "id", "label", "dim", "v", "slots", "bundle", "cells", "walked", "left"],
-            )
-
-    schema = f"rid long, id long, label long, dim int, v binary, slots {SLOTS}, bundle long, cells array<long>, walked int, left double"
-    return anchors.select("rid", "id", "label", "dim", "v", "done", "slots").mapInArrow(walk, schema)
-
-
-def _scored(asked: DataFrame, blocks: DataFrame, k: int, same_label: bool) -> DataFrame:
-    """Per visit, slot and block the best k rows: ``rid, slot, other, score``."""
-    ask = F.struct("rid", "id", "label", "v", "slots", "cells")
-    total = asked.groupBy("bundle").agg(F.count(F.lit(1)).alias("asks"))
-    batches = F.ceil(F.col("asks") / F.lit(float(BATCH)))
-    dealt = asked.join(total, "bundle").withColumn("batch", F.pmod(F.xxhash64("rid"), batches))
-    met = dealt.groupBy("bundle", "batch").agg(F.collect_list(ask).alias("asks")).join(blocks, "bundle")
+            dims = batch["dim"].to_numpy()
+            for dim in np.unique(dims).tolist():
+                index, at = shared.value[dim], np.flatnonzero(dims == dim)
+                for start in range(0, len(at), size):
+                    own = batch.take(pa.array(at[start : start + size]))
+                    points, slots = _rows(own["v"], dim), own["slots"].to_pylist()
+                    met = [reached(index, *q) for q in zip(points, slots)]
+                    asks = [
+                        dict(zip(("rid", "id", "label", "reach", "slots"), a))
+                        for a in zip(*(own[n].to_pylist() for n in ("rid", "id", "label")), (left for _, left in met), slots)
+                    ]
+                    bundles = np.unique(np.concatenate([b for b, _ in met]))
+                    row = {"dim": dim, "bundles": bundles.tolist(), "asks": asks, "queries": _packed(points)}
+                    yield pa.RecordBatch.from_pylist([row], out)
+
+    slot = pa.struct([("slot", pa.int32()), ("low", pa.int64()), ("high", pa.int64())])
+    ask = pa.struct([("rid", pa.int64()), ("id", pa.int64()), ("label", pa.int64()), ("reach", pa.float64()), ("slots", pa.list_(slot))])
+    out = pa.schema([("dim", pa.int32()), ("bundles", pa.list_(pa.int64())), ("asks", pa.list_(ask)), ("queries", pa.binary())])
+    order = ["dim", "i", "j", "rid"]  # anchors from near each other visit the same blocks
+    dealt = anchors.repartitionByRange(max(1, math.ceil(anchors.count() / size)), *order).sortWithinPartitions(*order)
+    walked = dealt.select("rid", "id", "label", "dim", "v", "slots").mapInArrow(
+        walk, f"dim int, bundles array<long>, asks array<{ASK}>, queries binary"
+    )
+    return keep(walked, "visits")
+
+
+class Windows:
+    """The best ``k`` rows found so far for every window of a batch of anchors."""
+
+    def __init__(self, asks: list[dict], queries: np.ndarray, k: int):
+        self.queries, self.k = queries, k
+        self.ids, self.labels, self.reach = (np.array([a[n] for a in asks]) for n in ("id", "label", "reach"))
+        self.rids = np.array([a["rid"] for a in asks], np.int64)
+        wide = max(len(a["slots"]) for a in asks)
+        #: by anchor and place of the window in its list; a window that is not there takes nothing
+        self.slots = np.zeros((len(asks), wide), np.int32)
+        self.low, self.high = np.full((len(asks), wide), LONGEST), np.full((len(asks), wide), -LONGEST - 1)
+        for r, a in enumerate(asks):
+            for c, s in enumerate(a["slots"]):
+                self.slots[r, c], self.low[r, c], self.high[r, c] = s["slot"], s["low"], s["high"]
+        self.at, self.others, self.scores = (np.zeros(0, np.int64) for _ in range(3))
+
+    def meet(self, index: Index, codes: np.ndarray, ids: np.ndarray, labels: np.ndarray, points: np.ndarray, same_label: bool) -> None:
+        """Take the rows of a block that lie in visited cells and in a window."""
+        cells, cell = np.unique(codes, return_inverse=True)
+        first, second = index.bounds(self.queries, np.divmod(cells, index.size.shape[1]))
+        bounds = first + second
+        least, most = self.low.min(axis=1), self.high.max(axis=1)
+        # not above is not the same as below, should a bound not be a number
+        visited = ~(bounds <= self.reach[:, None]) & ~(bounds < least[:, None])
+        who = np.flatnonzero(visited.any(axis=1))
+        scores = products(self.queries[who], points)
+        fits = (scores >= least[who, None]) & (scores <= most[who, None])
+        if self.reach.max() > -math.inf:  # else a row that is not in a visited cell is below its windows anyway
+            fits &= visited[who][:, cell]
+        at = np.flatnonzero(fits)
+        row, column = who[at // len(ids)], at % len(ids)
+        score = scores.flat[at]
+        fits = ((labels[column] == self.labels[row]) == same_label) & (ids[column] != self.ids[row])
+        row, column, score = row[fits], column[fits], score[fits]
+        new = []
+        for c in range(self.low.shape[1]):
+            own = np.flatnonzero((score >= self.low[row, c]) & (score <= self.high[row, c]))
+            new.append((row[own] * self.low.shape[1] + c, ids[column[own]], score[own]))
+        if any(len(at) for at, _, _ in new):
+            self._take(*(np.concatenate(x) for x in zip((self.at, self.others, self.scores), *new)))
+
+    def _take(self, at: np.ndarray, others: np.ndarray, scores: np.ndarray) -> None:
+        order = np.lexsort((others, ~scores, at))
+        at = at[order]
+        begins = np.flatnonzero(np.diff(at, prepend=-1))
+        rank = np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))
+        best = rank < self.k
+        self.at, self.others, self.scores = at[best], others[order][best], scores[order][best]
+        last = rank == self.k - 1  # what scores less than the last one wanted is not wanted
+        self.low.flat[at[last]] = scores[order][last]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        for start in range(0, len(self.at), HANDED):
+            part = slice(start, start + HANDED)
+            at = self.at[part]
+            columns = (self.rids[at // self.low.shape[1]], self.slots.flat[at], self.others[part], self.scores[part])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["rid", "slot", "other", "score"])
+
+
+def _scored(asked: DataFrame, indexes: dict[int, Index], blocks: DataFrame, k: int, same_label: bool) -> DataFrame:
+    """Per task, anchor and window the best k rows: ``rid, slot, other, score``."""
+    shared = asked.sparkSession.sparkContext.broadcast(indexes)
+    # no row of either side is shuffled or repeated on disk: tasks read a part of the blocks and a part of the batches
+    met = blocks.drop("salt").join(asked.drop("dim"), F.array_contains("bundles", F.col("bundle"))).drop("bundle", "bundles")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Windows] = {}
         for batch in batches:
-            for row in batch.to_pylist():
-                codes, ids, labels = (np.frombuffer(row[n], "<i8") for n in ("codes", "ids", "labels"))
-                points = np.frombuffer(row["points"], "<f8").reshape(len(ids), row["dim"])
-                asks = row["asks"]
-                queries = np.frombuffer(b"".join(a["v"] for a in asks), "<f8").reshape(len(asks), row["dim"])
-                found = []
-                for a, scores in zip(asks, products(queries, points)):
-                    fits = np.isin(codes, a["cells"]) & (ids != a["id"]) & ((labels == a["label"]) == same_label)
-                    for s in a["slots"]:
-                        at = np.flatnonzero(fits & (scores >= s["low"]) & (scores <= s["high"]))
-                        if len(at) > k:  # whatever ties with the last one wanted stays for the sort
-                            at = at[scores[at] >= np.partition(scores[at], len(at) - k)[len(at) - k]]
-                        at = at[np.lexsort((ids[at], ~scores[at]))][:k]
-                        found += [(a["rid"], s["slot"], o, v) for o, v in zip(ids[at].tolist(), scores[at].tolist())]
-                yield pa.RecordBatch.from_pylist(
-                    [dict(zip(("rid", "slot", "other", "score"), f)) for f in found],
-                    pa.schema([("rid", pa.int64()), ("slot", pa.int32()), ("other", pa.int64()), ("score", pa.int64())]),
-                )
-
-    return met.select("asks", "dim", "codes", "ids", "labels", "points").mapInArrow(score, "rid long, slot int, other long, score long")
+            for r, dim in enumerate(batch["dim"].to_pylist()):
+                key = batch["asks"][r][0]["rid"].as_py()
+                if key not in held:
+                    asks = batch["asks"][r].as_py()
+                    held[key] = Windows(asks, _unpacked(batch["queries"][r].as_py(), len(asks), dim), k)
+                codes, ids, labels = (np.frombuffer(batch[n][r].as_buffer(), "<i8") for n in ("codes", "ids", "labels"))
+                points = _unpacked(batch["points"][r].as_buffer(), len(ids), dim)
+                held[key].meet(shared.value[dim], codes, ids, labels, points, same_label)
+            if sum(w.low.size * k + w.queries.size for w in held.values()) > HELD:
+                for windows in held.values():
+                    yield from windows.rows()
+                held = {}
+        for windows in held.values():
+            yield from windows.rows()
+
+    return met.mapInArrow(score, "rid long, slot int, other long, score long")
 
 
 def _best(rows: DataFrame, k: int) -> DataFrame:
@@ -283,27 +382,27 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
 
 
 def search(anchors: DataFrame, indexes: dict[int, Index], blocks: DataFrame, k: int, same_label: bool) -> DataFrame:
-    """Kept ``rid, slot, rank, other, score``: the k best rows in each window of each anchor (``STATE``)."""
-    budget = FIRST
-    best = None
-    open_ = anchors
-    while True:
-        asked = keep(_walk(open_, indexes, budget), "visits")
-        found = _scored(asked, blocks, k, same_label)
-        rows = found if best is None else best.select("rid", "slot", "other", "score").unionByName(found)
-        best = keep(_best(rows, k), "best")
-        # a window is certified when nothing unseen can score as much as its last row, or reach it
-        full = best.where(F.col("rank") == k).select("rid", "slot", F.col("score").alias("last"))
-        rest = asked.select("rid", "slots", "walked", "left").dropDuplicates(["rid"]).where(F.col("left") > -math.inf)
-        windows = rest.select("rid", "walked", "left", F.inline("slots"))
-        unsure = windows.join(full, ["rid", "slot"], "left").where(
-            (F.col("left") >= F.col("low")) & (F.col("last").isNull() | (F.col("left") >= F.col("last")))
-        )
-        going = unsure.groupBy("rid").agg(F.max("walked").alias("walked"))
-        open_ = keep(open_.drop("done").join(going, "rid").withColumnRenamed("walked", "done"), "open")
-        if open_.isEmpty():
-            return best
-        budget *= GROWTH
+    """Kept ``rid, slot, other, score, rank``: the k best rows in each window of each anchor."""
+    asked = _walk(anchors, indexes, FIRST)
+    best = keep(_best(_scored(asked, indexes, blocks, k, same_label), k), "best")
+    # a window is certified when nothing unseen can score as much as its last row, or reach it
+    full = best.where(F.col("rank") == k).select("rid", "slot", F.col("score").alias("last"))
+    windows = asked.select(F.inline("asks")).where(F.col("reach") > -math.inf).select("rid", "reach", F.inline("slots"))
+    unsure = windows.join(full, ["rid", "slot"], "left").where(
+        (F.col("reach") >= F.col("low")) & (F.col("last").isNull() | (F.col("reach") >= F.col("last")))
+    )
+    # they are searched anew, from the score that k rows are known to have
+    slots = F.collect_list(F.struct("slot", F.coalesce("last", "low").alias("low"), "high")).alias("slots")
+    open_ = keep(anchors.drop("slots").join(unsure.groupBy("rid").agg(slots), "rid"), "open")
+    forget(asked)
+    if open_.isEmpty():
+        return best
+    asked = _walk(open_, indexes, None)
+    found = _best(_scored(asked, indexes, blocks, k, same_label), k)
+    again = open_.select("rid", F.inline("slots")).select("rid", "slot")
+    out = keep(best.join(again, ["rid", "slot"], "left_anti").unionByName(found), "found")
+    forget(asked, open_, best)
+    return out
 
 
 def hard_negatives(
@@ -323,8 +422,10 @@ def hard_negatives(
     ``is_anchor`` is a condition on ``id``. Returns anchor_id, positive_id, positive_rank,
     rank, negative_id, positive_score, negative_score.
     """
-    indexes, coded, blocks = build(prepare(vectors, id_, embedding, label))
-    state = coded.where(is_anchor).select("rid", "id", "label", "dim", "v", F.lit(0).alias("done"))
+    rows = prepare(vectors, id_, embedding, label)
+    indexes, coded, blocks = build(rows)
+    state = keep(coded.where(is_anchor).select("rid", "id", "label", "dim", "i", "j", "v"), "anchors")
+    forget(rows, coded)
     window = lambda slot, a, b: F.struct(slot.cast("int").alias("slot"), a.cast("long").alias("low"), b.cast("long").alias("high"))
     whole = F.array(window(F.lit(0), F.lit(-LONGEST - 1), F.lit(LONGEST)))
     chosen = search(state.withColumn("slots", whole), indexes, blocks, positives, True)
@@ -335,7 +436,8 @@ def hard_negatives(
     filled = chosen.withColumns({"low": least, "high": most}).where("low <= high")
     asked = filled.groupBy("rid").agg(F.collect_list(window(F.col("rank"), F.col("low"), F.col("high"))).alias("slots"))
     mined = search(state.join(asked, "rid"), indexes, blocks, negatives, False)
-    named = coded.where(is_anchor).select("rid", F.col("id").alias("anchor_id"))
+    forget(blocks)
+    named = state.select("rid", F.col("id").alias("anchor_id"))
     pos = chosen.select("rid", F.col("rank").alias("slot"), F.col("other").alias("positive_id"), F.col("score").alias("positive_score"))
     out = mined.join(pos, ["rid", "slot"]).join(named, "rid")
     return out.select(

@@ -81,6 +81,50 @@ def test_nothing_to_mine(spark):
     assert run(spark, [(1, [1.0], 1), (2, [1.0], 2)]) == []  # no anchor
 
 
+def test_tables_between_rounds_do_not_list_the_cells_of_every_anchor(spark, monkeypatch):
+    """Every row is an anchor and no cell can be excluded: 700 anchors, some hundreds of cells."""
+    for name, value in (("BLOCK", 90), ("BATCH", 16), ("FIRST", 40), ("CELL", 1), ("HELD", 1)):
+        monkeypatch.setattr(multi_index, name, value, raising=False)
+    entries, keep = [], multi_index.keep
+
+    def measured(df, name, *more):
+        out = keep(df, name, *more)
+        if name == "visits":
+            lists = [f.name for f in out.schema if isinstance(f.dataType, T.ArrayType)]
+            entries.append(out.select(F.sum(sum((F.size(c) for c in lists), F.lit(0)))).first()[0])
+        return out
+
+    monkeypatch.setattr(multi_index, "keep", measured)
+    draw = np.random.default_rng(9)
+    rows = [(100 * i, [float(np.float32(x)) for x in p], int(draw.integers(0, 4))) for i, p in enumerate(draw.normal(size=(700, 8)))]
+    assert run(spark, rows, 3, 4) == brute(rows, 3, 4)
+    assert max(entries) < 5 * len(rows), entries
+
+
+def test_windows_keep_the_best_rows_over_all_blocks():
+    draw = np.random.default_rng(10)
+    points = np.floor(256 * draw.normal(size=(500, 6)))
+    points[40:60] = points[7]  # ties
+    index, (first, second) = made(points, 5)
+    ids, labels, codes = np.arange(500), draw.integers(0, 3, 500), first * 5 + second
+    asks = [
+        {"rid": 900 + r, "id": r, "label": int(labels[r]), "reach": -math.inf, "slots": [{"slot": s, "low": -50000, "high": h} for s, h in enumerate(highs)]}
+        for r, highs in enumerate([(10**6,), (200000, 40000), (0, 10**5, -60000)])
+    ]
+    windows = multi_index.Windows(asks, points[:3], 4)
+    for start in range(0, 500, 70):
+        part = slice(start, start + 70)
+        windows.meet(index, codes[part], ids[part], labels[part], points[part], False)
+    found = sorted(tuple(r.values()) for batch in windows.rows() for r in batch.to_pylist())
+    wanted = []
+    for a in asks:
+        scores = (points @ points[a["id"]]).astype(int)
+        for s in a["slots"]:
+            fits = [i for i in ids if labels[i] != a["label"] and s["low"] <= scores[i] <= s["high"]]
+            wanted += [(a["rid"], s["slot"], int(i), int(scores[i])) for i in sorted(fits, key=lambda i: (-scores[i], i))[:4]]
+    assert found == sorted(wanted)
+
+
 def made(points, k):
     half = points.shape[1] // 2
     index = multi_index.Index([multi_index.codebook(p, k) for p in (points[:, :half], points[:, half:])])
