@@ -45,7 +45,7 @@ CODES, CELL = 256, 32
 PER_CODE, SAMPLE, PASSES = 32, 8192, 10
 #: Vectors of a block on average, anchors that meet it at once, vectors of an anchor's first round.
 BLOCK, BATCH, FIRST = 4096, 256, 16384
-#: Numbers that a task keeps for the windows it has met (rows wanted, components), and rows that it hands over at once.
+#: Numbers that a task keeps for the windows it has met (rows wanted, components), rows that it takes or hands over at once.
 HELD, HANDED = 1 << 22, 1 << 16
 EXACT, EXACT_FLOAT = 1 << 53, 1 << 24
 LONGEST = (1 << 63) - 1
@@ -304,6 +304,8 @@ class Windows:
         for r, a in enumerate(asks):
             for c, s in enumerate(a["slots"]):
                 self.slots[r, c], self.low[r, c], self.high[r, c] = s["slot"], s["low"], s["high"]
+        #: id of the last row wanted, once there are as many: of equal scores only smaller ids are wanted
+        self.last = np.full(self.low.shape, LONGEST)
         self.at, self.others, self.scores = (np.zeros(0, np.int64) for _ in range(3))
 
     def meet(self, index: Index, codes: np.ndarray, ids: np.ndarray, labels: np.ndarray, points: np.ndarray, same_label: bool) -> None:
@@ -320,14 +322,19 @@ class Windows:
         if self.reach.max() > -math.inf:  # else a row that is not in a visited cell is below its windows anyway
             fits &= visited[who][:, cell]
         at = np.flatnonzero(fits)
-        row, column = who[at // len(ids)], at % len(ids)
-        score = scores.flat[at]
-        fits = ((labels[column] == self.labels[row]) == same_label) & (ids[column] != self.ids[row])
-        row, column, score = row[fits], column[fits], score[fits]
+        for start in range(0, len(at), HANDED):  # all of them where a vector of zeros meets a window at zero
+            part = at[start : start + HANDED]
+            row, column = who[part // len(ids)], part % len(ids)
+            own = ((labels[column] == self.labels[row]) == same_label) & (ids[column] != self.ids[row])
+            self._sort(row[own], ids[column[own]], scores.flat[part[own]])
+
+    def _sort(self, row: np.ndarray, others: np.ndarray, scores: np.ndarray) -> None:
+        """Rows for anchors into the windows that they lie in."""
         new = []
         for c in range(self.low.shape[1]):
-            own = np.flatnonzero((score >= self.low[row, c]) & (score <= self.high[row, c]))
-            new.append((row[own] * self.low.shape[1] + c, ids[column[own]], score[own]))
+            low = self.low[row, c]
+            own = np.flatnonzero((scores <= self.high[row, c]) & ((scores > low) | (scores == low) & (others <= self.last[row, c])))
+            new.append((row[own] * self.low.shape[1] + c, others[own], scores[own]))
         if any(len(at) for at, _, _ in new):
             self._take(*(np.concatenate(x) for x in zip((self.at, self.others, self.scores), *new)))
 
@@ -338,8 +345,8 @@ class Windows:
         rank = np.arange(len(at)) - np.repeat(begins, np.diff(begins, append=len(at)))
         best = rank < self.k
         self.at, self.others, self.scores = at[best], others[order][best], scores[order][best]
-        last = rank == self.k - 1  # what scores less than the last one wanted is not wanted
-        self.low.flat[at[last]] = scores[order][last]
+        last = rank == self.k - 1  # what comes after the last one wanted is not wanted
+        self.low.flat[at[last]], self.last.flat[at[last]] = scores[order][last], others[order][last]
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         for start in range(0, len(self.at), HANDED):

@@ -101,18 +101,21 @@ def test_tables_between_rounds_do_not_list_the_cells_of_every_anchor(spark, monk
     assert max(entries) < 5 * len(rows), entries
 
 
-def test_windows_keep_the_best_rows_over_all_blocks():
+def test_windows_keep_the_best_rows_over_all_blocks(monkeypatch):
+    monkeypatch.setattr(multi_index, "HANDED", 30)
     draw = np.random.default_rng(10)
     points = np.floor(256 * draw.normal(size=(500, 6)))
     points[40:60] = points[7]  # ties
+    points[2] = 0  # ties with every row
     index, (first, second) = made(points, 5)
     ids, labels, codes = np.arange(500), draw.integers(0, 3, 500), first * 5 + second
     asks = [
-        {"rid": 900 + r, "id": r, "label": int(labels[r]), "reach": -math.inf, "slots": [{"slot": s, "low": -50000, "high": h} for s, h in enumerate(highs)]}
-        for r, highs in enumerate([(10**6,), (200000, 40000), (0, 10**5, -60000)])
+        {"rid": 900 + r, "id": i, "label": int(labels[i]), "reach": -math.inf}
+        | {"slots": [{"slot": s, "low": -50000, "high": h} for s, h in enumerate(highs)]}
+        for r, (i, highs) in enumerate([(0, (10**6,)), (1, (200000, 40000)), (2, (0, 10**5, -60000)), (7, (10**6,))])
     ]
-    windows = multi_index.Windows(asks, points[:3], 4)
-    for start in range(0, 500, 70):
+    windows = multi_index.Windows(asks, points[[0, 1, 2, 7]], 4)
+    for start in range(490, -1, -70):
         part = slice(start, start + 70)
         windows.meet(index, codes[part], ids[part], labels[part], points[part], False)
     found = sorted(tuple(r.values()) for batch in windows.rows() for r in batch.to_pylist())
